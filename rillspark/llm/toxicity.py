@@ -187,7 +187,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
 
 def _chosen(found: list, chance: float) -> list:
-    """The terms that explain toxic rows which the terms before them leave unexplained."""
+    """The terms that explain toxic rows which the terms before them leave unexplained.
+
+    A word beginning is left out if one longer term holds nearly all of its rows: that term is the surer one.
+    """
+    covered: dict[str, int] = {}
+    for r in found:
+        for n in range(4, len(r["term"]) if r["kind"] else len(r["term"]) + 1):
+            covered[r["term"][:n]] = max(covered.get(r["term"][:n], 0), r["toxic"])
+    found = [r for r in found if not r["kind"] or covered.get(r["term"], 0) < 0.9 * r["toxic"]]
     place = {row: k for k, row in enumerate(dict.fromkeys(row for r in found for row in r["rows"]))}
     holds = np.zeros((len(found), len(place)), np.float32)
     for k, r in enumerate(found):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("rillspark.plans.q_roads",)
+MODULES: tuple[str, ...] = ("rillspark.plans.q_roads","rillspark.plans.q_nowcast","rillspark.plans.q_scores")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

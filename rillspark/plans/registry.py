@@ -7,7 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("rillspark.plans.q_roads","rillspark.plans.q_nowcast","rillspark.plans.q_scores")
+MODULES: tuple[str, ...] = (
+    "rillspark.plans.q_roads",
+    "rillspark.plans.q_nowcast",
+    "rillspark.plans.q_scores",
+    "rillspark.plans.q_assets",
+    "rillspark.plans.q_graph",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

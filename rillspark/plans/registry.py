@@ -13,6 +13,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_scores",
     "rillspark.plans.q_assets",
     "rillspark.plans.q_graph",
+    "rillspark.plans.q_audit",
 )
 
 

@@ -14,6 +14,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_assets",
     "rillspark.plans.q_graph",
     "rillspark.plans.q_audit",
+    "rillspark.plans.q_rain",
 )
 
 

@@ -13,7 +13,7 @@ KEYS = ("scenario_id", "lead_minutes")
 def site_depths(assets: DataFrame, depth: DataFrame, frames: DataFrame, default: float = 0.0) -> DataFrame:
     """Depth at every asset's cell for every frame; `default` where the grid has no such cell."""
     every = assets.crossJoin(F.broadcast(frames))  # frames: the (scenario, lead) pairs, a short list
-    return every.join(depth.select(*KEYS, "r", "c", "depth_m"), [*KEYS, "r", "c"], "left").withColumn("site_depth_m", F.coalesce("depth_m", F.lit(default))).drop("depth_m")
+    return every.join(depth.select(*KEYS, "r", "c", "depth_m").hint("merge"), [*KEYS, "r", "c"], "left").withColumn("site_depth_m", F.coalesce("depth_m", F.lit(default))).drop("depth_m")
 
 
 def access_depths(sites: DataFrame, links: DataFrame, road_max: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def access_depths(sites: DataFrame, links: DataFrame, road_max: DataFrame) -> Da
 
     links: asset_id, road_id; road_max: scenario_id, lead_minutes, road_id, max_depth_m.
     """
-    worst = links.join(road_max, "road_id").groupBy(*KEYS, "asset_id").agg(F.max("max_depth_m").alias("known"))
+    worst = links.join(road_max.hint("merge"), "road_id").groupBy(*KEYS, "asset_id").agg(F.max("max_depth_m").alias("known"))
     guess = F.when(F.col("site_depth_m") > 0.1, 0.2).otherwise(0.0)
     return sites.join(worst, [*KEYS, "asset_id"], "left").withColumn("access_depth_m", F.coalesce("known", guess)).drop("known")
 

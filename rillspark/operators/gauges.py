@@ -97,6 +97,6 @@ def nearest_in_time(wanted: DataFrame, obs: DataFrame, minutes: int = 15) -> Dat
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     asked = wanted.withColumn("tm", micros("t")).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("tm") / (size * 1e6)) + k)))
     have = obs.select("sensor_id", "obs_id", micros("observation_time").alias("om")).withColumn("bucket", F.floor(F.col("om") / (size * 1e6)))
-    near = asked.join(have, ["sensor_id", "bucket"]).where(F.abs(F.col("tm") - F.col("om")) <= size * 1000000)
+    near = asked.join(have.hint("merge"), ["sensor_id", "bucket"]).where(F.abs(F.col("tm") - F.col("om")) <= size * 1000000)
     best = near.groupBy("sensor_id", "t").agg(F.min(F.struct(F.abs(F.col("tm") - F.col("om")).alias("gap"), F.col("om"), F.col("obs_id"))).alias("b"))
     return best.select("sensor_id", "t", F.col("b.obs_id").alias("obs_id"), (F.col("b.gap") / 1000000).cast("double").alias("gap_seconds"))

@@ -72,7 +72,7 @@ def advected(field: DataFrame, leads: DataFrame, cell_m: float = 30.0, decay: fl
     parts = F.array(part(F.col("y0"), F.col("x0"), (1 - fx) * (1 - fy)), part(F.col("y0"), x1, fx * (1 - fy)), part(y1, F.col("x0"), (1 - fx) * fy), part(y1, x1, fx * fy))
     wanted = corner.select("lead_minutes", "r", "c", F.explode(parts).alias("p")).select("lead_minutes", "r", "c", "p.*")
     source = field.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "rate_mmh")
-    moved = wanted.join(source, ["sr", "sc"]).groupBy("lead_minutes", "r", "c").agg(F.sum(F.col("k") * F.col("rate_mmh")).alias("rate"))
+    moved = wanted.join(source.hint("merge"), ["sr", "sc"]).groupBy("lead_minutes", "r", "c").agg(F.sum(F.col("k") * F.col("rate_mmh")).alias("rate"))
     factor = F.when(F.col("lead_minutes") <= 0, 1.0).otherwise(F.exp(-F.col("lead_minutes") / decay)) if decay else F.lit(1.0)
     return moved.select("lead_minutes", "r", "c", (F.greatest(F.lit(0.0), F.col("rate")) * factor).alias("rate_mmh"))
 
@@ -111,5 +111,5 @@ def resampled(frames: DataFrame, rows: int, columns: int) -> DataFrame:
     corners = [(dy, dx, (F.col("fy") if dy else 1 - F.col("fy")) * (F.col("fx") if dx else 1 - F.col("fx"))) for dy in (0, 1) for dx in (0, 1)]
     parts = F.array(*(F.struct((F.col("y0") + dy).alias("r"), (F.col("x0") + dx).alias("c"), k.alias("k")) for dy, dx, k in corners))
     wanted = base.select("frame", "tr", "tc", F.explode(parts).alias("p")).select("frame", "tr", "tc", "p.*")
-    found = wanted.join(frames.select("frame", "r", "c", "rate_mmh"), ["frame", "r", "c"]).groupBy("frame", "tr", "tc").agg(F.sum(F.col("k") * F.col("rate_mmh")).alias("rate_mmh"))
+    found = wanted.join(frames.select("frame", "r", "c", "rate_mmh").hint("merge"), ["frame", "r", "c"]).groupBy("frame", "tr", "tc").agg(F.sum(F.col("k") * F.col("rate_mmh")).alias("rate_mmh"))
     return found.select("frame", F.col("tr").alias("r"), F.col("tc").alias("c"), "rate_mmh")

@@ -30,9 +30,9 @@ def road_cells(segments: DataFrame) -> DataFrame:
 def sampled(cells: DataFrame, depth: DataFrame, *keep: str) -> DataFrame:
     """Depth at each road cell, for every scenario and lead. Cells outside of the grid give no row.
 
-    Both sides are partitioned by cell; the adaptive planner broadcasts or splits them by their true sizes.
+    A merge join by cell: sizes of generated tables are guesses, so no side is left to automatic broadcast; hot cells are split at run time.
     """
-    return cells.select("road_id", "r", "c", *keep).join(depth.select("scenario_id", "lead_minutes", "r", "c", "depth_m"), ["r", "c"])
+    return cells.select("road_id", "r", "c", *keep).join(depth.select("scenario_id", "lead_minutes", "r", "c", "depth_m").hint("merge"), ["r", "c"])
 
 
 def road_impact(segments: DataFrame, depth: DataFrame, policy: dict = PASSABILITY) -> DataFrame:

@@ -46,7 +46,7 @@ def _grids(spark, sf):
 def _effects(spark, sf):
     grids = _grids(spark, sf)
     cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
-    worst = cells.join(grids, ["r", "c"]).groupBy("scenario_id", "lead_minutes", "package", "road_id").agg(F.max("base_m").alias("before_m"), F.max("depth_m").alias("after_m"))
+    worst = cells.join(grids.hint("merge"), ["r", "c"]).groupBy("scenario_id", "lead_minutes", "package", "road_id").agg(F.max("base_m").alias("before_m"), F.max("depth_m").alias("after_m"))
     return mitigation.effects(grids, worst)
 
 

@@ -121,10 +121,10 @@ FROM moved m JOIN near USING (lead_minutes) JOIN rain p ON p.frame = 0 AND p.r =
     "j13_resampled": _W + """,
 size AS (SELECT frame, max(r) AS h1, max(c) AS w1 FROM rain GROUP BY frame),
 tgt AS (SELECT frame, CAST(tr AS INT) AS tr, CAST(tc AS INT) AS tc, h1, w1, tr * CAST(h1 AS DOUBLE) / 39 AS y, tc * CAST(w1 AS DOUBLE) / 31 AS x FROM size, range(0, 40) AS a(tr), range(0, 32) AS b(tc)),
-k AS (SELECT *, least(CAST(floor(y) AS INT), h1 - 1) AS y0, least(CAST(floor(x) AS INT), w1 - 1) AS x0 FROM tgt)
-SELECT k.frame, tr AS r, tc AS c, round((1 - (x - x0)) * (1 - (y - y0)) * a.rate_mmh + (x - x0) * (1 - (y - y0)) * b.rate_mmh + (1 - (x - x0)) * (y - y0) * d.rate_mmh + (x - x0) * (y - y0) * e.rate_mmh + 1e-9, 6) AS rate_mmh
-FROM k JOIN rain a ON a.frame = k.frame AND a.r = y0 AND a.c = x0 JOIN rain b ON b.frame = k.frame AND b.r = y0 AND b.c = x0 + 1
-JOIN rain d ON d.frame = k.frame AND d.r = y0 + 1 AND d.c = x0 JOIN rain e ON e.frame = k.frame AND e.r = y0 + 1 AND e.c = x0 + 1""",
+k AS (SELECT *, least(CAST(floor(y) AS INT), h1 - 1) AS y0, least(CAST(floor(x) AS INT), w1 - 1) AS x0 FROM tgt),
+q AS (SELECT frame, tr, tc, y0 + dy AS r, x0 + dx AS c, CASE dy WHEN 1 THEN y - y0 ELSE 1 - (y - y0) END * CASE dx WHEN 1 THEN x - x0 ELSE 1 - (x - x0) END AS w
+      FROM k, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(dy, dx))
+SELECT q.frame, tr AS r, tc AS c, round(sum(w * rate_mmh) + 1e-9, 6) AS rate_mmh FROM q JOIN rain ON rain.frame = q.frame AND rain.r = q.r AND rain.c = q.c GROUP BY q.frame, tr, tc""",
     "a13_continuous_scores": _W + f""",{PAIRS_SQL}
 SELECT count(*) AS n, round(avg(abs(f - o)) + 1e-9, 6) AS mae, round(sqrt(avg((f - o) * (f - o))) + 1e-9, 6) AS rmse, round(avg(f - o) + 1e-9, 6) AS bias,
        round(CASE WHEN stddev_pop(f) < 1e-12 OR stddev_pop(o) < 1e-12 THEN 0 ELSE corr(f, o) END + 1e-9, 6) AS correlation FROM pairs""",

@@ -36,7 +36,7 @@ def _series(spark, sf):
 
 def _risk(spark, sf):
     cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
-    return scores.road_risk(_grids(spark, sf).where("scenario_id = 'A' AND lead_minutes = 0").join(cells, ["r", "c"]))
+    return scores.road_risk(_grids(spark, sf).where("scenario_id = 'A' AND lead_minutes = 0").join(cells.hint("merge"), ["r", "c"]))
 
 
 QUERIES = {

@@ -15,6 +15,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_graph",
     "rillspark.plans.q_audit",
     "rillspark.plans.q_rain",
+    "rillspark.plans.q_frames",
 )
 
 

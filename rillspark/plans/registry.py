@@ -16,6 +16,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_audit",
     "rillspark.plans.q_rain",
     "rillspark.plans.q_frames",
+    "rillspark.plans.q_calibration",
 )
 
 

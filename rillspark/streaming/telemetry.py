@@ -5,12 +5,10 @@ Each function takes and gives a streaming (or batch) DataFrame; the caller start
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillspark.operators import gauges
 
@@ -47,27 +45,10 @@ def intervals(observations: DataFrame, minutes: int = 15) -> DataFrame:
     return found.select("sensor_id", F.col("w.start").alias("valid_from"), F.col("w.end").alias("valid_to"), "n", "rate_mmh", (F.col("rate_mmh") * minutes / 60.0).alias("depth_mm"))
 
 
-def latest(observations: DataFrame, forget_ms: int = 300_000) -> DataFrame:
-    """The newest observation of each sensor whenever it changes; a sensor's state is dropped after a silence of `forget_ms`."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get if state.exists else None
-        before = best
-        for frame in frames:
-            top = frame.sort_values(["observation_time", "obs_id"]).iloc[-1]
-            seen = (int(top.observation_time.value // 1000), int(top.obs_id), None if pd.isna(top.raw_value) else float(top.raw_value))
-            best = seen if best is None or seen[:2] > tuple(best[:2]) else best
-        state.update(best)
-        state.setTimeoutDuration(forget_ms)
-        if best != before:
-            yield pd.DataFrame({"sensor_id": [key[0]], "observation_time": [pd.Timestamp(best[0] * 1000)], "obs_id": [best[1]], "raw_value": [best[2]]})
-
-    return observations.groupBy("sensor_id").applyInPandasWithState(
-        update, "sensor_id long, observation_time timestamp, obs_id long, raw_value double", "t long, id long, v double", "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def latest(observations: DataFrame) -> DataFrame:
+    """The newest observation of each sensor whenever it changes (update mode); of equal times, the one of the larger id."""
+    newest = F.max(F.struct("observation_time", "obs_id", "raw_value")).alias("o")
+    return observations.groupBy("sensor_id").agg(newest).select("sensor_id", "o.*")
 
 
 def alerts(events: DataFrame) -> DataFrame:

@@ -14,11 +14,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from rillspark.session import local_session
 
     session = local_session("tests", cpus=4, partitions=4)
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -18,9 +18,11 @@ def observations(spark, folder):
 
 
 def drained(df, name, mode="append"):
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    query.processAllAvailable()
-    query.stop()
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
     return df.sparkSession.table(name)
 
 

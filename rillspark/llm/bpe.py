@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from rillspark.llm.common import slices
 
 #: A worker forgets its pieces (words with the space before) and states beyond this number; they are computed again when needed.
-MOST_PIECES = 400_000
+MOST_PIECES = 300_000
 
 # The split pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_UNEVEN = regex.compile(r"[^\S \n]|\s\s|^\s|\s$")
+#: White space other than a space and a line feed, and pairs of these two; a text with any of them is cut with more care.
+_ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_UNEVEN = (*_ODD_SPACES, "  ", " \n", "\n ", "\n\n")
+_UNEVEN_ASCII = tuple(x for x in _UNEVEN if x.isascii())
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -72,13 +75,12 @@ class Bpe:
             self.rank[pair] = rank
             self.halves.setdefault(self.ids[left + right], (rank, *pair))
         self.longest = max(map(len, self.ids))
-        #: which lengths a token can have that ends a prefix with these last three bytes, longest first; a single byte always can
+        #: which lengths a token can have that ends a prefix with these last bytes (up to four), longest first
         ends: dict[bytes, set[int]] = {}
         for token in self.ids:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], {1, 2} if token[-2:] in self.ids else {1}).add(len(token))
-            elif len(token) == 2:
-                ends.setdefault(token, {1}).add(2)
+            if len(token) > 1:
+                end = token[-4:]
+                ends.setdefault(end, {n for n in (1, 2, 3) if n <= len(end) and end[-n:] in self.ids}).add(len(token))
         self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
         self.split = regex.compile(PATTERN)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -91,6 +93,7 @@ class Bpe:
         self.decimal = [b"%d," % i for i in range(self.size)]
         self.fits: dict[int, bool] = {}
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether BPE leaves the border between the adjacent tokens a and b unmerged."""
@@ -132,7 +135,7 @@ class Bpe:
                     shared += 1
             del token[shared + 1 :], size[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for n in (lengths.get(word[end - 3 : end]) if end > 2 else None) or lengths.get(word[end - 2 if end > 1 else 0 : end], single):
+                for n in lengths.get(word[end - 4 : end] if end > 3 else b"") or lengths.get(word[end - 3 : end] if end > 2 else b"") or lengths.get(word[end - 2 : end] if end > 1 else b"", single):
                     if n > end:
                         continue
                     t = ids.get(word[end - n : end])
@@ -157,19 +160,31 @@ class Bpe:
         return out
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that are not yet known."""
-        new = [p for p in pieces if p not in self.pieces]
+        """Make the pieces known: all of them are in `pieces` afterwards.
+
+        Beyond MOST_PIECES, what is known becomes the older half; from there a piece is taken back when it occurs again, so that
+        frequent pieces stay and memory is bounded.
+        """
+        if len(self.pieces) > MOST_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        known, older = self.pieces, self.older
+        new = []
+        for p in pieces:
+            if p not in known:
+                found = older.get(p)
+                if found is None:
+                    new.append(p)
+                else:
+                    known[p] = found
         if not new:
             return
-        if len(self.pieces) + len(new) > MOST_PIECES:
-            self.pieces.clear()
-            new = list(pieces)
         decimal = self.decimal.__getitem__
-        parts = [[w.encode() for w in self.split.findall(p)] for p in new]
-        known = self.encode_words(set().union(*parts))
+        # a space and letters are one word of the pattern; anything else is split by it
+        parts = [[p.encode()] if p[1:].isalpha() and p[0] == " " else [w.encode() for w in self.split.findall(p)] for p in new]
+        coded = self.encode_words(set().union(*parts))
         for piece, words in zip(new, parts, strict=True):
-            found = known[words[0]] if len(words) == 1 else [i for w in words for i in known[w]]
-            self.pieces[piece] = (array("I", found).tobytes(), b"".join(map(decimal, found)))
+            found = coded[words[0]] if len(words) == 1 else [i for w in words for i in coded[w]]
+            known[piece] = (array("I", found).tobytes(), b"".join(map(decimal, found)))
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text that are encoded independently of each other: a word with the space before it, mostly."""
@@ -181,14 +196,12 @@ class Bpe:
 
     def _cut(self, text: str) -> list[str]:
         # The pattern puts a single space between two other characters at the start of a word, so a text can be cut there.
-        first, *rest = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        uneven = text[0].isspace() or text[-1].isspace() or any(x in text for x in (_UNEVEN_ASCII if text.isascii() else _UNEVEN))
+        first, *rest = _CUT.split(text) if uneven else text.split(" ")
         return [first, *map(" ".__add__, rest)]
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[bytes], list[bytes]]]:
         """For each text, the ids of its pieces (little-endian 32-bit) and the same in decimal, a comma after each."""
-        for t in self.special:
-            if t not in self.pieces:
-                self.pieces[t] = (np.array([self.special[t]], "<u4").tobytes(), self.decimal[self.special[t]])
         cut = [self.cut(t) for t in texts]
         self.learn(set().union(*cut) - self.special.keys())
         for t in self.special:

@@ -17,6 +17,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_rain",
     "rillspark.plans.q_frames",
     "rillspark.plans.q_calibration",
+    "rillspark.plans.q_summaries",
 )
 
 

@@ -25,7 +25,7 @@ def records(frames: DataFrame, area: str, status: str = "Exercise", base: str =
     ring = F.concat_ws(" ", corner("min_r", "min_c"), corner("min_r", "max_c"), corner("max_r", "max_c"), corner("max_r", "min_c"), corner("min_r", "min_c"))
     headline = F.concat_ws(" ", F.col("event"), F.lit("for"), F.lit(area), F.lit("- depth"), F.format_string("%.2f m", steady(F.col("max_depth_m"), 2)))
     return frames.select(
-        F.concat_ws("-", F.lit("UFNS"), "scenario_id", F.lpad(F.col("lead_minutes").cast("string"), 3, "0")).alias("alert_id"), "scenario_id", "lead_minutes", F.lit(status).alias("status"), "severity", "urgency", "certainty",
+        F.concat_ws("-", F.lit("FLOOD"), "scenario_id", F.lpad(F.col("lead_minutes").cast("string"), 3, "0")).alias("alert_id"), "scenario_id", "lead_minutes", F.lit(status).alias("status"), "severity", "urgency", "certainty",
         "color_band", headline.alias("headline"), valid.alias("valid_from"), (valid + F.expr("INTERVAL 2 HOURS")).alias("expires"), ring.alias("polygon"), F.lit(area).alias("area"),
     )
 

@@ -40,7 +40,7 @@ def dataset_audit(features: DataFrame, least: int = 1) -> DataFrame:
 def stable_id(dataset: str, source_id: Column, geometry_key: Column) -> Column:
     """An id that depends on the data set's name and the source id, or on the geometry where there is none."""
     identity = F.when(F.coalesce(source_id, F.lit("")) != "", source_id).otherwise(F.concat(F.lit("geom:"), F.substring(geometry_key, 1, 32)))
-    return F.concat(F.lit("ufns-"), F.substring(F.sha2(F.concat(F.lit(f"{dataset}:"), identity), 256), 1, 16))
+    return F.concat(F.lit("drain-"), F.substring(F.sha2(F.concat(F.lit(f"{dataset}:"), identity), 256), 1, 16))
 
 
 def first_wins(features: DataFrame, most_rounds: int = 200) -> DataFrame:

@@ -69,7 +69,7 @@ j AS (SELECT f.*, decision, feature_type AS ft, diameter_m AS dm, CASE WHEN geom
       FROM feature f LEFT JOIN decisions USING (ord) LEFT JOIN rules ON raw_type = lower(trim(coalesce(source_type, '')))),
 mapped AS (SELECT ord, source_id, status, CASE WHEN status IN ('MAPPED', 'UNRESOLVED_TYPE') THEN coalesce(ft, 'UNKNOWN') END AS feature_type, CASE WHEN status IN ('MAPPED', 'UNRESOLVED_TYPE') THEN dm END AS diameter_m,
   CASE WHEN status NOT IN ('MAPPED', 'UNRESOLVED_TYPE') THEN NULL WHEN dm IS NULL THEN 'MISSING' ELSE 'DERIVED' END AS availability,
-  CASE WHEN status IN ('MAPPED', 'UNRESOLVED_TYPE') THEN 'ufns-' || substr(sha256('drains:' || CASE WHEN coalesce(source_id, '') <> '' THEN source_id ELSE 'geom:' || substr(sha256(geometry_text), 1, 32) END), 1, 16) END AS feature_id FROM j)"""
+  CASE WHEN status IN ('MAPPED', 'UNRESOLVED_TYPE') THEN 'drain-' || substr(sha256('drains:' || CASE WHEN coalesce(source_id, '') <> '' THEN source_id ELSE 'geom:' || substr(sha256(geometry_text), 1, 32) END), 1, 16) END AS feature_id FROM j)"""
 ORACLES = {
     "a38_schema_audit": _F + " " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", {str(c in REQUIRED).lower()} AS required, round(count(*) FILTER ({c} IS NULL) / CAST(greatest(count(*), 1) AS DOUBLE) + 1e-9, 6) AS null_share, CASE WHEN count({c}) = 0 THEN 'REJECTED' WHEN {str(c in REQUIRED).lower()} AND count({c}) < count(*) THEN 'UNRESOLVED' ELSE 'ACCEPTED' END AS status FROM feature"

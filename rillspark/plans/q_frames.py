@@ -18,7 +18,7 @@ def _depth(spark, sf):
 
 def _alerts(spark, sf):
     depth = _depth(spark, sf)
-    return alerts.records(roads.screened_frames(depth, roads.road_impact(view(spark, sf, "segment"), depth)), "Bagjola canal basin and surroundings")
+    return alerts.records(roads.screened_frames(depth, roads.road_impact(view(spark, sf, "segment"), depth)), "Canal basin and surroundings")
 
 
 def _points(spark, sf):
@@ -64,10 +64,10 @@ snap AS (SELECT scenario_id, lead_minutes, count(*) AS cells, max(depth_m) AS ma
                 round(avg(depth_m) + 1e-9, 6) AS mean_depth_m, round(sum(depth_m) * 900 + 1e-6, 3) AS storage_m3 FROM depth GROUP BY scenario_id, lead_minutes)"""
 ALERT_SQL = f"""
 screened AS ({ROAD_SQL["a11_screened_frames"]}),
-alerts AS (SELECT 'UFNS-' || scenario_id || '-' || lpad(CAST(lead_minutes AS VARCHAR), 3, '0') AS alert_id, scenario_id, lead_minutes, 'Exercise' AS status, severity, urgency, certainty, color_band,
-  event || ' for Bagjola canal basin and surroundings - depth ' || printf('%.2f m', round(max_depth_m + 1e-9, 2)) AS headline, TIMESTAMP '2026-08-21 06:00:00' + to_minutes(lead_minutes) AS valid_from,
+alerts AS (SELECT 'FLOOD-' || scenario_id || '-' || lpad(CAST(lead_minutes AS VARCHAR), 3, '0') AS alert_id, scenario_id, lead_minutes, 'Exercise' AS status, severity, urgency, certainty, color_band,
+  event || ' for Canal basin and surroundings - depth ' || printf('%.2f m', round(max_depth_m + 1e-9, 2)) AS headline, TIMESTAMP '2026-08-21 06:00:00' + to_minutes(lead_minutes) AS valid_from,
   TIMESTAMP '2026-08-21 06:00:00' + to_minutes(lead_minutes) + INTERVAL '2 hours' AS expires, min_r || ',' || min_c || ' ' || min_r || ',' || max_c || ' ' || max_r || ',' || max_c || ' ' || max_r || ',' || min_c || ' ' || min_r || ',' || min_c AS polygon,
-  'Bagjola canal basin and surroundings' AS area FROM screened)"""
+  'Canal basin and surroundings' AS area FROM screened)"""
 _A = f"WITH {ALERT_SQL}"
 ORACLES = {
     "a6_snapshots": _D + f",{SNAP_SQL} SELECT * FROM snap",

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import written
+from rillspark.llm.common import hashed_sample, written
 
 SAMPLE, RECALL, EXACT = 20_000, 0.97, 4_000
 MOST_LISTS, BLOCK, QUERIES = 1024, 4096, 2048
@@ -71,8 +71,7 @@ def _stacked(column) -> np.ndarray:
 def fit(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE) -> Index:
     """An index for rows of (id, vector); at most `sample` vectors go to the driver."""
     n = rows.count()
-    # the smallest hashes are taken per id, so that the sample is the same however rows are partitioned
-    seen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    seen = hashed_sample(rows, "id", sample).toPandas()
     x = _stacked(seen["vector"]) if len(seen) else np.zeros((0, 1))
     d = x.shape[1]
     rng = np.random.default_rng(7)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hash of `key` (all, if fewer), the same however the rows are partitioned.
+
+    A first filter by the hash leaves little more than `most` rows in all, so that the final top-k does not gather `most` rows
+    from every task. Should the filter leave too few, by an odd chance, it is left out.
+    """
+    n, spread = df.count(), F.pmod(F.xxhash64(key), F.lit(1 << 32))
+    few = df.where(spread < int((1 << 32) * min(1.0, (1.2 * most + 200) / max(n, 1))))
+    if n > most and few.count() < most:
+        few = df
+    return few.orderBy(spread, F.xxhash64(key), key).limit(most)
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import slices
+from rillspark.llm.common import hashed_sample, slices
 from rillspark.llm.near_dedup import word_hashes
 
 #: Most pages that the model is trained on.
@@ -323,7 +323,7 @@ def _content(found: list[Block]) -> tuple[str, list[str]]:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE) -> Labeller:
     """A labeller trained on `most` pages at most (those with the smallest hash of their id), rebuilt with known labels."""
-    chosen = pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("html"), F.xxhash64(id_col).alias("h")).orderBy("h", "html").limit(most)
+    chosen = hashed_sample(pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("html"), F.col(id_col).alias("id")), "id", most)
     parsed = [_content(blocks(r["html"])) for r in chosen.collect()]
     parsed = [(h, own[:40]) for h, own in parsed if own]
     rng = np.random.default_rng(3)

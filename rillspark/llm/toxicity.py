@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import slices, written
+from rillspark.llm.common import hashed_sample, slices, written
 
 #: Most labelled rows that are used for learning.
 SAMPLE = 20_000
@@ -142,7 +142,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label) of at most `most` labelled rows outside the held-out fifth; those with the smallest hash of their id."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias(label))
-    chosen = written(rows.orderBy(F.xxhash64(id_col), id_col).limit(most), "labelled")  # a few bytes a row, `most` rows: a fixed bound for the broadcast
+    chosen = written(hashed_sample(rows, id_col, most), "labelled")  # a few bytes a row, `most` rows: a fixed bound for the broadcast
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "doc_id")), "doc_id")
 
 

@@ -1,0 +1,23 @@
+"""Queries over whole tables, beside the queries whose SQL twins hold a filter.
+
+A name ends in _all; the query without that ending has the same operators over the rows that its SQL names. There is no SQL for
+these; the tests compare them with brute force.
+"""
+
+from __future__ import annotations
+
+from rillspark.plans import q_assets, q_frames, q_rain, q_roads, q_scores, q_summaries
+from rillspark.plans.testbed import whole_network
+
+#: Queries on roads, or on storms made from roads: every order is one.
+ON_ROADS = {
+    q_roads: ("j1_road_cells", "j2_depth_samples", "a1_road_impact", "a2_road_metrics", "a3_time_aggregates", "a4_road_timeline", "a5_class_counts", "f13_impact_reason", "a42_network_totals", "x2_reopened_roads", "a11_screened_frames"),
+    q_assets: ("j18_access_depths", "f35_assessments", "a32_vulnerability", "t5_intervention_queue", "a33_mitigation_effects", "c6_priced_packages", "t7_best_package"),
+    q_frames: ("j6_nearest_nodes", "f28_alert_records", "j24_dispatched", "t6_alert_history"),
+    q_rain: ("f6_published_depths", "f3_intensities", "w7_alternating_blocks", "f8_chicago", "w9_excess"),
+    q_scores: ("a30_road_risk",),
+    q_summaries: ("a12_ward_summary", "w1_polyline_lengths", "f36_waypoint_hazard"),
+}
+
+QUERIES = {f"{name}_all": whole_network(module.QUERIES[name]) for module, names in ON_ROADS.items() for name in names}
+ORACLES: dict[str, str] = {}

@@ -18,6 +18,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_frames",
     "rillspark.plans.q_calibration",
     "rillspark.plans.q_summaries",
+    "rillspark.plans.q_whole",
 )
 
 

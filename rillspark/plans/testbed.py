@@ -6,6 +6,8 @@ Only this module knows the driver's tables. In the SQL, a name in braces is one
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,15 @@ from rillspark.sources.tables import table
 #: Cells along each side of the grid.
 SIDE = 67
 
+#: A road segment between two cells for each order.
+NETWORK = f"""
+SELECT o_orderkey AS road_id, CAST(o_orderkey % {SIDE} AS INT) AS r1, CAST(o_custkey % {SIDE} AS INT) AS c1,
+       CAST((o_orderkey * 7 + 3) % {SIDE} AS INT) AS r2, CAST((o_custkey * 5 + 1) % {SIDE} AS INT) AS c2,
+       CASE WHEN o_orderpriority LIKE '1%' THEN 'primary' WHEN o_orderpriority LIKE '2%' THEN 'secondary' ELSE 'local' END AS road_class,
+       CAST(30 AS DOUBLE) * SQRT(CAST((((o_orderkey * 7 + 3) % {SIDE}) - (o_orderkey % {SIDE})) * (((o_orderkey * 7 + 3) % {SIDE}) - (o_orderkey % {SIDE}))
+         + (((o_custkey * 5 + 1) % {SIDE}) - (o_custkey % {SIDE})) * (((o_custkey * 5 + 1) % {SIDE}) - (o_custkey % {SIDE})) AS DOUBLE)) AS length_m
+FROM {{orders}}"""
+
 VIEWS = {
     # depth of water by scenario, lead and cell
     "depth": f"""
@@ -21,14 +32,9 @@ SELECT l_returnflag AS scenario_id, CAST((l_linenumber - 1) * 15 AS INT) AS lead
        CAST(l_orderkey % {SIDE} AS INT) AS r, CAST(l_partkey % {SIDE} AS INT) AS c,
        CAST(MAX(l_quantity) AS DOUBLE) / CAST(80 AS DOUBLE) AS depth_m
 FROM {{lineitem}} GROUP BY l_returnflag, l_linenumber, l_orderkey % {SIDE}, l_partkey % {SIDE}""",
-    # road segments between two cells
-    "segment": f"""
-SELECT o_orderkey AS road_id, CAST(o_orderkey % {SIDE} AS INT) AS r1, CAST(o_custkey % {SIDE} AS INT) AS c1,
-       CAST((o_orderkey * 7 + 3) % {SIDE} AS INT) AS r2, CAST((o_custkey * 5 + 1) % {SIDE} AS INT) AS c2,
-       CASE WHEN o_orderpriority LIKE '1%' THEN 'primary' WHEN o_orderpriority LIKE '2%' THEN 'secondary' ELSE 'local' END AS road_class,
-       CAST(30 AS DOUBLE) * SQRT(CAST((((o_orderkey * 7 + 3) % {SIDE}) - (o_orderkey % {SIDE})) * (((o_orderkey * 7 + 3) % {SIDE}) - (o_orderkey % {SIDE}))
-         + (((o_custkey * 5 + 1) % {SIDE}) - (o_custkey % {SIDE})) * (((o_custkey * 5 + 1) % {SIDE}) - (o_custkey % {SIDE})) AS DOUBLE)) AS length_m
-FROM {{orders}} WHERE o_orderkey % 50 = 0""",
+    # road segments between two cells: every fiftieth order (as in the SQL twins), and all orders
+    "segment": f"{NETWORK} WHERE o_orderkey % 50 = 0",
+    "network": NETWORK,
     # gauge and radar observations
     "gauge": """
 SELECT event_id AS obs_id, user_id AS sensor_id, ts AS observation_time,
@@ -65,8 +71,26 @@ FROM {documents}""",
 }
 
 
+#: The view that queries get when they ask for the roads.
+_ROADS: ContextVar[str] = ContextVar("roads", default="segment")
+
+
+def whole_network(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The same query over the road of every order."""
+
+    def on_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _ROADS.set("network")
+        try:
+            return run(spark, sf_dir)
+        finally:
+            _ROADS.reset(token)
+
+    return on_all
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One domain table of a data folder."""
+    name = _ROADS.get() if name == "segment" else name
     tables = {t: table(spark, sf_dir, t) for t in re.findall(r"\{(\w+)\}", VIEWS[name])}
     return spark.sql(VIEWS[name], **tables)
 

@@ -10,8 +10,9 @@ elements is put into containers of many kinds, between and among menus, headers,
 comments made of other pages' text. Scripts, styles, comments of the markup and the head never give blocks.
 
 Results for odd input: null, empty or markup-free html is handled like any other (text outside of any element is a block); a page
-without main text gives an empty text; unclosed and misnested tags are closed where the next block begins; very long pages are
-read whole; rows with the same id are done each for itself; an empty table gives an empty result.
+without main text gives an empty text; unclosed and misnested tags are closed where the next block begins; an unclosed head ends before
+the first text or element that may not stand in it, and of an unclosed svg, iframe, template, noscript or textarea only the tag is left
+out; very long pages are read whole; rows with the same id are done each for itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,11 +44,14 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CLOSES_P = BLOCK_TAGS - {"br", "button", "label", "option", "select"}
 SAME_CLOSES = frozenset("li dd dt tr td th option p".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|head)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*+>",
-    re.S | re.I,
-)
+_REST = r"(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>"
+_SKIPS = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+_TOKEN = re.compile(_SKIPS + r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*+>", re.S | re.I)
+# Elements without text of the page; where one is not closed, only its tag is left out.
+_APART = frozenset("noscript template svg iframe textarea".split())
+_APART_TAG = re.compile(_SKIPS + rf"|<(/?)({'|'.join(sorted(_APART))}){_REST}", re.S | re.I)
+_HEAD_PART = re.compile(_SKIPS + rf"|([^<]+)|</(head)\s*>|<(title|noframes|noscript|template){_REST}|</?(?:base|basefont|bgsound|link|meta){_REST}|<[!?][^>]*+>", re.S | re.I)
+_CLOSED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("title", "noframes")}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -68,6 +72,47 @@ def _names(tag: str, rest: str) -> tuple[str, ...]:
     return (tag, *(f".{p}" for p in parts))
 
 
+def _apart(page: str) -> dict[int, int]:
+    """Where the closed elements of _APART begin and end."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {tag: [] for tag in _APART}
+    for m in _APART_TAG.finditer(page):
+        if m[3]:
+            waiting = open_at[m[3].lower()]
+            if not m[2]:
+                if not (m[3].lower() == "svg" and m[0].endswith("/>")):
+                    waiting.append(m.start())
+            elif waiting:
+                ends[waiting.pop()] = m.end()
+    return ends
+
+
+def _head_end(page: str, at: int, apart: dict[int, int], never: set[str]) -> int:
+    """Where a head ends whose content begins at `at`: after </head>, or else before the first text or element that may not stand in it.
+
+    never: elements known not to be closed any more, so that no part of a page is searched twice.
+    """
+    text_at = None
+    while m := _HEAD_PART.match(page, at):
+        end = m.end()
+        if m[3]:
+            return end
+        if m[2] and text_at is None and not m[2].isspace():
+            text_at = at
+        tag = (m[4] or "").lower()
+        if tag in _APART:
+            end = apart.get(at, 0)
+        elif tag:
+            closed = None if tag in never else _CLOSED[tag].search(page, end)
+            if not closed:
+                never.add(tag)
+            end = closed.end() if closed else 0
+        if not end:
+            break
+        at = end
+    return at if text_at is None else text_at
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
@@ -94,7 +139,9 @@ def blocks(page: str) -> list[Block]:
             if any(t == "a" for t, _ in stack):
                 linked += len(text)
 
-    for m in _TOKEN.finditer(page):
+    apart: dict[int, int] | None = None
+    never: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -106,6 +153,11 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if tag in BLOCK_TAGS:
             close()
+        if not m[2] and (tag == "head" or tag in _APART):
+            close()
+            apart = _apart(page) if apart is None else apart
+            at = _head_end(page, at, apart, never) if tag == "head" else apart.get(m.start(), at)
+            continue
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:

@@ -14,12 +14,25 @@ ROUNDS = 9
 EDGE_DEPTH = "CAST((n1 * 7 + n2 * 7 + n1 * n2) % 71 AS DOUBLE) / CAST(100 AS DOUBLE)"
 
 
-def _edges(spark, sf):
+def edges_all(spark, sf, only: str = "true"):
     """Edges with an id, a speed and a depth (the same both ways)."""
-    plain = view(spark, sf, "graph_edge").where("length_m < 220").selectExpr("n1", "n2", "n1 * 100 + n2 AS road_id", "length_m", "CAST(30 + 10 * ((n1 + n2) % 3) AS DOUBLE) AS speed_kmh", f"{EDGE_DEPTH} AS depth_m")
+    plain = view(spark, sf, "graph_edge").where(only).selectExpr("n1", "n2", "n1 * 100 + n2 AS road_id", "length_m", "CAST(30 + 10 * ((n1 + n2) % 3) AS DOUBLE) AS speed_kmh", f"{EDGE_DEPTH} AS depth_m")
     return graph.both_ways(plain)
 
 
+def _edges(spark, sf):
+    """The edges that the SQL names."""
+    return edges_all(spark, sf, "length_m < 220")
+
+
+def directed(edges):
+    return edges.select("n1", "n2", "road_id", graph.travel_ms(F.col("length_m"), F.col("speed_kmh")).alias("travel_ms"))
+
+
+def shelters(spark):
+    return spark.sql("SELECT * FROM VALUES (7, 'S7'), (12, 'S12'), (20, 'S20') AS t(node, shelter)")
+
+
 def _paths(spark, sf):
     edges = graph.flood_costs(_edges(spark, sf))
     return graph.shortest_paths(edges, edges.where("n1 < 5").select("mode", F.col("n1").alias("origin")).distinct())
@@ -30,25 +43,26 @@ def _vehicle_paths(spark, sf):
     return graph.shortest_paths(edges, edges.where("n1 < 3").select("mode", F.col("n1").alias("origin")).distinct())
 
 
-def _lead_paths(spark, sf):
-    """Water rises by 0.1 m an hour: leads 0, 60, 120."""
+def lead_paths(at_first, origins):
+    """Water rises by 0.1 m an hour: leads 0, 60, 120. origins: of (mode, n1), the searches."""
+    spark = at_first.sparkSession
     leads = spark.sql("SELECT CAST(id * 60 AS INT) AS lead_minutes FROM range(0, 3)")
-    rising = _edges(spark, sf).crossJoin(leads).withColumn("depth_m", F.col("depth_m") + F.col("lead_minutes") / 600.0)
+    rising = at_first.crossJoin(leads).withColumn("depth_m", F.col("depth_m") + F.col("lead_minutes") / 600.0)
     vehicles = catalog(spark, VEHICLES[1:4], VEHICLE_COLUMNS).crossJoin(leads.withColumnRenamed("lead_minutes", "lead")).selectExpr("concat(vehicle, '@', lead) AS vehicle", "deepest", "speed", "least", "lead")
     edges = graph.vehicle_costs(rising, vehicles)
     timed = edges.join(rising.select("n1", "n2", "road_id", "depth_m", "lead_minutes"), ["n1", "n2", "road_id", "depth_m"]).where(F.col("mode").endswith(F.concat(F.lit("@"), F.col("lead_minutes"))))
-    paths = graph.shortest_paths(timed, timed.where("n1 < 2").select("mode", F.col("n1").alias("origin")).distinct())
+    paths = graph.shortest_paths(timed, origins(timed))
     split = F.split("mode", "@")
     return paths.select(split[0].alias("vehicle"), split[1].cast("int").alias("lead_minutes"), "origin", "node"), leads
 
 
 QUERIES = {
-    "g1_directed_edges": lambda s, d: _edges(s, d).select("n1", "n2", "road_id", graph.travel_ms(F.col("length_m"), F.col("speed_kmh")).alias("travel_ms")),
+    "g1_directed_edges": lambda s, d: directed(_edges(s, d)),
     "g2_shortest_paths": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "path"),
     "g4_compared_routes": lambda s, d: graph.compared_routes(_paths(s, d)),
     "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
-    "g6_cutoffs": lambda s, d: graph.cutoffs(*_lead_paths(s, d)),
-    "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(_paths(s, d), s.sql("SELECT * FROM VALUES (7, 'S7'), (12, 'S12'), (20, 'S20') AS t(node, shelter)")),
+    "g6_cutoffs": lambda s, d: graph.cutoffs(*lead_paths(_edges(s, d), lambda e: e.where("n1 < 2").select("mode", F.col("n1").alias("origin")).distinct())),
+    "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(_paths(s, d), shelters(s)),
 }
 
 EDGES_SQL = f"""

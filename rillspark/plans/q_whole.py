@@ -6,7 +6,11 @@ these; the tests compare them with brute force.
 
 from __future__ import annotations
 
-from rillspark.plans import q_assets, q_frames, q_rain, q_roads, q_scores, q_summaries
+from pyspark.sql import functions as F
+
+from rillspark.functions.policy import VEHICLES, catalog
+from rillspark.operators import graph
+from rillspark.plans import q_assets, q_frames, q_graph, q_rain, q_roads, q_scores, q_summaries
 from rillspark.plans.testbed import whole_network
 
 #: Queries on roads, or on storms made from roads: every order is one.
@@ -19,5 +23,31 @@ ON_ROADS = {
     q_summaries: ("a12_ward_summary", "w1_polyline_lengths", "f36_waypoint_hazard"),
 }
 
-QUERIES = {f"{name}_all": whole_network(module.QUERIES[name]) for module, names in ON_ROADS.items() for name in names}
+
+def _every_origin(edges):
+    """Each mode's nodes with an edge, as origins."""
+    return edges.select("mode", F.col("n1").alias("origin")).distinct()
+
+
+def _paths(spark, sf):
+    edges = graph.flood_costs(q_graph.edges_all(spark, sf))
+    return graph.shortest_paths(edges, _every_origin(edges))
+
+
+def _vehicle_paths(spark, sf):
+    edges = graph.vehicle_costs(q_graph.edges_all(spark, sf), catalog(spark, VEHICLES, q_graph.VEHICLE_COLUMNS))
+    return graph.shortest_paths(edges, _every_origin(edges))
+
+
+#: All edges of the graph, and all its nodes as origins.
+ON_GRAPH = {
+    "g1_directed_edges_all": lambda s, d: q_graph.directed(q_graph.edges_all(s, d)),
+    "g2_shortest_paths_all": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "path"),
+    "g4_compared_routes_all": lambda s, d: graph.compared_routes(_paths(s, d)),
+    "g5_vehicle_routes_all": lambda s, d: _vehicle_paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
+    "g6_cutoffs_all": lambda s, d: graph.cutoffs(*q_graph.lead_paths(q_graph.edges_all(s, d), _every_origin)),
+    "g7_nearest_shelter_all": lambda s, d: graph.nearest_shelter(_paths(s, d), q_graph.shelters(s)),
+}
+
+QUERIES = {f"{name}_all": whole_network(module.QUERIES[name]) for module, names in ON_ROADS.items() for name in names} | ON_GRAPH
 ORACLES: dict[str, str] = {}

@@ -31,3 +31,24 @@ def test_every_order_is_a_road(spark, sf_dir):
         assert math.isclose(found[key].mean_depth_m, sum(d) / len(d), abs_tol=2e-6) and math.isclose(found[key].impacted_length_m, share * length[key[2]], abs_tol=2e-6)
     assert known["a42_network_totals_all"](spark, sf_dir).first().segments == known["f3_intensities_all"](spark, sf_dir).count() == n
     assert known["a42_network_totals"](spark, sf_dir).first().segments < n  # the SQL's rows, also after a query over all
+
+
+def test_all_edges_and_origins(spark, sf_dir):
+    import __spark_entry__
+    from rillspark.plans.testbed import view
+
+    known, links = __spark_entry__.queries(), {}
+    given = view(spark, sf_dir, "graph_edge").collect()
+    for e in given:
+        ms = math.floor(1000 * e.length_m / ((30 + 10 * ((e.n1 + e.n2) % 3)) / 3.6) + 0.5)
+        for a, b in ((e.n1, e.n2), (e.n2, e.n1)):
+            links[a, b] = min(ms, links.get((a, b), ms))
+    assert known["g1_directed_edges_all"](spark, sf_dir).count() == 2 * len(given)
+    best = {(a, a): 0 for a, _ in links}
+    for _ in range(25):
+        for (a, b), ms in links.items():
+            for (o, n), cost in list(best.items()):
+                if n == a and cost + ms < best.get((o, b), 1 << 60):
+                    best[o, b] = cost + ms
+    found = {(r.origin, r.node): r.cost_ms for r in known["g2_shortest_paths_all"](spark, sf_dir).where("mode = 'baseline'").collect()}
+    assert found == best

@@ -29,6 +29,12 @@ def _storms(spark, sf):
     return view(spark, sf, "segment").selectExpr("road_id AS storm_id", "CAST(20 + road_id % 100 AS DOUBLE) AS total_mm", "CAST(4 + road_id % 12 AS INT) AS n", "15 AS minutes")
 
 
+def nearest(spark, sf, asked: str = "true"):
+    """The observation nearest to 7 minutes after each of those asked for."""
+    wanted = _obs(spark, sf).where(asked).select("sensor_id", (F.col("observation_time") + F.expr("INTERVAL 7 MINUTES")).alias("t")).distinct()
+    return gauges.nearest_in_time(wanted, _obs(spark, sf)).select("sensor_id", "t", "obs_id", "gap_seconds")
+
+
 QUERIES = {
     "s13_standard_rates": lambda s, d: _rates(s, d).select("obs_id", "product_type", steady(F.col("rate_mmh")).alias("rate_mmh"), steady(gauges.reflectivity(F.col("rate_mmh"))).alias("dbz")),
     "s13_frame_statistics": lambda s, d: gauges.frame_statistics(_rates(s, d), "product_type"),
@@ -36,7 +42,7 @@ QUERIES = {
     "st2_accumulated": lambda s, d: gauges.accumulated(_rates(s, d)),
     "t8_latest": lambda s, d: gauges.latest(_obs(s, d).select("sensor_id", "obs_id", "observation_time", "product_type"), "sensor_id"),
     "a47_provider_health": lambda s, d: gauges.health(_obs(s, d), F.lit(NOW).cast("timestamp")),
-    "j7_nearest_in_time": lambda s, d: gauges.nearest_in_time(_obs(s, d).where("obs_id % 10 = 0").select("sensor_id", (F.col("observation_time") + F.expr("INTERVAL 7 MINUTES")).alias("t")).distinct(), _obs(s, d)).select("sensor_id", "t", "obs_id", "gap_seconds"),
+    "j7_nearest_in_time": lambda s, d: nearest(s, d, "obs_id % 10 = 0"),
     "f6_published_depths": lambda s, d: storms.published_depths(_storms(s, d).selectExpr("storm_id", "CAST(n * minutes AS DOUBLE) / CAST(20 AS DOUBLE) AS hours", "CAST(2 + storm_id % 99 AS DOUBLE) AS years")),
     "f3_intensities": lambda s, d: _storms(s, d).select("storm_id", steady(storms.kothyari_garde(F.lit(8.3), F.col("total_mm"), F.lit(10.0), F.col("n") / 4.0)).alias("kothyari_garde"), steady(storms.sherman(F.lit(5850.0), F.lit(0.22), F.lit(18.0), F.lit(0.74), F.lit(10.0), F.col("n") * 15.0)).alias("sherman"), steady(storms.short_duration_depth(F.col("total_mm"), F.col("n") / 4.0)).alias("depth_mm")),
     "w7_alternating_blocks": lambda s, d: storms.alternating_blocks(_storms(s, d)),

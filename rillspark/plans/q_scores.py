@@ -21,6 +21,10 @@ def _grids(spark, sf):
     return scores.member_depths(view(spark, sf, "depth"), _members(spark), SIDE, SIDE)
 
 
+def member_depths(spark, sf):
+    return _grids(spark, sf).select("scenario_id", "lead_minutes", "member_id", "r", "c", F.round(F.col("depth_m"), 6).alias("depth_m"))
+
+
 def _extent_pairs(spark, sf):
     """Scenario A as the simulation, N as the reference, by lead; cells of both."""
     depth = view(spark, sf, "depth")
@@ -34,19 +38,19 @@ def _series(spark, sf):
     return sums.withColumn("o", F.col("s") * (0.9 + 0.2 * (F.col("t") % 7) / 7.0))
 
 
-def _risk(spark, sf):
+def risk(spark, sf, frames: str = "true"):
     cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
-    return scores.road_risk(_grids(spark, sf).where("scenario_id = 'A' AND lead_minutes = 0").join(cells.hint("merge"), ["r", "c"]))
+    return scores.road_risk(_grids(spark, sf).where(frames).join(cells.hint("merge"), ["r", "c"]))
 
 
 QUERIES = {
     "a18_hydrograph_fit": lambda s, d: scores.hydrograph_fit(_series(s, d), "scenario_id"),
     "a24_extent_scores": lambda s, d: scores.extent_scores(_extent_pairs(s, d), "lead_minutes"),
-    "j23_member_depths": lambda s, d: _grids(s, d).where("lead_minutes = 0").select("scenario_id", "member_id", "r", "c", F.round(F.col("depth_m"), 6).alias("depth_m")),
+    "j23_member_depths": lambda s, d: member_depths(s, d).where("lead_minutes = 0").drop("lead_minutes"),
     "a27_member_metrics": lambda s, d: scores.member_metrics(_grids(s, d)),
     "a28_confidence_bounds": lambda s, d: scores.confidence_bounds(scores.member_metrics(_grids(s, d))),
     "a29_exceedance": lambda s, d: scores.exceedance(_grids(s, d), s.sql(f"SELECT CAST(t AS DOUBLE) AS threshold FROM (SELECT explode(array({THRESHOLDS})) AS t)"), len(MEMBERS)),
-    "a30_road_risk": _risk,
+    "a30_road_risk": lambda s, d: risk(s, d, "scenario_id = 'A' AND lead_minutes = 0"),
     "a31_brier": lambda s, d: scores.brier(_grids(s, d), view(s, d, "depth"), len(MEMBERS)),
 }
 

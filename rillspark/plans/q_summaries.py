@@ -19,10 +19,11 @@ def _points(spark, sf):
     return roads.road_cells(view(spark, sf, "segment")).select(F.col("road_id").alias("feature"), "i", (F.col("c") * 30.0).alias("x"), (F.col("r") * 30.0).alias("y"))
 
 
-def _waypoints(spark, sf):
+def waypoints(spark, sf):
+    """Depth and speed of the water at each way-point, for every scenario and lead."""
     cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "i", "r", "c")
-    wet = view(spark, sf, "depth").where("scenario_id = 'A' AND lead_minutes = 15").select("r", "c", "depth_m")
-    return cells.join(wet.hint("merge"), ["r", "c"]).select("road_id", "i", "depth_m", (F.expr("CAST((r * 13 + c * 7) % 30 AS DOUBLE)") / 10.0).alias("velocity_ms"))
+    wet = view(spark, sf, "depth").select("scenario_id", "lead_minutes", "r", "c", "depth_m")
+    return cells.join(wet.hint("merge"), ["r", "c"]).select("scenario_id", "lead_minutes", "road_id", "i", "depth_m", (F.expr("CAST((r * 13 + c * 7) % 30 AS DOUBLE)") / 10.0).alias("velocity_ms"))
 
 
 QUERIES = {
@@ -31,7 +32,7 @@ QUERIES = {
     "w1_polyline_lengths": lambda s, d: summaries.polyline_lengths(_points(s, d)),
     "j12_resampled_series": lambda s, d: summaries.resampled(_series(s, d), s.sql("SELECT CAST(id AS DOUBLE) / 2.0D - 2.0D AS t FROM range(0, 145)"), "scenario_id"),
     "a36_controls": lambda s, d: summaries.controls(view(s, d, "depth").groupBy("scenario_id").agg(F.countDistinct("lead_minutes").alias("leads"), F.max("r").alias("last_row"), F.max("lead_minutes").alias("last_lead")), "leads", "last_row", "last_lead"),
-    "f36_waypoint_hazard": lambda s, d: summaries.waypoint_hazard(_waypoints(s, d)),
+    "f36_waypoint_hazard": lambda s, d: summaries.waypoint_hazard(waypoints(s, d).where("scenario_id = 'A' AND lead_minutes = 15").drop("scenario_id", "lead_minutes")),
 }
 
 _D = with_views("depth", "segment", "asset")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import VEHICLES, catalog
-from rillspark.operators import graph
+from rillspark.operators import graph, summaries
 from rillspark.plans import q_assets, q_frames, q_graph, q_rain, q_roads, q_scores, q_summaries
 from rillspark.plans.testbed import whole_network
 
@@ -19,8 +19,7 @@ ON_ROADS = {
     q_assets: ("j18_access_depths", "f35_assessments", "a32_vulnerability", "t5_intervention_queue", "a33_mitigation_effects", "c6_priced_packages", "t7_best_package"),
     q_frames: ("j6_nearest_nodes", "f28_alert_records", "j24_dispatched", "t6_alert_history"),
     q_rain: ("f6_published_depths", "f3_intensities", "w7_alternating_blocks", "f8_chicago", "w9_excess"),
-    q_scores: ("a30_road_risk",),
-    q_summaries: ("a12_ward_summary", "w1_polyline_lengths", "f36_waypoint_hazard"),
+    q_summaries: ("a12_ward_summary", "w1_polyline_lengths"),
 }
 
 
@@ -49,5 +48,13 @@ ON_GRAPH = {
     "g7_nearest_shelter_all": lambda s, d: graph.nearest_shelter(_paths(s, d), q_graph.shelters(s)),
 }
 
-QUERIES = {f"{name}_all": whole_network(module.QUERIES[name]) for module, names in ON_ROADS.items() for name in names} | ON_GRAPH
+#: All scenarios, leads and requests.
+ON_FRAMES = {
+    "a30_road_risk_all": whole_network(q_scores.risk),
+    "j23_member_depths_all": q_scores.member_depths,
+    "f36_waypoint_hazard_all": whole_network(lambda s, d: summaries.waypoint_hazard(q_summaries.waypoints(s, d))),
+    "j7_nearest_in_time_all": q_rain.nearest,
+}
+
+QUERIES = {f"{name}_all": whole_network(module.QUERIES[name]) for module, names in ON_ROADS.items() for name in names} | ON_GRAPH | ON_FRAMES
 ORACLES: dict[str, str] = {}

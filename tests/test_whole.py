@@ -52,3 +52,29 @@ def test_all_edges_and_origins(spark, sf_dir):
                     best[o, b] = cost + ms
     found = {(r.origin, r.node): r.cost_ms for r in known["g2_shortest_paths_all"](spark, sf_dir).where("mode = 'baseline'").collect()}
     assert found == best
+
+
+def test_all_frames_and_requests(spark, sf_dir):
+    import __spark_entry__
+    from rillspark.functions.policy import MEMBERS
+    from rillspark.plans.testbed import view
+
+    known, depth, ends = __spark_entry__.queries(), view(spark, sf_dir, "depth").collect(), view(spark, sf_dir, "network").collect()
+    assert known["j23_member_depths_all"](spark, sf_dir).groupBy("scenario_id", "lead_minutes", "member_id").count().count() == len({(r.scenario_id, r.lead_minutes) for r in depth}) * len(MEMBERS)
+    frames = {}
+    for r in depth:
+        frames.setdefault((r.r, r.c), []).append((r.scenario_id, r.lead_minutes, r.depth_m))
+    expected = {(k, lead, x.road_id, i): d for x in ends for i, cell in enumerate(walked(x.r1, x.c1, x.r2, x.c2)) for k, lead, d in frames.get(cell, [])}
+    assert {(r.scenario_id, r.lead_minutes, r.road_id, r.i): r.depth_m for r in known["f36_waypoint_hazard_all"](spark, sf_dir).collect()} == expected
+    risky = known["a30_road_risk_all"](spark, sf_dir).select("scenario_id", "lead_minutes").distinct().count()
+    assert risky == len({key[:2] for key in expected})
+    seen = {}
+    for r in view(spark, sf_dir, "gauge").select("sensor_id", "obs_id", "observation_time").collect():
+        seen.setdefault(r.sensor_id, []).append((r.observation_time.timestamp(), r.obs_id))
+    nearest = {}
+    for sensor, obs in seen.items():
+        for t in {t + 420 for t, _ in obs}:
+            gap, _, obs_id = min((abs(t - u), u, k) for u, k in obs)
+            if gap <= 900:
+                nearest[sensor, round(t, 3)] = obs_id
+    assert {(r.sensor_id, round(r.t.timestamp(), 3)): r.obs_id for r in known["j7_nearest_in_time_all"](spark, sf_dir).collect()} == nearest

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -13,23 +15,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local session may do without (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs one stage at most, and gives later joins true sizes.
+    Cuts the lineage so that a lost executor costs one stage at most, and gives later joins true sizes. Inside `scratch`, the table
+    is removed at the end, unless `keep`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillspark-{name}-{uuid.uuid4().hex}"
+    open_scope = _SCRATCH.get()
+    if open_scope is not None and not keep:
+        open_scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what is returned from inside must be written with `keep`."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """The `most` rows with the smallest hash of `key` (all, if fewer), the same however the rows are partitioned.
 

@@ -26,24 +26,25 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def group_copies(rows: DataFrame, key: str, id_col: str = "doc_id") -> DataFrame:
-    """`rows` with keep_id (smallest id of the rows with the same key) and group_size.
+def group_copies(rows: DataFrame, key: str, id_col: str = "doc_id", more: dict[str, Column] | None = None) -> DataFrame:
+    """`rows` with keep_id (smallest id of the rows with the same key), group_size, and `more` aggregates over these rows.
 
     `rows` is read three times, so it should be a written table. A null key is a key of its own.
     """
+    found = {"keep_id": F.min(id_col), "group_size": F.count(F.lit(1)), **(more or {})}
     counted = rows.agg(F.expr(f"approx_top_k(`{key}`, {WINNERS}, {TRACKED})").alias("top"))
     candidates = counted.select(F.explode("top").alias("top")).select(F.col("top.item").alias(key)).where(F.col(key).isNotNull())
     verified = written(
         rows.select(key, id_col)
         .join(F.broadcast(candidates), key, "left_semi")
         .groupBy(key)
-        .agg(F.min(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(*(x.alias(name) for name, x in found.items()))
         .where("group_size > 1"),
         "winners",
     )
     winners = F.broadcast(verified)
     one_key = Window.partitionBy(key)
-    rest = rows.join(winners, key, "left_anti").select("*", F.min(id_col).over(one_key).alias("keep_id"), F.count(F.lit(1)).over(one_key).alias("group_size"))
+    rest = rows.join(winners, key, "left_anti").select("*", *(x.over(one_key).alias(name) for name, x in found.items()))
     return rows.join(winners, key).select(*rest.columns).unionByName(rest)
 
 

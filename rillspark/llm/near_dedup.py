@@ -1,38 +1,43 @@
-"""Near-dedup: universal hash minima with banding, verification on full shingle sets, and connected components.
-
-1. Every document gets its set of distinct word shingles (64-bit hashes), a digest of that set, and one key for each band of
-   minima. Documents with equal sets are one class; only the class representative (smallest id) goes on.
-2. Representatives that share a band key are candidates; candidate clusters are the components of "shares a key".
-3. Every cluster is dealt out in chunks of CHUNK documents. A chunk compares its documents on full sets and gives back a
-   spanning forest of the links found, never all pairs.
-4. Clusters of several chunks: the hubs of the chunks are compared with each other; then every document outside the largest
-   component of its cluster is compared with all documents of the cluster, block by block. Pairs inside the largest component
-   need no comparison, as they are connected already. So no link between components is lost, however large a cluster is.
-5. Components of the links, by alternating large-star and small-star.
+"""Near-dedup: universal hash minima with banding, verification by signatures and on full sets, and connected components.
+
+1. Every document gets its set of distinct word shingles (64-bit hashes), a digest of that set, a signature (one byte of each
+   minimum) and one key for each band of minima. Documents with equal sets are one class; only its smallest id goes on.
+2. Documents that share a band key are a bucket; buckets with the same documents are one. Inside a bucket, signatures are compared:
+   a pair passes when as many bytes agree as a linked pair's would, less a margin (see `agreeing`). The components of what passes are families,
+   which is where links can be; documents that only share a band with others never meet again.
+3. Inside a family, pairs that pass by signature are confirmed on full sets. Components of the confirmed links give the result.
+
+Both comparisons give back spanning forests, never all pairs, and run in blocks of CHUNK documents (`group_links`). A group of more
+than one chunk is settled by its leader, the document with the most partners in its chunk: every chunk is compared with the leader, and
+only the documents that stay apart from it are compared with all chunks of the group, block by block. So every link between
+different components is found, however large a group is, and no task holds more than two chunks.
 
 Results for odd input: null or blank text has an empty set and is linked with nothing; a text with fewer words than a shingle is
-one shingle; rows with the same id and text are flagged alike; an empty table gives an empty result; other columns are ignored.
+one shingle; rows with the same id and text are flagged alike; a null id is a document of its own; ids may be of any type that has an
+order; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import byte_column, slices, written
+from rillspark.llm.common import byte_column, scratch, slices, written
 from rillspark.llm.components import connected_components
 from rillspark.llm.exact_dedup import group_copies
 
 #: Bands of ROWS minima: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 7) ** 48 = 1.2e-5.
 BANDS, ROWS = 48, 7
-CHUNK = 1024
+MINIMA = BANDS * ROWS
+CHUNK = 256
 BLOCK_BYTES = 1_000_000
+#: Margin of the signatures in standard deviations: a linked pair is lost with probability 2e-6 at most.
+MARGIN = 4.6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -71,20 +76,47 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return _mixed(np.add.reduceat(_BYTE[data[place]] * power[offset], head)), place[head]
 
 
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The same hash as word_hashes gives, of bytes that are one word of any length."""
+    total, power = np.uint64(0), np.uint64(1)
+    for k in range(0, len(data), BLOCK_BYTES):
+        part = data[k : k + BLOCK_BYTES]
+        powers = np.cumprod(np.r_[power, np.full(len(part), _BASE, np.uint64)])
+        total += (_BYTE[part] * powers[:-1]).sum(dtype=np.uint64)
+        power = powers[-1]
+    return _mixed(np.array([total]))[0]
+
+
+def _all_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word, block by block; blocks end between words, so that long texts need little memory."""
+    hashes, starts, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while base < len(data):
+        stop = min(len(data), base + BLOCK_BYTES)
+        if stop < len(data):
+            spaces = np.flatnonzero(_SPACE[data[base:stop]])
+            border = int(ends[np.searchsorted(ends, stop, side="right") - 1])
+            stop = max(border, base + int(spaces[-1]) + 1 if len(spaces) else 0, base)
+        if stop == base:  # one word fills the block: up to the next space or the text's end
+            stop = int(ends[np.searchsorted(ends, base, side="right")])
+            for k in range(base, stop, BLOCK_BYTES):
+                spaces = np.flatnonzero(_SPACE[data[k : min(stop, k + BLOCK_BYTES)]])
+                if len(spaces):
+                    stop = k + int(spaces[0])
+                    break
+            hashes.append(np.array([_long_word(data[base:stop])]))
+            starts.append(np.array([base]))
+        else:
+            h, s = word_hashes(data[base:stop], ends[np.searchsorted(ends, base) : np.searchsorted(ends, stop)] - base)
+            hashes.append(h)
+            starts.append(s + base)
+        base = stop
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     """For each text, the sorted distinct 64-bit hashes of its shingles of so many words."""
     data, ends = byte_column(column)
-    hashes, starts, base = [], [], 0
-    while base < len(data):  # blocks end at white space or at a document's end, so that a very long text needs little memory
-        stop = min(len(data), base + BLOCK_BYTES)
-        while stop < len(data) and not _SPACE[data[stop]] and stop - base < 64 * BLOCK_BYTES:
-            stop += 1
-        inside = ends[np.searchsorted(ends, base) : np.searchsorted(ends, stop)] - base
-        h, s = word_hashes(data[base:stop], inside)
-        hashes.append(h)
-        starts.append(s + base)
-        base = stop
-    h, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (starts, np.int64)))
+    h, s = _all_words(data, ends)
     bounds = np.searchsorted(s, ends)
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -108,17 +140,28 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def agreeing(percent: int) -> int:
+    """How many signature bytes agree, at least, for a pair that is linked: the expected number at that similarity less the margin."""
+    share = percent / 100
+    return int(np.ceil(MINIMA * max(0.0, share - MARGIN * np.sqrt(share * (1 - share) / MINIMA))))
+
+
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
             sets = shingle_sets(batch.column("text"), words)
             least = np.array([minima(s) for s in sets], np.uint64).reshape(len(sets), BANDS, ROWS)
             keys = _mixed((least * _BAND).sum(axis=2) + _BAND_START).view(np.int64)
+            # the higher bytes of a minimum are small in large sets, so the byte is taken from a mixed value
+            signature = (_mixed(least.ravel()) >> np.uint64(56)).astype(np.uint8).reshape(len(sets), MINIMA)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(digest, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n_shingles", "bands"],
-            )
+                [
+                    batch.column("doc_id"), pa.array(digest, pa.string()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in signature], pa.binary()),
+                ],
+                names=["doc_id", "digest", "n_shingles", "bands", "signature"],
+            )
 
     return run
 
@@ -129,64 +172,155 @@ def _sets(words: int):
             sets = shingle_sets(batch.column("text"), words)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("cluster"), batch.column("size"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["doc_id", "cluster", "size", "shingles"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=[*kept, "shingles"])
 
     return run
 
 
-def _linked(queries: list[np.ndarray], members: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query's place, the places of the members that it is linked with (full sets)."""
-    lengths = np.array([len(m) for m in members])
-    values, codes = np.unique(np.concatenate(members), return_inverse=True)
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    mark = np.zeros(len(values), np.int32)
-    for q, own in enumerate(queries):
-        at = np.searchsorted(values, own)
-        at = at[at < len(values)]
-        at = at[np.isin(values[at], own, assume_unique=True)]
-        mark[at] = 1
-        both = np.add.reduceat(mark[codes], starts)
-        mark[at] = 0
-        yield q, np.flatnonzero(100 * both >= percent * (lengths + len(own) - both))
-
-
-def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], int]:
-    """Links that connect whatever is connected among these documents, and the place of one document of the largest component."""
-    root = np.arange(len(ids))
-    links = []
-    for q, found in _linked(sets, sets, percent):
-        for r in set(root[found].tolist()) - {root[q]}:
-            partner = found[root[found] == r][0]
-            links.append((ids[q], ids[partner]))
-            root[root == root[q]] = r
-    return links, int(np.flatnonzero(root == np.bincount(root).argmax())[0])
-
-
-def _chunk_links(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        links, hub = _forest(rows.doc_id.to_numpy(), [np.asarray(s, np.int64) for s in rows.shingles], percent)
-        out = pd.DataFrame([*links, (rows.doc_id.iloc[hub], rows.doc_id.iloc[hub])], columns=["a", "b"], dtype="int64")
-        return out.assign(cluster=rows.cluster.iloc[0])
-
-    return run
+class Block:
+    """Documents that are compared in one task: ids, signatures and, where links are confirmed, full sets."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.rows, self.n = rows, rows.num_rows
+        self.signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(self.n, MINIMA)
+        self.codes: np.ndarray | None = None
+        if "shingles" in rows.schema.names:
+            sets = rows.column("shingles")
+            _, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            self.codes = codes
+            self.starts = np.r_[0, np.cumsum(sets.value_lengths().fill_null(0).to_numpy())]
+            self.mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int32)
+
+    def _own(self, k: int) -> np.ndarray:
+        return self.codes[self.starts[k] : self.starts[k + 1]]
+
+    def near(self, k: int, least: int) -> np.ndarray:
+        """Which documents pass with the k-th by signature."""
+        return np.count_nonzero(self.signatures == self.signatures[k], axis=1) >= least
+
+    def linked(self, k: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of `others` that are linked with the k-th on full sets; all of them, if only signatures are compared."""
+        if self.codes is None or not len(others):
+            return others
+        own = self._own(k)
+        self.mark[own] = 1
+        lengths = self.starts[others + 1] - self.starts[others]
+        both = np.add.reduceat(self.mark[np.concatenate([self._own(j) for j in others])], np.r_[0, np.cumsum(lengths)[:-1]])
+        self.mark[own] = 0
+        return others[100 * both >= percent * (lengths + len(own) - both)]
+
+    def forest(self, percent: int, first: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """Links that connect what is connected here, the component of each document, and its number of partners by signature.
+
+        Documents are taken from the one with the most partners on (`first` before all), and compared with those outside their component.
+        """
+        near = np.stack([self.near(k, agreeing(percent)) for k in range(self.n)])
+        partners = near.sum(axis=1)
+        root, links = np.arange(self.n), []
+        order = np.argsort(-partners, kind="stable").tolist()
+        for q in order if first is None else [first, *order]:
+            found = self.linked(q, np.flatnonzero(near[q] & (root != root[q])), percent)
+            components, one = np.unique(root[found], return_index=True)
+            for r, k in zip(components, one, strict=True):
+                links.append((q, found[k]))
+                root[root == r] = root[q]
+        return links, root, partners
+
+
+def _runs(keys: tuple[str, ...], done: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
+    """Applies `done` to each run of rows with equal keys; the rows of a task are sorted by them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not rows.num_rows:
+                continue
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for key in keys:
+                values = rows.column(key).to_numpy(zero_copy_only=False)
+                new[1:] |= values[1:] != values[:-1]
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield from done(rows.slice(a, b - a))
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield from done(held)
 
-def _block_links(percent: int):
-    """One link from each query to each component that it touches in this block."""
+    return run
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        asks, members = rows[rows.asks], rows[~rows.asks]
-        out = []
-        if len(asks) and len(members):
-            component, ids = members.component.to_numpy(), members.doc_id.to_numpy()
-            own = asks.component.to_numpy()
-            for q, found in _linked([np.asarray(s, np.int64) for s in asks.shingles], [np.asarray(s, np.int64) for s in members.shingles], percent):
-                _, one = np.unique(component[found], return_index=True)
-                out += [(asks.doc_id.iloc[q], ids[found[k]]) for k in one if component[found[k]] != own[q]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return run
+def _links(rows: pa.RecordBatch, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ids = rows.column("doc_id")
+    ends = [ids.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1)]
+    return pa.record_batch([rows.column("group").slice(0, 1).take(pa.array([0] * len(pairs), pa.int64())), *ends, pa.array([0] * len(pairs), pa.int64())], names=["group", "a", "b", "partners"])
+
+
+def _first_pass(percent: int):
+    """Of a group of one chunk: its forest. Of a chunk of a larger group: its document with the most partners."""
+
+    def done(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows == 1 and rows.column("size")[0].as_py() <= CHUNK:
+            return
+        block = Block(rows)
+        if rows.column("size")[0].as_py() <= CHUNK:
+            yield _links(rows, block.forest(percent)[0])
+            return
+        partners = [int(block.near(k, agreeing(percent)).sum()) for k in range(block.n)]
+        best = int(np.argmax(partners))
+        at = pa.array([best], pa.int64())
+        yield pa.record_batch([rows.column("group").take(at), rows.column("doc_id").take(at), rows.column("doc_id").take(at), pa.array([partners[best]], pa.int64())], names=["group", "a", "b", "partners"])
+
+    return done
+
+
+def _leader_pass(percent: int):
+    """A chunk with its group's leader: the rows again, with `label` (the leader if connected with it, else an id of the chunk's component)
+    and `link` (a partner in the chunk that stands before it in the forest, if any)."""
+
+    def done(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(rows.column("leads").to_numpy(zero_copy_only=False), kind="stable")
+        rows = rows.take(pa.array(order))
+        lead = rows.num_rows - 1
+        links, root, _ = Block(rows).forest(percent, lead)
+        ids, label, link = rows.column("doc_id"), np.arange(rows.num_rows), np.full(rows.num_rows, -1)
+        for r in np.unique(root):
+            label[root == r] = lead if root[lead] == r else np.flatnonzero(root == r)[0]
+        # as a tree from the label on, each document but the label has one link
+        around: dict[int, list[int]] = {}
+        for x, y in links:
+            around.setdefault(int(x), []).append(int(y))
+            around.setdefault(int(y), []).append(int(x))
+        for top in np.unique(label).tolist():
+            todo = [top]
+            while todo:
+                x = todo.pop()
+                for y in around.get(x, ()):
+                    if y != top and link[y] < 0:
+                        link[y] = x
+                        todo.append(y)
+        out = rows.slice(0, lead)
+        links_to = ids.take(pa.array(np.where(link[:lead] < 0, 0, link[:lead]), mask=link[:lead] < 0))
+        yield pa.record_batch([*out.columns, ids.take(pa.array(label[:lead])), links_to, pa.array(label[:lead] != lead)], names=[*out.schema.names, "label", "link", "apart"])
+
+    return done
+
+
+def _block_pass(percent: int):
+    """One link from each asking document to each other component that it touches in this block."""
+
+    def done(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block, asks = Block(rows), rows.column("asks").to_numpy(zero_copy_only=False)
+        _, label = np.unique(rows.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
+        pairs = []
+        for q in np.flatnonzero(asks):
+            found = block.linked(q, np.flatnonzero(block.near(q, agreeing(percent)) & ~asks & (label != label[q])), percent)
+            pairs += [(q, found[k]) for k in np.unique(label[found], return_index=True)[1]]
+        yield _links(rows, pairs)
+
+    return done
 
 
 def _dealt(chunks) -> F.Column:
@@ -194,60 +328,75 @@ def _dealt(chunks) -> F.Column:
     return F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
 
 
-def near_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected in each cluster. sets: doc_id, cluster, size, shingles; a written table."""
-    chunks = F.ceil(F.col("size") / CHUNK)
-    found = written(sets.withColumn("chunk", _dealt(chunks)).groupBy("cluster", "chunk").applyInPandas(_chunk_links(percent), "a long, b long, cluster long"), "links")
+def _in_blocks(rows: DataFrame, keys: tuple[str, ...], done, schema: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_runs(keys, done), schema)
+
+
+def group_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is connected in each group.
+
+    rows: group (long), size (of the group), doc_id, signature and, if links are to be confirmed on full sets, shingles; a written table.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    link_schema = f"group long, a {kind}, b {kind}, partners long"
+    dealt = rows.withColumn("chunk", _dealt(F.ceil(F.col("size") / CHUNK)))
+    found = written(_in_blocks(dealt, ("group", "chunk"), _first_pass(percent), link_schema), "links")
     links = found.where("a <> b").select("a", "b")
-    large = sets.where(F.col("size") > CHUNK)
-    if large.isEmpty():
+    leads = written(found.where("a = b").groupBy("group").agg(F.max_by("a", F.struct("partners", "a")).alias("doc_id")), "leads")
+    if leads.isEmpty():
+        return links
+    large = dealt.where(F.col("size") > CHUNK).withColumn("leads", F.lit(False))
+    leaders = large.join(leads.hint("merge"), ["group", "doc_id"]).withColumns({"leads": F.lit(True), "chunk": F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1))}).select(*large.columns)
+    columns = ", ".join(f"`{c}` {t}" for c, t in large.dtypes)
+    labelled = written(_in_blocks(large.unionByName(leaders), ("group", "chunk"), _leader_pass(percent), f"{columns}, label {kind}, link {kind}, apart boolean"), "labelled")
+    links = links.unionByName(labelled.where("link IS NOT NULL AND link <> doc_id").select(F.col("doc_id").alias("a"), F.col("link").alias("b")))
+    asking = written(labelled.where("apart").groupBy("group").agg(F.count(F.lit(1)).alias("asking")), "asking")
+    if asking.isEmpty():
         return links
-    hubs = found.where("a = b").select(F.col("a").alias("doc_id"))
-    among = large.join(hubs.hint("shuffle_merge"), "doc_id", "left_semi").withColumn("chunk", _dealt(F.ceil(F.col("size") / CHUNK / CHUNK)))
-    links = written(links.unionByName(among.groupBy("cluster", "chunk").applyInPandas(_chunk_links(percent), "a long, b long, cluster long").where("a <> b").select("a", "b")), "links")
-    parts = connected_components(links, "a", "b")
-    member = written(large.select("doc_id", "cluster", "size").join(parts.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", "size", F.coalesce("component", "doc_id").alias("component")), "member")
-    counted = member.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    major = written(counted.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all"), "major")
-    split = member.join(major.hint("merge"), "cluster").withColumns({"asks": F.col("component") != F.col("major"), "asking": F.col("all") - F.col("most")})
-    split = written(split.select("doc_id", "cluster", "size", "component", "asks", "asking"), "split")
-    full = sets.select("doc_id", "shingles").join(split.hint("merge"), "doc_id")
-    rows, columns = F.ceil(F.col("asking") / CHUNK).cast("int"), F.ceil(F.col("size") / CHUNK).cast("int")
+    open_ = labelled.drop("chunk", "leads", "link").join(asking.hint("merge"), "group")
+    n_rows, n_columns = F.ceil(F.col("asking") / CHUNK).cast("int"), F.ceil(F.col("size") / CHUNK).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asks = full.where("asks").select("doc_id", "cluster", "component", "shingles", F.lit(True).alias("asks"), _dealt(rows).alias("row"), to_all(columns).alias("column"))
-    members = full.select("doc_id", "cluster", "component", "shingles", F.lit(False).alias("asks"), to_all(rows).alias("row"), _dealt(columns).alias("column"))
-    more = asks.unionByName(members).groupBy("cluster", "row", "column").applyInPandas(_block_links(percent), "a long, b long")
-    return links.unionByName(written(more, "more"))
+    asks = open_.where("apart").withColumns({"asks": F.lit(True), "row": _dealt(n_rows), "column": to_all(n_columns)})
+    members = open_.withColumns({"asks": F.lit(False), "row": to_all(n_rows), "column": _dealt(n_columns)})
+    more = _in_blocks(asks.unionByName(members), ("group", "row", "column"), _block_pass(percent), link_schema)
+    return links.unionByName(written(more.select("a", "b"), "more"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that can be reached over links), kept (it is that id).
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct shingles of `words` words.
-    A null id is kept as a document of its own, linked with nothing.
+    A null id is kept as a document of its own, linked with nothing. The bands are set for 80 per cent or more; below, pairs get lost.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_signatures(words), "doc_id long, digest string, n_shingles long, bands array<long>"), "signatures")
-    alone = F.col("digest").isNull() | F.col("doc_id").isNull()
-    classes = written(group_copies(signed.where(~alone).select("doc_id", "digest", "n_shingles"), "digest").select("doc_id", "n_shingles", "keep_id"), "classes")
-    # one row of each class: band keys of its representative
-    first = classes.where("doc_id = keep_id").select("doc_id").distinct()
-    keys = written(signed.join(first.hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band")), "bands")
-    shared = written(group_copies(keys, "band").where("group_size > 1 AND doc_id <> keep_id").select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b")).distinct(), "shared")
-    clusters = written(connected_components(shared, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
-    counted = written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    sized = written(clusters.join(counted.hint("merge"), "cluster"), "sized")
-    sets = written(texts.join(sized.hint("merge"), "doc_id").mapInArrow(_sets(words), "doc_id long, cluster long, size long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    parts = written(connected_components(near_links(sets, percent), "a", "b"), "parts")
-    linked = classes.join(parts.hint("merge"), F.col("keep_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "keep_id").alias("component_id"))
-    rest = signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(rest).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        signed = written(texts.mapInArrow(_signatures(words), f"doc_id {kind}, digest string, n_shingles long, bands array<long>, signature binary"), "signatures")
+        alone = F.col("digest").isNull() | F.col("doc_id").isNull()
+        classes = written(group_copies(signed.where(~alone).select("doc_id", "digest", "n_shingles"), "digest").select("doc_id", "n_shingles", "keep_id"), "classes")
+        # one row of each class: band keys and signature of its representative
+        first = classes.where("doc_id = keep_id").select("doc_id")
+        keys = written(signed.join(first.hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band")).distinct(), "bands")
+        print_ = {"print": F.bit_xor(F.xxhash64("doc_id"))}
+        shared = group_copies(keys, "band", more=print_).where("group_size > 1").select(F.xxhash64("keep_id", "group_size", "print").alias("group"), F.col("group_size").alias("size"), "doc_id")
+        buckets = written(shared.distinct(), "buckets")
+        signatures = signed.select("doc_id", "signature").hint("merge")
+        members = written(buckets.join(signatures, "doc_id").select("group", "size", "doc_id", "signature").distinct(), "members")
+        near = connected_components(group_links(members, percent), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        families = written(group_copies(near, "family").select(F.xxhash64("family").alias("group"), F.col("group_size").alias("size"), "doc_id"), "families")
+        sets = texts.join(families.hint("merge"), "doc_id").select("group", "size", "doc_id", "text").mapInArrow(_sets(words), f"group long, size long, doc_id {kind}, shingles array<long>")
+        sets = written(sets.join(signatures, "doc_id").select("group", "size", "doc_id", "signature", "shingles").dropDuplicates(["doc_id"]), "sets")
+        parts = connected_components(group_links(sets, percent), "a", "b")
+        linked = classes.join(parts.hint("merge"), F.col("keep_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "keep_id").alias("component_id"))
+        rest = signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        found = linked.unionByName(rest).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        return written(found, "near", keep=True)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """`docs` with one document of each group of near copies; all columns stay."""
-    kept = written(near_dedup(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col(id_col).alias("kept_id")).distinct(), "kept")
-    return docs.join(kept.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    """`docs` with one document of each group of near copies; all columns stay, also one of the name kept_id. Repeated rows stay or go together."""
+    kept = near_dedup(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col(id_col).alias("kept_id"))
+    return docs.join(kept.hint("shuffle_merge"), docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 ORACLE = r"""

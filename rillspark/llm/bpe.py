@@ -8,9 +8,13 @@ states of the prefix that it shares with the word before, which are computed onc
 A token can end a prefix if it is a suffix of it and if BPE, run on the last token before and on this one together, would merge
 nothing across their border. Exactly one token can, for each prefix (checked against the library in the tests).
 
+Which tokens are suffixes of a prefix is told by an automaton over the vocabulary: its state at a place is the longest suffix there that begins a
+token. Its steps are worked out when they first occur; there are no more than the vocabulary has beginnings, times 256.
+
 The vocabulary file is a parameter (a tokenizers JSON file of kind byte-level BPE); only the file's tables are used here, not the
-library. Rows with null text count as empty and give no ids; very long texts are done a slice at a time; an empty table gives an
-empty result; the tables that a worker keeps are bounded (MOST_PIECES).
+library. Rows with null text count as empty and give no ids; a batch is done in slices of whole texts, so memory grows with the longest
+text only; rows with the same id are done each for itself; an id may be null or of any type; an empty table gives an empty result; other columns are left alone, and columns of the names of the results are not
+read. The tables of pieces that a worker keeps are bounded (MOST_PIECES).
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from rillspark.llm.common import slices
 
 #: A worker forgets its pieces (words with the space before) and states beyond this number; they are computed again when needed.
-MOST_PIECES = 300_000
+MOST_PIECES = 400_000
+#: Text of a slice, whose distinct words make one trie.
+SLICE_BYTES = 4_000_000
 
 # The split pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,14 +79,11 @@ class Bpe:
             pair = self.ids[left], self.ids[right]
             self.rank[pair] = rank
             self.halves.setdefault(self.ids[left + right], (rank, *pair))
-        self.longest = max(map(len, self.ids))
-        #: which lengths a token can have that ends a prefix with these last bytes (up to four), longest first
-        ends: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            if len(token) > 1:
-                end = token[-4:]
-                ends.setdefault(end, {n for n in (1, 2, 3) if n <= len(end) and end[-n:] in self.ids}).add(len(token))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        #: the automaton: beginnings of tokens, its steps (state << 8 | byte -> state), and per state the tokens that end there, longest first
+        self.begins = [b"", *sorted({token[:n] for token in self.ids for n in range(1, len(token) + 1)})]
+        self.state = {text: k for k, text in enumerate(self.begins)}
+        self.steps: dict[int, int] = {}
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.begins)
         self.split = regex.compile(PATTERN)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         texts = [b""] * self.size
@@ -89,11 +91,15 @@ class Bpe:
             texts[i] = token
         self.token_bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.token_length = np.array([len(t) for t in texts], np.int64)
+        self.lengths = self.token_length.tolist()
         self.token_start = np.r_[0, np.cumsum(self.token_length)[:-1]]
         self.decimal = [b"%d," % i for i in range(self.size)]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        #: of the pieces known: their ids (little-endian, 32 bits each), and the same in decimal with a comma after each
+        self.pieces: dict[str, bytes] = {}
+        self.decimals: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether BPE leaves the border between the adjacent tokens a and b unmerged."""
@@ -121,11 +127,22 @@ class Bpe:
         self.fits[a << 32 | b] = good
         return good
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each distinct word, by a depth-first walk through the trie of the words."""
-        ids, lengths, fits, stays_apart, single = self.ids, self.lengths, self.fits, self.stays_apart, (1,)
-        out: dict[bytes, list[int]] = {}
-        before, token, size = b"", [-1], [0]  # per place: the last token of the prefix that ends there, and its length
+    def _step(self, key: int) -> int:
+        """The state after a state and a byte: the longest suffix that begins a token."""
+        text = self.begins[key >> 8] + bytes([key & 255])
+        while text not in self.state:
+            text = text[1:]
+        found = self.steps[key] = self.state[text]
+        self.ending[found] = tuple((self.ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.ids)
+        return found
+
+    def encode_words(self, words: Iterable[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
+        """The ids of each distinct word (packed, and in decimal), by a depth-first walk through the trie of the words."""
+        fits, stays_apart, steps, ending = self.fits, self.stays_apart, self.steps, self.ending
+        length, packed, decimal = self.lengths, self.packed.__getitem__, self.decimal.__getitem__
+        codes: dict[bytes, bytes] = {}
+        decimals: dict[bytes, bytes] = {}
+        before, token, states = b"", [-1], [0]  # per place: the last token of the prefix that ends there, and the automaton's state
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             if word[:most] == before[:most]:
@@ -133,31 +150,33 @@ class Bpe:
             else:
                 while word[shared] == before[shared]:
                     shared += 1
-            del token[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for n in lengths.get(word[end - 4 : end] if end > 3 else b"") or lengths.get(word[end - 3 : end] if end > 2 else b"") or lengths.get(word[end - 2 : end] if end > 1 else b"", single):
-                    if n > end:
-                        continue
-                    t = ids.get(word[end - n : end])
-                    if t is None:
-                        continue
+            del token[shared + 1 :], states[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in word[shared:]:
+                end += 1
+                try:
+                    state = steps[state << 8 | byte]
+                except KeyError:
+                    state = self._step(state << 8 | byte)
+                for t, n in ending[state]:
                     last = token[end - n]
                     if last < 0:
                         break
                     good = fits.get(last << 32 | t)
                     if good if good is not None else stays_apart(last, t):
                         break
-                else:
-                    t, n = ids[word[end - 1 : end]], 1
                 token.append(t)
-                size.append(n)
+                states.append(state)
             found, at = [], len(word)
             while at:
-                found.append(token[at])
-                at -= size[at]
-            out[word] = found[::-1]
+                t = token[at]
+                found.append(t)
+                at -= length[t]
+            found.reverse()
+            codes[word] = b"".join(map(packed, found))
+            decimals[word] = b"".join(map(decimal, found))
             before = word
-        return out
+        return codes, decimals
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Make the pieces known: all of them are in `pieces` afterwards.
@@ -166,25 +185,22 @@ class Bpe:
         frequent pieces stay and memory is bounded.
         """
         if len(self.pieces) > MOST_PIECES:
-            self.older, self.pieces = self.pieces, {}
-        known, older = self.pieces, self.older
-        new = []
-        for p in pieces:
-            if p not in known:
-                found = older.get(p)
-                if found is None:
-                    new.append(p)
-                else:
-                    known[p] = found
+            self.older, self.pieces, self.decimals = (self.pieces, self.decimals), {}, {}
+        known, decimals = self.pieces, self.decimals
+        unknown = set(pieces).difference(known)
+        again = unknown.intersection(self.older[0])
+        for table, old in ((known, self.older[0]), (decimals, self.older[1])):
+            table.update((p, old[p]) for p in again)
+        new = list(unknown - again)
         if not new:
             return
-        decimal = self.decimal.__getitem__
         # a space and letters are one word of the pattern; anything else is split by it
-        parts = [[p.encode()] if p[1:].isalpha() and p[0] == " " else [w.encode() for w in self.split.findall(p)] for p in new]
-        coded = self.encode_words(set().union(*parts))
-        for piece, words in zip(new, parts, strict=True):
-            found = coded[words[0]] if len(words) == 1 else [i for w in words for i in coded[w]]
-            known[piece] = (array("I", found).tobytes(), b"".join(map(decimal, found)))
+        single = [p[1:].isalpha() and p[0] == " " for p in new]
+        words = [p.encode() if one else [w.encode() for w in self.split.findall(p)] for p, one in zip(new, single, strict=True)]
+        coded, shown = self.encode_words({w for ws, one in zip(words, single, strict=True) for w in ((ws,) if one else ws)})
+        for piece, own, one in zip(new, words, single, strict=True):
+            known[piece] = coded[own] if one else b"".join(map(coded.__getitem__, own))
+            decimals[piece] = shown[own] if one else b"".join(map(shown.__getitem__, own))
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text that are encoded independently of each other: a word with the space before it, mostly."""
@@ -204,12 +220,11 @@ class Bpe:
         """For each text, the ids of its pieces (little-endian 32-bit) and the same in decimal, a comma after each."""
         cut = [self.cut(t) for t in texts]
         self.learn(set().union(*cut) - self.special.keys())
-        for t in self.special:
-            self.pieces.setdefault(t, (np.array([self.special[t]], "<u4").tobytes(), self.decimal[self.special[t]]))
-        get = self.pieces.__getitem__
+        for t, i in self.special.items():
+            self.pieces[t], self.decimals[t] = self.packed[i], self.decimal[i]
+        code, decimal = self.pieces.__getitem__, self.decimals.__getitem__
         for pieces in cut:
-            both = list(map(get, pieces))
-            yield [x[0] for x in both], [x[1] for x in both]
+            yield list(map(code, pieces)), list(map(decimal, pieces))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a sequence of ids; as text, what is not UTF-8 becomes U+FFFD."""
@@ -230,7 +245,7 @@ def loaded(path: str) -> Bpe:
 def _coded(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in slices(batches, "text", 1_500_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             n, ids_sha, text_sha, lists = [], [], [], []
             for codes, decimals in bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
                 ids = np.frombuffer(b"".join(codes), "<u4")

@@ -1,18 +1,21 @@
 """Main text of web pages, by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between the borders of block elements. A block's input is made of its tag path (tags,
-classes and ids of its ancestors, hashed), its words (hashed) and a few measures (length, share of links, place in the page). A
-bidirectional LSTM in numpy reads all blocks of the page and labels each as main text or not, so that every label depends on the
-whole document.
+classes and ids of its ancestors, hashed), its words (hashed) and a few measures (length, share of links, place in the page, share of
+the page's text in the same container). A bidirectional LSTM in numpy reads all blocks of the page and labels each as main text or not,
+so that every label depends on the whole document.
 
-There are no labelled pages. The model is trained on at most SAMPLE pages of the table itself, rebuilt with known labels: the text of their content
-elements is put into containers of many kinds, between and among menus, headers, footers, sidebars, notices, adverts, forms and
-comments made of other pages' text. Scripts, styles, comments of the markup and the head never give blocks.
+There are no labelled pages. The model is trained on at most SAMPLE pages of at most LONGEST characters of the table itself, rebuilt with
+known labels: the text of their content elements, in paragraphs, lists, quotes and tables, is put into containers of many kinds, between
+and among menus, headers, footers, sidebars, notices, adverts, forms and comments. In a part of these pages the names of classes and ids are random
+and only plain divs and tables are used, so that structure has to tell what names do not. These bounds are for training only.
 
 Results for odd input: null, empty or markup-free html is handled like any other (text outside of any element is a block); a page
 without main text gives an empty text; unclosed and misnested tags are closed where the next block begins; an unclosed head ends before
 the first text or element that may not stand in it, and of an unclosed svg, iframe, template, noscript or textarea only the tag is left
-out; very long pages are read whole; rows with the same id are done each for itself; an empty table gives an empty result.
+out; an unclosed script or style reaches to the page's end, as in browsers; an unclosed comment ends at the next "<" or ">"; a quote that is not closed in a tag is
+a character like others; very long pages are read whole; rows with the same id are done each for itself; an empty table gives an
+empty result; columns of the names text, n_chars and n_blocks are replaced by the results.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 from rillspark.llm.common import hashed_sample, slices
 from rillspark.llm.near_dedup import word_hashes
 
-#: Most pages that the model is trained on.
-SAMPLE = 400
-PATH, WORDS, MEASURES, HIDDEN = 64, 48, 8, 24
+#: Most pages that the model is trained on, their length in characters, and how many of their blocks are used.
+SAMPLE, LONGEST, MOST_BLOCKS = 400, 100_000, 40
+PATH, TAGS, WORDS, MEASURES, HIDDEN = 96, 48, 32, 11, 24
 WIDTH = PATH + WORDS + MEASURES
-STEPS, PAGES_A_STEP, RATE = 260, 24, 0.01
+STEPS, PAGES_A_STEP, RATE = 400, 24, 0.01
 #: Marks main text while a page is rebuilt; a private character.
 MARK = "\ue000"
 
@@ -44,14 +47,17 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CLOSES_P = BLOCK_TAGS - {"br", "button", "label", "option", "select"}
 SAME_CLOSES = frozenset("li dd dt tr td th option p".split())
 
-_REST = r"(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>"
-_SKIPS = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
-_TOKEN = re.compile(_SKIPS + r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*+>", re.S | re.I)
+# a quote begins a value only after "="; one that is not closed is a character like others
+_ATTRIBUTES = r"(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
+_REST = rf"(?=[\s/>]){_ATTRIBUTES}>"
+_SKIPS = r"<!--.*?-->|<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+_TOKEN = re.compile(_SKIPS + rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?][^>]*+>", re.S | re.I)
 # Elements without text of the page; where one is not closed, only its tag is left out.
 _APART = frozenset("noscript template svg iframe textarea".split())
 _APART_TAG = re.compile(_SKIPS + rf"|<(/?)({'|'.join(sorted(_APART))}){_REST}", re.S | re.I)
 _HEAD_PART = re.compile(_SKIPS + rf"|([^<]+)|</(head)\s*>|<(title|noframes|noscript|template){_REST}|</?(?:base|basefont|bgsound|link|meta){_REST}|<[!?][^>]*+>", re.S | re.I)
 _CLOSED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("title", "noframes")}
+_OPEN_COMMENT = re.compile(r"<!--[^<>]*+>?")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -141,6 +147,8 @@ def blocks(page: str) -> list[Block]:
 
     apart: dict[int, int] | None = None
     never: set[str] = set()
+    closed = page.rfind("-->") + 1
+    page = page[:closed] + _OPEN_COMMENT.sub("", page[closed:])
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -183,18 +191,35 @@ _SEEN: dict[tuple[str, ...], np.ndarray] = {}
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed names of a path; the nearer ancestors count more."""
+    """Hashed names of a path, tags apart from classes and ids; the nearer ancestors count more."""
     found = _SEEN.get(path)
     if found is None:
         found = np.zeros(PATH, np.float32)
         for k, name in enumerate(reversed(path)):
-            found[zlib.crc32(name.encode()) % PATH] += 1.0 / (1 + 0.15 * k)
+            place = zlib.crc32(name.encode())
+            found[TAGS + place % (PATH - TAGS) if name[0] == "." else place % TAGS] += 1.0 / (1 + 0.15 * k)
         if len(_SEEN) > 20_000:
             _SEEN.clear()
         _SEEN[path] = found
     return found
 
 
+def _shares(page: list[Block]) -> np.ndarray:
+    """Of each block's container and the container around it: its share of the page's text; and the container's share of links."""
+    text: dict[tuple[str, ...], int] = {}
+    links: dict[tuple[str, ...], int] = {}
+    around = []
+    for b in page:
+        ends = [k for k in range(len(b.path) - 1, -1, -1) if b.path[k][0] != "."][:3]  # where the innermost elements begin
+        inner, outer = (b.path[: ends[k]] if k < len(ends) else () for k in (0, 1))
+        around.append((inner, outer))
+        for key in {inner, outer, b.path[: ends[2]] if len(ends) > 2 else ()}:
+            text[key] = text.get(key, 0) + len(b.text)
+            links[key] = links.get(key, 0) + b.linked
+    total = max(1, sum(len(b.text) for b in page))
+    return np.array([(text[i] / total, text[o] / total, links[i] / max(1, text[i])) for i, o in around], np.float32).reshape(-1, 3)
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     """One input row for each block of a page."""
     n = len(page)
@@ -212,7 +237,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     out[:, PATH : PATH + WORDS] = cells / np.sqrt(np.maximum((cells.astype(np.float64) ** 2).sum(axis=1), 1))[:, None]
     out[:, PATH + WORDS :] = np.c_[
         np.log1p(lengths) / 5, np.log1p(words) / 4, [b.linked / max(1, len(b.text)) for b in page], np.arange(n) / n, 1 - np.arange(n) / n,
-        [b.text[-1] in ".!?" for b in page], [len(b.path) / 10 for b in page], np.ones(n),
+        [b.text[-1] in ".!?" for b in page], [len(b.path) / 10 for b in page], np.ones(n), _shares(page),
     ]
     return out
 
@@ -277,20 +302,26 @@ class Labeller:
         return grad
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 5) -> Labeller:
-        """Adam on random pages."""
+        """Adam on random pages; the weights are the mean over the last third of the steps."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        mean, n_mean = {k: np.zeros(v.shape) for k, v in self.weights.items()}, 0
         for step in range(1, STEPS + 1 if pages else 1):
             chosen = [pages[k] for k in rng.integers(0, len(pages), PAGES_A_STEP)]
             x, mask, y = padded([p[0] for p in chosen], [p[1] for p in chosen])
-            x[:, :, PATH : PATH + WORDS] *= rng.random((*x.shape[:2], 1)) < 0.7  # words tell little across sites
+            x[:, :, PATH : PATH + WORDS] *= rng.random((*x.shape[:2], 1)) < 0.4  # words tell little across sites
             grad = self.gradients(x, mask, y)
             rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
                 self.weights[k] = (self.weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            if step > STEPS * 2 // 3:
+                n_mean += 1
+                mean = {k: m + (self.weights[k] - m) / n_mean for k, m in mean.items()}
+        if n_mean:
+            self.weights = {k: m.astype(np.float32) for k, m in mean.items()}
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -318,52 +349,101 @@ def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None) -> t
     return x, mask, y
 
 
-# Names for containers of main text, and for what is not.
+# Names for containers of main text, and for what is not. They are used in a part of the training pages only.
 MAIN_CONTAINERS = ("article", "main", "div.content", "div.post", "div.entry", "div.article-body", "section", "div.story", "div.main", "section.text", "div.page", "article.post")
 OTHER_CONTAINERS = (
     "nav", "header", "footer", "aside", "form", "div.ad", "div.advert", "div.sidebar", "div.cookie-notice", "div.comments", "ul.menu", "div.comment", "section.comments", "div.related", "div.share",
-    "div.banner", "div.promo", "div.newsletter", "aside.sidebar", "div.header", "div.footer", "div.nav", "div.breadcrumbs", "div.widget", "div.popup", "div.social", "section.related", "div.notice", "ol.comments", "div.login",
+    "div.banner", "div.promo", "div.newsletter", "aside.sidebar", "div.header", "div.footer", "div.nav", "div.breadcrumbs", "div.widget", "div.popup", "div.social", "section.related", "div.notice", "ol.comments", "div.login", "div.subscribe",
 )
 
 
-def _opened(container: str) -> tuple[str, str]:
-    tag, _, name = container.partition(".")
-    return (f'<{tag} class="{name}">' if name else f"<{tag}>"), f"</{tag}>"
-
-
-def rebuilt(own: list[str], heading: str, others: list[str], rng: np.random.Generator) -> str:
-    """A page of these main blocks between others of many kinds. Main text begins with MARK."""
-    esc = html.escape
-
-    def other(inside: bool = False) -> str:
-        names = [c for c in OTHER_CONTAINERS if not inside or c.split(".")[0] in ("div", "aside", "section", "form")]
-        start, end = _opened(names[rng.integers(len(names))])
-        texts = [others[rng.integers(len(others))] for _ in range(rng.integers(1, 5))]
-        form = rng.integers(4)
-        if start.startswith(("<ul", "<ol")) or form == 0:
-            body = "".join(f'<li><a href="/x">{esc(" ".join(t.split()[:3]))}</a></li>' for t in texts)
-            return f"{start}{body}{end}" if start.startswith(("<ul", "<ol")) else f"{start}<ul>{body}</ul>{end}"
-        if form == 1:
-            return start + "".join(f"<p>{esc(t)}</p>" for t in texts) + end
-        if form == 2:
-            return f"{start}{esc(texts[0][:200])}{end}"
-        return f"{start}<h3>{esc(texts[0][:40])}</h3>" + "".join(f"<div><b>{esc(t[:12])}</b> {esc(t)}</div>" for t in texts) + end
-
-    start, end = _opened(MAIN_CONTAINERS[rng.integers(len(MAIN_CONTAINERS))])
-    mark = lambda t: MARK + esc(t)
-    body = f"<h1>{mark(heading)}</h1>" if heading else ""
-    for t in own:
-        kind = rng.integers(12)
-        body += f"<blockquote>{mark(t)}</blockquote>" if kind == 0 else f"<ul><li>{mark(t)}</li></ul>" if kind == 1 else f"<h2>{mark(t)}</h2>" if kind == 2 else f"<div>{mark(t)}</div>" if kind == 3 else f"<p><b>{mark(t)}<br>" if kind == 4 else f"<p>{mark(t)}</p>"
-        if rng.random() < 0.06:
-            body += other(inside=True)
-    before = "".join(other() for _ in range(rng.integers(0, 4)))
-    after = "".join(other() for _ in range(rng.integers(0, 4)))
-    if rng.random() < 0.5:  # the most usual frame
-        before = '<nav><ul>' + "".join(f'<li><a href="/">{esc(others[rng.integers(len(others))].split()[0])}</a></li>' for _ in range(rng.integers(2, 8))) + f"</ul></nav>{before}"
-        after += f"<footer>&copy; site &middot; {esc(others[rng.integers(len(others))])}</footer>"
-    wrap = ("<div class=wrapper>", "</div>") if rng.random() < 0.3 else ("", "")
-    return f"<html><head><title>{esc(heading)}</title></head><body>{wrap[0]}{before}{start}{body}{end}{after}{wrap[1]}</body></html>"
+class _Builder:
+    """Makes a page of main blocks between others of many kinds. Main text begins with MARK.
+
+    named: whether names and kinds of elements tell anything; if not, containers are divs, sections and tables with random names.
+    """
+
+    def __init__(self, others: list[str], rng: np.random.Generator):
+        self.others, self.rng, self.named = others, rng, rng.random() < 0.65
+
+    def one(self, choices):
+        return choices[self.rng.integers(len(choices))]
+
+    def words(self, most: int) -> str:
+        return " ".join(self.one(self.others).split()[: self.rng.integers(1, most + 1)]).rstrip(".!?")
+
+    def random_name(self) -> str:
+        letters = "".join(self.one("bcdfghklmnprstvwz") + self.one("aeiou") for _ in range(self.rng.integers(1, 4)))
+        return f'{self.one(("class", "id"))}="{letters}{self.one(("", "-"))}{self.rng.integers(100)}"' if self.rng.random() < 0.8 else ""
+
+    def container(self, names: tuple[str, ...]) -> tuple[str, str]:
+        if self.named:
+            tag, _, name = ("article", "", "") if names is MAIN_CONTAINERS and self.rng.random() < 0.3 else self.one(names).partition(".")
+            return (f'<{tag} class="{name}">' if name else f"<{tag}>"), f"</{tag}>"
+        tag = self.one(("div", "div", "section"))
+        return f"<{tag} {self.random_name()}>", f"</{tag}>"
+
+    def link(self, most: int = 3) -> str:
+        return f'<a href="/{self.rng.integers(1000)}">{html.escape(self.words(most))}</a>'
+
+    def menu(self) -> str:
+        links = [self.link() for _ in range(self.rng.integers(2, 8))]
+        return self.one(("<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", " ".join(links), "".join(f"<div>{x}</div>" for x in links), "<h3>" + html.escape(self.words(3)) + "</h3>" + "".join(f"<p>{x}</p>" for x in links)))
+
+    def comments(self) -> str:
+        text = lambda: html.escape(self.one(self.others)[: self.rng.integers(20, 400)])
+        frame = self.one(("<div><b>{0}</b> <i>{1}</i><p>{2}</p>{3}</div>", "<li>{0} {1}<br>{2} {3}</li>", "<div>{0}</div><div>{2}</div><div>{3}</div>"))
+        found = "".join(frame.format(html.escape(self.words(2)), f"{self.rng.integers(1, 29)}:{self.rng.integers(10, 60)}", text(), '<a href="#">Reply</a>') for _ in range(self.rng.integers(1, 5)))
+        return f"<h3>{html.escape(self.words(2))}</h3>{found}" if self.rng.random() < 0.5 else found
+
+    def other(self) -> str:
+        """What is not main text; prose only where names or replies tell it from main text."""
+        start, end = self.container(OTHER_CONTAINERS)
+        kinds = [self.menu, self.menu, self.comments, lambda: html.escape(self.words(8)), lambda: "<form>" + "".join(f"<label>{html.escape(self.words(2))}</label><input name=x>" for _ in range(2)) + "<button>OK</button></form>"]
+        if self.named:
+            kinds += 4 * [lambda: self.one(("{}", "<p>{}</p>")).format(html.escape(self.one(self.others)[:300]))]
+        else:
+            kinds += [lambda: f"&copy; {html.escape(self.words(4))}", lambda: f"{html.escape(self.words(6))} {self.link()}"]
+        return start + self.one(kinds)() + end
+
+    def body(self, heading: str, own: list[str]) -> str:
+        mark = lambda t: MARK + html.escape(t)
+        out = f"<h1>{mark(heading)}</h1>" if heading else ""
+        for t in own:
+            kind, words = self.rng.integers(16), t.split()
+            if kind == 0 and len(words) > 8:
+                rows = [words[k : k + 4] for k in range(0, min(len(words), 20), 4)]
+                out += f"<p>{mark(' '.join(words[20:]))}</p>" if len(words) > 20 else ""
+                out += "<table>" + "".join("<tr>" + "".join(f"<td>{mark(w)}</td>" for w in row) + "</tr>" for row in rows) + "</table>"
+            elif kind == 1:
+                step = max(6, len(words) // 6)
+                out += "<ul>" + "".join(f"<li>{mark(' '.join(words[k : k + step]))}</li>" for k in range(0, len(words), step)) + "</ul>"
+            elif kind == 2 and len(words) > 4:
+                out += f'<p>{mark(" ".join(words[:3]))} <a href="/y">{html.escape(words[3])}</a> {html.escape(" ".join(words[4:]))}</p>'
+            else:
+                frames = ("<blockquote>{}</blockquote>", "<h2>{}</h2>", "<div>{}</div>", "<p><b>{}<br>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "{}<br><br>")
+                out += (frames[kind - 3] if 3 <= kind < 3 + len(frames) else "<p>{}</p>").format(mark(t))
+            if self.named and self.rng.random() < 0.06:
+                tag = self.one(("div", "aside", "section"))
+                out += f'<{tag} class="{self.one(("ad", "promo", "related", "share", "newsletter", "subscribe"))}">{self.one((self.menu(), html.escape(self.words(20))))}</{tag}>'
+        return out
+
+    def page(self, heading: str, own: list[str]) -> str:
+        starts, ends = zip(*(self.container(MAIN_CONTAINERS) for _ in range(self.rng.integers(1, 2 if self.named else 4))), strict=True)
+        main = "".join(starts) + self.body(heading, own) + "".join(reversed(ends))
+        before, after = ("".join(self.other() for _ in range(self.rng.integers(0, 4))) for _ in range(2))
+        if self.rng.random() < 0.5:  # the most usual frame
+            bars = ("<nav>{}</nav>", "<footer>{}</footer>") if self.named else ("<div>{}</div>", "<div>{}</div>")
+            before = bars[0].format("<ul>" + "".join(f"<li>{self.link(1)}</li>" for _ in range(self.rng.integers(2, 8))) + "</ul>") + before
+            after += bars[1].format(f"&copy; site &middot; {html.escape(self.one(self.others)[:200] if self.named else self.words(8))}")
+        if not self.named and self.rng.random() < 0.35:  # columns of a layout table
+            cells = "".join(f"<td {self.random_name()}>{x}</td>" for x in (before, main, after) if x)
+            inside = f"<table><tr>{cells}</tr></table>"
+        else:
+            inside = before + main + after
+        if self.rng.random() < (0.3 if self.named else 0.45):
+            inside = f"<div {self.random_name()}>{inside}</div>"
+        return f"<html><head><title>{html.escape(heading)}</title></head><body>{inside}</body></html>"
 
 
 def _content(found: list[Block]) -> tuple[str, list[str]]:
@@ -375,17 +455,18 @@ def _content(found: list[Block]) -> tuple[str, list[str]]:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE) -> Labeller:
     """A labeller trained on `most` pages at most (those with the smallest hash of their id), rebuilt with known labels."""
-    chosen = hashed_sample(pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("html"), F.col(id_col).alias("id")), "id", most)
+    fit = F.length(html_col).between(1, LONGEST)
+    chosen = hashed_sample(pages.where(fit).select(F.col(html_col).alias("html"), F.col(id_col).alias("id")), "id", most)
     parsed = [_content(blocks(r["html"])) for r in chosen.collect()]
-    parsed = [(h, own[:40]) for h, own in parsed if own]
+    parsed = [(h, own[:MOST_BLOCKS]) for h, own in parsed if own]
     rng = np.random.default_rng(3)
     others = [t for _, own in parsed for t in own if t.split()] or ["text"]
     ready = []
-    for k in range(2 * len(parsed)):
+    for k in range(3 * len(parsed)):
         heading, own = parsed[k % len(parsed)]
         if rng.random() < 0.5:  # the page's first block begins with the heading in many pages, and in many not
             heading = own[0][:60].strip()
-        found = blocks(rebuilt(own, heading, others, rng))
+        found = blocks(_Builder(others, rng).page(heading, own))
         y = np.array([MARK in b.text for b in found], np.float32)
         for b in found:
             b.text = b.text.replace(MARK, "")

@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by an adaptive dimension scan inside probed lists.
 
 Index: k-means centroids and a random rotation are fitted on a bounded sample (SAMPLE vectors); every vector is assigned to the list
-of its nearest centroid, and lists are dealt out in blocks of BLOCK vectors, so that no list, however hot, meets in one task.
+of its nearest centroid. There are about sqrt(n) / 2 lists at every size: beyond COARSE centroids, which is what the sample can tell apart,
+each list is divided by the centroids of what is left of the sample's vectors after their centroid is taken away. Lists are dealt out in blocks
+of BLOCK vectors, so that no list, however hot, meets in one task.
 
 Search, in two rounds. First, each query scans its nearest list, which gives a first bound: its k-th smallest distance there.
-Then it scans its other lists. A scan keeps rotated vectors in blocks of COLUMNS dimensions: after each block, a hypothesis test on the partial
-distance (a partial distance of a rotated vector is, scaled up, an estimate of the whole) abandons candidates that are beyond
-the bound. What is left is measured exactly, in double precision, on the original vectors.
+Then it scans its other lists. A query goes to the blocks of the lists that it probes, never a block to queries: a task holds one block
+and lets its queries stream by. A scan keeps rotated vectors in blocks of COLUMNS dimensions: after each block, a hypothesis test on
+the partial distance (a partial distance of a rotated vector is, scaled up, an estimate of the whole) abandons candidates that
+are beyond the bound. What is left is measured exactly, in double precision, on the original vectors.
 
-How many lists a query probes is set by the sample: as few as reach RECALL there. Tables of at most EXACT vectors are
-searched whole.
+How many lists a query probes is set by the sample: as few as reach RECALL there, and as hold k vectors.
 
 Results for odd input: vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part, nor do rows with a null id; ties go to the smaller id; rows with the same id and vector are candidates each for itself; with fewer
-candidates than k all are returned; an empty table gives an empty result.
+take no part, nor do rows with a null id; ids are integers, or texts of integers; ties go to the smaller id; rows with the same id and vector
+are candidates each for itself; with fewer candidates than k all that are found are returned; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +24,14 @@ import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import hashed_sample, written
+from rillspark.llm.common import hashed_sample, scratch, written
 
-SAMPLE, RECALL, EXACT = 20_000, 0.97, 4_000
-MOST_LISTS, BLOCK, QUERIES = 1024, 4096, 2048
+SAMPLE, RECALL = 20_000, 0.99
+COARSE, BLOCK = 1024, 4096
 COLUMNS = 16
 #: The test's width: a candidate within the bound is abandoned in about one case of a thousand at most.
 WIDTH = 2.1
@@ -68,7 +69,19 @@ def _stacked(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def fit(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE) -> Index:
+def _means(y: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means, ten rounds from random rows."""
+    centroids = y[rng.choice(len(y), lists, replace=False)]
+    for _ in range(10):
+        own = ((centroids**2).sum(axis=1)[None] - 2 * y @ centroids.T).argmin(axis=1)
+        counts = np.bincount(own, minlength=lists)
+        sums = np.zeros(centroids.shape, np.float64)
+        np.add.at(sums, own, y)
+        centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids).astype(np.float32)
+    return centroids
+
+
+def fit(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE, coarse: int = COARSE) -> Index:
     """An index for rows of (id, vector); at most `sample` vectors go to the driver."""
     n = rows.count()
     seen = hashed_sample(rows, "id", sample).toPandas()
@@ -77,19 +90,16 @@ def fit(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE) -
     rng = np.random.default_rng(7)
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
     y = (x @ rotation).astype(np.float32)
-    lists = 1 if n <= EXACT else int(min(MOST_LISTS, max(8, np.sqrt(n) / 2)))
-    lists = min(lists, max(1, len(np.unique(y, axis=0)) if len(y) else 1))
-    centroids = y[rng.choice(len(y), lists, replace=False)] if len(y) else np.zeros((1, d), np.float32)
+    if not len(y):
+        return Index(rotation, np.zeros((1, d), np.float32), 1)
+    wanted, distinct = max(8, int(np.sqrt(n) / 2)), len(np.unique(y, axis=0))
+    centroids = _means(y, min(wanted, coarse, distinct), rng)
+    parts = min(-(-wanted // len(centroids)), distinct) if wanted > coarse else 1
+    if parts > 1:
+        left = y - centroids[((centroids**2).sum(axis=1)[None] - 2 * y @ centroids.T).argmin(axis=1)]
+        centroids = (centroids[:, None] + _means(left, parts, rng)[None]).reshape(-1, d)
+    lists = len(centroids)
     index = Index(rotation, centroids, lists)
-    if lists == 1:
-        return index
-    for _ in range(10):
-        own = ((centroids**2).sum(axis=1)[None] - 2 * y @ centroids.T).argmin(axis=1)
-        counts = np.bincount(own, minlength=lists)
-        sums = np.zeros((lists, d), np.float64)
-        np.add.at(sums, own, y)
-        centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids).astype(np.float32)
-    index.centroids = centroids
     own = index.nearest(x)
     ask = rng.choice(len(y), min(256, len(y)), replace=False)
     far = (y[ask] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * y[ask] @ y.T
@@ -112,6 +122,19 @@ def _assigned(index: Index):
     return run
 
 
+def _in_blocks(index: Index):
+    """Vectors with the block of their list that they fall into, by a hash of their id."""
+    blocks = np.maximum(1, -(-index.sizes // BLOCK)).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mixed = (batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = mixed % blocks[batch.column("list").to_numpy()]
+            yield pa.record_batch([batch.column("id"), batch.column("vector"), pa.nulls(batch.num_rows, pa.float64()), batch.column("list"), pa.array(block.astype(np.int32))], names=["id", "vector", "bound", "list", "block"])
+
+    return run
+
+
 def _probed(index: Index, k: int, first: bool):
     """(id, vector, bound, list, block): where a query looks; its nearest list, or the others."""
     blocks = np.maximum(1, -(-index.sizes // BLOCK))
@@ -162,20 +185,37 @@ def scan(index: Index, query: np.ndarray, bound: float, ids: np.ndarray, vectors
 
 
 def _scanned(index: Index, k: int):
-    def run(asks: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asks) and len(block):
-            ids, vectors = block["id"].to_numpy(np.int64), _stacked(block["vector"])
-            turned = index.rotated(vectors)
-            for own, query, bound in zip(asks["id"], asks["vector"], asks["bound"], strict=True):
-                out += [(own, i, s) for i, s in scan(index, np.asarray(query, np.float64), bound, ids, vectors, turned, own, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    """Rows come sorted by (list, block), and in each block its vectors before the queries; so one block is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, vectors = None, [], []
+        block: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("list", "block", "asks", "id", "vector", "bound")]
+            for part, number, asks, own, vector, bound in zip(*columns, strict=True):
+                if here != (part, number):
+                    here, ids, vectors, block = (part, number), [], [], None
+                if not asks:
+                    ids.append(own)
+                    vectors.append(np.asarray(vector, np.float64))
+                elif ids:
+                    if block is None:
+                        stacked = np.stack(vectors)
+                        block = np.array(ids, np.int64), stacked, index.rotated(stacked)
+                    out += [(own, i, s) for i, s in scan(index, np.asarray(vector, np.float64), bound, *block, own, k)]
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found for each row where `queries` holds, itself left out."""
+    with scratch(vectors.sparkSession):
+        return _neighbours(vectors, queries, k, id_col, vector_col, recall)
+
+
+def _neighbours(vectors: DataFrame, queries: Column, k: int, id_col: str, vector_col: str, recall: float) -> DataFrame:
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks")).where(F.col("id").isNotNull() & valid(F.col("vector")))
     usual = named.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = named.where(F.size("vector") == (usual["d"] if usual else 0))
@@ -185,16 +225,13 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "
     for r in owned.groupBy("list").count().collect():  # one row a list
         index.sizes[r["list"]] = r["count"]
     asking = written(rows.where("asks").select("id", "vector", F.lit(float("inf")).alias("bound")), "queries")
-    parts = max(1, -(-asking.count() // QUERIES))
-    sizes = F.array(*[F.lit(int(max(1, -(-s // BLOCK)))) for s in index.sizes])
-    dealt = owned.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("list") + 1)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = owned.mapInArrow(_in_blocks(index), "id long, vector array<double>, bound double, list int, block int")
     schema = "id long, vector array<double>, bound double, list int, block int"
 
     def searched(asks: DataFrame, first: bool, round_name: str) -> DataFrame:
-        probes = asks.mapInArrow(_probed(index, k, first), schema).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        keys = ("list", "block", "part")
-        found = probes.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_scanned(index, k), "query_id long, vec_id long, score double")
-        return written(found, round_name)
+        both = dealt.withColumn("asks", F.lit(False)).unionByName(asks.mapInArrow(_probed(index, k, first), schema).withColumn("asks", F.lit(True)))
+        keys = ("list", "block")
+        return written(both.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(_scanned(index, k), "query_id long, vec_id long, score double"), round_name)
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     near = searched(asking, True, "near")
@@ -202,4 +239,4 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "
     again = asking.join(written(bounds, "bounds").hint("merge"), "id", "left").select("id", "vector", F.coalesce("least", "bound").alias("bound"))
     found = near.unionByName(searched(written(again, "again"), False, "far"))
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    return written(ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score"), "neighbours", keep=True)

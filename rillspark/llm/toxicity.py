@@ -5,7 +5,9 @@ words, and drops zero-width characters. The lexicon is learned from labelled row
 far above that among clean rows. Exception phrases (a term with the word before or after it) are learned from clean rows that
 hold a term. A text's score is a logistic function of its summed weight and of that sum per word, so that length is taken into account.
 
-At most SAMPLE labelled rows are used for learning (those with the smallest hash of their id); everything else covers all rows.
+At most SAMPLE labelled rows are used for learning (those with the smallest hash of their id), and the model holds at most TERMS terms and
+PHRASES exception phrases, those of largest evidence; these are parameters of `learn` and bound what goes to the driver and to
+each task. Everything else covers all rows.
 
 Results for odd input: null text counts as empty and gets the score of a text without matches; without any labelled row, or
 without toxic ones, the lexicon is empty and all scores are low; rows with the same id are scored each for itself; rows with null
@@ -29,8 +31,8 @@ from rillspark.llm.common import hashed_sample, slices, written
 
 #: Most labelled rows that are used for learning.
 SAMPLE = 20_000
-#: Most terms that the lexicon is chosen from (those of largest evidence), and most exception phrases.
-CANDIDATES, ENTRIES = 5_000, 20_000
+#: Most terms that the lexicon is chosen from, and most exception phrases that it has: the size of the model.
+TERMS, PHRASES = 5_000, 20_000
 #: What a toxic row counts, for each term that it holds, in the choice of further terms.
 EXPLAINED = 0.4
 
@@ -151,7 +153,7 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, terms: int = TERMS, phrases: int = PHRASES) -> Lexicon:
     """A lexicon from the labelled rows outside the held-out fifth.
 
     Rows that share the smallest hash of their long words (copies and near copies, mostly) count once, so that a word that is
@@ -181,9 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     chance = math.log(max(2, counts.where("toxic >= 3").count())) + 1
     evidence = F.col("toxic") * F.col("gain") + F.col("loss")
     strong = counts.where("toxic >= 3").withColumns(columns).where("weight >= 2.5").withColumn("evidence", evidence).where(F.col("evidence") >= chance)
-    found = strong.orderBy(F.desc("evidence"), "kind", "term").limit(CANDIDATES).collect()
+    found = strong.orderBy(F.desc("evidence"), "kind", "term").limit(terms).collect()
     first = Lexicon({f" {r['term']}" + " " * (1 - r["kind"]): r["weight"] for r in _chosen(found, chance)})
-    return _calibrated(rows, label, dataclasses.replace(first, exceptions=_exceptions(rows, label, first)))
+    return _calibrated(rows, label, dataclasses.replace(first, exceptions=_exceptions(rows, label, first, phrases)))
 
 
 def _chosen(found: list, chance: float) -> list:
@@ -197,23 +199,22 @@ def _chosen(found: list, chance: float) -> list:
             covered[r["term"][:n]] = max(covered.get(r["term"][:n], 0), r["toxic"])
     found = [r for r in found if not r["kind"] or covered.get(r["term"], 0) < 0.9 * r["toxic"]]
     place = {row: k for k, row in enumerate(dict.fromkeys(row for r in found for row in r["rows"]))}
-    holds = np.zeros((len(found), len(place)), np.float32)
-    for k, r in enumerate(found):
-        holds[k, [place[row] for row in r["rows"]]] = 1
+    held = [np.array([place[row] for row in r["rows"]], np.int32) for r in found]
+    everything, starts = (np.concatenate(held), np.r_[0, np.cumsum([len(h) for h in held])[:-1]]) if held else (np.zeros(0, np.int32), np.zeros(0, int))
     gain, loss = (np.array([r[c] for r in found], float) for c in ("gain", "loss"))
     open_rows, chosen = np.ones(len(place), np.float32), []
     while len(chosen) < len(found):
-        left = (holds @ open_rows) * gain + loss
+        left = np.add.reduceat(open_rows[everything], starts) * gain + loss
         left[chosen] = -np.inf
         k = int(left.argmax())
         if left[k] < chance:
             break
         chosen.append(k)
-        open_rows *= np.where(holds[k] > 0, EXPLAINED, 1.0)
+        open_rows[held[k]] *= EXPLAINED
     return [found[k] for k in chosen]
 
 
-def _exceptions(rows: DataFrame, label: str, lexicon: Lexicon) -> frozenset[str]:
+def _exceptions(rows: DataFrame, label: str, lexicon: Lexicon, phrases: int) -> frozenset[str]:
     """Phrases of a term and a neighbour that occur in clean rows and in no toxic one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +232,7 @@ def _exceptions(rows: DataFrame, label: str, lexicon: Lexicon) -> frozenset[str]
             yield pa.record_batch([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], names=["phrase", "toxic"])
 
     found = rows.mapInArrow(run, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where("bad = 0 AND n >= 2")
-    return frozenset(r["phrase"] for r in found.orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect())
+    return frozenset(r["phrase"] for r in found.orderBy(F.desc("n"), "phrase").limit(phrases).collect())
 
 
 def _calibrated(rows: DataFrame, label: str, lexicon: Lexicon) -> Lexicon:

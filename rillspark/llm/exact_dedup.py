@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import written
+from rillspark.llm.common import scratch, written
 
 #: Counters of the summary: a key with more than about 1 / TRACKED of the rows is always found.
 TRACKED = 4096
@@ -50,15 +50,25 @@ def group_copies(rows: DataFrame, key: str, id_col: str = "doc_id", more: dict[s
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256. The row with the smallest id of equal normalised texts is kept."""
-    digests = written(docs.select(id_col, F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "digests")
-    groups = group_copies(digests, "text_sha256", id_col)
-    return groups.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    digests = written(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "digests")
+    groups = group_copies(digests, "text_sha256")
+    return groups.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that exact_dedup drops; all columns stay."""
-    kept = written(exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id")).distinct(), "kept")
-    return docs.join(kept.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    """`docs` with one row of each group of equal texts, that of the smallest id; all columns stay, whatever their names.
+
+    Rows are told apart by id and digest: of rows with the same id and the same text one stays, and a null id stays only if no row of its text has an id.
+    """
+    with scratch(docs.sparkSession):
+        digest = F.sha2(normalised(F.col(text_col)), 256)
+        digests = written(docs.select(F.col(id_col).alias("doc_id"), digest.alias("text_sha256")), "digests")
+        kept = group_copies(digests, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+        kept = written(kept, "kept", keep=True)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumns({"row_id": F.col(names[docs.columns.index(id_col)]), "row_digest": F.sha2(normalised(F.col(names[docs.columns.index(text_col)])), 256)})
+    found = rows.join(kept.hint("shuffle_merge"), F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_digest") == F.col("text_sha256")), "left_semi")
+    return found.dropDuplicates(["row_id", "row_digest"]).select(*names).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -396,7 +396,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
     """`docs` with one document of each group of near copies; all columns stay, also one of the name kept_id. Repeated rows stay or go together."""
     kept = near_dedup(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col(id_col).alias("kept_id"))
-    return docs.join(kept.hint("shuffle_merge"), docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    return rows.join(kept.hint("shuffle_merge"), F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("kept_id")), "left_semi").toDF(*docs.columns)
 
 
 ORACLE = r"""

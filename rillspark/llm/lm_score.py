@@ -15,9 +15,12 @@ bigram's hash: one row for each slice of documents and hash bucket, with the ent
 the bucket's count table and joined with it at once, so that the exploded bigrams are shuffled once. The sums by document come
 back packed in the same way. A bigram that every document holds costs one entry a document, as any other.
 
+Order two only: a third order needs the counts of three pairs of neighbours for each token, which no single partitioning brings together, and a
+second shuffle of this size would pass four times the input on disk.
+
 Results for odd input: null or empty text has no tokens, sum 0 and mean null; rows with the same id share a fold and are scored
-each for itself; a null id is a fold of its own kind (hash of null); with one document only, all tokens back off to the last
-case; an empty table gives an empty result.
+each for itself; a null id is a fold of its own kind (hash of null); ids are integers, or texts of integers; with one document only, all tokens back
+off to the last case; a very long text is a slice of its own; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from rillspark.llm.bpe import Bpe
 from rillspark.llm.common import slices
 from rillspark.llm.packing import tokenizer
 
-ALPHA, FOLDS = 0.4, 4
+ALPHA, FOLDS = 0.4, 8
+#: Bits of a document's place in its slice; its fold stands above them.
+PLACE_BITS = 24
 SLICE_BYTES = 2_000_000
 #: Bytes of text for each hash bucket; a bucket holds about as many bigrams as this has tokens.
 BUCKET_BYTES, LEAST_BUCKETS = 8_000_000, 64
@@ -66,36 +71,41 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def key_type(size: int) -> np.dtype:
+    """The narrowest integers that tell all bigrams of a vocabulary apart."""
+    return np.dtype(np.uint32 if (size + 1) ** 2 <= 1 << 32 else np.uint64)
+
+
 def _exploded(path: str, size: int, buckets: int):
-    """One row for each slice and bucket: documents (their place in the slice), bigrams and times."""
+    """One row for each slice and bucket that has entries: documents (place in the slice, and fold), bigrams and times; bucket 0 also has the slice's head."""
+    kind = key_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 32
         for batch in slices(batches, "text", SLICE_BYTES):
             docs, keys, times, lengths = [], [], [], []
-            for place, text in enumerate(batch.column("text").to_pylist()):
+            for place, (fold, text) in enumerate(zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 ids = _ids(path, text)
                 lengths.append(len(ids))
                 pairs, n = np.unique(np.r_[size, ids[:-1]] * (size + 1) + ids, return_counts=True) if len(ids) else (ids, ids)
-                docs.append(np.full(len(pairs), place, np.uint32))
-                keys.append(pairs.astype(np.uint32))
+                docs.append(np.full(len(pairs), fold << PLACE_BITS | place, np.uint32))
+                keys.append(pairs.astype(kind))
                 times.append(n.astype(np.uint32))
             doc, key, time = map(np.concatenate, (docs, keys, times))
             own = _bucket(key, buckets)
             order = np.argsort(own, kind="stable")
             ends = np.searchsorted(own[order], np.arange(buckets + 1))
             ids = np.array([-1 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            head = b"".join(x.tobytes() for x in (ids, np.array(lengths, np.uint32), np.array(batch.column("fold").to_pylist(), np.uint8), np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)))
+            head = b"".join(x.tobytes() for x in (ids, np.array(lengths, np.uint32), np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)))
             rows = [(b, order[x:y]) for b, x, y in zip(range(buckets), ends[:-1], ends[1:], strict=True) if y > x or b == 0]
             yield pa.record_batch(
                 [
                     pa.array([number] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([len(ids)] * len(rows), pa.int32()),
                     pa.array([head if b == 0 else None for b, _ in rows], pa.binary()),
-                    pa.array([np.array(batch.column("fold").to_pylist(), np.uint8).tobytes()] * len(rows), pa.binary()),
                     *(pa.array([x[at].tobytes() for _, at in rows], pa.binary()) for x in (doc, key, time)),
                 ],
-                names=["slice", "bucket", "n", "head", "folds", "docs", "keys", "times"],
+                names=["slice", "bucket", "n", "head", "docs", "keys", "times"],
             )
             number += 1
 
@@ -106,11 +116,12 @@ def _joined(size: int, singles: np.ndarray, folds: int):
     """A bucket's count table, joined with its entries: for each slice, the packed sums by document."""
     others = singles.sum(axis=0)[None] - singles
     tokens = others[:, :size].sum(axis=1)
+    kind = key_type(size)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, time, doc = (np.frombuffer(b"".join(rows[c]), np.uint32).astype(np.int64) for c in ("keys", "times", "docs"))
-        entries = rows["keys"].map(len).to_numpy() // 4
-        fold = np.concatenate([np.frombuffer(f, np.uint8)[np.frombuffer(d, np.uint32)] for f, d in zip(rows["folds"], rows["docs"], strict=True)]).astype(np.int64) if len(rows) else doc
+        key, time, doc = (np.frombuffer(b"".join(rows[c]), kind if c == "keys" else np.uint32).astype(np.int64) for c in ("keys", "times", "docs"))
+        entries = rows["docs"].map(len).to_numpy() // 4
+        fold, doc = doc >> PLACE_BITS, doc & ((1 << PLACE_BITS) - 1)
         sums = []
         if len(key):
             distinct, code = np.unique(key, return_inverse=True)
@@ -135,7 +146,7 @@ def _joined(size: int, singles: np.ndarray, folds: int):
 def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
     head = next(h for h in rows["head"] if h is not None)
     n = len(rows["sums"].iloc[0]) // 8
-    ids, lengths, null = np.frombuffer(head[: 8 * n], np.int64), np.frombuffer(head[8 * n : 12 * n], np.uint32), np.frombuffer(head[13 * n :], np.uint8)
+    ids, lengths, null = np.frombuffer(head[: 8 * n], np.int64), np.frombuffer(head[8 * n : 12 * n], np.uint32), np.frombuffer(head[12 * n :], np.uint8)
     total = np.sum([np.frombuffer(s, np.float64) for s in rows["sums"]], axis=0)
     out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": lengths.astype(np.int64), "log_score": total})
     out.loc[null.astype(bool), "doc_id"] = pd.NA
@@ -143,7 +154,7 @@ def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def scored(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, log_score (sum of ln S over its tokens), mean_log_score.
+    """Per row: id, n_tokens, score (ln S per token), log_score (sum of ln S over its tokens).
 
     `docs` must give the same rows in the same order whenever a task is run again, as files do; write other frames out first.
     """
@@ -154,8 +165,8 @@ def scored(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     singles[found.fold, found.token] = found.n  # at most FOLDS x (vocabulary + 1) numbers
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
-    exploded = texts.mapInArrow(_exploded(path, size, buckets), "slice long, bucket int, n int, head binary, folds binary, docs binary, keys binary, times binary")
+    exploded = texts.mapInArrow(_exploded(path, size, buckets), "slice long, bucket int, n int, head binary, docs binary, keys binary, times binary")
     sums = exploded.groupBy("bucket").applyInPandas(_joined(size, singles, FOLDS), "slice long, head binary, sums binary")
     out = sums.groupBy("slice").applyInPandas(_by_document, "doc_id long, n_tokens long, log_score double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
-    return out.select(F.col("doc_id").alias(id_col), "n_tokens", "log_score", mean.alias("mean_log_score"))
+    return out.select(F.col("doc_id").alias(id_col), "n_tokens", mean.alias("score"), "log_score")

@@ -81,6 +81,11 @@ def _means(y: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
     return centroids
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a column, which are of one length and without nulls."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
 def fit(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE, coarse: int = COARSE) -> Index:
     """An index for rows of (id, vector); at most `sample` vectors go to the driver."""
     n = rows.count()
@@ -116,7 +121,7 @@ def _assigned(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = index.nearest(_stacked(batch.column("vector").to_pylist()))
+                own = index.nearest(_matrix(batch.column("vector")))
                 yield pa.record_batch([batch.column("id"), batch.column("vector"), pa.array(own, pa.int32())], names=["id", "vector", "list"])
 
     return run
@@ -143,7 +148,7 @@ def _probed(index: Index, k: int, first: bool):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                order = index.ranked(_stacked(part.column("vector").to_pylist()))
+                order = index.ranked(_matrix(part.column("vector")))
                 rows, lists, dealt = [], [], []
                 for q, near in enumerate(order):
                     enough = int(np.searchsorted(np.cumsum(index.sizes[near]), k + 1)) + 1
@@ -191,19 +196,24 @@ def _scanned(index: Index, k: int):
         here, ids, vectors = None, [], []
         block: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("list", "block", "asks", "id", "vector", "bound")]
-            for part, number, asks, own, vector, bound in zip(*columns, strict=True):
-                if here != (part, number):
-                    here, ids, vectors, block = (part, number), [], [], None
-                if not asks:
-                    ids.append(own)
-                    vectors.append(np.asarray(vector, np.float64))
-                elif ids:
+            if not batch.num_rows:
+                continue
+            lists, blocks, asks, own, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "block", "asks", "id", "bound"))
+            rows, out = _matrix(batch.column("vector")), []
+            starts = np.flatnonzero(np.r_[True, (lists[1:] != lists[:-1]) | (blocks[1:] != blocks[:-1])])
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if here != (lists[a], blocks[a]):
+                    here, ids, vectors, block = (lists[a], blocks[a]), [], [], None
+                first = a + int(np.count_nonzero(~asks[a:b]))
+                if first > a:
+                    ids.append(own[a:first])
+                    vectors.append(rows[a:first])
+                if first < b and ids:
                     if block is None:
-                        stacked = np.stack(vectors)
-                        block = np.array(ids, np.int64), stacked, index.rotated(stacked)
-                    out += [(own, i, s) for i, s in scan(index, np.asarray(vector, np.float64), bound, *block, own, k)]
+                        stacked = np.concatenate(vectors)
+                        block = np.concatenate(ids), stacked, index.rotated(stacked)
+                    for q in range(first, b):
+                        out += [(own[q], i, s) for i, s in scan(index, rows[q], bound[q], *block, own[q], k)]
             yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run

@@ -10,7 +10,7 @@ reads, a window of about WINDOW sequences at a time, so there is no shuffle, no
    the sequence with most room takes what it can.
 
 Results for odd input: null or empty text is the closing id alone; rows with the same id and text are packed each for itself;
-an empty table gives an empty result; further columns are ignored. Sequence ids are unique, not consecutive.
+ids are integers, or texts of integers, and may be null; an empty table gives an empty result; further columns are ignored, whatever their names. Sequence ids are unique, not consecutive.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ has nearly the same number, and taking a shard away moves few slots between the
 table (SLOTS rows of two integers: a fixed size) is broadcast, so placing a row takes constant time and moves nothing.
 
 Results for odd input: a null key hashes like the text "null"; equal keys share a shard; a key that holds a third of all rows gives
-a large shard, unless `spread` deals each key over several slots by the row's hash; an empty table gives an empty result.
+a large shard, unless `spread` deals each key over several slots by the row's hash; repeated rows are placed alike; columns of the names
+slot and shard are replaced by the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -25,11 +25,26 @@ VEHICLES = (
     ("PEDESTRIAN", 0.05, 4.5, 0.40),
 )
 
-# Ensemble members as (id, multiplier, rows shifted, columns shifted).
+# Ensemble members as (id, multiplier, rows shifted, columns shifted, weight).
 MEMBERS = (
-    ("P10", 0.75, 0, 0), ("P50", 1.0, 0, 0), ("P90", 1.25, 0, 0), ("N", 1.05, -2, 0), ("S", 1.05, 2, 0),
-    ("E", 1.10, 0, 2), ("W", 1.10, 0, -2), ("BURST", 1.2, 1, 1), ("DRY", 0.8, -1, -1), ("STORM", 1.15, 1, -1),
-)
+    ("ENS_01_P10", 0.75, 0, 0, 0.10),
+    ("ENS_02_P50", 1.00, 0, 0, 0.20),
+    ("ENS_03_P90", 1.25, 0, 0, 0.10),
+    ("ENS_04_NORTH", 1.05, -2, 0, 0.10),
+    ("ENS_05_SOUTH", 1.05, 2, 0, 0.10),
+    ("ENS_06_EAST", 1.10, 0, 2, 0.10),
+    ("ENS_07_WEST", 1.10, 0, -2, 0.10),
+    ("ENS_08_BURST", 1.20, 1, 1, 0.10),
+    ("ENS_09_DRY", 0.80, -1, -1, 0.05),
+    ("ENS_10_HIGH_STORM", 1.15, 1, -1, 0.05),
+)
+
+# Way-point profiles as (id, deepest water in metres, largest depth times velocity in m2/s).
+WAYPOINT_PROFILES = (
+    ("CIVILIAN_VEHICLE", 0.20, 0.35),
+    ("PEDESTRIAN", 0.10, 0.25),
+    ("EMERGENCY_RESCUE", 0.40, 0.60),
+)
 
 # Z-R profiles as (a, b) and the range of reflectivity that is converted.
 ZR = {"marshall_palmer": (200.0, 1.6), "convective": (300.0, 1.4), "tropical": (250.0, 1.2)}

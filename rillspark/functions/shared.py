@@ -1,4 +1,4 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Tables written to the folder that the driver and all executors share, broadcasts of a checked size, and tiles for windows."""
 
 from __future__ import annotations
 
@@ -7,12 +7,44 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows of a side that is broadcast after its size was checked.
+MOST_BROADCAST = 100_000
+#: Cells of a tile along a line of cells.
+TILE = 512
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to spark.checkpoint.dir (a local folder where that is unset) and read back: iterations keep a short lineage."""
+    """`df`, written to spark.checkpoint.dir and read back: iterations keep a short lineage. Only a local session may leave that unset (tests)."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
-    path = f"{root}/rillspark-{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{root.rstrip('/')}/rillspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables written by `settled` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, else with one for a product dealt over all tasks."""
+    few = df.limit(most + 1).count() <= most
+    return F.broadcast(df) if few else df.hint("shuffle_replicate_nl")
+
+
+def tiled(cells: DataFrame, place: str, halo: int, size: int = TILE) -> DataFrame:
+    """Cells dealt into tiles of `size` along `place`, each with `halo` cells of its neighbours (own is false), so that a window needs one tile only."""
+    own = F.floor(F.col(place) / size)
+    near = F.array_distinct(F.array(own, F.floor((F.col(place) - halo) / size), F.floor((F.col(place) + halo) / size)))
+    return cells.withColumn("tile", F.explode(near)).withColumn("own", F.col("tile") == own)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.functions.shared import small
 from rillspark.operators.roads import steady
 
 KEYS = ("scenario_id", "lead_minutes")
@@ -12,7 +13,7 @@ KEYS = ("scenario_id", "lead_minutes")
 
 def site_depths(assets: DataFrame, depth: DataFrame, frames: DataFrame, default: float = 0.0) -> DataFrame:
     """Depth at every asset's cell for every frame; `default` where the grid has no such cell."""
-    every = assets.crossJoin(F.broadcast(frames))  # frames: the (scenario, lead) pairs, a short list
+    every = assets.crossJoin(small(frames))  # frames: the (scenario, lead) pairs, a short list as a rule
     return every.join(depth.select(*KEYS, "r", "c", "depth_m").hint("merge"), [*KEYS, "r", "c"], "left").withColumn("site_depth_m", F.coalesce("depth_m", F.lit(default))).drop("depth_m")
 
 
@@ -23,7 +24,7 @@ def access_depths(sites: DataFrame, links: DataFrame, road_max: DataFrame) -> Da
     """
     worst = links.join(road_max.hint("merge"), "road_id").groupBy(*KEYS, "asset_id").agg(F.max("max_depth_m").alias("known"))
     guess = F.when(F.col("site_depth_m") > 0.1, 0.2).otherwise(0.0)
-    return sites.join(worst, [*KEYS, "asset_id"], "left").withColumn("access_depth_m", F.coalesce("known", guess)).drop("known")
+    return sites.join(worst.hint("merge"), [*KEYS, "asset_id"], "left").withColumn("access_depth_m", F.coalesce("known", guess)).drop("known")
 
 
 def assessed(sites: DataFrame) -> DataFrame:
@@ -34,6 +35,7 @@ def assessed(sites: DataFrame) -> DataFrame:
     term = F.when(F.col("failure_depth_m") > 0, F.least(F.lit(1.0), site / F.col("failure_depth_m"))).otherwise(0.0)
     score = F.when(F.col("status") == "NORMAL", 0.0).otherwise(0.6 * term + 0.4 * F.least(F.lit(1.0), access / 0.5))
     cm = lambda x: F.format_string("%.0f", F.round(x * 100 + 1e-9, 0))
+    # fixed values: the texts of the four actions
     action = (
         F.when(F.col("status") == "CRITICAL_FAILURE", F.concat(F.lit("EMERGENCY SHUTDOWN / EVACUATE: Severe inundation ("), cm(site), F.lit(" cm) exceeds failure threshold.")))
         .when(F.col("status") == "DIRECT_INUNDATION", F.concat(F.lit("DEPLOY FLOOD BARRIERS: Site flooded ("), cm(site), F.lit(" cm). Deploy mobile dewatering pumps immediately.")))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.functions.shared import settled
+from rillspark.functions.shared import dropped, settled
 from rillspark.operators.roads import steady
 
-# Slope floor, and by waterway the diameter in metres and the roughness.
-LEAST_SLOPE = 0.0005
-WATERWAYS = {"canal": (2.5, 0.025), "stream": (1.8, 0.030), "drain": (1.2, 0.015)}
+# Slope floor; an outlet that is not below its inlet is set OUTLET_DROP lower, but not below OUTLET_FLOOR (metres);
+# by waterway the diameter in metres and the roughness, and those of all other waterways.
+LEAST_SLOPE, OUTLET_DROP, OUTLET_FLOOR = 0.0005, 0.2, 0.5
+WATERWAYS = {"canal": (4.0, 0.025), "river": (4.0, 0.025), "stream": (2.0, 0.020), "ditch": (2.0, 0.020)}
+OTHER_WATERWAY = (1.2, 0.015)
 
 
 def schema_audit(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
@@ -27,7 +29,7 @@ def schema_audit(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
 
 
 def dataset_audit(features: DataFrame, least: int = 1) -> DataFrame:
-    """One row: records, missing geometry, duplicates by id and by geometry (all but the first), the most usual type, status."""
+    """One row: records, missing geometry, duplicates by id and by geometry (all but the first), the number of types, status."""
     found = features.agg(
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("geometry_text").isNull()).alias("missing_geometry"),
         (F.count("source_id") - F.countDistinct("source_id")).alias("duplicate_ids"), (F.count("geometry_text") - F.countDistinct("geometry_text")).alias("duplicate_geometries"),
@@ -43,31 +45,32 @@ def stable_id(dataset: str, source_id: Column, geometry_key: Column) -> Column:
     return F.concat(F.lit("drain-"), F.substring(F.sha2(F.concat(F.lit(f"{dataset}:"), identity), 256), 1, 16))
 
 
-def first_wins(features: DataFrame, most_rounds: int = 200) -> DataFrame:
+def first_wins(features: DataFrame) -> DataFrame:
     """Which features are kept when they are taken in order and one that repeats a kept id or a kept geometry is rejected.
 
     A rejected feature registers neither its id nor its geometry, so this is a greedy scan. Each round settles, among the open
     features, those that are first both by id and by geometry (kept), and those that share either with a kept one of smaller
-    order (rejected). Every round settles the smallest open feature of each group at least. Rows: ord, source_id, geometry_key.
+    order (rejected). Every round settles the smallest open feature at least, so the rounds end. A blank id repeats nothing. First places are found by
+    aggregates and joined back, so that a hot id or geometry is combined before the shuffle and split in the join. Rows: ord (unique),
+    source_id, geometry_key.
     """
-    open_rows = settled(features.select("ord", "source_id", "geometry_key"), "open")
+    blank = F.coalesce("source_id", F.lit("")) == ""
+    open_rows = settled(features.select("ord", F.when(~blank, F.col("source_id")).alias("source_id"), "geometry_key"), "open")
     decided: list[DataFrame] = []
-    for _ in range(most_rounds):
-        by = lambda key: Window.partitionBy(key)
-        blank = F.coalesce("source_id", F.lit("")) == ""
-        ranked = open_rows.withColumns({"id_first": F.when(blank, F.col("ord")).otherwise(F.min("ord").over(by("source_id"))), "geom_first": F.min("ord").over(by("geometry_key"))})
-        keeps = (F.col("ord") == F.col("id_first")) & (F.col("ord") == F.col("geom_first"))
-        marked = settled(ranked.withColumn("keeps", keeps).withColumns({
-            "kept_id": F.when(blank, F.lit(None).cast("long")).otherwise(F.min(F.when(F.col("keeps"), F.col("ord"))).over(by("source_id"))),
-            "kept_geom": F.min(F.when(F.col("keeps"), F.col("ord"))).over(by("geometry_key")),
-        }), "marked")
+    while not open_rows.isEmpty():
+        first = lambda key, name, rows: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ord").alias(name)).hint("merge")
+        ranked = open_rows.join(first("source_id", "id_first", open_rows), "source_id", "left").join(first("geometry_key", "geom_first", open_rows), "geometry_key", "left")
+        keeps = (F.col("ord") == F.coalesce("id_first", "ord")) & (F.col("ord") == F.coalesce("geom_first", "ord"))
+        marked = settled(ranked.select("ord", "source_id", "geometry_key", keeps.alias("keeps")), "marked")
+        kept = marked.where("keeps")
+        known = marked.join(first("source_id", "kept_id", kept), "source_id", "left").join(first("geometry_key", "kept_geom", kept), "geometry_key", "left")
         reason = F.when(F.col("keeps"), "KEPT").when(F.col("kept_id") < F.col("ord"), "DUPLICATE_ID").when(F.col("kept_geom") < F.col("ord"), "DUPLICATE_GEOMETRY")
-        done = marked.withColumn("decision", reason)
+        done = settled(known.select("ord", "source_id", "geometry_key", reason.alias("decision")), "decided")
         decided.append(done.where("decision IS NOT NULL").select("ord", "decision"))
+        dropped(open_rows, marked)
         open_rows = settled(done.where("decision IS NULL").select("ord", "source_id", "geometry_key"), "open")
-        if open_rows.isEmpty():
-            return reduce(DataFrame.unionByName, decided)
-    raise RuntimeError(f"de-duplication did not settle in {most_rounds} rounds")
+    empty = features.select("ord", F.lit(None).cast("string").alias("decision")).limit(0)
+    return reduce(DataFrame.unionByName, decided, empty)
 
 
 def mapped(features: DataFrame, decisions: DataFrame, rules: DataFrame, dataset: str = "drains") -> DataFrame:
@@ -94,15 +97,15 @@ def mapping_statistics(entities: DataFrame) -> DataFrame:
 def conduits(raw: DataFrame) -> DataFrame:
     """Conduits with length (10 m at least), bed slope and full-bore capacity by their waterway's diameter and roughness.
 
-    The outlet is set 0.1 % of the length below the inlet where it is not lower already.
+    An outlet that is not below its inlet is set max(inlet - 0.2, 0.5), so a slope can still be the floor.
     """
-    pick = lambda k: F.coalesce(*(F.when(F.col("waterway") == w, F.lit(v[k])) for w, v in WATERWAYS.items()))
+    pick = lambda k: F.coalesce(*(F.when(F.col("waterway") == w, F.lit(v[k])) for w, v in WATERWAYS.items()), F.lit(OTHER_WATERWAY[k]))
     sized = raw.withColumns({"length_m": F.greatest(F.lit(10.0), F.col("length_raw_m")), "diameter_m": pick(0), "roughness": pick(1)})
-    out = F.when(F.col("z_out") >= F.col("z_in"), F.col("z_in") - 0.001 * F.col("length_m")).otherwise(F.col("z_out"))
+    out = F.when(F.col("z_out") >= F.col("z_in"), F.greatest(F.col("z_in") - OUTLET_DROP, F.lit(OUTLET_FLOOR))).otherwise(F.col("z_out"))
     sloped = sized.withColumn("z_low", out).withColumn("slope", F.greatest(F.lit(LEAST_SLOPE), (F.col("z_in") - F.col("z_low")) / F.col("length_m")))
     area, radius = F.lit(3.141592653589793) * F.col("diameter_m") * F.col("diameter_m") / 4.0, F.col("diameter_m") / 4.0
     capacity = area * F.pow(radius, F.lit(2.0 / 3.0)) * F.sqrt("slope") / F.col("roughness")
-    return sloped.select("conduit_id", "waterway", "from_node", "to_node", "length_m", "diameter_m", steady(F.col("slope")).alias("slope"), steady(capacity).alias("capacity_m3s"), "z_low")
+    return sloped.select("conduit_id", "waterway", "from_node", "to_node", "length_m", "diameter_m", steady(F.col("slope"), 5).alias("slope"), steady(capacity, 3).alias("capacity_m3s"), "z_in", "z_low")
 
 
 def network_summary(found: DataFrame) -> DataFrame:
@@ -113,8 +116,9 @@ def network_summary(found: DataFrame) -> DataFrame:
 
 
 def outfalls(found: DataFrame, most: int = 10) -> DataFrame:
-    """The lowest junctions become outfalls, ties to the smaller number."""
-    low = found.groupBy(F.col("to_node").alias("node")).agg(F.min("z_low").alias("z"))
+    """The lowest junctions (both ends of every conduit) become outfalls, ties to the smaller number."""
+    ends = found.select(F.explode(F.array(F.struct(F.col("from_node").alias("node"), F.col("z_in").alias("z")), F.struct(F.col("to_node").alias("node"), F.col("z_low").alias("z")))).alias("e"))
+    low = ends.groupBy(F.col("e.node").alias("node")).agg(F.min("e.z").alias("z"))
     return low.orderBy("z", "node").limit(most).select("node", steady(F.col("z")).alias("z"))
 
 
@@ -122,3 +126,17 @@ def with_known_ends(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Conduits both of whose ends are known nodes."""
     known = nodes.select("node").distinct()
     return found.join(known.withColumnRenamed("node", "from_node"), "from_node", "left_semi").join(known.withColumnRenamed("node", "to_node"), "to_node", "left_semi")
+
+
+def completeness(entities: DataFrame, features: DataFrame) -> DataFrame:
+    """One row: source features, mapped entities and rejections, and whether these two are the whole source."""
+    sides = features.select(F.lit(1).alias("source"), F.lit(None).cast("string").alias("status")).unionByName(entities.select(F.lit(0).alias("source"), "status"))
+    n = sides.agg(F.count_if(F.col("source") == 1).alias("sources"), F.count_if((F.col("source") == 0) & ~F.col("status").startswith("REJECTED")).alias("entities"), F.count_if((F.col("source") == 0) & F.col("status").startswith("REJECTED")).alias("rejections"))
+    return n.withColumn("complete", F.col("sources") == F.col("entities") + F.col("rejections"))
+
+
+def table_fingerprints(rows: DataFrame, columns: tuple[str, ...], *by: str) -> DataFrame:
+    """Rows and a fingerprint of the content of each group: the sum of 60 bits of every row's digest, whatever their order. Null counts as a text of its own."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns))
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("fingerprint"))

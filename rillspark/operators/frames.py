@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.functions.shared import settled
+from rillspark.functions.shared import settled, tiled
 from rillspark.operators.roads import steady
 
 FRAME = ("scenario_id", "lead_minutes")
@@ -54,15 +54,6 @@ def interpolated(depth: DataFrame, leads: DataFrame, keys: DataFrame) -> DataFra
     return both.select(*FRAME, "r", "c", steady(F.greatest(F.lit(0.0), (1.0 - alpha) * F.col("a") + alpha * F.col("b")), 4).alias("depth_m"))
 
 
-def compared(stats: DataFrame, one: str, other: str) -> DataFrame:
-    """Per lead, what `other` has more than `one`, and what that says."""
-    side = lambda k, p: stats.where(F.col("scenario_id") == k).select("lead_minutes", *(F.col(x).alias(f"{p}_{x}") for x in ("max_depth_m", "flooded_area_m2", "storage_m3")))
-    both = side(one, "a").join(side(other, "b").hint("merge"), "lead_minutes")
-    more = lambda x: F.col(f"b_{x}") - F.col(f"a_{x}")
-    verdict = F.when((more("max_depth_m") > 0) & (more("storage_m3") > 0), "WORSE").when((more("max_depth_m") <= 0) & (more("storage_m3") <= 0), "NOT_WORSE").otherwise("MIXED")
-    return both.select("lead_minutes", *(steady(more(x), 3).alias(f"delta_{x}") for x in ("max_depth_m", "flooded_area_m2", "storage_m3")), verdict.alias("interpretation"))
-
-
 def accepted(depth: DataFrame, leads: int) -> DataFrame:
     """Per scenario: whether all depths are finite and not negative (to 1e-12) and all its leads are there."""
     bad = F.col("depth_m").isNull() | F.isnan("depth_m") | (F.abs("depth_m") == F.lit(float("inf")))
@@ -104,10 +95,30 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float, most_rounds:
 def clear_window(cells: DataFrame, size: int) -> DataFrame:
     """The first size x size window without a bad cell, in raster order, of a dense grid (r, c, bad): its upper left cell, or no row.
 
-    Bad cells are summed along rows, then along columns; each partition is one line of cells.
+    Bad cells are summed along rows, then along columns; each partition is a tile of one line of cells.
     """
-    along = lambda line, place: Window.partitionBy(line).orderBy(place).rangeBetween(0, size - 1)
+    along = lambda line, place: Window.partitionBy(line, "tile").orderBy(place).rangeBetween(0, size - 1)
     n = lambda x, w: F.sum(x).over(w)
-    wide = cells.select("r", "c", n(F.col("bad").cast("int"), along("r", "c")).alias("bad"), F.count(F.lit(1)).over(along("r", "c")).alias("n"))
-    full = wide.select("r", "c", n("bad", along("c", "r")).alias("bad"), n("n", along("c", "r")).alias("n"))
+    wide = tiled(cells, "c", size - 1).select("r", "c", "own", n(F.col("bad").cast("int"), along("r", "c")).alias("bad"), F.count(F.lit(1)).over(along("r", "c")).alias("n")).where("own").drop("own")
+    full = tiled(wide, "r", size - 1).select("r", "c", "own", n("bad", along("c", "r")).alias("bad"), n("n", along("c", "r")).alias("n")).where("own")
     return full.where((F.col("bad") == 0) & (F.col("n") == size * size)).agg(F.min(F.struct("r", "c")).alias("w")).where("w IS NOT NULL").select("w.*")
+
+
+def nearest_within(points: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
+    """The nearest node of each point that has one within `most`; other points are left out. Ties go to the smaller node.
+
+    Bins of the width `most`: a point's own bin and the eight around it hold every node in reach, so one equi-join is enough.
+    """
+    binned = nodes.withColumns({"bx": F.floor(F.col("nx") / most), "by": F.floor(F.col("ny") / most)})
+    around = F.expr("transform(sequence(0, 8), k -> struct(k div 3 - 1 AS dx, k % 3 - 1 AS dy))")
+    asked = points.withColumn("o", F.explode(around)).withColumns({"bx": F.floor(F.col("x") / most) + F.col("o.dx"), "by": F.floor(F.col("y") / most) + F.col("o.dy")})
+    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
+    near = asked.join(binned.hint("merge"), ["bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= most * most)
+    best = near.groupBy("point_id").agg(F.min(F.struct("d2", "node")).alias("b"))
+    return best.select("point_id", "b.node", F.sqrt("b.d2").alias("distance"))
+
+
+def scenario_rows(stats: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row a scenario: its peaks, summed balance terms, the highest surcharge and whether there was any."""
+    sums = ledger.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("runs"), *(F.round(F.sum(f"{x}_m3") + 1e-6, 3).alias(f"{x}_m3") for x in ("rain", "s2d", "d2s", "outfall")), F.max("max_surcharge_m").alias("max_surcharge_m"))
+    return peaks(stats).join(sums.hint("merge"), "scenario_id").withColumn("surcharged", F.col("max_surcharge_m") > 0)

@@ -10,6 +10,8 @@ from rillspark.operators.roads import steady
 
 # Minutes.
 FRESH, STALE = 30.0, 120.0
+# Minutes; ages of a provider's newest observation.
+YOUNG, AGING, EXPIRED = 20.0, 45.0, 90.0
 NEGATIVE_TOLERANCE = -0.001
 
 
@@ -79,24 +81,40 @@ def latest(obs: DataFrame, *by: str) -> DataFrame:
     return obs.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("observation_time", "obs_id")).alias("o")).select(*by, "o.*")
 
 
-def health(obs: DataFrame, now: Column, quiet_minutes: float = 240.0) -> DataFrame:
-    """Per product type: number, newest time and whether it is available (something within so many minutes)."""
-    last = F.max(F.col("observation_time").cast("timestamp"))
-    found = obs.groupBy("product_type").agg(F.count(F.lit(1)).alias("observations"), last.alias("last"))
+def health(obs: DataFrame, now: Column, *by: str) -> DataFrame:
+    """Per provider (columns `by`): number, newest time, status and message by the age of the newest observation at a time.
+
+    Up to 45 minutes HEALTHY (AGING beyond 20), up to 90 DEGRADED, then UNAVAILABLE; without any observation time UNCONFIGURED.
+    """
+    found = obs.groupBy(*by).agg(F.count("observation_time").alias("observations"), F.max(F.col("observation_time").cast("timestamp")).alias("last"))
     age = (F.unix_micros(now) - F.unix_micros("last")) / 6e7
-    return found.select("product_type", "observations", F.col("last").cast("timestamp_ntz").alias("last_observation"), F.when(age <= quiet_minutes, "AVAILABLE").otherwise("UNAVAILABLE").alias("availability"))
+    status = F.when(F.col("last").isNull(), "UNCONFIGURED").when(age <= AGING, "HEALTHY").when(age <= EXPIRED, "DEGRADED").otherwise("UNAVAILABLE")
+    m = F.concat(F.lit("age="), F.format_string("%.1f", age), F.lit("m)"))
+    up = lambda word: F.concat(F.lit(f"Radar operational ({word}, "), m, F.lit(": "), F.col("observations").cast("string"), F.lit(" frames cached"))
+    text = (
+        F.when(F.col("last").isNull(), "No radar frames ingested yet").when(age <= YOUNG, up("FRESH")).when(age <= AGING, up("AGING"))
+        .when(age <= EXPIRED, F.concat(F.lit("Radar degraded (STALE, "), m)).otherwise(F.concat(F.lit("Radar feed unavailable (EXPIRED, "), m))
+    )
+    return found.select(*by, "observations", F.col("last").cast("timestamp_ntz").alias("last_observation"), status.alias("status"), text.alias("message"))
 
 
 def nearest_in_time(wanted: DataFrame, obs: DataFrame, minutes: int = 15) -> DataFrame:
     """For each wanted (sensor_id, t) the nearest observation within so many minutes; ties to the earlier, then the smaller id.
 
-    Times fall into buckets of that length; a wanted time is joined with its own bucket and the two beside it, so the
-    join is on equal keys and no sensor's whole history meets a request.
+    Where there is none, the sensor's latest observation is given (fallback is true; its gap may be of any length). Times fall into buckets of that length; a
+    wanted time is joined with its own bucket and the two beside it, so the join is on equal keys and no sensor's whole
+    history meets a request.
     """
     size = minutes * 60
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    asked = wanted.withColumn("tm", micros("t")).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("tm") / (size * 1e6)) + k)))
+    timed = wanted.select("sensor_id", "t").distinct().withColumn("tm", micros("t"))
+    asked = timed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("tm") / (size * 1e6)) + k)))
     have = obs.select("sensor_id", "obs_id", micros("observation_time").alias("om")).withColumn("bucket", F.floor(F.col("om") / (size * 1e6)))
-    near = asked.join(have.hint("merge"), ["sensor_id", "bucket"]).where(F.abs(F.col("tm") - F.col("om")) <= size * 1000000)
-    best = near.groupBy("sensor_id", "t").agg(F.min(F.struct(F.abs(F.col("tm") - F.col("om")).alias("gap"), F.col("om"), F.col("obs_id"))).alias("b"))
-    return best.select("sensor_id", "t", F.col("b.obs_id").alias("obs_id"), (F.col("b.gap") / 1000000).cast("double").alias("gap_seconds"))
+    both = asked.join(have.hint("merge"), ["sensor_id", "bucket"], "left")
+    gap = F.abs(F.col("tm") - F.col("om"))
+    best = both.groupBy("sensor_id", "t", "tm").agg(F.min(F.when(gap <= size * 1000000, F.struct(gap.alias("gap"), F.col("om"), F.col("obs_id")))).alias("b"))
+    last = obs.groupBy("sensor_id").agg(F.max(F.struct(micros("observation_time").alias("om"), F.col("obs_id"))).alias("l"))
+    known = best.join(last.hint("merge"), "sensor_id")
+    return known.select(
+        "sensor_id", "t", F.coalesce("b.obs_id", "l.obs_id").alias("obs_id"), (F.coalesce("b.gap", F.abs(F.col("tm") - F.col("l.om"))) / 1000000).cast("double").alias("gap_seconds"), F.col("b").isNull().alias("fallback")
+    )

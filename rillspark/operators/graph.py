@@ -1,7 +1,7 @@
 """Batched shortest paths on road graphs, for all queries, scenarios, leads and vehicles at once.
 
 Costs are whole milliseconds, so that sums are exact and ties are real; of equal costs the path with fewer hops wins, then the
-smaller path text. A search is a loop of joins: the frontier (nodes improved in the last round) is joined with the edges, and the
+smaller one, node by node from the start. A search is a loop of joins: the frontier (nodes improved in the last round) is joined with the edges, and the
 best label of each (search, node) stays. The driver sees one count a round.
 """
 
@@ -37,43 +37,84 @@ def flood_costs(edges: DataFrame, policy: dict = PASSABILITY) -> DataFrame:
 
 
 def vehicle_costs(edges: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Edges by vehicle (as mode): those it can pass, at its effective speed (at least 0.1 m/s). vehicles: vehicle, deepest, speed, least."""
+    """Edges by vehicle (as mode; `vehicle@lead` if the edges have lead_minutes): those it can pass, at its effective speed (at least 0.1 m/s).
+
+    vehicles: vehicle, deepest, speed, least.
+    """
     d = F.coalesce("depth_m", F.lit(0.0))
     each = edges.crossJoin(F.broadcast(vehicles)).where(d <= F.col("deepest"))
     speed = F.greatest(F.lit(0.36), effective_speed(d, F.col("deepest"), F.col("speed"), F.col("least")))
-    return each.select("n1", "n2", "road_id", "length_m", "depth_m", F.col("vehicle").alias("mode"), travel_ms(F.col("length_m"), speed).alias("cost_ms"))
+    mode = F.concat_ws("@", "vehicle", F.col("lead_minutes").cast("string")) if "lead_minutes" in edges.columns else F.col("vehicle")
+    return each.select("n1", "n2", "road_id", "length_m", "depth_m", mode.alias("mode"), travel_ms(F.col("length_m"), speed).alias("cost_ms"))
+
+
+def soft_costs(edges: DataFrame, limits: DataFrame, penalty: float = 100_000.0, slope: float = 250.0, dry_m: float = 0.05) -> DataFrame:
+    """Edges by profile (as mode): all stay passable; water costs seconds: `penalty` beyond the profile's limit, else depth / limit * `slope`.
 
+    edges: n1, n2, road_id, length_m, depth_m, time_s; limits: profile, limit_m.
+    """
+    d = F.coalesce("depth_m", F.lit(0.0))
+    more = F.when(d > F.col("limit_m"), F.lit(penalty)).when(d > dry_m, d / F.col("limit_m") * slope).otherwise(0.0)
+    each = edges.crossJoin(F.broadcast(limits))
+    return each.select("n1", "n2", "road_id", "length_m", "depth_m", F.col("profile").alias("mode"), F.round((F.col("time_s") + more) * 1000.0).cast("long").alias("cost_ms"))
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, most_rounds: int = 500) -> DataFrame:
-    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (nodes), length_m, max_depth_m.
 
-    edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete.
+def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m.
+
+    edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete. A round lengthens
+    paths by one edge, so there are as many rounds as the longest best path has edges; costs below 0 are refused.
     """
     label = F.struct("cost_ms", "hops", "path", "length_m", "max_depth_m")
     keys = ("mode", "origin", "node")
-    start = origins.select("mode", "origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("cost_ms"), F.lit(0).alias("hops"), F.lpad(F.col("origin").cast("string"), 6, "0").alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m"))
-    best = settled(start, "paths")
-    frontier = best
-    links = edges.select("mode", F.col("n1").alias("node"), F.col("n2").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m"))
-    for _ in range(most_rounds):
-        f = frontier.alias("f")
-        step = f.join(links.alias("e"), ["mode", "node"]).select(
+    links = settled(edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m")), "links")
+    if not links.where("cost_ms < 0").isEmpty():
+        raise ValueError("an edge has a cost below 0")
+    origin = F.col("origin").cast("long")
+    start = origins.select("mode", origin.alias("origin"), origin.alias("node"), F.lit(0).cast("long").alias("cost_ms"), F.lit(0).alias("hops"), F.array(origin).alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m"))
+    best = frontier = settled(start, "paths")
+    while not frontier.isEmpty():
+        f, e = frontier.alias("f"), links.hint("merge").alias("e")
+        step = f.join(e, ["mode", "node"]).select(
             "mode", "origin", F.col("next").alias("node"), (F.col("f.cost_ms") + F.col("e.cost_ms")).alias("cost_ms"), (F.col("hops") + 1).alias("hops"),
-            F.concat_ws(">", "path", F.lpad(F.col("next").cast("string"), 6, "0")).alias("path"), (F.col("f.length_m") + F.col("e.length_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"),
+            F.concat("path", F.array("next")).alias("path"), (F.col("f.length_m") + F.col("e.length_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"),
         )
         merged = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
         chosen = merged.groupBy(*keys).agg(F.min(label).alias("w"), F.min(F.when(F.col("old"), label)).alias("was"))
         done = settled(chosen.select(*keys, "w.*", (F.col("was").isNull() | (F.col("w.path") != F.col("was.path"))).alias("improved")), "paths")
         best, frontier = done.drop("improved"), done.where("improved").drop("improved")
-        if frontier.isEmpty():
-            return best
-    raise RuntimeError(f"paths did not settle in {most_rounds} rounds")
+    return best
+
+
+def path_text(path: Column) -> Column:
+    """The nodes of a path, joined by >."""
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), ">")
+
+
+def path_edges(paths: DataFrame) -> DataFrame:
+    """(mode, origin, node, a, b): the edges of every path, ends in order of their numbers."""
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.least(F.element_at("path", k), F.element_at("path", k + 1)).alias("a"), F.greatest(F.element_at("path", k), F.element_at("path", k + 1)).alias("b")))
+    return paths.where("hops > 0").select("mode", "origin", "node", F.explode(steps).alias("e")).select("mode", "origin", "node", "e.a", "e.b")
+
+
+def avoided_edges(paths: DataFrame, edges: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
+    """Edges of the base route that the other route of the same ends does not use, with their water and its class; both routes exist.
+
+    edges: n1, n2, depth_m, one row an edge or more; the deepest water between two nodes counts.
+    """
+    steps = path_edges(paths)
+    ends = ["origin", "node"]
+    both = paths.where(F.col("mode") == other).select(*ends)
+    left = steps.where(F.col("mode") == base).drop("mode").join(both.hint("merge"), ends, "left_semi")
+    gone = left.join(steps.where(F.col("mode") == other).drop("mode").hint("merge"), [*ends, "a", "b"], "left_anti")
+    water = edges.groupBy(F.least("n1", "n2").cast("long").alias("a"), F.greatest("n1", "n2").cast("long").alias("b")).agg(F.max(F.coalesce("depth_m", F.lit(0.0))).alias("depth_m"))
+    return gone.join(water.hint("merge"), ["a", "b"]).select(*ends, "a", "b", "depth_m", impact_class(F.col("depth_m")).alias("class"))
 
 
 def compared_routes(paths: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
     """For each origin and node: both routes, added length and time, whether the path differs; NO_SAFE_ROUTE if only the base reaches it."""
     side = lambda m, p: paths.where(F.col("mode") == m).select("origin", "node", *(F.col(c).alias(f"{p}_{c}") for c in ("cost_ms", "length_m", "path")))
-    both = side(base, "base").join(side(other, "safe"), ["origin", "node"], "left").where("origin <> node")
+    both = side(base, "base").join(side(other, "safe").hint("merge"), ["origin", "node"], "left").where("origin <> node")
     status = F.when(F.col("safe_path").isNull(), "NO_SAFE_ROUTE").when(F.col("safe_path") == F.col("base_path"), "UNCHANGED").otherwise("REROUTED")
     return both.select(
         "origin", "node", "base_cost_ms", "safe_cost_ms", (F.col("safe_cost_ms") - F.col("base_cost_ms")).alias("added_ms"), steady(F.col("safe_length_m") - F.col("base_length_m"), 3).alias("added_m"), status.alias("status")
@@ -85,13 +126,13 @@ def cutoffs(paths: DataFrame, leads: DataFrame) -> DataFrame:
 
     paths: vehicle, lead_minutes, origin, node (reached). Pairs that no lead reaches are left out.
     """
-    pairs = paths.select("vehicle", "origin", "node").distinct().crossJoin(F.broadcast(leads))
-    seen = pairs.join(paths.select("vehicle", "lead_minutes", "origin", "node", F.lit(True).alias("viable")), ["vehicle", "lead_minutes", "origin", "node"], "left")
+    pairs = paths.select("vehicle", "origin", "node").distinct().crossJoin(F.broadcast(leads))  # leads: a short list
+    seen = pairs.join(paths.select("vehicle", "lead_minutes", "origin", "node", F.lit(True).alias("viable")).hint("merge"), ["vehicle", "lead_minutes", "origin", "node"], "left")
     lost = F.col("viable").isNull()
     return seen.groupBy("vehicle", "origin", "node").agg(F.min(F.when(lost & (F.col("lead_minutes") > 0), F.col("lead_minutes"))).alias("cutoff_lead_minutes"), F.bool_and(~lost).alias("always_passable"))
 
 
 def nearest_shelter(paths: DataFrame, shelters: DataFrame) -> DataFrame:
     """Per mode and origin: the shelter reached soonest and all reachable ones in order of time. shelters: node, shelter."""
-    reached = paths.join(F.broadcast(shelters), "node").groupBy("mode", "origin").agg(F.array_sort(F.collect_list(F.struct("cost_ms", "shelter"))).alias("s"))
+    reached = paths.join(shelters.hint("merge"), "node").groupBy("mode", "origin").agg(F.array_sort(F.collect_list(F.struct("cost_ms", "shelter"))).alias("s"))
     return reached.select("mode", "origin", F.col("s")[0]["shelter"].alias("shelter"), F.col("s")[0]["cost_ms"].alias("cost_ms"), F.array_join(F.transform("s", lambda x: x["shelter"]), ",").alias("reachable"))

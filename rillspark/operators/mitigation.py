@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillspark.functions.shared import settled
 from rillspark.operators.roads import steady
 
 FRAME = ("scenario_id", "lead_minutes")
@@ -23,11 +24,12 @@ def abated(depth: DataFrame, packages: DataFrame, unblocked: DataFrame | None =
     packages: package, lid, basin_m3, pump_m3s, unblock. unblocked: scenario_id, lead_minutes, r, c, clean_depth_m of frames that
     have a counterpart without blockage; other frames have no such relief.
     """
+    depth = settled(depth.select(*FRAME, "r", "c", "depth_m"), "depth")  # read for each layer's count and for the cells
     base = depth.select(*FRAME, "r", "c", F.col("depth_m").alias("base_m")).crossJoin(F.broadcast(packages))
     if unblocked is None:
         base = base.withColumn("d", F.col("base_m"))
     else:
-        base = base.join(unblocked, [*FRAME, "r", "c"], "left")
+        base = base.join(unblocked.hint("merge"), [*FRAME, "r", "c"], "left")
         relief = F.greatest(F.lit(0.0), F.col("base_m") - F.col("clean_depth_m")) + F.when(F.col("base_m") > 0.20, F.least(F.col("base_m"), F.lit(0.08))).otherwise(0.0)
         base = base.withColumn("d", F.when(F.col("unblock") & F.col("clean_depth_m").isNotNull(), F.greatest(F.lit(0.0), F.col("base_m") - relief)).otherwise(F.col("base_m"))).drop("clean_depth_m")
     base = base.withColumn("d", F.greatest(F.lit(0.0), F.col("d") - F.least(F.col("d"), 0.0125 * F.col("lid"))))
@@ -36,7 +38,7 @@ def abated(depth: DataFrame, packages: DataFrame, unblocked: DataFrame | None =
         deep = df.groupBy(*FRAME, "package").agg(F.count_if(F.col("d") >= least).alias("n_deep"))
         each = volume / (F.col("n_deep") * CELL_M2)
         lowered = F.when((F.col("d") >= least) & (volume > 0), F.greatest(F.lit(0.0), F.col("d") - F.least(F.col("d"), each))).otherwise(F.col("d"))
-        return df.join(deep, [*FRAME, "package"]).withColumn("d", lowered).drop("n_deep")
+        return df.join(deep.hint("merge"), [*FRAME, "package"]).withColumn("d", lowered).drop("n_deep")
 
     done = shared(shared(base, 0.15, F.col("basin_m3")), 0.10, F.col("pump_m3s") * 1800.0)
     return done.select(*FRAME, "package", "r", "c", "base_m", F.col("d").alias("depth_m"))
@@ -52,7 +54,7 @@ def effects(grids: DataFrame, roads: DataFrame) -> DataFrame:
         (F.sum("base_m") * CELL_M2).alias("v0"), (F.sum("depth_m") * CELL_M2).alias("v1"),
     )
     shut = roads.groupBy(*FRAME, "package").agg(F.count_if(F.col("before_m") > 0.5).alias("impassable_before"), F.count_if((F.col("before_m") > 0.5) & ~(F.col("after_m") > 0.5)).alias("reopened_roads"))
-    both = sums.join(shut, [*FRAME, "package"], "left").fillna(0, ["impassable_before", "reopened_roads"])
+    both = sums.join(shut.hint("merge"), [*FRAME, "package"], "left").fillna(0, ["impassable_before", "reopened_roads"])
     less = lambda x: F.greatest(F.lit(0.0), F.col(f"{x}0") - F.col(f"{x}1"))
     part = lambda x: F.when(F.col(f"{x}0") > 0, F.least(F.lit(1.0), less(x) / F.col(f"{x}0"))).otherwise(0.0)
     road_part = F.when(F.col("impassable_before") > 0, F.col("reopened_roads") / F.col("impassable_before")).otherwise(1.0)

@@ -1,7 +1,7 @@
 """Rain nowcasts on dense frames: gradients, motion, semi-Lagrangian advection, persistence and blending.
 
-Frames are tables (frame, r, c, rate_mmh). Windows run along one row or one column of a frame, so a partition holds one line of
-cells, never a whole frame; gathers are equi-joins on cells.
+Frames are tables (frame, r, c, rate_mmh). Windows run along one tile of a row or a column of a frame, so a partition holds a few
+cells, however large frames are; gathers are equi-joins on cells.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.functions.shared import tiled
+
 #: Decay time of advected rain in minutes, and the longest lead that is blended with radar.
 DECAY_MINUTES = 180.0
 
@@ -16,12 +18,13 @@ DECAY_MINUTES = 180.0
 def gradients(frames: DataFrame, value: str = "rate_mmh") -> DataFrame:
     """Per cell gx (along columns) and gy (along rows): central differences, one-sided at the edges."""
 
-    def along(line: str, place: str) -> Column:
-        w = Window.partitionBy("frame", line).orderBy(place)
+    def along(cells: DataFrame, line: str, place: str, name: str) -> DataFrame:
+        w = Window.partitionBy("frame", line, "tile").orderBy(place)
         v, before, after = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
-        return F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2.0)
+        slope = F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2.0)
+        return tiled(cells, place, 1).withColumn(name, slope).where("own").drop("tile", "own")
 
-    return frames.withColumns({"gx": along("r", "c"), "gy": along("c", "r")})
+    return along(along(frames, "r", "c", "gx"), "c", "r", "gy")
 
 
 def centroids(frames: DataFrame, value: str = "rate_mmh") -> DataFrame:
@@ -43,7 +46,7 @@ def motion_field(frames: DataFrame, before: int, after: int, cell_m: float = 30.
     """Per cell of the later frame: local flow (regularised by 1), blended with the storm's motion by gradient, within +-50 m/s."""
     steep = gradients(frames.where(F.col("frame") == after))
     past = frames.where(F.col("frame") == before).select("r", "c", F.col("rate_mmh").alias("past"))
-    both = steep.join(past, ["r", "c"]).crossJoin(F.broadcast(storm_motion(frames, before, after, cell_m, seconds)))  # the right side is one row
+    both = steep.join(past.hint("merge"), ["r", "c"]).crossJoin(F.broadcast(storm_motion(frames, before, after, cell_m, seconds)))  # the right side is one row
     g2 = F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")
     weight = g2 / (g2 + 0.1)
 
@@ -96,7 +99,7 @@ def blended(radar: DataFrame, forecast: DataFrame, step_of_lead: DataFrame) -> D
     """Radar and forecast mixed by lead, within 0 to 300 mm/h; without a forecast for a cell, radar alone."""
     weighted = radar.join(F.broadcast(step_of_lead), "lead_minutes", "left").withColumn("w_radar", radar_weight(F.col("lead_minutes")))
     other = forecast.select("step_minutes", "r", "c", F.col("rate_mmh").alias("nwp"))
-    both = weighted.join(other, ["step_minutes", "r", "c"], "left")
+    both = weighted.join(other.hint("merge"), ["step_minutes", "r", "c"], "left")
     mixed = F.when(F.col("nwp").isNull(), F.col("rate_mmh")).otherwise(F.col("w_radar") * F.col("rate_mmh") + (1.0 - F.col("w_radar")) * F.col("nwp"))
     mode = F.when(F.col("nwp").isNull(), "FALLBACK_RADAR_ONLY").when(F.col("w_radar") == 1.0, "RADAR_ONLY").when(F.col("w_radar") == 0.0, "NWP_ONLY").otherwise("BLENDED_LINEAR")
     return both.select("lead_minutes", "r", "c", F.greatest(F.lit(0.0), F.least(F.lit(300.0), mixed)).alias("rate_mmh"), mode.alias("blending_mode"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, impact_class, passability
 
+#: Leads that are aggregated side by side.
+LEADS_AT_ONCE = 8
+
 
 def steady(x: Column, digits: int = 6) -> Column:
     """Rounded so that decimal ties do not depend on the order of summation."""
@@ -35,17 +41,41 @@ def sampled(cells: DataFrame, depth: DataFrame, *keep: str) -> DataFrame:
     return cells.select("road_id", "r", "c", *keep).join(depth.select("scenario_id", "lead_minutes", "r", "c", "depth_m").hint("merge"), ["r", "c"])
 
 
+def leads_of(grid: DataFrame) -> list[int]:
+    """The leads of a grid table, a short list."""
+    return sorted(r[0] for r in grid.select("lead_minutes").distinct().collect())
+
+
+def by_road(cells: DataFrame, grid: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], leads: list[int], found: Callable[..., dict[str, Column]], *kept: str) -> DataFrame:
+    """Aggregates of grid values over each road's cells: one row for each of `keys`, lead and road with a known cell.
+
+    Leads stand side by side in columns, LEADS_AT_ONCE of them at a time, so that a road's cells are joined and grouped once for as many leads. `found` gives the
+    aggregates of one lead's value columns, by name; kept columns of `cells` are the same for all cells of a road.
+    """
+    lead = F.col("lead_minutes")
+    parts = []
+    for at in range(0, len(leads), LEADS_AT_ONCE):
+        some = list(enumerate(leads[at : at + LEADS_AT_ONCE]))
+        wide = grid.where(lead.isin([x for _, x in some])).groupBy(*keys, "r", "c").agg(*(F.max(F.when(lead == x, F.col(v))).alias(f"{v}_{k}") for k, x in some for v in values))
+        each = {k: found(*(F.col(f"{v}_{k}") for v in values)) for k, _ in some}
+        counted = (F.count(f"{values[0]}_{k}").alias(f"n_{k}") for k, _ in some)
+        sums = cells.select("road_id", "r", "c", *kept).join(wide.hint("merge"), ["r", "c"]).groupBy(*keys, "road_id").agg(*counted, *(x.alias(f"{name}_{k}") for k in each for name, x in each[k].items()), *(F.first(c).alias(c) for c in kept))
+        rows = F.array(*(F.struct(F.lit(x).alias("lead_minutes"), F.col(f"n_{k}").alias("n_cells"), *(F.col(f"{name}_{k}").alias(name) for name in each[k])) for k, x in some))
+        parts.append(sums.select(*keys, "road_id", *kept, F.explode(rows).alias("f")).select(*keys, "f.lead_minutes", "road_id", *kept, *(f"f.{name}" for name in ("n_cells", *each[0]))).where("n_cells > 0"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def road_impact(segments: DataFrame, depth: DataFrame, policy: dict = PASSABILITY) -> DataFrame:
-    """Impact of every road at every scenario and lead: depth statistics, impacted share and length, class and passability."""
-    samples = sampled(road_cells(segments), depth, "length_m")
-    hit = F.avg(F.when(F.col("depth_m") > policy["impacted_m"], 1.0).otherwise(0.0))
-    found = samples.groupBy("scenario_id", "lead_minutes", "road_id").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.max("depth_m").alias("max_depth_m"), steady(F.avg("depth_m")).alias("mean_depth_m"),
-        hit.alias("fraction"), F.first("length_m").alias("length_m"),
-    )
+    """Impact of every road at every scenario and lead: depth statistics, impacted share and length, class and passability.
+
+    Statistics are over the cells that the grid has; missing_cells says how many of the road's cells it lacks, for callers that refuse such roads.
+    """
+    whole = F.greatest(F.abs(F.col("r2") - F.col("r1")), F.abs(F.col("c2") - F.col("c1"))) + 1
+    stats = lambda d: {"max_depth_m": F.max(d), "mean_depth_m": steady(F.avg(d)), "fraction": F.avg(F.when(d > policy["impacted_m"], 1.0).when(d.isNotNull(), 0.0))}
+    found = by_road(road_cells(segments.withColumn("whole", whole)), depth, ("scenario_id",), ("depth_m",), leads_of(depth), stats, "length_m", "whole")
     named = found.withColumn("classification", impact_class(F.col("max_depth_m"), policy))
     return named.select(
-        "scenario_id", "lead_minutes", "road_id", "n_cells", "max_depth_m", "mean_depth_m", steady(F.col("fraction")).alias("impacted_fraction"),
+        "scenario_id", "lead_minutes", "road_id", "n_cells", (F.col("whole") - F.col("n_cells")).alias("missing_cells"), "max_depth_m", "mean_depth_m", steady(F.col("fraction")).alias("impacted_fraction"),
         steady(F.col("fraction") * F.col("length_m")).alias("impacted_length_m"), "classification", passability(F.col("classification")).alias("passability"),
     )
 
@@ -58,7 +88,7 @@ def road_metrics(impact: DataFrame, total_segments: DataFrame) -> DataFrame:
         F.count_if(F.col("classification").isin("HIGH_IMPACT", "IMPASSABLE")).alias("high_impact_segments"),
         F.count_if(F.col("classification") == "IMPASSABLE").alias("impassable_segments"),
         steady(F.sum("impacted_length_m"), 3).alias("affected_road_length_m"),
-        F.max("max_depth_m").alias("max_road_depth_m"),
+        steady(F.max("max_depth_m"), 4).alias("max_road_depth_m"),
     )
     return counted.crossJoin(F.broadcast(total))
 
@@ -92,7 +122,7 @@ def class_counts(impact: DataFrame) -> DataFrame:
 
 
 def impact_reason(impact: DataFrame, policy: dict = PASSABILITY) -> DataFrame:
-    """The class of each row explained in words."""
+    """The class of each row explained in words (fixed values)."""
     d, t = F.format_string("%.3f", steady(F.col("max_depth_m"), 3)), policy
     text = (
         F.when(F.col("classification") == "DRY", F.concat(F.lit("max depth "), d, F.lit(f" m is at or below the dry threshold {t['dry_m']:.2f} m")))
@@ -116,7 +146,7 @@ def reopened_roads(before: DataFrame, after: DataFrame) -> DataFrame:
     """Roads that are impassable in `before` and not in `after`, by scenario and lead."""
     keys = ["scenario_id", "lead_minutes", "road_id"]
     shut = lambda df: df.where(F.col("classification") == "IMPASSABLE").select(*keys)
-    return shut(before).join(shut(after), keys, "left_anti")
+    return shut(before).join(shut(after).hint("merge"), keys, "left_anti")
 
 
 def screened_frames(depth: DataFrame, impact: DataFrame, cell_m: float = 30.0) -> DataFrame:
@@ -129,11 +159,12 @@ def screened_frames(depth: DataFrame, impact: DataFrame, cell_m: float = 30.0) -
     roads = impact.groupBy("scenario_id", "lead_minutes").agg(
         F.count_if(F.col("classification") == "IMPASSABLE").alias("impassable_roads"), F.count_if(F.col("classification").isin("CAUTION", "HIGH_IMPACT")).alias("caution_roads")
     )
-    both = grid.join(roads, ["scenario_id", "lead_minutes"], "left").fillna(0, ["impassable_roads", "caution_roads"])
+    both = grid.join(roads.hint("merge"), ["scenario_id", "lead_minutes"], "left").fillna(0, ["impassable_roads", "caution_roads"])
     d, shut, slow = F.col("max_depth_m"), F.col("impassable_roads"), F.col("caution_roads")
     severity = F.when((d >= 0.50) | (shut >= 2), "Extreme").when((d >= 0.30) | (shut >= 1), "Severe").when((d >= 0.15) | (slow >= 2), "Moderate").when((d >= 0.05) | (slow >= 1), "Minor")
     found = both.withColumn("severity", severity).where("severity IS NOT NULL")
     pick = lambda *texts: F.element_at(F.create_map(*(x for k, v in zip(("Extreme", "Severe", "Moderate", "Minor"), texts, strict=True) for x in (F.lit(k), F.lit(v)))), F.col("severity"))
+    # fixed values: colours and names of events by severity
     return found.withColumns({
         "color_band": pick("RED", "ORANGE", "AMBER", "GREEN"),
         "event": pick("Urban Flash Flood - Emergency Inundation Warning", "Urban Flood Warning - High Waterlogging & Road Closures", "Urban Flood Watch - Moderate Road Waterlogging", "Urban Ponding Advisory - Minor Surface Runoff"),

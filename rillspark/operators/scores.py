@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.functions.shared import tiled
 from rillspark.operators.roads import steady
 
 
@@ -43,13 +44,13 @@ def categorical(pairs: DataFrame, thresholds: DataFrame, *by: str) -> DataFrame:
 def fraction_skill(pairs: DataFrame, threshold: float = 1.0, window: int = 5) -> DataFrame:
     """Fractions skill score of a dense grid (r, c, f, o): event shares in windows, zero beyond the edges, compared.
 
-    The square window is two one-way windows, one after the other, each within a line of cells.
+    The square window is two one-way windows, one after the other, each within a tile of a line of cells.
     """
     half = window // 2
-    along = lambda line, place: Window.partitionBy(line).orderBy(place).rangeBetween(-half, half)
+    along = lambda line, place: Window.partitionBy(line, "tile").orderBy(place).rangeBetween(-half, half)
     events = pairs.select("r", "c", *((F.col(x) >= threshold).cast("double").alias(x) for x in ("f", "o")))
-    wide = events.select("r", "c", *(F.sum(x).over(along("r", "c")).alias(x) for x in ("f", "o")))
-    share = wide.select(*((F.sum(x).over(along("c", "r")) / float(window * window)).alias(x) for x in ("f", "o")))
+    wide = tiled(events, "c", half).select("r", "c", "own", *(F.sum(x).over(along("r", "c")).alias(x) for x in ("f", "o"))).where("own").drop("own")
+    share = tiled(wide, "r", half).select("own", *((F.sum(x).over(along("c", "r")) / float(window * window)).alias(x) for x in ("f", "o"))).where("own")
     mse, worst = F.avg((F.col("f") - F.col("o")) * (F.col("f") - F.col("o"))), F.avg(F.col("f") * F.col("f")) + F.avg(F.col("o") * F.col("o"))
     return share.agg(mse.alias("mse"), worst.alias("worst")).select(steady(F.when(F.col("worst") <= 1e-12, F.when(F.col("mse") <= 1e-12, 1.0).otherwise(0.0)).otherwise(1.0 - F.col("mse") / F.col("worst"))).alias("fss"))
 
@@ -110,31 +111,54 @@ def confidence_bounds(metrics: DataFrame) -> DataFrame:
     return p.select("scenario_id", "lead_minutes", *(steady(F.col("p")[k], 3).alias(f"p{n}_max_depth_m") for k, n in enumerate((10, 50, 90))), steady(F.col("p")[2] - F.col("p")[0], 3).alias("interquartile_range_m"))
 
 
-def exceedance(grids: DataFrame, thresholds: DataFrame, members: int) -> DataFrame:
-    """Per threshold (>=): cells by probability over all members (cells that no member holds have none), and its mean and largest."""
+def exceedance(grids: DataFrame, thresholds: DataFrame, members: int, cells: int) -> DataFrame:
+    """Per threshold (>=): cells by probability over all members (cells that no member holds have none), and its mean over the grid's `cells` and its largest."""
     cell = grids.groupBy("scenario_id", "lead_minutes", "r", "c").agg(F.collect_list("depth_m").alias("d"))  # one value a member
     p = cell.crossJoin(F.broadcast(thresholds)).withColumn("p", F.size(F.filter("d", lambda x: x >= F.col("threshold"))) / float(members))
     return p.groupBy("scenario_id", "lead_minutes", "threshold").agg(
         F.count_if(F.col("p") > 0).alias("cells_any"), F.count_if(F.col("p") >= 0.5).alias("cells_likely"), F.count_if(F.col("p") >= 0.9).alias("cells_certain"),
-        steady(F.avg("p")).alias("mean_probability"), steady(F.max("p")).alias("max_probability"),
+        steady(F.sum("p") / float(cells)).alias("mean_probability"), steady(F.max("p")).alias("max_probability"),
     )
 
 
 def brier(grids: DataFrame, base: DataFrame, members: int, threshold: float = 0.10) -> DataFrame:
     """Mean squared difference between the members' probability and the base grid's event, over the base grid's cells."""
     p = grids.groupBy("scenario_id", "lead_minutes", "r", "c").agg((F.count_if(F.col("depth_m") >= threshold) / float(members)).alias("p"))
-    both = base.join(p, ["scenario_id", "lead_minutes", "r", "c"], "left").withColumn("e", F.coalesce("p", F.lit(0.0)) - (F.col("depth_m") >= threshold).cast("double"))
+    both = base.join(p.hint("merge"), ["scenario_id", "lead_minutes", "r", "c"], "left").withColumn("e", F.coalesce("p", F.lit(0.0)) - (F.col("depth_m") >= threshold).cast("double"))
     return both.groupBy("scenario_id", "lead_minutes").agg(steady(F.avg(F.col("e") * F.col("e"))).alias("brier_score"))
 
 
-def road_risk(samples: DataFrame) -> DataFrame:
+def road_risk(worst: DataFrame) -> DataFrame:
     """Per road: probabilities over members of being impassable (>= .30), in caution (.10 to .30) and dry, mean and P90 of the members' largest depth.
 
-    samples: scenario_id, lead_minutes, road_id, member_id, depth_m.
+    worst: scenario_id, lead_minutes, road_id, member_id, d (the largest depth on the road).
     """
-    worst = samples.groupBy("scenario_id", "lead_minutes", "road_id", "member_id").agg(F.max("depth_m").alias("d"))
     share = lambda x: steady(F.avg(F.when(x, 1.0).otherwise(0.0)), 3)
     return worst.groupBy("scenario_id", "lead_minutes", "road_id").agg(
         share(F.col("d") >= 0.30).alias("prob_impassable"), share((F.col("d") >= 0.10) & (F.col("d") < 0.30)).alias("prob_caution"), share(F.col("d") < 0.10).alias("prob_dry"),
         steady(F.avg("d"), 3).alias("expected_depth_m"), steady(F.percentile("d", 0.9), 3).alias("depth_p90_m"),
     )
+
+
+def benchmark_tiers(pairs: DataFrame, own: Column, column: int, residual_pct: float | None, *by: str, threshold: float = 0.05) -> DataFrame:
+    """Per benchmark and frame: efficiency along one column of the grid, extent score (>=), and the tier that they reach.
+
+    pairs: by, c, s (simulated), o (benchmark). `own` tells a comparison with oneself, which cannot be of the first tier, nor can a run with
+    an unknown or large residual of its water balance. A benchmark column that does not vary has efficiency 1 if met, else none.
+    """
+    e, along = F.col("s") - F.col("o"), F.col("c") == column
+    s, o = F.col("s") >= threshold, F.col("o") >= threshold
+    sums = pairs.withColumn("own", own).groupBy(*by, "own").agg(
+        F.sum(F.when(along, e * e)).alias("sse"), (F.var_pop(F.when(along, F.col("o"))) * F.count(F.when(along, 1))).alias("sso"), F.count_if(s & o).alias("hits"), F.count_if(s | o).alias("either")
+    )
+    nse = F.when((F.col("sso") <= 1e-12) | F.col("sso").isNull(), F.when(F.col("sse") <= 1e-12, 1.0)).otherwise(1.0 - F.col("sse") / F.col("sso"))
+    scored = sums.withColumns({"nse": nse, "csi": ratio(F.col("hits").cast("double"), F.col("either").cast("double"), 1.0)})
+    closed = F.lit(residual_pct is not None and residual_pct <= 0.05)
+    tier = F.when(~F.col("own") & closed & (F.col("nse") >= 0.75) & (F.col("csi") >= 0.70), "TIER_1_PUBLICATION_GRADE").when((F.col("nse") >= 0.50) & (F.col("csi") >= 0.50), "TIER_2_OPERATIONAL_GRADE").otherwise("TIER_3_DIAGNOSTIC_GRADE")
+    return scored.select(*by, steady(F.col("nse"), 4).alias("nse"), steady(F.col("csi"), 4).alias("csi"), tier.alias("tier"))
+
+
+def masked_rmse(pairs: DataFrame, mask: Column, *by: str) -> DataFrame:
+    """Cells within the mask and their RMSE of simulation s against reference o (null where there are none)."""
+    e = F.col("s") - F.col("o")
+    return pairs.groupBy(*by).agg(F.count_if(mask).alias("cells"), steady(F.sqrt(F.avg(F.when(mask, e * e)))).alias("rmse_m"))

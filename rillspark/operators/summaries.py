@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import impact_class
+from rillspark.functions.shared import small
 from rillspark.operators.roads import steady
 
 FRAME = ("scenario_id", "lead_minutes")
@@ -43,7 +44,7 @@ def resampled(series: DataFrame, times: DataFrame, key: str) -> DataFrame:
 
     Both are sorted together once per series; the neighbours are the last and next known values of a window.
     """
-    asked = series.select(key).distinct().crossJoin(F.broadcast(times)).select(key, "t", F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked"))
+    asked = series.select(key).distinct().crossJoin(small(times)).select(key, "t", F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked"))
     both = series.select(key, "t", "v", F.lit(False).alias("asked")).unionByName(asked)
     known = F.when(~F.col("asked"), F.struct("t", "v"))
     back = Window.partitionBy(key).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
@@ -61,8 +62,15 @@ def controls(summaries: DataFrame, *columns: str) -> DataFrame:
     return long.groupBy("control").agg(F.count_distinct("value").alias("distinct_values"), F.array_join(F.array_sort(F.collect_set("value")), ",").alias("values_seen")).withColumn("all_equal", F.col("distinct_values") <= 1)
 
 
-def waypoint_hazard(points: DataFrame, deepest: float = 0.30, most_product: float = 0.60) -> DataFrame:
-    """Way-points (depth_m, velocity_ms) by depth and by depth times velocity: SAFE, CAUTION or BLOCKED, with the class of the depth."""
-    product = F.col("depth_m") * F.col("velocity_ms")
-    level = F.when((F.col("depth_m") > deepest) | (product > most_product), "BLOCKED").when((F.col("depth_m") > deepest / 2) | (product > most_product / 2), "CAUTION").otherwise("SAFE")
-    return points.withColumns({"hazard": level, "class": impact_class(F.col("depth_m")), "product": steady(product)})
+def waypoint_hazard(points: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every way-point for every profile: depth times speed of the water, whether it is blocked, and where the path goes instead.
+
+    points: x, y, i (place in the path), depth_m, velocity_ms; profiles: profile, max_depth_m, max_dv. Blocked is beyond either limit;
+    a blocked way-point moves by 20 m and 80 m for each metre of depth beyond the limit (and by half of that along y), at
+    even places forwards, at odd ones back.
+    """
+    every = points.crossJoin(F.broadcast(profiles))
+    dv = F.col("depth_m") * F.col("velocity_ms")
+    blocked = (F.col("depth_m") > F.col("max_depth_m")) | (dv > F.col("max_dv"))
+    move = F.when(blocked, ((F.col("depth_m") - F.col("max_depth_m")) * 80.0 + 20.0) * F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)
+    return every.select(*points.columns, "profile", steady(dv).alias("hazard_dv"), blocked.alias("blocked"), steady(F.col("x") + move).alias("x_out"), steady(F.col("y") + move * 0.5).alias("y_out"), impact_class(F.col("depth_m")).alias("class"))

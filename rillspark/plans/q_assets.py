@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PACKAGES, catalog, values
+from rillspark.functions.shared import settled
 from rillspark.operators import assets, mitigation, roads
 from rillspark.plans.q_roads import CELLS_SQL
 from rillspark.plans.testbed import view, with_views
@@ -14,7 +15,8 @@ FRAMES = "SELECT DISTINCT l_returnflag AS scenario_id, CAST((l_linenumber - 1) *
 
 
 def _road_max(spark, sf):
-    return roads.sampled(roads.road_cells(view(spark, sf, "segment")), view(spark, sf, "depth")).groupBy("scenario_id", "lead_minutes", "road_id").agg(F.max("depth_m").alias("max_depth_m"))
+    depth = view(spark, sf, "depth")
+    return roads.by_road(roads.road_cells(view(spark, sf, "segment")), depth, ("scenario_id",), ("depth_m",), roads.leads_of(depth), lambda d: {"max_depth_m": F.max(d)})
 
 
 def _sites(spark, sf):
@@ -44,9 +46,9 @@ def _grids(spark, sf):
 
 
 def _effects(spark, sf):
-    grids = _grids(spark, sf)
+    grids = settled(_grids(spark, sf), "grids")
     cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
-    worst = cells.join(grids.hint("merge"), ["r", "c"]).groupBy("scenario_id", "lead_minutes", "package", "road_id").agg(F.max("base_m").alias("before_m"), F.max("depth_m").alias("after_m"))
+    worst = roads.by_road(cells, grids, ("scenario_id", "package"), ("base_m", "depth_m"), roads.leads_of(grids), lambda b, d: {"before_m": F.max(b), "after_m": F.max(d)})
     return mitigation.effects(grids, worst)
 
 
@@ -60,7 +62,7 @@ QUERIES = {
     "f35_assessments": _assessed,
     "a32_vulnerability": lambda s, d: assets.rolled_up(_assessed(s, d)),
     "t5_intervention_queue": lambda s, d: assets.intervention_queue(_assessed(s, d)),
-    "f34_abated_depths": lambda s, d: _grids(s, d).where("lead_minutes = 0").select("scenario_id", "package", "r", "c", roads.steady(F.col("depth_m")).alias("depth_m")),
+    "f34_abated_depths": lambda s, d: _grids(s, d).select("scenario_id", "lead_minutes", "package", "r", "c", roads.steady(F.col("depth_m")).alias("depth_m")),
     "a33_mitigation_effects": _effects,
     "c6_priced_packages": _priced,
     "t7_best_package": lambda s, d: mitigation.best_within(_priced(s, d), 5.0),
@@ -117,7 +119,7 @@ SELECT scenario_id, lead_minutes, count(*) FILTER (status = 'NORMAL') AS normal,
        round(sum(criticality_weight * vulnerability_score) / sum(criticality_weight) * 100 + 1e-9, 4) AS vulnerability_index FROM assessed GROUP BY scenario_id, lead_minutes""",
     "t5_intervention_queue": _A + """
 SELECT scenario_id, lead_minutes, CAST(row_number() OVER (PARTITION BY scenario_id, lead_minutes ORDER BY priority_score DESC, asset_id) AS INT) AS rank, asset_id, status, priority_score FROM assessed WHERE status <> 'NORMAL'""",
-    "f34_abated_depths": _M + " SELECT scenario_id, package, r, c, round(depth_m + 1e-9, 6) AS depth_m FROM grids WHERE lead_minutes = 0",
+    "f34_abated_depths": _M + " SELECT scenario_id, lead_minutes, package, r, c, round(depth_m + 1e-9, 6) AS depth_m FROM grids",
     "a33_mitigation_effects": _M + " SELECT * FROM effects",
     "c6_priced_packages": _M + " SELECT * FROM priced",
     "t7_best_package": _M + """,

@@ -34,19 +34,21 @@ QUERIES = {
     "w12_first_wins": _decisions,
     "f22_mapped_features": _mapped,
     "a40_mapping_statistics": lambda s, d: audit.mapping_statistics(_mapped(s, d)),
-    "f18_conduits": lambda s, d: _conduits(s, d).drop("z_low"),
+    "x4_completeness": lambda s, d: audit.completeness(_mapped(s, d), view(s, d, "feature")),
+    "f26_table_fingerprints": lambda s, d: audit.table_fingerprints(view(s, d, "feature"), ("ord", "source_id", "source_type", "lang", "geometry_text"), "lang"),
+    "f18_conduits": lambda s, d: _conduits(s, d).drop("z_in", "z_low"),
     "a41_network_summary": lambda s, d: audit.network_summary(_conduits(s, d)),
     "t1_outfalls": lambda s, d: audit.outfalls(_conduits(s, d)),
     "j20_known_ends": lambda s, d: audit.with_known_ends(_conduits(s, d), _conduits(s, d).where("conduit_id % 3 = 0").selectExpr("explode(array(from_node, to_node)) AS node")).select("conduit_id"),
 }
 
 CONDUIT_SQL = """
-k0 AS (SELECT *, greatest(CAST(10 AS DOUBLE), length_raw_m) AS length_m, CASE waterway WHEN 'canal' THEN CAST(2.5 AS DOUBLE) WHEN 'stream' THEN CAST(1.8 AS DOUBLE) ELSE CAST(1.2 AS DOUBLE) END AS diameter_m,
-              CASE waterway WHEN 'canal' THEN CAST(0.025 AS DOUBLE) WHEN 'stream' THEN CAST(0.030 AS DOUBLE) ELSE CAST(0.015 AS DOUBLE) END AS roughness FROM conduit),
-k1 AS (SELECT *, CASE WHEN z_out >= z_in THEN z_in - CAST(0.001 AS DOUBLE) * length_m ELSE z_out END AS z_low FROM k0),
+k0 AS (SELECT *, greatest(CAST(10 AS DOUBLE), length_raw_m) AS length_m, CASE WHEN waterway IN ('canal', 'river') THEN CAST(4 AS DOUBLE) WHEN waterway IN ('stream', 'ditch') THEN CAST(2 AS DOUBLE) ELSE CAST(1.2 AS DOUBLE) END AS diameter_m,
+              CASE WHEN waterway IN ('canal', 'river') THEN CAST(0.025 AS DOUBLE) WHEN waterway IN ('stream', 'ditch') THEN CAST(0.020 AS DOUBLE) ELSE CAST(0.015 AS DOUBLE) END AS roughness FROM conduit),
+k1 AS (SELECT *, CASE WHEN z_out >= z_in THEN greatest(z_in - CAST(0.2 AS DOUBLE), CAST(0.5 AS DOUBLE)) ELSE z_out END AS z_low FROM k0),
 k2 AS (SELECT *, greatest(CAST(0.0005 AS DOUBLE), (z_in - z_low) / length_m) AS sl FROM k1),
-conduits AS (SELECT conduit_id, waterway, from_node, to_node, length_m, diameter_m, round(sl + 1e-9, 6) AS slope,
-  round(pi() * diameter_m * diameter_m / 4 * pow(diameter_m / 4, CAST(2 AS DOUBLE) / 3) * sqrt(sl) / roughness + 1e-9, 6) AS capacity_m3s, z_low FROM k2)"""
+conduits AS (SELECT conduit_id, waterway, from_node, to_node, length_m, diameter_m, round(sl + 1e-9, 5) AS slope,
+  round(pi() * diameter_m * diameter_m / 4 * pow(diameter_m / 4, CAST(2 AS DOUBLE) / 3) * sqrt(sl) / roughness + 1e-9, 3) AS capacity_m3s, z_in, z_low FROM k2)"""
 _F, _K = with_views("feature"), with_views("conduit") + f",{CONDUIT_SQL}"
 #: The greedy scan in SQL: one recursion step a feature would be slow, so rounds are unrolled as in the operator.
 ROUNDS = 8
@@ -82,9 +84,11 @@ SELECT *, CASE WHEN records < 1 THEN 'BLOCKED' WHEN missing_geometry + duplicate
     "w12_first_wins": _F + f",{_scan()} SELECT * FROM decisions",
     "f22_mapped_features": _F + f",{_scan()},{MAPPED_SQL} SELECT * FROM mapped",
     "a40_mapping_statistics": _F + f",{_scan()},{MAPPED_SQL} SELECT status, count(*) AS n, count(DISTINCT feature_id) AS ids FROM mapped GROUP BY status",
-    "f18_conduits": _K + " SELECT * EXCLUDE (z_low) FROM conduits",
+    "x4_completeness": _F + f",{_scan()},{MAPPED_SQL} SELECT (SELECT count(*) FROM feature) AS sources, count(*) FILTER (status NOT LIKE 'REJECTED%') AS entities, count(*) FILTER (status LIKE 'REJECTED%') AS rejections, (SELECT count(*) FROM feature) = count(*) AS complete FROM mapped",
+    "f26_table_fingerprints": _F + """ SELECT lang, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws('|', coalesce(CAST(ord AS VARCHAR), '<null>'), coalesce(source_id, '<null>'), coalesce(source_type, '<null>'), coalesce(lang, '<null>'), coalesce(geometry_text, '<null>'))), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM feature GROUP BY lang""",
+    "f18_conduits": _K + " SELECT * EXCLUDE (z_in, z_low) FROM conduits",
     "a41_network_summary": _K + " SELECT (SELECT count(DISTINCT n) FROM (SELECT from_node AS n FROM conduits UNION ALL SELECT to_node FROM conduits)) AS junctions, count(*) AS conduits, round(sum(length_m) + 1e-9, 3) AS total_length_m, round(sum(capacity_m3s) + 1e-7, 3) AS total_capacity_m3s FROM conduits",
-    "t1_outfalls": _K + " SELECT to_node AS node, round(min(z_low) + 1e-9, 6) AS z FROM conduits GROUP BY to_node ORDER BY min(z_low), to_node LIMIT 10",
+    "t1_outfalls": _K + ", e AS (SELECT from_node AS node, z_in AS z FROM conduits UNION ALL SELECT to_node, z_low FROM conduits) SELECT node, round(min(z) + 1e-9, 6) AS z FROM e GROUP BY node ORDER BY min(z), node LIMIT 10",
     "j20_known_ends": _K + """,
 n AS (SELECT from_node AS node FROM conduits WHERE conduit_id % 3 = 0 UNION SELECT to_node FROM conduits WHERE conduit_id % 3 = 0)
 SELECT conduit_id FROM conduits WHERE from_node IN (SELECT node FROM n) AND to_node IN (SELECT node FROM n)""",

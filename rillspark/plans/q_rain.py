@@ -8,9 +8,6 @@ from rillspark.operators import gauges, storms
 from rillspark.operators.roads import steady
 from rillspark.plans.testbed import view, with_views
 
-NOW = "2024-01-15 12:00:00"
-
-
 def _obs(spark, sf):
     return view(spark, sf, "gauge")
 
@@ -25,14 +22,20 @@ def _now(spark, sf):
 
 
 def _storms(spark, sf):
-    """One storm an order of every fiftieth: total 20 to 119 mm in 4 to 15 blocks."""
+    """One storm an order: total 20 to 119 mm in 4 to 15 blocks."""
     return view(spark, sf, "segment").selectExpr("road_id AS storm_id", "CAST(20 + road_id % 100 AS DOUBLE) AS total_mm", "CAST(4 + road_id % 12 AS INT) AS n", "15 AS minutes")
 
 
-def nearest(spark, sf, asked: str = "true"):
-    """The observation nearest to 7 minutes after each of those asked for."""
-    wanted = _obs(spark, sf).where(asked).select("sensor_id", (F.col("observation_time") + F.expr("INTERVAL 7 MINUTES")).alias("t")).distinct()
-    return gauges.nearest_in_time(wanted, _obs(spark, sf)).select("sensor_id", "t", "obs_id", "gap_seconds")
+def nearest(spark, sf):
+    """The observation nearest to 7 minutes after each observation."""
+    wanted = _obs(spark, sf).select("sensor_id", (F.col("observation_time") + F.expr("INTERVAL 7 MINUTES")).alias("t")).distinct()
+    return gauges.nearest_in_time(wanted, _obs(spark, sf)).select("sensor_id", "t", "obs_id", "gap_seconds", "fallback")
+
+
+def _health(spark, sf):
+    """Every sensor a provider, at 30 minutes after the newest observation of the table."""
+    now = _obs(spark, sf).agg(F.max(F.col("observation_time").cast("timestamp"))).first()[0]
+    return gauges.health(_obs(spark, sf), F.lit(now) + F.expr("INTERVAL 30 MINUTES"), "sensor_id")
 
 
 QUERIES = {
@@ -41,8 +44,8 @@ QUERIES = {
     "p6_quality": lambda s, d: gauges.quality(_obs(s, d).crossJoin(F.broadcast(_now(s, d))), F.col("now")).select("obs_id", "freshness", "errors", "warnings", "valid", "observable"),
     "st2_accumulated": lambda s, d: gauges.accumulated(_rates(s, d)),
     "t8_latest": lambda s, d: gauges.latest(_obs(s, d).select("sensor_id", "obs_id", "observation_time", "product_type"), "sensor_id"),
-    "a47_provider_health": lambda s, d: gauges.health(_obs(s, d), F.lit(NOW).cast("timestamp")),
-    "j7_nearest_in_time": lambda s, d: nearest(s, d, "obs_id % 10 = 0"),
+    "a47_provider_health": _health,
+    "j7_nearest_in_time": nearest,
     "f6_published_depths": lambda s, d: storms.published_depths(_storms(s, d).selectExpr("storm_id", "CAST(n * minutes AS DOUBLE) / CAST(20 AS DOUBLE) AS hours", "CAST(2 + storm_id % 99 AS DOUBLE) AS years")),
     "f3_intensities": lambda s, d: _storms(s, d).select("storm_id", steady(storms.kothyari_garde(F.lit(8.3), F.col("total_mm"), F.lit(10.0), F.col("n") / 4.0)).alias("kothyari_garde"), steady(storms.sherman(F.lit(5850.0), F.lit(0.22), F.lit(18.0), F.lit(0.74), F.lit(10.0), F.col("n") * 15.0)).alias("sherman"), steady(storms.short_duration_depth(F.col("total_mm"), F.col("n") / 4.0)).alias("depth_mm")),
     "w7_alternating_blocks": lambda s, d: storms.alternating_blocks(_storms(s, d)),
@@ -80,11 +83,18 @@ SELECT *, errors = '' AS valid, errors = '' AND freshness IN ('FRESH', 'STALE')
 SELECT sensor_id, time_bucket(INTERVAL '15 minutes', observation_time) AS valid_from, time_bucket(INTERVAL '15 minutes', observation_time) + INTERVAL '15 minutes' AS valid_to, count(*) AS n,
        round(avg(rate_mmh) + 1e-9, 6) AS rate_mmh, round(avg(rate_mmh) * 15 / {D(60)} + 1e-9, 6) AS depth_mm FROM rates WHERE rate_mmh IS NOT NULL GROUP BY ALL""",
     "t8_latest": _G + " SELECT sensor_id, obs_id, observation_time, product_type FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY observation_time DESC, obs_id DESC) AS k FROM gauge) WHERE k = 1",
-    "a47_provider_health": _G + f" SELECT product_type, count(*) AS observations, max(observation_time) AS last_observation, CASE WHEN (epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(observation_time))) / 6e7 <= 240 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS availability FROM gauge GROUP BY product_type",
+    "a47_provider_health": _G + """,
+h AS (SELECT sensor_id, count(observation_time) AS observations, max(observation_time) AS last_observation, ((SELECT epoch_us(max(observation_time)) FROM gauge) + CAST(1800000000 AS BIGINT) - epoch_us(max(observation_time))) / CAST(60000000 AS DOUBLE) AS age FROM gauge GROUP BY sensor_id)
+SELECT sensor_id, observations, last_observation, CASE WHEN age <= 45 THEN 'HEALTHY' WHEN age <= 90 THEN 'DEGRADED' ELSE 'UNAVAILABLE' END AS status,
+  CASE WHEN age <= 20 THEN 'Radar operational (FRESH, age=' || printf('%.1f', age) || 'm): ' || observations || ' frames cached' WHEN age <= 45 THEN 'Radar operational (AGING, age=' || printf('%.1f', age) || 'm): ' || observations || ' frames cached'
+       WHEN age <= 90 THEN 'Radar degraded (STALE, age=' || printf('%.1f', age) || 'm)' ELSE 'Radar feed unavailable (EXPIRED, age=' || printf('%.1f', age) || 'm)' END AS message FROM h""",
     "j7_nearest_in_time": _G + """,
-w AS (SELECT DISTINCT sensor_id, observation_time + INTERVAL '7 minutes' AS t FROM gauge WHERE obs_id % 10 = 0),
-n AS (SELECT w.sensor_id, t, obs_id, abs(epoch_us(t) - epoch_us(observation_time)) AS gap, observation_time FROM w JOIN gauge g ON g.sensor_id = w.sensor_id WHERE abs(epoch_us(t) - epoch_us(observation_time)) <= 900000000)
-SELECT sensor_id, t, obs_id, gap / CAST(1000000 AS DOUBLE) AS gap_seconds FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, t ORDER BY gap, observation_time, obs_id) AS k FROM n) WHERE k = 1""",
+w AS (SELECT DISTINCT sensor_id, observation_time + INTERVAL '7 minutes' AS t FROM gauge),
+l AS (SELECT sensor_id, max(observation_time) AS lt, arg_max(obs_id, (observation_time, obs_id)) AS lo FROM gauge GROUP BY sensor_id),
+n AS (SELECT w.sensor_id, t, obs_id, abs(epoch_us(t) - epoch_us(observation_time)) AS gap, observation_time FROM w JOIN gauge g ON g.sensor_id = w.sensor_id WHERE abs(epoch_us(t) - epoch_us(observation_time)) <= 900000000),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, t ORDER BY gap, observation_time, obs_id) AS k FROM n) WHERE k = 1)
+SELECT w.sensor_id, w.t, coalesce(b.obs_id, lo) AS obs_id, coalesce(gap, abs(epoch_us(w.t) - epoch_us(lt))) / CAST(1000000 AS DOUBLE) AS gap_seconds, b.obs_id IS NULL AS fallback
+FROM w JOIN l ON l.sensor_id = w.sensor_id LEFT JOIN b ON b.sensor_id = w.sensor_id AND b.t = w.t""",
     "f6_published_depths": _S + f",r AS (SELECT storm_id, CAST(n * minutes AS DOUBLE) / {D(20)} AS hours, CAST(2 + storm_id % 99 AS DOUBLE) AS years FROM storms), d AS (SELECT *, {IDF_SQL} AS dd FROM r) SELECT storm_id, hours, years, round(dd + 1e-9, 6) AS depth_mm, round(dd / hours + 1e-9, 6) AS intensity_mmh FROM d",
     "f3_intensities": _S + f" SELECT storm_id, round({D(8.3)} * pow(total_mm, {D(0.33)}) * pow({D(10)}, {D(0.2)}) / pow(n / {D(4)}, {D(0.71)}) + 1e-9, 6) AS kothyari_garde, round({D(5850)} * pow({D(10)}, {D(0.22)}) / pow(n * {D(15)} + 18, {D(0.74)}) + 1e-9, 6) AS sherman, round(total_mm * pow(n / {D(4)} / 24, {D(0.45)}) + 1e-9, 6) AS depth_mm FROM storms",
     "w7_alternating_blocks": _S + f",{BLOCKS_SQL} SELECT * FROM blocks",

@@ -9,7 +9,7 @@ from rillspark.operators import roads, scores
 from rillspark.plans.q_roads import CELLS_SQL
 from rillspark.plans.testbed import SIDE, view, with_views
 
-MEMBER_COLUMNS = "member_id, multiplier, dr, dc"
+MEMBER_COLUMNS = "member_id, multiplier, dr, dc, weight"
 THRESHOLDS = "0.10, 0.20, 0.30, 0.50"
 
 
@@ -38,19 +38,21 @@ def _series(spark, sf):
     return sums.withColumn("o", F.col("s") * (0.9 + 0.2 * (F.col("t") % 7) / 7.0))
 
 
-def risk(spark, sf, frames: str = "true"):
+def risk(spark, sf):
     cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
-    return scores.road_risk(_grids(spark, sf).where(frames).join(cells.hint("merge"), ["r", "c"]))
+    worst = roads.by_road(cells, _grids(spark, sf), ("scenario_id", "member_id"), ("depth_m",), roads.leads_of(view(spark, sf, "depth")), lambda d: {"d": F.max(d)})
+    return scores.road_risk(worst)
 
 
 QUERIES = {
     "a18_hydrograph_fit": lambda s, d: scores.hydrograph_fit(_series(s, d), "scenario_id"),
     "a24_extent_scores": lambda s, d: scores.extent_scores(_extent_pairs(s, d), "lead_minutes"),
-    "j23_member_depths": lambda s, d: member_depths(s, d).where("lead_minutes = 0").drop("lead_minutes"),
+    "a21_masked_rmse": lambda s, d: scores.masked_rmse(_extent_pairs(s, d), F.col("o") >= 0.1, "lead_minutes"),
+    "j23_member_depths": member_depths,
     "a27_member_metrics": lambda s, d: scores.member_metrics(_grids(s, d)),
     "a28_confidence_bounds": lambda s, d: scores.confidence_bounds(scores.member_metrics(_grids(s, d))),
-    "a29_exceedance": lambda s, d: scores.exceedance(_grids(s, d), s.sql(f"SELECT CAST(t AS DOUBLE) AS threshold FROM (SELECT explode(array({THRESHOLDS})) AS t)"), len(MEMBERS)),
-    "a30_road_risk": lambda s, d: risk(s, d, "scenario_id = 'A' AND lead_minutes = 0"),
+    "a29_exceedance": lambda s, d: scores.exceedance(_grids(s, d), s.sql(f"SELECT CAST(t AS DOUBLE) AS threshold FROM (SELECT explode(array({THRESHOLDS})) AS t)"), len(MEMBERS), SIDE * SIDE),
+    "a30_road_risk": risk,
     "a31_brier": lambda s, d: scores.brier(_grids(s, d), view(s, d, "depth"), len(MEMBERS)),
 }
 
@@ -82,7 +84,10 @@ SELECT *, round(CASE WHEN hits + misses + false_alarms > 0 THEN CAST(hits AS DOU
        round(CASE WHEN hits + misses > 0 THEN CAST(hits AS DOUBLE) / (hits + misses) ELSE 1 END + 1e-9, 6) AS pod,
        round(CASE WHEN hits + false_alarms > 0 THEN CAST(false_alarms AS DOUBLE) / (hits + false_alarms) ELSE 0 END + 1e-9, 6) AS far,
        round(CASE WHEN 2 * hits + misses + false_alarms > 0 THEN CAST(2 * hits AS DOUBLE) / (2 * hits + misses + false_alarms) ELSE 1 END + 1e-9, 6) AS f1 FROM n""",
-    "j23_member_depths": _W + f",{GRIDS_SQL} SELECT scenario_id, member_id, r, c, round(depth_m, 6) AS depth_m FROM grids WHERE lead_minutes = 0",
+    "a21_masked_rmse": _W + """,
+p AS (SELECT lead_minutes, a.depth_m AS s, b.depth_m AS o FROM (SELECT * FROM depth WHERE scenario_id = 'A') a JOIN (SELECT * FROM depth WHERE scenario_id = 'N') b USING (lead_minutes, r, c))
+SELECT lead_minutes, count(*) FILTER (o >= 0.1) AS cells, round(sqrt(avg((s - o) * (s - o)) FILTER (o >= 0.1)) + 1e-9, 6) AS rmse_m FROM p GROUP BY lead_minutes""",
+    "j23_member_depths": _W + f",{GRIDS_SQL} SELECT scenario_id, lead_minutes, member_id, r, c, round(depth_m, 6) AS depth_m FROM grids",
     "a27_member_metrics": _W + f",{GRIDS_SQL},{METRICS_SQL} SELECT * FROM metrics",
     "a28_confidence_bounds": _W + f""",{GRIDS_SQL},{METRICS_SQL},
 q AS (SELECT scenario_id, lead_minutes, quantile_cont(max_depth_m, 0.1) AS a, quantile_cont(max_depth_m, 0.5) AS b, quantile_cont(max_depth_m, 0.9) AS c FROM metrics GROUP BY scenario_id, lead_minutes)
@@ -91,9 +96,9 @@ SELECT scenario_id, lead_minutes, round(a + 1e-9, 3) AS p10_max_depth_m, round(b
 p AS (SELECT scenario_id, lead_minutes, r, c, threshold, count(*) FILTER (depth_m >= threshold) / CAST({len(MEMBERS)} AS DOUBLE) AS p
       FROM grids, (SELECT CAST(unnest([{THRESHOLDS}]) AS DOUBLE) AS threshold) GROUP BY scenario_id, lead_minutes, r, c, threshold)
 SELECT scenario_id, lead_minutes, threshold, count(*) FILTER (p > 0) AS cells_any, count(*) FILTER (p >= 0.5) AS cells_likely, count(*) FILTER (p >= 0.9) AS cells_certain,
-       round(avg(p) + 1e-9, 6) AS mean_probability, round(max(p) + 1e-9, 6) AS max_probability FROM p GROUP BY scenario_id, lead_minutes, threshold""",
+       round(sum(p) / {SIDE * SIDE} + 1e-9, 6) AS mean_probability, round(max(p) + 1e-9, 6) AS max_probability FROM p GROUP BY scenario_id, lead_minutes, threshold""",
     "a30_road_risk": with_views("depth", "segment") + f""",{CELLS_SQL},{GRIDS_SQL},
-w AS (SELECT scenario_id, lead_minutes, road_id, member_id, max(depth_m) AS d FROM grids JOIN cells USING (r, c) WHERE scenario_id = 'A' AND lead_minutes = 0 GROUP BY scenario_id, lead_minutes, road_id, member_id)
+w AS (SELECT scenario_id, lead_minutes, road_id, member_id, max(depth_m) AS d FROM grids JOIN cells USING (r, c) GROUP BY scenario_id, lead_minutes, road_id, member_id)
 SELECT scenario_id, lead_minutes, road_id, round(avg(CASE WHEN d >= 0.3 THEN 1 ELSE 0 END) + 1e-9, 3) AS prob_impassable, round(avg(CASE WHEN d >= 0.1 AND d < 0.3 THEN 1 ELSE 0 END) + 1e-9, 3) AS prob_caution,
        round(avg(CASE WHEN d < 0.1 THEN 1 ELSE 0 END) + 1e-9, 3) AS prob_dry, round(avg(d) + 1e-9, 3) AS expected_depth_m, round(quantile_cont(d, 0.9) + 1e-9, 3) AS depth_p90_m
 FROM w GROUP BY scenario_id, lead_minutes, road_id""",

@@ -18,7 +18,9 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_frames",
     "rillspark.plans.q_calibration",
     "rillspark.plans.q_summaries",
-    "rillspark.plans.q_whole",
+    "rillspark.plans.q_feeds",
+    "rillspark.plans.q_contracts",
+    "rillspark.plans.q_fields",
 )
 
 

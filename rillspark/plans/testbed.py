@@ -6,8 +6,6 @@ Only this module knows the driver's tables. In the SQL, a name in braces is one
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +30,8 @@ SELECT l_returnflag AS scenario_id, CAST((l_linenumber - 1) * 15 AS INT) AS lead
        CAST(l_orderkey % {SIDE} AS INT) AS r, CAST(l_partkey % {SIDE} AS INT) AS c,
        CAST(MAX(l_quantity) AS DOUBLE) / CAST(80 AS DOUBLE) AS depth_m
 FROM {{lineitem}} GROUP BY l_returnflag, l_linenumber, l_orderkey % {SIDE}, l_partkey % {SIDE}""",
-    # road segments between two cells: every fiftieth order (as in the SQL twins), and all orders
-    "segment": f"{NETWORK} WHERE o_orderkey % 50 = 0",
-    "network": NETWORK,
+    # road segments between two cells
+    "segment": NETWORK,
     # gauge and radar observations
     "gauge": """
 SELECT event_id AS obs_id, user_id AS sensor_id, ts AS observation_time,
@@ -52,17 +49,37 @@ SELECT s_suppkey AS asset_id, s_name AS name, CAST(1 + s_suppkey % 5 AS INT) AS
 FROM {{supplier}}""",
     # conduits between junctions
     "conduit": """
-SELECT p_partkey AS conduit_id, CASE p_size % 3 WHEN 0 THEN 'canal' WHEN 1 THEN 'stream' ELSE 'drain' END AS waterway,
+SELECT p_partkey AS conduit_id, CASE p_size % 5 WHEN 0 THEN 'canal' WHEN 1 THEN 'stream' WHEN 2 THEN 'river' WHEN 3 THEN 'ditch' ELSE 'drain' END AS waterway,
        CAST(p_partkey % 97 AS INT) AS from_node, CAST((p_partkey * 5 + 1) % 97 AS INT) AS to_node,
        CAST(10 + p_size AS DOUBLE) AS length_raw_m, CAST(p_retailprice AS DOUBLE) / CAST(100 AS DOUBLE) AS z_in,
        CAST(p_size AS DOUBLE) / CAST(10 AS DOUBLE) AS z_out
 FROM {part}""",
-    # a small multigraph for routing
+    # roads between junctions for routing: two for each customer, to junctions of smaller numbers
     "graph_edge": """
-SELECT c_nationkey AS n1, CAST((c_custkey * 7 + c_nationkey + 1) % 25 AS INT) AS n2,
-       MIN(CAST(100 + c_custkey % 900 AS DOUBLE)) AS length_m
-FROM {customer} WHERE c_nationkey <> (c_custkey * 7 + c_nationkey + 1) % 25
-GROUP BY c_nationkey, (c_custkey * 7 + c_nationkey + 1) % 25""",
+SELECT c_custkey AS n1, CAST(floor(c_custkey / 3) AS BIGINT) AS n2, CAST(100 + c_custkey % 900 AS DOUBLE) AS length_m FROM {customer}
+UNION ALL SELECT c_custkey AS n1, CAST(floor(c_custkey / 2) + 1 AS BIGINT) AS n2, CAST(150 + c_custkey * 7 % 900 AS DOUBLE) AS length_m FROM {customer} WHERE c_custkey > 2""",
+    # where searches start: the first customer of each nation
+    "depot": "SELECT MIN(c_custkey) AS node FROM {customer} GROUP BY c_nationkey",
+    # water balance of runs: a run for each supplier and scenario, volumes in m3
+    "ledger": """
+SELECT l_suppkey AS run_id, l_returnflag AS scenario_id, SUM(CAST(l_quantity AS DOUBLE)) * CAST(10 AS DOUBLE) AS rain_m3, CAST(SUM(l_linenumber) AS DOUBLE) AS ext_in_m3,
+       SUM(CAST(l_quantity AS DOUBLE)) * CAST(2 AS DOUBLE) AS losses_m3, CAST(COUNT(*) AS DOUBLE) AS surf_out_m3, SUM(CAST(l_quantity AS DOUBLE)) * CAST(3 AS DOUBLE) AS s2d_m3,
+       CAST(SUM(CASE WHEN l_partkey % 7 = 0 THEN l_linenumber ELSE 0 END) AS DOUBLE) AS d2s_m3, CAST(SUM(CASE WHEN l_partkey % 7 = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS flood_export_m3,
+       SUM(CAST(l_quantity AS DOUBLE)) * CAST(2.5 AS DOUBLE) AS outfall_m3, CAST(MIN(l_linenumber) AS DOUBLE) AS s_s0, CAST(MIN(l_linenumber) AS DOUBLE) + SUM(CAST(l_quantity AS DOUBLE)) * CAST(5 AS DOUBLE) AS s_s1,
+       CAST(MAX(l_linenumber) AS DOUBLE) AS s_d0, CAST(MAX(l_linenumber) AS DOUBLE) + SUM(CAST(l_quantity AS DOUBLE)) * CAST(0.5 AS DOUBLE) AS s_d1,
+       MAX(CAST(l_quantity AS DOUBLE)) / CAST(40 AS DOUBLE) AS peak_depth_m, CAST(COUNT(*) * 900 AS DOUBLE) AS max_flooded_area_m2, CAST(MAX(l_linenumber) AS DOUBLE) / CAST(10 AS DOUBLE) AS max_surcharge_m
+FROM {lineitem} GROUP BY l_suppkey, l_returnflag""",
+    # ground elevation of cells, with land and water
+    "dem": f"""
+SELECT CAST(o_orderkey % {SIDE} AS INT) AS r, CAST(o_custkey % {SIDE} AS INT) AS c, MAX(CAST(o_totalprice AS DOUBLE)) / CAST(10000 AS DOUBLE) AS z,
+       CAST(CASE WHEN (o_orderkey % {SIDE} * 7 + o_custkey % {SIDE}) % 11 = 0 THEN 0 ELSE 1 END AS INT) AS land
+FROM {{orders}} GROUP BY o_orderkey % {SIDE}, o_custkey % {SIDE}""",
+    # frames of forecasts: one for each supplier, with faults in some
+    "forecast_frame": """
+SELECT DISTINCT l_suppkey AS forecast_id, CAST((l_linenumber - 1) * 15 AS INT) AS lead_minutes, CASE WHEN l_suppkey % 7 = 0 AND l_linenumber = 2 THEN 'mm' ELSE 'mm/h' END AS units,
+       CAST(CASE WHEN l_suppkey % 5 = 0 THEN 60 + l_linenumber ELSE 67 END AS INT) AS width, 67 AS height, CASE WHEN l_suppkey % 11 = 0 AND l_linenumber = 1 THEN 'EPSG:4326' ELSE 'EPSG:32645' END AS reference,
+       CAST(CASE WHEN l_suppkey % 13 = 0 THEN 30 + l_linenumber ELSE 30 END AS DOUBLE) AS resolution_m
+FROM {lineitem} WHERE l_linenumber <= 5 OR l_suppkey % 3 = 0""",
     # source features for audit, mapping and de-duplication
     "feature": """
 SELECT doc_id AS ord, CAST(doc_id % 900 AS STRING) AS source_id, source AS source_type, lang,
@@ -71,26 +88,8 @@ FROM {documents}""",
 }
 
 
-#: The view that queries get when they ask for the roads.
-_ROADS: ContextVar[str] = ContextVar("roads", default="segment")
-
-
-def whole_network(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The same query over the road of every order."""
-
-    def on_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _ROADS.set("network")
-        try:
-            return run(spark, sf_dir)
-        finally:
-            _ROADS.reset(token)
-
-    return on_all
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One domain table of a data folder."""
-    name = _ROADS.get() if name == "segment" else name
     tables = {t: table(spark, sf_dir, t) for t in re.findall(r"\{(\w+)\}", VIEWS[name])}
     return spark.sql(VIEWS[name], **tables)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from test_operators import walked
@@ -15,25 +16,24 @@ def test_every_order_is_a_road(spark, sf_dir):
     depth = {}
     for r in view(spark, sf_dir, "depth").collect():
         depth.setdefault((r.r, r.c), []).append((r.scenario_id, r.lead_minutes, r.depth_m))
-    ends = view(spark, sf_dir, "network").collect()
+    ends = view(spark, sf_dir, "segment").collect()
     expected, cells = {}, 0
     for x in ends:
         for cell in walked(x.r1, x.c1, x.r2, x.c2):
             cells += 1
             for k, lead, d in depth.get(cell, []):
                 expected.setdefault((k, lead, x.road_id), []).append(d)
-    found = {(r.scenario_id, r.lead_minutes, r.road_id): r for r in known["a1_road_impact_all"](spark, sf_dir).collect()}
-    assert len(ends) == n and found.keys() == expected.keys() and known["j1_road_cells_all"](spark, sf_dir).count() == cells
+    found = {(r.scenario_id, r.lead_minutes, r.road_id): r for r in known["a1_road_impact"](spark, sf_dir).collect()}
+    assert len(ends) == n and found.keys() == expected.keys() and known["j1_road_cells"](spark, sf_dir).count() == cells
     length = {x.road_id: x.length_m for x in ends}
     for key, d in expected.items():
         share = sum(x > 0.05 for x in d) / len(d)
         assert found[key].n_cells == len(d) and found[key].max_depth_m == max(d)
         assert math.isclose(found[key].mean_depth_m, sum(d) / len(d), abs_tol=2e-6) and math.isclose(found[key].impacted_length_m, share * length[key[2]], abs_tol=2e-6)
-    assert known["a42_network_totals_all"](spark, sf_dir).first().segments == known["f3_intensities_all"](spark, sf_dir).count() == n
-    assert known["a42_network_totals"](spark, sf_dir).first().segments < n  # the SQL's rows, also after a query over all
+    assert known["a42_network_totals"](spark, sf_dir).first().segments == known["f3_intensities"](spark, sf_dir).count() == n
 
 
-def test_all_edges_and_origins(spark, sf_dir):
+def test_all_edges_and_depots(spark, sf_dir):
     import __spark_entry__
     from rillspark.plans.testbed import view
 
@@ -42,32 +42,68 @@ def test_all_edges_and_origins(spark, sf_dir):
     for e in given:
         ms = math.floor(1000 * e.length_m / ((30 + 10 * ((e.n1 + e.n2) % 3)) / 3.6) + 0.5)
         for a, b in ((e.n1, e.n2), (e.n2, e.n1)):
-            links[a, b] = min(ms, links.get((a, b), ms))
-    assert known["g1_directed_edges_all"](spark, sf_dir).count() == 2 * len(given)
-    best = {(a, a): 0 for a, _ in links}
-    for _ in range(25):
-        for (a, b), ms in links.items():
-            for (o, n), cost in list(best.items()):
-                if n == a and cost + ms < best.get((o, b), 1 << 60):
-                    best[o, b] = cost + ms
-    found = {(r.origin, r.node): r.cost_ms for r in known["g2_shortest_paths_all"](spark, sf_dir).where("mode = 'baseline'").collect()}
+            links.setdefault(a, []).append((b, ms))
+    assert known["g1_directed_edges"](spark, sf_dir).count() == 2 * len(given)
+    best = {}
+    for depot in (r.node for r in view(spark, sf_dir, "depot").collect()):
+        heap = [(0, depot)]
+        while heap:
+            cost, node = heapq.heappop(heap)
+            if (depot, node) in best:
+                continue
+            best[depot, node] = cost
+            for other, ms in links.get(node, ()):
+                heapq.heappush(heap, (cost + ms, other))
+    found = {(r.origin, r.node): (r.cost_ms, r.path) for r in known["g2_shortest_paths"](spark, sf_dir).where("mode = 'baseline'").collect()}
+    assert {k: c for k, (c, _) in found.items()} == best
+    assert all(p.split(">")[0] == str(o) and p.split(">")[-1] == str(n) for (o, n), (_, p) in found.items())
+
+
+def test_soft_routes_against_dijkstra(spark, sf_dir):
+    import __spark_entry__
+    from rillspark.plans.q_graph import SOFT_LIMITS
+    from rillspark.plans.testbed import view
+
+    roads = {}
+    for e in view(spark, sf_dir, "graph_edge").collect():
+        depth, seconds = ((e.n1 * 7 + e.n2 * 7 + e.n1 * e.n2) % 71) / 100, e.length_m / ((30 + 10 * ((e.n1 + e.n2) % 3)) / 3.6)
+        for a, b in ((e.n1, e.n2), (e.n2, e.n1)):
+            roads.setdefault(a, []).append((b, depth, seconds))
+    best = {}
+    for name, limit in SOFT_LIMITS:
+        for depot in (r.node for r in view(spark, sf_dir, "depot").collect()):
+            heap = [(0, depot)]
+            while heap:
+                cost, node = heapq.heappop(heap)
+                if (name, depot, node) in best:
+                    continue
+                best[name, depot, node] = cost
+                for other, depth, seconds in roads.get(node, ()):
+                    more = 100_000 if depth > limit else depth / limit * 250 if depth > 0.05 else 0
+                    heapq.heappush(heap, (cost + math.floor((seconds + more) * 1000 + 0.5), other))
+    found = {(r.mode, r.origin, r.node): r.cost_ms for r in __spark_entry__.queries()["g8_soft_routes"](spark, sf_dir).collect()}
     assert found == best
 
 
 def test_all_frames_and_requests(spark, sf_dir):
     import __spark_entry__
-    from rillspark.functions.policy import MEMBERS
+    from rillspark.functions.policy import MEMBERS, WAYPOINT_PROFILES
     from rillspark.plans.testbed import view
 
-    known, depth, ends = __spark_entry__.queries(), view(spark, sf_dir, "depth").collect(), view(spark, sf_dir, "network").collect()
-    assert known["j23_member_depths_all"](spark, sf_dir).groupBy("scenario_id", "lead_minutes", "member_id").count().count() == len({(r.scenario_id, r.lead_minutes) for r in depth}) * len(MEMBERS)
-    frames = {}
-    for r in depth:
-        frames.setdefault((r.r, r.c), []).append((r.scenario_id, r.lead_minutes, r.depth_m))
-    expected = {(k, lead, x.road_id, i): d for x in ends for i, cell in enumerate(walked(x.r1, x.c1, x.r2, x.c2)) for k, lead, d in frames.get(cell, [])}
-    assert {(r.scenario_id, r.lead_minutes, r.road_id, r.i): r.depth_m for r in known["f36_waypoint_hazard_all"](spark, sf_dir).collect()} == expected
-    risky = known["a30_road_risk_all"](spark, sf_dir).select("scenario_id", "lead_minutes").distinct().count()
-    assert risky == len({key[:2] for key in expected})
+    known, depth, ends = __spark_entry__.queries(), view(spark, sf_dir, "depth").collect(), view(spark, sf_dir, "segment").collect()
+    every = {(r.scenario_id, r.lead_minutes) for r in depth}
+    assert known["j23_member_depths"](spark, sf_dir).groupBy("scenario_id", "lead_minutes", "member_id").count().count() == len(every) * len(MEMBERS)
+    at = {(r.scenario_id, r.lead_minutes, r.r, r.c): r.depth_m for r in depth}
+    cells = {(x.road_id, i): cell for x in ends for i, cell in ((0, (x.r1, x.c1)), (1, (x.r2, x.c2)))}
+    limits = {p: (d, dv) for p, d, dv in WAYPOINT_PROFILES}
+    rows = known["f36_waypoint_hazard"](spark, sf_dir).collect()
+    assert len(rows) == len(every) * len(cells) * len(limits)
+    for r in rows:
+        d = at.get((r.scenario_id, r.lead_minutes, *cells[r.road_id, r.i]), 0.0)
+        deepest, most = limits[r.profile]
+        blocked = d > deepest or d * r.velocity_ms > most
+        move = ((d - deepest) * 80 + 20) * (1 if r.i == 0 else -1) if blocked else 0.0
+        assert (r.depth_m, r.blocked) == (d, blocked) and math.isclose(r.x_out, r.x + move, abs_tol=1e-5) and math.isclose(r.y_out, r.y + move / 2, abs_tol=1e-5)
     seen = {}
     for r in view(spark, sf_dir, "gauge").select("sensor_id", "obs_id", "observation_time").collect():
         seen.setdefault(r.sensor_id, []).append((r.observation_time.timestamp(), r.obs_id))
@@ -75,6 +111,5 @@ def test_all_frames_and_requests(spark, sf_dir):
     for sensor, obs in seen.items():
         for t in {t + 420 for t, _ in obs}:
             gap, _, obs_id = min((abs(t - u), u, k) for u, k in obs)
-            if gap <= 900:
-                nearest[sensor, round(t, 3)] = obs_id
-    assert {(r.sensor_id, round(r.t.timestamp(), 3)): r.obs_id for r in known["j7_nearest_in_time_all"](spark, sf_dir).collect()} == nearest
+            nearest[sensor, round(t, 3)] = (obs_id, False) if gap <= 900 else (max(obs)[1], True)
+    assert {(r.sensor_id, round(r.t.timestamp(), 3)): (r.obs_id, r.fallback) for r in known["j7_nearest_in_time"](spark, sf_dir).collect()} == nearest

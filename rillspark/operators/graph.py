@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, effective_speed, impact_class, speed_factor
-from rillspark.functions.shared import settled
+from rillspark.functions.shared import dropped, settled
 from rillspark.operators.roads import steady
 
 
@@ -72,7 +72,7 @@ def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
         raise ValueError("an edge has a cost below 0")
     origin = F.col("origin").cast("long")
     start = origins.select("mode", origin.alias("origin"), origin.alias("node"), F.lit(0).cast("long").alias("cost_ms"), F.lit(0).alias("hops"), F.array(origin).alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m"))
-    best = frontier = settled(start, "paths")
+    best = frontier = last = settled(start, "paths")
     while not frontier.isEmpty():
         f, e = frontier.alias("f"), links.hint("merge").alias("e")
         step = f.join(e, ["mode", "node"]).select(
@@ -83,6 +83,9 @@ def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
         chosen = merged.groupBy(*keys).agg(F.min(label).alias("w"), F.min(F.when(F.col("old"), label)).alias("was"))
         done = settled(chosen.select(*keys, "w.*", (F.col("was").isNull() | (F.col("w.path") != F.col("was.path"))).alias("improved")), "paths")
         best, frontier = done.drop("improved"), done.where("improved").drop("improved")
+        dropped(last)
+        last = done
+    dropped(links)
     return best
 
 

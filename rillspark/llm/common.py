@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of the open `scratch`."""
+    path = f"{shared_dir(spark)}/rillspark-{name}-{uuid.uuid4().hex}"
+    open_scope = _SCRATCH.get()
+    if open_scope is not None:
+        open_scope.append(path)
+    return path
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are removed at the end; what is returned from inside must be written with `keep`."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import ann, bpe, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, toxicity
+from rillspark.llm import ann, bpe, centroids, collocations, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_documents(spark, sf_dir).select("doc_id"), SHARDS)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.round_trip(pages)
+
+
+#: The contract of op12: 40 centroids, five rounds, seeds by the hash of this salt and the id.
+CLUSTERS = {"k": 40, "rounds": 5, "salt": "2:"}
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), **CLUSTERS)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,10 +103,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op11_warc": op11_warc,
+        "op12_centroids": op12_centroids,
+        "op13_collocations": op13_collocations,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others' SQL cannot be written: they learn models, or depend on a tokenizer's tables; see tests/llm."""
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op10_sharding": sharding.oracle(SHARDS)}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_near_dedup": near_dedup.ORACLE,
+        "op10_sharding": sharding.oracle(SHARDS),
+        "op11_warc": warc.ORACLE,
+        "op12_centroids": centroids.oracle(**CLUSTERS),
+        "op13_collocations": collocations.oracle(),
+    }

@@ -6,6 +6,8 @@ cells, however large frames are; gathers are equi-joins on cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from rillspark.functions.shared import tiled
 
 #: Decay time of advected rain in minutes, and the longest lead that is blended with radar.
 DECAY_MINUTES = 180.0
+#: What keeps the determinant of a window without structure from zero.
+FLOW_FLOOR = 1e-5
 
 
 def gradients(frames: DataFrame, value: str = "rate_mmh") -> DataFrame:
@@ -57,6 +61,40 @@ def motion_field(frames: DataFrame, before: int, after: int, cell_m: float = 30.
     return both.select("r", "c", "rate_mmh", blended("gx", "u_mps").alias("u"), blended("gy", "v_mps").alias("v"))
 
 
+def windowed_flow(frames: DataFrame, before: int, after: int, window: int = 5) -> DataFrame:
+    """Per cell of the later frame: flow u (along columns) and v (along rows) in cells a step, from gradients gathered in a window.
+
+    Products of gradients are weighted by a Gaussian of the window's half width and summed over its cells; the flow solves the two
+    equations of each cell, with FLOW_FLOOR added to their determinant. The weights are a product of one along rows and one along columns, so there are two
+    passes of 2 * half + 1 cells instead of one of their square. Gradients are central; beyond the frame's edge stands the edge's own value. Cells
+    nearer than the half width to the edge have no flow (0). Cells of a dense frame that have no earlier value are left out.
+    """
+    half = max(1, window // 2)
+    weights = [math.exp(-(d * d) / (2.0 * half * half)) for d in range(-half, half + 1)]
+    size = frames.where(F.col("frame") == after).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))  # one row
+    past = frames.where(F.col("frame") == before).select("r", "c", F.col("rate_mmh").alias("past"))
+    cells = frames.where(F.col("frame") == after).select("r", "c", "rate_mmh").join(past.hint("merge"), ["r", "c"]).withColumn("it", F.col("rate_mmh") - F.col("past"))
+    products = {"xx": ("ix", "ix"), "yy": ("iy", "iy"), "xy": ("ix", "iy"), "xt": ("ix", "it"), "yt": ("iy", "it")}
+
+    def slope(w) -> Column:
+        v = F.col("rate_mmh")
+        return (F.coalesce(F.lead(v).over(w), v) - F.coalesce(F.lag(v).over(w), v)) * 0.5
+
+    def gathered(name: str, w) -> Column:
+        return sum((F.coalesce(F.lag(name, -d).over(w), F.lit(0.0)) * k for d, k in zip(range(-half, half + 1), weights, strict=True)), F.lit(0.0))
+
+    row, column = Window.partitionBy("r", "tile").orderBy("c"), Window.partitionBy("c", "tile").orderBy("r")
+    steep = tiled(cells, "c", 1).withColumn("ix", slope(row)).where("own").select("r", "c", "rate_mmh", "it", "ix")
+    both = tiled(steep, "r", half + 1).withColumn("iy", slope(column)).withColumns({n: F.col(a) * F.col(b) for n, (a, b) in products.items()})
+    down = both.withColumns({f"{n}_down": gathered(n, column) for n in products}).where("own").select("r", "c", *(F.col(f"{n}_down").alias(n) for n in products))
+    all_round = tiled(down, "c", half).withColumns({f"g{n}": gathered(n, row) for n in products}).where("own").crossJoin(F.broadcast(size))
+    g = {n: F.col(f"g{n}") for n in products}
+    determinant = g["xx"] * g["yy"] - g["xy"] * g["xy"] + FLOW_FLOOR
+    inside = F.col("r").between(half, F.col("h") - half - 1) & F.col("c").between(half, F.col("w") - half - 1)
+    u, v = -(g["yy"] * g["xt"] - g["xy"] * g["yt"]) / determinant, -(g["xx"] * g["yt"] - g["xy"] * g["xt"]) / determinant
+    return all_round.select("r", "c", F.when(inside, u).otherwise(0.0).alias("u"), F.when(inside, v).otherwise(0.0).alias("v"))
+
+
 def advected(field: DataFrame, leads: DataFrame, cell_m: float = 30.0, decay: float | None = DECAY_MINUTES) -> DataFrame:
     """Rates at every lead: each cell takes the rate at the end of its backward path, bilinearly, decayed; lead 0 is unchanged.
 

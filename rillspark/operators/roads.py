@@ -149,17 +149,31 @@ def reopened_roads(before: DataFrame, after: DataFrame) -> DataFrame:
     return shut(before).join(shut(after).hint("merge"), keys, "left_anti")
 
 
-def screened_frames(depth: DataFrame, impact: DataFrame, cell_m: float = 30.0) -> DataFrame:
-    """Per scenario and lead: wet and severe area, bounds of the wet cells, severity, colour and event; calm frames are left out."""
+def frame_extent(depth: DataFrame, *by: str, cell_m: float = 30.0) -> DataFrame:
+    """Per frame: largest depth, wet and severe area, bounds of the wet cells."""
     wet, severe = F.col("depth_m") > 0.05, F.col("depth_m") > 0.30
-    grid = depth.groupBy("scenario_id", "lead_minutes").agg(
+    return depth.groupBy(*by).agg(
         F.max("depth_m").alias("max_depth_m"), (F.count_if(wet) * cell_m * cell_m).alias("inundated_area_m2"), (F.count_if(severe) * cell_m * cell_m).alias("severe_area_m2"),
         *(f(F.when(wet, F.col(x))).alias(f"{n}_{x}") for n, f in (("min", F.min), ("max", F.max)) for x in ("r", "c")),
     )
-    roads = impact.groupBy("scenario_id", "lead_minutes").agg(
+
+
+def shut_and_slow(impact: DataFrame, *by: str) -> DataFrame:
+    """Per frame: how many roads are impassable, and how many want caution."""
+    return impact.groupBy(*by).agg(
         F.count_if(F.col("classification") == "IMPASSABLE").alias("impassable_roads"), F.count_if(F.col("classification").isin("CAUTION", "HIGH_IMPACT")).alias("caution_roads")
     )
-    both = grid.join(roads.hint("merge"), ["scenario_id", "lead_minutes"], "left").fillna(0, ["impassable_roads", "caution_roads"])
+
+
+def screened_frames(depth: DataFrame, impact: DataFrame, cell_m: float = 30.0) -> DataFrame:
+    """Per scenario and lead: wet and severe area, bounds of the wet cells, severity, colour and event; calm frames are left out."""
+    keys = ["scenario_id", "lead_minutes"]
+    return graded(frame_extent(depth, *keys, cell_m=cell_m).join(shut_and_slow(impact, *keys).hint("merge"), keys, "left"))
+
+
+def graded(frames: DataFrame) -> DataFrame:
+    """Frames (columns of frame_extent and shut_and_slow) with severity, colour and event; calm ones are left out."""
+    both = frames.fillna(0, ["impassable_roads", "caution_roads"])
     d, shut, slow = F.col("max_depth_m"), F.col("impassable_roads"), F.col("caution_roads")
     severity = F.when((d >= 0.50) | (shut >= 2), "Extreme").when((d >= 0.30) | (shut >= 1), "Severe").when((d >= 0.15) | (slow >= 2), "Moderate").when((d >= 0.05) | (slow >= 1), "Minor")
     found = both.withColumn("severity", severity).where("severity IS NOT NULL")

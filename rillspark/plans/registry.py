@@ -21,6 +21,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_feeds",
     "rillspark.plans.q_contracts",
     "rillspark.plans.q_fields",
+    "rillspark.plans.q_grids",
 )
 
 

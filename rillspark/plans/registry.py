@@ -22,6 +22,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_contracts",
     "rillspark.plans.q_fields",
     "rillspark.plans.q_grids",
+    "rillspark.plans.q_geometry",
 )
 
 

@@ -5,11 +5,12 @@ phrase), padded where the piece ends. Only these longest windows are counted. Sp
 successively shorter prefixes: the sum of a prefix of j words is how often the phrase of these j words occurs, and that of lang alone is the number of words.
 Phrases of fewer words are never exploded.
 
-Windows end early where no frequent phrase can go on. A first pass hashes words and word pairs into BUCKETS counters: summed by Spark, and
-read back as one bit a bucket (its count reaches the threshold), so the driver and each task get BUCKETS / 8 bytes at every size. A pair in
-a light bucket is rarer than the threshold, and so is every phrase that holds it, so its window is padded from there on; a word in a light bucket becomes
-padding itself and counts in the total only. Whatever the buckets say, frequent phrases keep all their windows: the counts are exact, and
-with far more pairs than buckets only the saving goes. The words of a slice of text are told apart by Arrow's dictionary, the windows are sent
+Windows end early where no frequent phrase can go on. Two passes before hash n-grams into BUCKETS counters, which tell what is certainly rare: the first
+counts words and word pairs, the second longer n-grams all of whose pairs are in buckets that reach the threshold. An n-gram in a light bucket is rarer than
+the threshold, and so is every phrase that holds it, so its window is padded there; a word in a light bucket becomes padding itself and counts in the
+total only. A task keeps one small counter a bucket (which stops at the threshold) and sends them compressed, in chunks; Spark sums the chunks, and the driver and each
+task get one bit a bucket, whatever the size of the corpus. Whatever the buckets say, frequent phrases keep all their windows: the counts are exact, and
+with far more n-grams than buckets only the saving goes (more buckets, at a byte each in a task, bring it back). The words of a slice of text are told apart by Arrow's dictionary, the windows are sent
 to Spark as columns of strings, and a hot word, pair or passage is summed in each task before it is shuffled.
 
 Scores are decimals of 38 digits, divided exactly. A phrase is dropped if a longer candidate that holds it is as frequent (in the share asked for):
@@ -27,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.llm.common import byte_column, scratch, slices, written
 
-#: Counters of the first pass; a power of two, 32,768 at least.
-BUCKETS = 1 << 25
+#: Counters of a pass, a power of two; and how many of them go together.
+BUCKETS, CHUNK = 1 << 25, 1 << 15
 #: Bytes of text that a task holds as words at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 # The marks that end a piece, and what parts words.
 MARKS, GAPS = b".,;:!?\n\v\f\r", b" \t"
@@ -54,17 +56,21 @@ class Words:
         raw, ends = byte_column(texts)
         data = _LOWER[raw]
         kind = _KIND[data]
+        letter = kind == 0
         edge = np.zeros(len(data) + 1, bool)  # texts begin and end pieces
         edge[ends] = True
-        letter = kind == 0
-        begins = np.flatnonzero(letter & (edge[:-1] | ~np.r_[False, letter[:-1]])) if len(data) else np.zeros(0, np.int64)
-        marks = np.cumsum((kind == 2) | edge[:-1]) if len(data) else np.zeros(0, np.int64)
-        piece = marks[begins]
+        before = np.zeros(len(data), bool)
+        before[1:] = letter[:-1]
+        begins = np.flatnonzero(letter & (edge[:-1] | ~before))
+        piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int64)[begins]
         self.row = np.searchsorted(ends, begins, side="right") - 1
-        self.joined = np.r_[piece[1:] == piece[:-1], False] if len(begins) else np.zeros(0, bool)
-        letters = np.r_[0, np.cumsum(letter)]
-        offsets = np.r_[letters[begins], letters[-1]].astype(np.int64)
-        column = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[letter]))])
+        self.joined = np.zeros(len(begins), bool)
+        self.joined[:-1] = piece[1:] == piece[:-1]
+        letters = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(letter, out=letters[1:])
+        offsets = np.append(letters[begins], letters[-1])
+        del piece, letters, kind, edge, before
+        column = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
         coded = column.dictionary_encode()
         self.code, self.dictionary = coded.indices.to_numpy(), coded.dictionary
 
@@ -75,91 +81,131 @@ class Words:
         return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.uint64, len(self.dictionary))
 
 
-def _buckets(words: Words, lang: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each word, and that of each word with the next."""
-    with np.errstate(over="ignore"):
-        own = words.hashes()[words.code] * _ODD[0] + lang[words.row] * _ODD[1]
-        pair = (own ^ (own >> np.uint64(29))) * _ODD[2] + np.r_[own[1:], own[:1]] * _ODD[3] if len(own) else own
-        shift = np.uint64(64 - buckets.bit_length() + 1)
-        return tuple(((x ^ (x >> np.uint64(32))) * _ODD[0] >> shift).astype(np.int64) for x in (own, pair))
-
-
-def _langs(column: pa.Array) -> np.ndarray:
-    coded = column.dictionary_encode()
-    known = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in coded.dictionary.to_pylist()], np.uint64)
-    return known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64)
-
-
-def _counted(buckets: int):
-    """How often each bucket is met in a task's texts."""
+class Grams:
+    """The n-grams that begin at each word of a slice: where they go on, and their buckets."""
+
+    def __init__(self, words: Words, lang: pa.Array, buckets: int):
+        self.joined, self.shift = words.joined, np.uint64(64 - buckets.bit_length() + 1)
+        known = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lang.dictionary.to_pylist()], np.uint64)
+        spoken = lang.indices.to_numpy()[words.row]
+        with np.errstate(over="ignore"):
+            self.own = words.hashes()[words.code] * _ODD[0] + known[spoken] * _ODD[1] if len(words.code) else np.zeros(0, np.uint64)
+
+    def bucket(self, at: np.ndarray, order: int) -> np.ndarray:
+        """The bucket of the n-gram of so many words at each of the places `at`, which must be inside a piece."""
+        with np.errstate(over="ignore"):
+            mixed = self.own[at]
+            for j in range(1, order):
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[2] + self.own[at + j] * _ODD[3]
+            return ((mixed ^ (mixed >> np.uint64(32))) * _ODD[0] >> self.shift).astype(np.int64)
+
+    def pairs(self, bits: np.ndarray) -> np.ndarray:
+        """For each word, whether it and the next are in one piece and in a heavy bucket."""
+        out = np.zeros(len(self.own), bool)
+        at = np.flatnonzero(self.joined)
+        out[at] = _is_heavy(bits, self.bucket(at, 2))
+        return out
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[Words, pa.DictionaryArray, Grams]]:
+    for part in slices(batches, "text", SLICE):
+        words, lang = Words(part.column("text")), part.column("lang").dictionary_encode()
+        yield words, lang, Grams(words, lang, buckets)
+
+
+def _counted(buckets: int, least: int, most: int, pairs: np.ndarray | None):
+    """A task's counters, in chunks: of words and pairs; or, given the bits of pairs, of longer n-grams all of whose pairs are heavy."""
+    kind = np.dtype(np.uint8 if least <= 255 else np.uint16 if least <= 65535 else np.uint32)
+
+    def entries(words: Words, grams: Grams) -> Iterator[np.ndarray]:
+        if pairs is None:
+            yield grams.bucket(np.arange(len(words.code)), 1)
+            yield grams.bucket(np.flatnonzero(words.joined), 2)
+            return
+        onward = grams.pairs(pairs)
+        at = np.flatnonzero(onward)
+        for order in range(3, most + 1):
+            at = at[at + order - 2 < len(onward)]
+            at = at[onward[at + order - 2]]
+            yield grams.bucket(at, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def summed() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch([pa.array(found), pa.array(counts)], names=["bucket", "n"])
-
-        for part in slices(batches, "text", SLICE):
-            words = Words(part.column("text"))
-            own, pair = _buckets(words, _langs(part.column("lang")), buckets)
-            held += [own, pair[words.joined]]
-            if sum(map(len, held)) > 4_000_000:
-                yield summed()
-        if held:
-            yield summed()
-
-    return run
-
-
-def frequent_buckets(texts: DataFrame, least: int, buckets: int) -> np.ndarray:
-    """One bit a bucket, in bytes of eight: whether words and pairs that fall there occur `least` times together."""
-    heavy = texts.mapInArrow(_counted(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    maps = heavy.groupBy(F.expr("bitmap_bucket_number(bucket)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bucket))").alias("bits"))
-    bits = np.zeros(buckets // 8 + 8192, np.uint8)
-    for r in maps.collect():  # BUCKETS / 32,768 rows of 4,096 bytes at most
-        # numbers start at 1 for what is over 0, positions at 0; see _is_heavy
-        begin = r["part"] * 4096
-        bits[begin : begin + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+        counts, any_text = np.zeros(buckets, kind), False
+        for words, _, grams in _sliced(batches, buckets):
+            for some in entries(words, grams):
+                found, n = np.unique(some, return_counts=True)
+                counts[found] = np.minimum(counts[found].astype(np.int64) + n, least)
+                any_text |= len(found) > 0
+        if any_text:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            for chunk in range(buckets // CHUNK):
+                part = counts[chunk * CHUNK : (chunk + 1) * CHUNK]
+                if part.any():
+                    yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], names=["chunk", "data"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks come sorted, so one is held at a time; of each, one bit a bucket is left."""
+        here, total = -1, None
+
+        def bits() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([here], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["chunk", "data"])
+
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if chunk != here:
+                    if total is not None:
+                        yield bits()
+                    here, total = chunk, np.zeros(CHUNK, np.int64)
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+        if total is not None:
+            yield bits()
+
+    return run, summed
+
+
+def frequent_buckets(texts: DataFrame, least: int, buckets: int, most: int = 2, pairs: np.ndarray | None = None) -> np.ndarray:
+    """One bit a bucket, in bytes of eight: whether the n-grams that fall there occur `least` times together."""
+    run, summed = _counted(buckets, least, most, pairs)
+    chunks = texts.mapInArrow(run, "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, data binary")
+    bits = np.zeros(buckets // 8, np.uint8)
+    for r in chunks.collect():  # BUCKETS / CHUNK rows of CHUNK / 8 bytes at most
+        bits[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["data"], np.uint8)
     return bits
 
 
 def _is_heavy(bits: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Spark's bitmaps: bucket 0 is bit 0 of map 0; bucket b > 0 is bit (b - 1) mod 32,768 of map 1 + (b - 1) div 32,768."""
-    place = np.where(bucket > 0, (1 + (bucket - 1) // 32768) * 32768 + (bucket - 1) % 32768, 0)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+    return (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 > 0
 
 
-def _windows(bits: np.ndarray, buckets: int, most: int):
+def _windows(short: np.ndarray, long: np.ndarray, buckets: int, most: int):
     """Rows of lang, w1 ... and n: windows padded with empty words. Single words are summed for each slice; longer windows are sent as they come."""
     names = ["lang", *(f"w{j}" for j in range(1, most + 1)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE):
-            words = Words(part.column("text"))
+        for words, lang, grams in _sliced(batches, buckets):
             if not len(words.code):
                 continue
-            own, pair = _buckets(words, _langs(part.column("lang")), buckets)
             padding = len(words.dictionary)
             dictionary = pa.concat_arrays([words.dictionary, pa.array([""], pa.large_string())]).cast(pa.string())
-            code = np.where(_is_heavy(bits, own), words.code, padding)
-            onward = words.joined & _is_heavy(bits, pair) & (code != padding)
-            onward[:-1] &= code[1:] != padding
-            lang = part.column("lang").dictionary_encode()
+            every = np.arange(len(words.code))
+            code = np.where(_is_heavy(short, grams.bucket(every, 1)), words.code, padding)
+            onward = grams.pairs(short)
             spoken = lang.indices.to_numpy()[words.row].astype(np.int64)
             alone, counts = np.unique(spoken[~onward] * (padding + 1) + code[~onward], return_counts=True)
-            none = np.full(len(alone), padding)
-            columns = [(alone // (padding + 1), [alone % (padding + 1), *[none] * (most - 1)], counts)]
+            columns = [(alone // (padding + 1), [alone % (padding + 1), *[np.full(len(alone), padding)] * (most - 1)], counts)]
             at = np.flatnonzero(onward)
-            lead, goes = [code[at]], np.ones(len(at), bool)
-            for j in range(1, most):
-                goes = goes & onward[np.minimum(at + j - 1, len(code) - 1)]
-                lead.append(np.where(goes, code[np.minimum(at + j, len(code) - 1)], padding))
-            columns.append((spoken[at], lead, np.ones(len(at), np.int64)))
-            for tongue, window, n in columns:
+            window = [code[at], code[at + 1]]
+            goes = np.arange(len(at))  # of the windows, those that reach this length
+            for order in range(3, most + 1):
+                goes = goes[at[goes] + order - 2 < len(onward)]
+                goes = goes[onward[at[goes] + order - 2]]
+                goes = goes[_is_heavy(long, grams.bucket(at[goes], order))]
+                window.append(np.full(len(at), padding))
+                window[-1][goes] = code[at[goes] + order - 1]
+            columns.append((spoken[at], window[:most], np.ones(len(at), np.int64)))
+            for tongue, lead, n in columns:
                 for a in range(0, len(n), 65536):
-                    take = [dictionary.take(pa.array(c[a : a + 65536])) for c in window]
+                    take = [dictionary.take(pa.array(c[a : a + 65536])) for c in lead]
                     yield pa.record_batch([lang.dictionary.take(pa.array(tongue[a : a + 65536])), *take, pa.array(n[a : a + 65536])], names=names)
 
     return run
@@ -168,10 +214,11 @@ def _windows(bits: np.ndarray, buckets: int, most: int):
 def phrase_counts(docs: DataFrame, least: int, most: int = 5, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS) -> DataFrame:
     """lang, words (array), f: every phrase of 1 to `most` words with f >= least; and a row of no words, whose f counts all words of lang. A written table."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = frequent_buckets(texts, least, buckets)
+    short = frequent_buckets(texts, least, buckets)
+    long = frequent_buckets(texts, least, buckets, most, short)
     lead = [f"w{j}" for j in range(1, most + 1)]
     schema = f"lang string, {', '.join(f'{w} string' for w in lead)}, n long"
-    top = texts.mapInArrow(_windows(bits, buckets, most), schema).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
+    top = texts.mapInArrow(_windows(short, long, buckets, most), schema).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
     sums = top.rollup("lang", *lead).agg(F.sum("n").alias("f")).where(F.col("lang").isNotNull() & ((F.col("f") >= least) | F.col("w1").isNull()))
     held = F.filter(F.array(*lead), lambda w: w.isNotNull())
     # a prefix that holds padding is no phrase of its length; the row of lang alone has no words

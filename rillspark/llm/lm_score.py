@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from rillspark.llm.bpe import Bpe
 from rillspark.llm.common import slices
-from rillspark.llm.packing import tokenizer
+from rillspark.llm.packing import token_ids
 
 ALPHA, FOLDS = 0.4, 8
 #: Bits of a document's place in its slice; its fold stands above them.
@@ -47,7 +47,7 @@ BUCKET_BYTES, LEAST_BUCKETS = 8_000_000, 64
 
 
 def _ids(path: str, text: str | None) -> np.ndarray:
-    return np.array(tokenizer(path).encode(text or "", allowed_special="all", disallowed_special=()), dtype=np.int64)
+    return token_ids(path, text).astype(np.int64)
 
 
 def _singles(path: str, size: int):

@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.bpe import PATTERN, Bpe
+from rillspark.llm.bpe import PATTERN, Bpe, loaded
 from rillspark.llm.common import slices
 
 #: Sequences of a window; a window's ids take WINDOW * length * 4 bytes.
 WINDOW = 1024
+#: Characters that the compiled library gets at a time.
+MOST_CHARS = 100_000
 #: Cost per token, and per pair of tokens of a piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -44,8 +46,26 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=tables.ids, special_tokens=tables.special)
 
 
+def _bounded(path: str, text: str) -> Iterator[np.ndarray]:
+    """The ids of a long text, part by part. The library's pattern gives up on long runs of white space; pieces that are long by themselves take the trie's way."""
+    tables, held, size = loaded(path), [], 0
+    for piece in [*tables.cut(text), None]:
+        if held and (piece is None or size + len(piece) > MOST_CHARS):
+            yield np.array(tokenizer(path).encode("".join(held), allowed_special="all", disallowed_special=()), dtype="<u4")
+            held, size = [], 0
+        if piece is not None and len(piece) > MOST_CHARS:
+            words = [w.encode() for w in tables.split.findall(piece)]
+            codes, _ = tables.encode_words(set(words))
+            yield np.frombuffer(b"".join(map(codes.__getitem__, words)), "<u4")
+        elif piece is not None:
+            held.append(piece)
+            size += len(piece)
+
+
 def token_ids(path: str, text: str | None) -> np.ndarray:
     """The ids of a text, special tokens in it included; null counts as empty."""
+    if text and len(text) > MOST_CHARS:
+        return np.concatenate(list(_bounded(path, text)))
     return np.array(tokenizer(path).encode(text or "", allowed_special="all", disallowed_special=()), dtype="<u4")
 
 

@@ -109,3 +109,17 @@ def test_lm_scores_against_brute_force(spark, library):
     for r, e in zip(sorted(((r.doc_id, r.n_tokens, r.log_score) for r in found), key=key), sorted(expected, key=key), strict=True):
         assert r[:2] == e[:2] and math.isclose(r[2], e[2], rel_tol=1e-9, abs_tol=1e-9)
     assert lm_score.scored(docs.limit(0), bpe.vocabulary_path()).count() == 0
+
+
+@pytest.mark.parametrize("gap", [" ", "\t", "\n", " \n\t"])
+def test_long_white_space(spark, gap):
+    """Packing and scoring take two million white-space characters, alone, inside and at the end, as BPE does."""
+    run = gap * (2_000_000 // len(gap))
+    texts = [run, f"{run}x", f"a b{run}", f"one two{run}three <|endoftext|> four" + " five" * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = bpe.vocabulary_path()
+    ids = {r.doc_id: np.array(r.ids, "<u4") for r in bpe.encoded(docs, path).collect()}
+    assert all(np.array_equal(packing.token_ids(path, t), ids[i]) for i, t in enumerate(texts))
+    held = packing.packed(docs, path).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in held} == {i: len(x) + 1 for i, x in ids.items()}
+    assert {r.doc_id: r.n_tokens for r in lm_score.scored(docs, path).collect()} == {i: len(x) for i, x in ids.items()}

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast after its size was checked.
@@ -15,15 +15,20 @@ MOST_BROADCAST = 100_000
 TILE = 512
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to spark.checkpoint.dir and read back: iterations keep a short lineage. Only a local session may leave that unset (tests)."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session may leave that unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{root.rstrip('/')}/rillspark-{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to the shared folder and read back: iterations keep a short lineage."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/rillspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -23,6 +23,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_fields",
     "rillspark.plans.q_grids",
     "rillspark.plans.q_geometry",
+    "rillspark.plans.q_results",
 )
 
 

@@ -1,6 +1,6 @@
 """Longitude and latitude to UTM and back, in column expressions: the transverse Mercator series of Krueger to the fourth power of n.
 
-Inside a zone the series is good to well below a micrometre. Angles are degrees, WGS 84; a point outside +-180, +-90 gives null, as do null and NaN.
+Inside a zone the series is good to some micrometres. Angles are degrees, WGS 84; a point outside +-180, +-90 gives null, as do null and NaN.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, impact_class, passability
+from rillspark.functions.shared import small
 
 #: Leads that are aggregated side by side.
 LEADS_AT_ONCE = 8
@@ -46,37 +47,46 @@ def leads_of(grid: DataFrame) -> list[int]:
     return sorted(r[0] for r in grid.select("lead_minutes").distinct().collect())
 
 
-def by_road(cells: DataFrame, grid: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], leads: list[int], found: Callable[..., dict[str, Column]], *kept: str) -> DataFrame:
-    """Aggregates of grid values over each road's cells: one row for each of `keys`, lead and road with a known cell.
+def by_road(cells: DataFrame, grid: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], leads: list[int], found: Callable[..., dict[str, Column]], *kept: str, whole: bool = False) -> DataFrame:
+    """Aggregates of grid values over each road's cells: one row for each of `keys`, lead and road with a known cell; with `whole`, for each road and frame.
 
     Leads stand side by side in columns, LEADS_AT_ONCE of them at a time, so that a road's cells are joined and grouped once for as many leads. `found` gives the
     aggregates of one lead's value columns, by name; kept columns of `cells` are the same for all cells of a road.
     """
     lead = F.col("lead_minutes")
     parts = []
+    if whole:  # a first row for each road and scenario, so that roads without a known cell have a group too; frames are few
+        first = cells.where("i = 0").select("road_id", *kept).crossJoin(small(grid.select(*keys).distinct()))
+        frames = small(grid.select(*keys, "lead_minutes").distinct())
     for at in range(0, len(leads), LEADS_AT_ONCE):
         some = list(enumerate(leads[at : at + LEADS_AT_ONCE]))
         wide = grid.where(lead.isin([x for _, x in some])).groupBy(*keys, "r", "c").agg(*(F.max(F.when(lead == x, F.col(v))).alias(f"{v}_{k}") for k, x in some for v in values))
         each = {k: found(*(F.col(f"{v}_{k}") for v in values)) for k, _ in some}
         counted = (F.count(f"{values[0]}_{k}").alias(f"n_{k}") for k, _ in some)
-        sums = cells.select("road_id", "r", "c", *kept).join(wide.hint("merge"), ["r", "c"]).groupBy(*keys, "road_id").agg(*counted, *(x.alias(f"{name}_{k}") for k in each for name, x in each[k].items()), *(F.first(c).alias(c) for c in kept))
+        met = cells.select("road_id", "r", "c", *kept).join(wide.hint("merge"), ["r", "c"])
+        met = met.unionByName(first, allowMissingColumns=True) if whole else met
+        sums = met.groupBy(*keys, "road_id").agg(*counted, *(x.alias(f"{name}_{k}") for k in each for name, x in each[k].items()), *(F.first(c).alias(c) for c in kept))
         rows = F.array(*(F.struct(F.lit(x).alias("lead_minutes"), F.col(f"n_{k}").alias("n_cells"), *(F.col(f"{name}_{k}").alias(name) for name in each[k])) for k, x in some))
-        parts.append(sums.select(*keys, "road_id", *kept, F.explode(rows).alias("f")).select(*keys, "f.lead_minutes", "road_id", *kept, *(f"f.{name}" for name in ("n_cells", *each[0]))).where("n_cells > 0"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(sums.select(*keys, "road_id", *kept, F.explode(rows).alias("f")).select(*keys, "f.lead_minutes", "road_id", *kept, *(f"f.{name}" for name in ("n_cells", *each[0]))))
+    if not parts:  # a grid without leads: once more with any lead, for the columns
+        return by_road(cells, grid, keys, values, [0], found, *kept, whole=whole).limit(0)
+    every = reduce(DataFrame.unionByName, parts)
+    return every.join(frames, [*keys, "lead_minutes"], "left_semi") if whole else every.where("n_cells > 0")
 
 
 def road_impact(segments: DataFrame, depth: DataFrame, policy: dict = PASSABILITY) -> DataFrame:
     """Impact of every road at every scenario and lead: depth statistics, impacted share and length, class and passability.
 
-    Statistics are over the cells that the grid has; missing_cells says how many of the road's cells it lacks, for callers that refuse such roads.
+    Statistics are over the cells that the grid has; missing_cells says how many of the road's cells it lacks, for callers that refuse such roads. A road none of
+    whose cells a frame has is there too, with null statistics, class and passability.
     """
     whole = F.greatest(F.abs(F.col("r2") - F.col("r1")), F.abs(F.col("c2") - F.col("c1"))) + 1
     stats = lambda d: {"max_depth_m": F.max(d), "mean_depth_m": steady(F.avg(d)), "fraction": F.avg(F.when(d > policy["impacted_m"], 1.0).when(d.isNotNull(), 0.0))}
-    found = by_road(road_cells(segments.withColumn("whole", whole)), depth, ("scenario_id",), ("depth_m",), leads_of(depth), stats, "length_m", "whole")
+    found = by_road(road_cells(segments.withColumn("whole", whole)), depth, ("scenario_id",), ("depth_m",), leads_of(depth), stats, "length_m", "whole", whole=True)
     named = found.withColumn("classification", impact_class(F.col("max_depth_m"), policy))
     return named.select(
         "scenario_id", "lead_minutes", "road_id", "n_cells", (F.col("whole") - F.col("n_cells")).alias("missing_cells"), "max_depth_m", "mean_depth_m", steady(F.col("fraction")).alias("impacted_fraction"),
-        steady(F.col("fraction") * F.col("length_m")).alias("impacted_length_m"), "classification", passability(F.col("classification")).alias("passability"),
+        steady(F.col("fraction") * F.col("length_m")).alias("impacted_length_m"), "classification", F.when(F.col("classification").isNotNull(), passability(F.col("classification"))).alias("passability"),
     )
 
 
@@ -108,7 +118,7 @@ def road_timeline(impact: DataFrame) -> DataFrame:
     return impact.groupBy("scenario_id", "road_id").agg(
         F.min(F.when(F.col("classification") != "DRY", F.col("lead_minutes"))).alias("first_impacted_lead"),
         F.min(F.when(F.col("classification") == "IMPASSABLE", F.col("lead_minutes"))).alias("first_impassable_lead"),
-        F.concat_ws(",", F.transform(pairs, lambda x: F.concat_ws(":", x["lead_minutes"].cast("string"), x["classification"]))).alias("series"),
+        F.concat_ws(",", F.transform(pairs, lambda x: F.concat_ws(":", x["lead_minutes"].cast("string"), F.coalesce(x["classification"], F.lit("UNKNOWN"))))).alias("series"),
     )
 
 
@@ -122,10 +132,10 @@ def class_counts(impact: DataFrame) -> DataFrame:
 
 
 def impact_reason(impact: DataFrame, policy: dict = PASSABILITY) -> DataFrame:
-    """The class of each row explained in words (fixed values)."""
+    """The class of each row explained in words (fixed values); without a known depth it says so."""
     d, t = F.format_string("%.3f", steady(F.col("max_depth_m"), 3)), policy
     text = (
-        F.when(F.col("classification") == "DRY", F.concat(F.lit("max depth "), d, F.lit(f" m is at or below the dry threshold {t['dry_m']:.2f} m")))
+        F.when(F.col("classification").isNull(), "no depth is known along this road").when(F.col("classification") == "DRY", F.concat(F.lit("max depth "), d, F.lit(f" m is at or below the dry threshold {t['dry_m']:.2f} m")))
         .when(F.col("classification") == "LOW_IMPACT", F.concat(F.lit("max depth "), d, F.lit(f" m is low impact ({t['dry_m']:.2f}–{t['low_m']:.2f} m)")))
         .when(F.col("classification") == "CAUTION", F.concat(F.lit("max depth "), d, F.lit(f" m warrants caution ({t['low_m']:.2f}–{t['caution_m']:.2f} m)")))
         .when(F.col("classification") == "HIGH_IMPACT", F.concat(F.lit("max depth "), d, F.lit(f" m is high impact ({t['caution_m']:.2f}–{t['impassable_m']:.2f} m)")))

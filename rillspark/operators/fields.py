@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.operators.nowcast import radar_weight
+from rillspark.operators.nowcast import gradients, radar_weight
 from rillspark.operators.roads import steady
 
 # Tides in metres that count where none is given, and beyond which there is a surge.
@@ -60,6 +60,22 @@ def topographic_ponding(dem: DataFrame, frames: DataFrame) -> DataFrame:
     return found.select("scenario_id", "lead_minutes", "r", "c", steady(depth, 4).alias("depth_m"))
 
 
+def city_ponding(dem: DataFrame, frames: DataFrame, half: int = 15) -> DataFrame:
+    """`lowland_ponding` with the slope of the ground itself, on land only, and with the surcharge of a culvert in the middle of the grid.
+
+    dem: r, c, z, land of a dense grid; frames: as for lowland_ponding, with culvert_m (depth that a box of `half` cells each way has more at the peak, 0 for none).
+    """
+    steep = gradients(dem.withColumn("frame", F.lit(0)), "z").withColumn("slope", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    size = dem.agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))  # one row
+    lead = F.col("lead_minutes")
+    factor = F.when(lead <= 90, F.sin(lead / 90.0 * 1.5707963267948966)).otherwise(F.exp(-(lead - 90.0) / 45.0))
+    pond = lowland_ponding(steep.select("r", "c", "z", "slope"), frames)
+    cells = pond.join(dem.select("r", "c", "land").hint("merge"), ["r", "c"]).join(F.broadcast(frames.select("scenario_id", "lead_minutes", "culvert_m")), ["scenario_id", "lead_minutes"]).crossJoin(F.broadcast(size))
+    middle = lambda x, n: (F.col(x) >= F.floor(F.col(n) / 2) - half) & (F.col(x) < F.floor(F.col(n) / 2) + half)
+    more = F.when(middle("r", "h") & middle("c", "w"), F.col("culvert_m") * factor).otherwise(0.0)
+    return cells.select("scenario_id", "lead_minutes", "r", "c", steady(F.when(F.col("land") == 1, F.greatest(F.lit(0.0), F.col("depth_m") + more)).otherwise(0.0), 5).alias("depth_m"))
+
+
 def lowland_ponding(dem: DataFrame, frames: DataFrame) -> DataFrame:
     """A screening depth from slope and height: excess rain over infiltration and drains, gathered on flat and low ground.
 

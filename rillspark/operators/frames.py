@@ -92,8 +92,8 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float, most_rounds:
     return reduce(DataFrame.unionByName, found)
 
 
-def clear_window(cells: DataFrame, size: int) -> DataFrame:
-    """The first size x size window without a bad cell, in raster order, of a dense grid (r, c, bad): its upper left cell, or no row.
+def clear_window(cells: DataFrame, size: int, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """The first size x size window without a bad cell, in raster order from the cell `start`, of a dense grid (r, c, bad): its upper left cell, or no row.
 
     Bad cells are summed along rows, then along columns; each partition is a tile of one line of cells.
     """
@@ -101,7 +101,8 @@ def clear_window(cells: DataFrame, size: int) -> DataFrame:
     n = lambda x, w: F.sum(x).over(w)
     wide = tiled(cells, "c", size - 1).select("r", "c", "own", n(F.col("bad").cast("int"), along("r", "c")).alias("bad"), F.count(F.lit(1)).over(along("r", "c")).alias("n")).where("own").drop("own")
     full = tiled(wide, "r", size - 1).select("r", "c", "own", n("bad", along("c", "r")).alias("bad"), n("n", along("c", "r")).alias("n")).where("own")
-    return full.where((F.col("bad") == 0) & (F.col("n") == size * size)).agg(F.min(F.struct("r", "c")).alias("w")).where("w IS NOT NULL").select("w.*")
+    on = (F.col("r") > start[0]) | ((F.col("r") == start[0]) & (F.col("c") >= start[1]))
+    return full.where((F.col("bad") == 0) & (F.col("n") == size * size) & on).agg(F.min(F.struct("r", "c")).alias("w")).where("w IS NOT NULL").select("w.*")
 
 
 def nearest_within(points: DataFrame, nodes: DataFrame, most: float) -> DataFrame:

@@ -24,6 +24,7 @@ MODULES: tuple[str, ...] = (
     "rillspark.plans.q_grids",
     "rillspark.plans.q_geometry",
     "rillspark.plans.q_results",
+    "rillspark.plans.q_reports",
 )
 
 

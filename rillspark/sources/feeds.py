@@ -45,6 +45,14 @@ def tides(docs: DataFrame, *keys: str, text: str = "feed") -> DataFrame:
     return found.select(*keys, F.size(F.filter("day", lambda x: x.isNotNull())).alias("hours"), F.array_max("day").alias("highest_m"), tide.alias("tide_m"), F.coalesce(tide > SURGE_M, F.lit(False)).alias("surge"))
 
 
+def rivers(docs: DataFrame, *keys: str, text: str = "feed") -> DataFrame:
+    """Daily discharge of each river feed: days given, the first value as the current one (0 without any), the largest, and its mean where the feed has it."""
+    daily = F.from_json(text, "daily STRUCT<`time`: ARRAY<STRING>, river_discharge: ARRAY<DOUBLE>, river_discharge_mean: ARRAY<DOUBLE>>")["daily"]
+    found = docs.select(*keys, daily["river_discharge"].alias("v"), daily["river_discharge_mean"].alias("m"))
+    days = F.coalesce(F.size(F.filter("v", lambda x: x.isNotNull())), F.lit(0))
+    return found.select(*keys, F.greatest(days, F.lit(0)).alias("days"), F.coalesce(F.get("v", F.lit(0)), F.lit(0.0)).alias("discharge_cms"), F.array_max("v").alias("highest_cms"), F.get("m", F.lit(0)).alias("mean_cms"))
+
+
 def gauge_boxes(docs: DataFrame, west: float, south: float, east: float, north: float, *keys: str, text: str = "feed") -> DataFrame:
     """A row for each sensor of every station inside a box of longitude and latitude; a station without sensors has one row of nulls."""
     kind = "_id STRING, name STRING, exposure STRING, currentLocation STRUCT<coordinates ARRAY<DOUBLE>>, sensors ARRAY<STRUCT<_id STRING, title STRING, unit STRING, sensorType STRING>>"

@@ -46,7 +46,7 @@ def checked_frames(cells: DataFrame, heads: DataFrame, *key: str) -> DataFrame:
     sums = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("last_r"), F.max("c").alias("last_c"), F.count_if(rate < 0).alias("negative"), F.count_if(odd).alias("odd"))
     both = heads.join(sums.hint("merge"), list(key), "left")
     wrong = (F.coalesce("n", F.lit(0)) != F.col("width") * F.col("height")) | (F.col("last_r") != F.col("height") - 1) | (F.col("last_c") != F.col("width") - 1)
-    errors = texts((wrong, "rate_mmh shape does not match"), (F.col("negative") > 0, "negative rainfall rates are not allowed"), (F.col("odd") > 0, "rainfall rates must be finite"), (F.col("units") != "mm/h", "units must be 'mm/h'"), (~F.col("zoned"), "times must be timezone-aware"), (F.col("valid_to") <= F.col("valid_from"), "valid_to must be strictly after valid_from"))
+    errors = texts((~F.col("zoned"), "TIME_WITHOUT_ZONE"), (F.col("valid_to") <= F.col("valid_from"), "EMPTY_INTERVAL"), (F.col("units") != "mm/h", "UNITS_NOT_MM_PER_HOUR"), (wrong, "CELLS_DO_NOT_FILL_GRID"), (F.col("odd") > 0, "RATE_NOT_FINITE"), (F.col("negative") > 0, "RATE_BELOW_ZERO"))
     return both.select(*key, errors.alias("errors")).withColumn("accepted", F.col("errors") == "")
 
 
@@ -60,7 +60,7 @@ def checked_forecasts(frames: DataFrame, *key: str, leads: tuple[int, ...] = VAL
         F.count_distinct("reference").alias("systems"), (F.max("resolution_m") - F.min("resolution_m")).alias("spread"),
     )
     exact = (F.col("have") == F.array(*map(F.lit, leads))) & (F.col("n") == len(leads))
-    errors = texts((F.col("units") > 0, "unsupported nowcast units"), (~exact, "nowcast leads do not match"), (F.col("shapes") > 1, "frames do not share one grid shape"), (F.col("systems") > 1, "frames do not share one spatial reference"), (F.col("spread") > 1e-9, "frames do not share one spatial resolution"))
+    errors = texts((~exact, "LEADS_DIFFER"), (F.col("units") > 0, "UNITS_NOT_MM_PER_HOUR"), (F.col("shapes") > 1, "SHAPES_DIFFER"), (F.col("systems") > 1, "REFERENCES_DIFFER"), (F.col("spread") > 1e-9, "RESOLUTIONS_DIFFER"))
     return found.select(*key, F.col("n").alias("frames"), errors.alias("errors")).withColumn("accepted", F.col("errors") == "")
 
 
@@ -91,11 +91,10 @@ def checked_grids(grids: DataFrame, *key: str) -> DataFrame:
     """
     v = F.col
     errors = texts(
-        (~v("projected"), "grid CRS not projected metric"), ((v("b") != 0) | (v("d") != 0), "grid affine must be north-up (b=d=0)"), ((v("a") <= 0) | (v("e") >= 0), "grid affine must have a>0 and e<0 (north-up pixel-is-area)"),
-        (~close(v("a"), F.abs("e")) | ~close(v("a"), v("cell_m")), "grid affine cell size inconsistent with cell_size_m"), ((v("xmin") >= v("xmax")) | (v("ymin") >= v("ymax")), "grid bounds are not ordered (xmin<xmax, ymin<ymax)"),
-        (~close(v("c"), v("xmin")) | ~close(v("f"), v("ymax")), "grid affine origin inconsistent with bounds (c=xmin, f=ymax)"),
-        (~close(v("xmax") - v("xmin"), v("a") * v("width")) | ~close(v("ymax") - v("ymin"), F.abs("e") * v("height")), "grid bounds extent inconsistent with affine x width/height"),
-        ((v("width") < 2) | (v("height") < 2), "grid too small (width/height >= 2 required)"),
+        ((v("width") < 2) | (v("height") < 2), "TOO_FEW_CELLS"), (~v("projected"), "NOT_PROJECTED"), ((v("b") != 0) | (v("d") != 0), "ROTATED"), ((v("a") <= 0) | (v("e") >= 0), "NOT_NORTH_UP"),
+        (~close(v("a"), F.abs("e")) | ~close(v("a"), v("cell_m")), "CELL_SIZE_DIFFERS"), ((v("xmin") >= v("xmax")) | (v("ymin") >= v("ymax")), "BOUNDS_REVERSED"),
+        (~close(v("c"), v("xmin")) | ~close(v("f"), v("ymax")), "ORIGIN_DIFFERS"),
+        (~close(v("xmax") - v("xmin"), v("a") * v("width")) | ~close(v("ymax") - v("ymin"), F.abs("e") * v("height")), "EXTENT_DIFFERS"),
     )
     return grids.select(*key, errors.alias("errors")).withColumn("accepted", v("errors") == "")
 

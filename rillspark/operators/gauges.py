@@ -53,14 +53,14 @@ def quality(obs: DataFrame, now: Column) -> DataFrame:
     minutes = F.format_string("%.1f", F.round(F.abs(F.col("age")) + 1e-9, 1))
     raw = F.col("raw_value").cast("double")
     errors = F.array(
-        F.when(raw.isNull() | F.isnan(raw), "rate_mmh contains NaN or Inf values"),
-        F.when(raw < NEGATIVE_TOLERANCE, F.concat(F.lit("negative rainfall detected: min="), F.format_string("%.4f", F.round(raw - 1e-9, 4)), F.lit(" mm/h"))),
-        F.when(F.col("age") < -FRESH, F.concat(F.lit("observation is in the future by "), minutes, F.lit(" minutes"))),
-        F.when(F.col("age") > STALE, F.concat(F.lit("observation is "), minutes, F.lit(" minutes old (beyond stale threshold)"))),
+        F.when(raw.isNull() | F.isnan(raw), "RATE_NOT_FINITE"),
+        F.when(raw < NEGATIVE_TOLERANCE, F.concat(F.lit("RATE_BELOW_ZERO "), F.format_string("%.4f", F.round(raw - 1e-9, 4)), F.lit(" mm/h"))),
+        F.when(F.col("age") < -FRESH, F.concat(F.lit("AHEAD_OF_TIME "), minutes, F.lit(" minutes"))),
+        F.when(F.col("age") > STALE, F.concat(F.lit("AGE "), minutes, F.lit(" min too old"))),
     )
     warnings = F.array(
-        F.when((F.col("age") < 0) & (F.col("age") >= -FRESH), F.concat(F.lit("observation is in the future by "), minutes, F.lit(" minutes"))),
-        F.when((F.col("age") > FRESH) & (F.col("age") <= STALE), F.concat(F.lit("observation is "), minutes, F.lit(" minutes old (STALE)"))),
+        F.when((F.col("age") < 0) & (F.col("age") >= -FRESH), F.concat(F.lit("AHEAD_OF_TIME "), minutes, F.lit(" minutes"))),
+        F.when((F.col("age") > FRESH) & (F.col("age") <= STALE), F.concat(F.lit("AGE "), minutes, F.lit(" min old"))),
     )
     fresh = F.when(F.col("age") < -FRESH, "INVALID").when(F.col("age") <= FRESH, "FRESH").when(F.col("age") <= 2 * STALE, "STALE").otherwise("MISSING")
     found = obs.withColumn("age", age).withColumns({"freshness": fresh, "errors": F.array_join(errors, "; "), "warnings": F.array_join(warnings, "; ")})
@@ -89,12 +89,9 @@ def health(obs: DataFrame, now: Column, *by: str) -> DataFrame:
     found = obs.groupBy(*by).agg(F.count("observation_time").alias("observations"), F.max(F.col("observation_time").cast("timestamp")).alias("last"))
     age = (F.unix_micros(now) - F.unix_micros("last")) / 6e7
     status = F.when(F.col("last").isNull(), "UNCONFIGURED").when(age <= AGING, "HEALTHY").when(age <= EXPIRED, "DEGRADED").otherwise("UNAVAILABLE")
-    m = F.concat(F.lit("age="), F.format_string("%.1f", age), F.lit("m)"))
-    up = lambda word: F.concat(F.lit(f"Radar operational ({word}, "), m, F.lit(": "), F.col("observations").cast("string"), F.lit(" frames cached"))
-    text = (
-        F.when(F.col("last").isNull(), "No radar frames ingested yet").when(age <= YOUNG, up("FRESH")).when(age <= AGING, up("AGING"))
-        .when(age <= EXPIRED, F.concat(F.lit("Radar degraded (STALE, "), m)).otherwise(F.concat(F.lit("Radar feed unavailable (EXPIRED, "), m))
-    )
+    word = F.when(F.col("last").isNull(), "NO_OBSERVATION").when(age <= YOUNG, "FRESH").when(age <= AGING, "AGING").when(age <= EXPIRED, "STALE").otherwise("EXPIRED")
+    text = F.concat_ws(", ", word, F.concat(F.format_string("%.1f", F.when(F.col("last").isNotNull(), age)), F.lit(" min")), F.concat(F.col("observations").cast("string"), F.lit(" observations")))
+    text = F.when(F.col("last").isNull(), word).otherwise(text)
     return found.select(*by, "observations", F.col("last").cast("timestamp_ntz").alias("last_observation"), status.alias("status"), text.alias("message"))
 
 

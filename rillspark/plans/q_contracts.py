@@ -89,16 +89,16 @@ ORACLES = {
     "s1_known_frames": _D + ", w AS (SELECT DISTINCT scenario_id, CAST(i * 10 AS INT) AS lead_minutes FROM depth, range(0, 13) AS t(i)) SELECT w.*, CASE WHEN EXISTS (SELECT 1 FROM depth d WHERE d.scenario_id = w.scenario_id AND d.lead_minutes = w.lead_minutes) THEN 'KNOWN' ELSE 'UNKNOWN' END AS status FROM w",
     "p8_checked_frames": _D + f""",
 h AS ({_plain(HEADS)}), n AS (SELECT scenario_id, lead_minutes, count(*) AS n, max(r) AS lr, max(c) AS lc, count(*) FILTER (depth_m < 0) AS neg, count(*) FILTER (depth_m IS NULL OR isnan(depth_m) OR isinf(depth_m)) AS odd FROM depth GROUP BY ALL),
-x AS (SELECT scenario_id, lead_minutes, {_t(("n <> width * height OR lr <> height - 1 OR lc <> width - 1", "rate_mmh shape does not match"), ("neg > 0", "negative rainfall rates are not allowed"), ("odd > 0", "rainfall rates must be finite"), ("units <> 'mm/h'", "units must be 'mm/h'"), ("NOT zoned", "times must be timezone-aware"), ("valid_to <= valid_from", "valid_to must be strictly after valid_from"))} AS errors FROM h JOIN n USING (scenario_id, lead_minutes))
+x AS (SELECT scenario_id, lead_minutes, {_t(("NOT zoned", "TIME_WITHOUT_ZONE"), ("valid_to <= valid_from", "EMPTY_INTERVAL"), ("units <> 'mm/h'", "UNITS_NOT_MM_PER_HOUR"), ("n <> width * height OR lr <> height - 1 OR lc <> width - 1", "CELLS_DO_NOT_FILL_GRID"), ("odd > 0", "RATE_NOT_FINITE"), ("neg > 0", "RATE_BELOW_ZERO"))} AS errors FROM h JOIN n USING (scenario_id, lead_minutes))
 SELECT *, errors = '' AS accepted FROM x""",
     "p9_checked_grids": f"""WITH g AS ({_plain(GRIDS)}),
-x AS (SELECT grid_id, {_t(("NOT projected", "grid CRS not projected metric"), ("b <> 0 OR d <> 0", "grid affine must be north-up (b=d=0)"), ("a <= 0 OR e >= 0", "grid affine must have a>0 and e<0 (north-up pixel-is-area)"), (f"NOT ({_close('a', 'abs(e)')}) OR NOT ({_close('a', 'cell_m')})", "grid affine cell size inconsistent with cell_size_m"), ("xmin >= xmax OR ymin >= ymax", "grid bounds are not ordered (xmin<xmax, ymin<ymax)"), (f"NOT ({_close('c', 'xmin')}) OR NOT ({_close('f', 'ymax')})", "grid affine origin inconsistent with bounds (c=xmin, f=ymax)"), (f"NOT ({_close('(xmax - xmin)', 'a * width')}) OR NOT ({_close('(ymax - ymin)', 'abs(e) * height')})", "grid bounds extent inconsistent with affine x width/height"), ("width < 2 OR height < 2", "grid too small (width/height >= 2 required)"))} AS errors FROM g)
+x AS (SELECT grid_id, {_t(("width < 2 OR height < 2", "TOO_FEW_CELLS"), ("NOT projected", "NOT_PROJECTED"), ("b <> 0 OR d <> 0", "ROTATED"), ("a <= 0 OR e >= 0", "NOT_NORTH_UP"), (f"NOT ({_close('a', 'abs(e)')}) OR NOT ({_close('a', 'cell_m')})", "CELL_SIZE_DIFFERS"), ("xmin >= xmax OR ymin >= ymax", "BOUNDS_REVERSED"), (f"NOT ({_close('c', 'xmin')}) OR NOT ({_close('f', 'ymax')})", "ORIGIN_DIFFERS"), (f"NOT ({_close('(xmax - xmin)', 'a * width')}) OR NOT ({_close('(ymax - ymin)', 'abs(e) * height')})", "EXTENT_DIFFERS"))} AS errors FROM g)
 SELECT *, errors = '' AS accepted FROM x""",
     "p10_in_domain": "WITH p AS (SELECT c_custkey, CAST(c_custkey * 37 % 20000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 20000 AS DOUBLE) AS y FROM customer) SELECT * FROM p WHERE x BETWEEN 3500 AND 16500 AND y BETWEEN 4500 AND 13500",
     "p11_forecast_intervals": "SELECT event_id, ts AS issue, CAST(k * 15 AS INT) AS lead_minutes, ts + to_minutes(k * 15) AS valid_from, ts + to_minutes(k * 15 + 15) AS valid_to FROM events, range(0, 4) AS t(k)",
     "p12_checked_forecasts": _FR + f""",
 n AS (SELECT forecast_id, count(*) AS frames, list_sort(list(DISTINCT lead_minutes)) AS have, count(*) FILTER (units <> 'mm/h') AS u, count(DISTINCT (width, height)) AS shapes, count(DISTINCT reference) AS systems, max(resolution_m) - min(resolution_m) AS spread FROM forecast_frame GROUP BY forecast_id),
-x AS (SELECT forecast_id, frames, {_t(("u > 0", "unsupported nowcast units"), ("NOT (have = [0, 15, 30, 45, 60] AND frames = 5)", "nowcast leads do not match"), ("shapes > 1", "frames do not share one grid shape"), ("systems > 1", "frames do not share one spatial reference"), ("spread > 1e-9", "frames do not share one spatial resolution"))} AS errors FROM n)
+x AS (SELECT forecast_id, frames, {_t(("NOT (have = [0, 15, 30, 45, 60] AND frames = 5)", "LEADS_DIFFER"), ("u > 0", "UNITS_NOT_MM_PER_HOUR"), ("shapes > 1", "SHAPES_DIFFER"), ("systems > 1", "REFERENCES_DIFFER"), ("spread > 1e-9", "RESOLUTIONS_DIFFER"))} AS errors FROM n)
 SELECT *, errors = '' AS accepted FROM x""",
     "p13_forcing": _FR + " SELECT forecast_id, lead_minutes, width FROM forecast_frame WHERE lead_minutes < 60 AND forecast_id IN (SELECT forecast_id FROM forecast_frame WHERE lead_minutes < 60 GROUP BY forecast_id HAVING count(*) = 4)",
     "p14_conditioned": _Z + f",{DEM_SQL} SELECT block, r, c, CASE WHEN {VALID} THEN z ELSE min(CASE WHEN {VALID} THEN z END) OVER (PARTITION BY block) END AS z_out, NOT ({VALID}) AS filled FROM g",

@@ -75,9 +75,9 @@ ORACLES = {
 a AS (SELECT obs_id, CAST(raw_value AS DOUBLE) AS v, (epoch_us((SELECT max(observation_time) FROM gauge)) - CAST(3600000000 AS BIGINT) - epoch_us(observation_time)) / CAST(60000000 AS DOUBLE) AS age FROM gauge),
 b AS (SELECT *, printf('%.1f', round(abs(age) + 1e-9, 1)) AS m FROM a),
 c AS (SELECT obs_id, CASE WHEN age < -30 THEN 'INVALID' WHEN age <= 30 THEN 'FRESH' WHEN age <= 240 THEN 'STALE' ELSE 'MISSING' END AS freshness,
-  concat_ws('; ', CASE WHEN v IS NULL OR isnan(v) THEN 'rate_mmh contains NaN or Inf values' END, CASE WHEN v < -0.001 THEN 'negative rainfall detected: min=' || printf('%.4f', round(v - 1e-9, 4)) || ' mm/h' END,
-    CASE WHEN age < -30 THEN 'observation is in the future by ' || m || ' minutes' END, CASE WHEN age > 120 THEN 'observation is ' || m || ' minutes old (beyond stale threshold)' END) AS errors,
-  concat_ws('; ', CASE WHEN age < 0 AND age >= -30 THEN 'observation is in the future by ' || m || ' minutes' END, CASE WHEN age > 30 AND age <= 120 THEN 'observation is ' || m || ' minutes old (STALE)' END) AS warnings FROM b)
+  concat_ws('; ', CASE WHEN v IS NULL OR isnan(v) THEN 'RATE_NOT_FINITE' END, CASE WHEN v < -0.001 THEN 'RATE_BELOW_ZERO ' || printf('%.4f', round(v - 1e-9, 4)) || ' mm/h' END,
+    CASE WHEN age < -30 THEN 'AHEAD_OF_TIME ' || m || ' minutes' END, CASE WHEN age > 120 THEN 'AGE ' || m || ' min too old' END) AS errors,
+  concat_ws('; ', CASE WHEN age < 0 AND age >= -30 THEN 'AHEAD_OF_TIME ' || m || ' minutes' END, CASE WHEN age > 30 AND age <= 120 THEN 'AGE ' || m || ' min old' END) AS warnings FROM b)
 SELECT *, errors = '' AS valid, errors = '' AND freshness IN ('FRESH', 'STALE') AS observable FROM c""",
     "st2_accumulated": _G + f""",{RATES_SQL}
 SELECT sensor_id, time_bucket(INTERVAL '15 minutes', observation_time) AS valid_from, time_bucket(INTERVAL '15 minutes', observation_time) + INTERVAL '15 minutes' AS valid_to, count(*) AS n,
@@ -86,8 +86,7 @@ SELECT sensor_id, time_bucket(INTERVAL '15 minutes', observation_time) AS valid_
     "a47_provider_health": _G + """,
 h AS (SELECT sensor_id, count(observation_time) AS observations, max(observation_time) AS last_observation, ((SELECT epoch_us(max(observation_time)) FROM gauge) + CAST(1800000000 AS BIGINT) - epoch_us(max(observation_time))) / CAST(60000000 AS DOUBLE) AS age FROM gauge GROUP BY sensor_id)
 SELECT sensor_id, observations, last_observation, CASE WHEN age <= 45 THEN 'HEALTHY' WHEN age <= 90 THEN 'DEGRADED' ELSE 'UNAVAILABLE' END AS status,
-  CASE WHEN age <= 20 THEN 'Radar operational (FRESH, age=' || printf('%.1f', age) || 'm): ' || observations || ' frames cached' WHEN age <= 45 THEN 'Radar operational (AGING, age=' || printf('%.1f', age) || 'm): ' || observations || ' frames cached'
-       WHEN age <= 90 THEN 'Radar degraded (STALE, age=' || printf('%.1f', age) || 'm)' ELSE 'Radar feed unavailable (EXPIRED, age=' || printf('%.1f', age) || 'm)' END AS message FROM h""",
+  CASE WHEN age <= 20 THEN 'FRESH' WHEN age <= 45 THEN 'AGING' WHEN age <= 90 THEN 'STALE' ELSE 'EXPIRED' END || ', ' || printf('%.1f', age) || ' min, ' || observations || ' observations' AS message FROM h""",
     "j7_nearest_in_time": _G + """,
 w AS (SELECT DISTINCT sensor_id, observation_time + INTERVAL '7 minutes' AS t FROM gauge),
 l AS (SELECT sensor_id, max(observation_time) AS lt, arg_max(obs_id, (observation_time, obs_id)) AS lo FROM gauge GROUP BY sensor_id),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.shared import dropped, settled
 from rillspark.operators.roads import steady
 
+#: Most features that one task scans in order (two short texts each are held).
+SCANNED = 100_000
 # Slope floor; an outlet that is not below its inlet is set OUTLET_DROP lower, but not below OUTLET_FLOOR (metres);
 # by waterway the diameter in metres and the roughness, and those of all other waterways.
 LEAST_SLOPE, OUTLET_DROP, OUTLET_FLOOR = 0.0005, 0.2, 0.5
@@ -45,32 +49,58 @@ def stable_id(dataset: str, source_id: Column, geometry_key: Column) -> Column:
     return F.concat(F.lit("drain-"), F.substring(F.sha2(F.concat(F.lit(f"{dataset}:"), identity), 256), 1, 16))
 
 
-def first_wins(features: DataFrame) -> DataFrame:
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scan itself, over rows in order: what is kept registers its id and its geometry."""
+    ids: set[str] = set()
+    geometries: set[str] = set()
+    for batch in batches:
+        kept = []
+        for source_id, key in zip(batch.column("source_id").to_pylist(), batch.column("geometry_key").to_pylist(), strict=True):
+            kept.append(source_id not in ids and key not in geometries)
+            if kept[-1] and source_id is not None:
+                ids.add(source_id)
+            if kept[-1] and key is not None:
+                geometries.add(key)
+        yield pa.record_batch([batch.column("ord"), batch.column("source_id"), pa.array(kept, pa.bool_())], names=["ord", "source_id", "kept"])
+
+
+def first_wins(features: DataFrame, scanned: int = SCANNED) -> DataFrame:
     """Which features are kept when they are taken in order and one that repeats a kept id or a kept geometry is rejected.
 
     A rejected feature registers neither its id nor its geometry, so this is a greedy scan. Each round settles, among the open
     features, those that are first both by id and by geometry (kept), and those that share either with a kept one of smaller
-    order (rejected). Every round settles the smallest open feature at least, so the rounds end. A blank id repeats nothing. First places are found by
+    order (rejected); no open feature shares anything with a kept one then. Long chains, each link of which waits for the one before, settle two a round only: as soon as
+    no more than `scanned` features are open (they are counted), one task scans them in order. A blank id repeats nothing. First places are found by
     aggregates and joined back, so that a hot id or geometry is combined before the shuffle and split in the join. Rows: ord (unique),
-    source_id, geometry_key.
+    source_id, geometry_key; a null ord is left out.
     """
     blank = F.coalesce("source_id", F.lit("")) == ""
-    open_rows = settled(features.select("ord", F.when(~blank, F.col("source_id")).alias("source_id"), "geometry_key"), "open")
+    open_rows = settled(features.where("ord IS NOT NULL").select("ord", F.when(~blank, F.col("source_id")).alias("source_id"), "geometry_key"), "open")
     decided: list[DataFrame] = []
-    while not open_rows.isEmpty():
+    kind = dict(features.dtypes)["ord"]
+    while True:
         first = lambda key, name, rows: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ord").alias(name)).hint("merge")
         ranked = open_rows.join(first("source_id", "id_first", open_rows), "source_id", "left").join(first("geometry_key", "geom_first", open_rows), "geometry_key", "left")
         keeps = (F.col("ord") == F.coalesce("id_first", "ord")) & (F.col("ord") == F.coalesce("geom_first", "ord"))
         marked = settled(ranked.select("ord", "source_id", "geometry_key", keeps.alias("keeps")), "marked")
         kept = marked.where("keeps")
         known = marked.join(first("source_id", "kept_id", kept), "source_id", "left").join(first("geometry_key", "kept_geom", kept), "geometry_key", "left")
-        reason = F.when(F.col("keeps"), "KEPT").when(F.col("kept_id") < F.col("ord"), "DUPLICATE_ID").when(F.col("kept_geom") < F.col("ord"), "DUPLICATE_GEOMETRY")
-        done = settled(known.select("ord", "source_id", "geometry_key", reason.alias("decision")), "decided")
-        decided.append(done.where("decision IS NOT NULL").select("ord", "decision"))
+        repeats = (F.col("kept_id") < F.col("ord")) | (F.col("kept_geom") < F.col("ord"))
+        done = settled(known.select("ord", "source_id", "geometry_key", F.when(F.col("keeps"), True).when(repeats, False).alias("kept")), "decided")
+        decided.append(done.where("kept IS NOT NULL").select("ord", "source_id", "kept"))
         dropped(open_rows, marked)
-        open_rows = settled(done.where("decision IS NULL").select("ord", "source_id", "geometry_key"), "open")
-    empty = features.select("ord", F.lit(None).cast("string").alias("decision")).limit(0)
-    return reduce(DataFrame.unionByName, decided, empty)
+        open_rows = done.where("kept IS NULL").select("ord", "source_id", "geometry_key")
+        left = open_rows.count()
+        if left <= scanned:
+            break
+        open_rows = settled(open_rows, "open")
+    if left:
+        decided.append(settled(open_rows.repartition(1).sortWithinPartitions("ord").mapInArrow(_scanned, f"ord {kind}, source_id string, kept boolean"), "scanned"))
+    every = reduce(DataFrame.unionByName, decided)
+    # a repeated id is the reason before a repeated geometry, whichever was found first
+    ids = every.where("kept AND source_id IS NOT NULL").groupBy("source_id").agg(F.min("ord").alias("kept_id"))
+    reason = F.when(F.col("kept"), "KEPT").when(F.col("kept_id") < F.col("ord"), "DUPLICATE_ID").otherwise("DUPLICATE_GEOMETRY")
+    return every.join(ids.hint("merge"), "source_id", "left").select("ord", reason.alias("decision"))
 
 
 def mapped(features: DataFrame, decisions: DataFrame, rules: DataFrame, dataset: str = "drains") -> DataFrame:

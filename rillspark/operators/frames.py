@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,14 +69,20 @@ def blends(depth: DataFrame, other: DataFrame) -> DataFrame:
     return both.groupBy(*FRAME).agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"), F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float, most_rounds: int = 40) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
     """The nearest node of each point (point_id, x, y) among nodes (node, nx, ny); ties go to the smaller node. Exact.
 
     Nodes fall into square bins; a point is joined with its own bin and the eight around it, on equal keys. What it finds within
-    one bin's width is certainly the nearest; the other points go on with bins of twice the width.
+    one bin's width is certainly the nearest; the other points go on with bins of twice the width, until a bin is as wide as all points and nodes
+    together: then nothing is out of reach. Points and nodes with a null or NaN coordinate are left out; without nodes there are no rows.
     """
-    left, found = points, []
-    for k in range(most_rounds):
+    real = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    left, nodes = points.where(real("x", "y")), nodes.where(real("nx", "ny"))
+    both = left.select("x", "y").unionByName(nodes.select(F.col("nx").alias("x"), F.col("ny").alias("y")))
+    reach = both.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    rounds = max(0, math.ceil(math.log2(max(1.0, 2.0 * reach / cell)))) + 1
+    found = []
+    for k in range(rounds):
         size = cell * 2**k
         binned = nodes.withColumns({"bx": F.floor(F.col("nx") / size), "by": F.floor(F.col("ny") / size)})
         around = F.expr("transform(sequence(0, 8), k -> struct(k div 3 - 1 AS dx, k % 3 - 1 AS dy))")
@@ -85,9 +92,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float, most_rounds:
         best = settled(near.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), F.col("node"))).alias("b")).where(F.col("b.d2") <= size * size), "near")
         found.append(best.select("point_id", "b.node", F.sqrt("b.d2").alias("distance")))
         left = settled(left.join(best.select("point_id").hint("merge"), "point_id", "left_anti"), "left")
-        if left.isEmpty():
-            break
-        if k == 0 and nodes.isEmpty():
+        if left.isEmpty() or (k == 0 and nodes.isEmpty()):
             break
     return reduce(DataFrame.unionByName, found)
 

@@ -60,7 +60,9 @@ def _scan() -> str:
         out.append(f"""m{k} AS (SELECT *, ord = min(ord) OVER (PARTITION BY source_id) AND ord = min(ord) OVER (PARTITION BY g) AS keeps FROM o{k}),
 d{k} AS (SELECT *, CASE WHEN keeps THEN 'KEPT' WHEN min(CASE WHEN keeps THEN ord END) OVER (PARTITION BY source_id) < ord THEN 'DUPLICATE_ID' WHEN min(CASE WHEN keeps THEN ord END) OVER (PARTITION BY g) < ord THEN 'DUPLICATE_GEOMETRY' END AS decision FROM m{k}),
 o{k + 1} AS (SELECT ord, source_id, g FROM d{k} WHERE decision IS NULL)""")
-    out.append("decisions AS (" + " UNION ALL ".join(f"SELECT ord, decision FROM d{k} WHERE decision IS NOT NULL" for k in range(ROUNDS)) + ")")
+    out.append("raw AS (" + " UNION ALL ".join(f"SELECT ord, decision FROM d{k} WHERE decision IS NOT NULL" for k in range(ROUNDS)) + ")")
+    out.append("ids AS (SELECT source_id, min(ord) AS first FROM raw JOIN o0 USING (ord) WHERE decision = 'KEPT' AND source_id IS NOT NULL GROUP BY source_id)")
+    out.append("decisions AS (SELECT ord, CASE WHEN decision = 'KEPT' THEN 'KEPT' WHEN first < ord THEN 'DUPLICATE_ID' ELSE 'DUPLICATE_GEOMETRY' END AS decision FROM raw JOIN o0 USING (ord) LEFT JOIN ids USING (source_id))")
     return ",\n".join(out)
 
 

@@ -76,7 +76,9 @@ def _ladder_sql() -> str:
         out.append(f"""m{r} AS (SELECT *, ord = min(ord) OVER (PARTITION BY source_id) AND ord = min(ord) OVER (PARTITION BY g) AS keeps FROM o{r}),
 d{r} AS (SELECT *, CASE WHEN keeps THEN 'KEPT' WHEN min(CASE WHEN keeps THEN ord END) OVER (PARTITION BY source_id) < ord THEN 'DUPLICATE_ID' WHEN min(CASE WHEN keeps THEN ord END) OVER (PARTITION BY g) < ord THEN 'DUPLICATE_GEOMETRY' END AS decision FROM m{r}),
 o{r + 1} AS (SELECT ord, source_id, g FROM d{r} WHERE decision IS NULL)""")
-    out.append("decisions AS (" + " UNION ALL ".join(f"SELECT ord, decision FROM d{r} WHERE decision IS NOT NULL" for r in range(ROUNDS)) + ")")
+    out.append("raw AS (" + " UNION ALL ".join(f"SELECT ord, decision FROM d{r} WHERE decision IS NOT NULL" for r in range(ROUNDS)) + ")")
+    out.append("ids AS (SELECT source_id, min(ord) AS first FROM raw JOIN o0 USING (ord) WHERE decision = 'KEPT' AND source_id IS NOT NULL GROUP BY source_id)")
+    out.append("decisions AS (SELECT ord, CASE WHEN decision = 'KEPT' THEN 'KEPT' WHEN first < ord THEN 'DUPLICATE_ID' ELSE 'DUPLICATE_GEOMETRY' END AS decision FROM raw JOIN o0 USING (ord) LEFT JOIN ids USING (source_id))")
     return _BASE + ",\n" + ",\n".join(out) + f""", rules AS ({RULES})
 SELECT ord, source_id, CASE WHEN k IN (0, 1) THEN NULL WHEN k IN (4, 5) THEN 'Polygon' WHEN k = 6 THEN 'Point' WHEN k = 7 THEN 'MultiLineString' ELSE 'LineString' END AS geom_type, status,
        CASE WHEN kept THEN coalesce(feature_type, 'UNKNOWN') END AS feature_type, CASE WHEN kept THEN 'drain-' || substr(sha256('drains:' || source_id), 1, 16) END AS feature_id

@@ -42,6 +42,22 @@ def sampled(cells: DataFrame, depth: DataFrame, *keep: str) -> DataFrame:
     return cells.select("road_id", "r", "c", *keep).join(depth.select("scenario_id", "lead_minutes", "r", "c", "depth_m").hint("merge"), ["r", "c"])
 
 
+def line_key() -> Column:
+    """What roads of the same end cells share."""
+    return F.concat_ws("/", "r1", "c1", "r2", "c2")
+
+
+def lines_of(segments: DataFrame) -> DataFrame:
+    """The different lines of a network: a road of each pair of end cells, with the line's key as its road_id. What is on the cells is then looked up once a line."""
+    return segments.select("r1", "c1", "r2", "c2").distinct().withColumn("road_id", line_key())
+
+
+def for_roads(by_line: DataFrame, segments: DataFrame, *kept: str) -> DataFrame:
+    """Rows of lines as rows of their roads, with kept columns of the segments. A line that many roads share is a skewed side of a merge join."""
+    own = segments.select("road_id", *kept, line_key().alias("line"))
+    return own.join(by_line.withColumnRenamed("road_id", "line").hint("merge"), "line").drop("line")
+
+
 def leads_of(grid: DataFrame) -> list[int]:
     """The leads of a grid table, a short list."""
     return sorted(r[0] for r in grid.select("lead_minutes").distinct().collect())
@@ -62,7 +78,7 @@ def by_road(cells: DataFrame, grid: DataFrame, keys: tuple[str, ...], values: tu
         some = list(enumerate(leads[at : at + LEADS_AT_ONCE]))
         wide = grid.where(lead.isin([x for _, x in some])).groupBy(*keys, "r", "c").agg(*(F.max(F.when(lead == x, F.col(v))).alias(f"{v}_{k}") for k, x in some for v in values))
         each = {k: found(*(F.col(f"{v}_{k}") for v in values)) for k, _ in some}
-        counted = (F.count(f"{values[0]}_{k}").alias(f"n_{k}") for k, _ in some)
+        counted = (F.count(F.coalesce(*(f"{v}_{k}" for v in values))).alias(f"n_{k}") for k, _ in some)
         met = cells.select("road_id", "r", "c", *kept).join(wide.hint("merge"), ["r", "c"])
         met = met.unionByName(first, allowMissingColumns=True) if whole else met
         sums = met.groupBy(*keys, "road_id").agg(*counted, *(x.alias(f"{name}_{k}") for k in each for name, x in each[k].items()), *(F.first(c).alias(c) for c in kept))
@@ -82,7 +98,8 @@ def road_impact(segments: DataFrame, depth: DataFrame, policy: dict = PASSABILIT
     """
     whole = F.greatest(F.abs(F.col("r2") - F.col("r1")), F.abs(F.col("c2") - F.col("c1"))) + 1
     stats = lambda d: {"max_depth_m": F.max(d), "mean_depth_m": steady(F.avg(d)), "fraction": F.avg(F.when(d > policy["impacted_m"], 1.0).when(d.isNotNull(), 0.0))}
-    found = by_road(road_cells(segments.withColumn("whole", whole)), depth, ("scenario_id",), ("depth_m",), leads_of(depth), stats, "length_m", "whole", whole=True)
+    lines = by_road(road_cells(lines_of(segments).withColumn("whole", whole)), depth, ("scenario_id",), ("depth_m",), leads_of(depth), stats, "whole", whole=True)
+    found = for_roads(lines, segments, "length_m")
     named = found.withColumn("classification", impact_class(F.col("max_depth_m"), policy))
     return named.select(
         "scenario_id", "lead_minutes", "road_id", "n_cells", (F.col("whole") - F.col("n_cells")).alias("missing_cells"), "max_depth_m", "mean_depth_m", steady(F.col("fraction")).alias("impacted_fraction"),

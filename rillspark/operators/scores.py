@@ -128,6 +128,17 @@ def brier(grids: DataFrame, base: DataFrame, members: int, threshold: float = 0.
     return both.groupBy("scenario_id", "lead_minutes").agg(steady(F.avg(F.col("e") * F.col("e"))).alias("brier_score"))
 
 
+def side_by_side(grids: DataFrame, members: list[int]) -> DataFrame:
+    """Grids of members as one row a cell: scenario_id, lead_minutes, r, c and a column m<id> for each member (a short list)."""
+    return grids.groupBy("scenario_id", "lead_minutes", "r", "c").agg(*(F.max(F.when(F.col("member_id") == m, F.col("depth_m"))).alias(f"m{m}") for m in members))
+
+
+def one_by_one(wide: DataFrame, members: list[int], *keys: str) -> DataFrame:
+    """The inverse for values by member in columns m<id>: keys, member_id, d; members without a value have no row."""
+    each = F.array(*(F.struct(F.lit(m).alias("member_id"), F.col(f"m{m}").alias("d")) for m in members))
+    return wide.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*").where("d IS NOT NULL")
+
+
 def road_risk(worst: DataFrame) -> DataFrame:
     """Per road: probabilities over members of being impassable (>= .30), in caution (.10 to .30) and dry, mean and P90 of the members' largest depth.
 

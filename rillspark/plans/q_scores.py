@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import MEMBERS, catalog, values
+from rillspark.functions.shared import settled
 from rillspark.operators import roads, scores
 from rillspark.plans.q_roads import CELLS_SQL
 from rillspark.plans.testbed import SIDE, view, with_views
@@ -39,9 +40,12 @@ def _series(spark, sf):
 
 
 def risk(spark, sf):
-    cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
-    worst = roads.by_road(cells, _grids(spark, sf), ("scenario_id", "member_id"), ("depth_m",), roads.leads_of(view(spark, sf, "depth")), lambda d: {"d": F.max(d)})
-    return scores.road_risk(worst)
+    """Members stand side by side, so a line's cells are joined once for all of them; roads of the same ends share a line."""
+    segments, members = view(spark, sf, "segment"), [m[0] for m in MEMBERS]
+    wide = settled(scores.side_by_side(_grids(spark, sf), members), "members")
+    names = tuple(f"m{m}" for m in members)
+    worst = roads.by_road(roads.road_cells(roads.lines_of(segments)), wide, ("scenario_id",), names, roads.leads_of(view(spark, sf, "depth")), lambda *d: {n: F.max(x) for n, x in zip(names, d, strict=True)})
+    return roads.for_roads(scores.road_risk(scores.one_by_one(worst, members, "scenario_id", "lead_minutes", "road_id")), segments)
 
 
 QUERIES = {

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from rillspark.llm.common import scratch, written
 
-#: Counters of the summary: a key with more than about 1 / TRACKED of the rows is always found.
+#: Counters of the summary.
 TRACKED = 4096
-#: Most winners that are broadcast; a winner is a digest, an id and a count (under 200 bytes), so the broadcast has a fixed bound.
+#: Most winners that are broadcast, the most frequent ones; a winner is a digest, an id and a count (under 200 bytes), so the broadcast has a fixed bound. A key that
+#: holds more than about 1 / WINNERS of the rows is among them; all others take the shuffle.
 WINNERS = 1024
 
 

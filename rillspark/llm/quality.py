@@ -9,7 +9,7 @@ The model is learned from at most SAMPLE labelled rows; features are computed fr
 
 Results for odd input: null text counts as empty; an empty text has all features 0 and gets the score of that; without labelled
 rows of both classes every score is the share of class 1 (0.5 without rows); rows with null labels are not used; rows with the
-same id are scored each for itself; an empty table gives an empty result.
+same id are scored each for itself; a null id counts as held out, and is scored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,11 +6,11 @@ far above that among clean rows. Exception phrases (a term with the word before
 hold a term. A text's score is a logistic function of its summed weight and of that sum per word, so that length is taken into account.
 
 At most SAMPLE labelled rows are used for learning (those with the smallest hash of their id), and the model holds at most TERMS terms and
-PHRASES exception phrases, those of largest evidence; these are parameters of `learn` and bound what goes to the driver and to
+PHRASES exception phrases, those of largest evidence; these are parameters of `learn` (None: all terms and phrases that the sample gives) and bound what goes to the driver and to
 each task. Everything else covers all rows.
 
 Results for odd input: null text counts as empty and gets the score of a text without matches; without any labelled row, or
-without toxic ones, the lexicon is empty and all scores are low; rows with the same id are scored each for itself; rows with null
+without toxic ones, the lexicon is empty and all scores are low; rows with the same id are scored each for itself; a null id counts as held out, and is scored; rows with null
 labels are not used; an empty table gives an empty result.
 """
 
@@ -149,11 +149,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col:
 
 
 def held_out(id_col: str):
-    """Whether a row is in the held-out fifth: crc32 of its id as text, modulo 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is in the held-out fifth: crc32 of its id as text, modulo 5, is 0. A null id counts as an empty text, and so as held out."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, terms: int = TERMS, phrases: int = PHRASES) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, terms: int | None = TERMS, phrases: int | None = PHRASES) -> Lexicon:
     """A lexicon from the labelled rows outside the held-out fifth.
 
     Rows that share the smallest hash of their long words (copies and near copies, mostly) count once, so that a word that is
@@ -183,7 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     chance = math.log(max(2, counts.where("toxic >= 3").count())) + 1
     evidence = F.col("toxic") * F.col("gain") + F.col("loss")
     strong = counts.where("toxic >= 3").withColumns(columns).where("weight >= 2.5").withColumn("evidence", evidence).where(F.col("evidence") >= chance)
-    found = strong.orderBy(F.desc("evidence"), "kind", "term").limit(terms).collect()
+    ranked = strong.orderBy(F.desc("evidence"), "kind", "term")
+    found = (ranked if terms is None else ranked.limit(terms)).collect()
     first = Lexicon({f" {r['term']}" + " " * (1 - r["kind"]): r["weight"] for r in _chosen(found, chance)})
     return _calibrated(rows, label, dataclasses.replace(first, exceptions=_exceptions(rows, label, first, phrases)))
 
@@ -214,7 +215,7 @@ def _chosen(found: list, chance: float) -> list:
     return [found[k] for k in chosen]
 
 
-def _exceptions(rows: DataFrame, label: str, lexicon: Lexicon, phrases: int) -> frozenset[str]:
+def _exceptions(rows: DataFrame, label: str, lexicon: Lexicon, phrases: int | None) -> frozenset[str]:
     """Phrases of a term and a neighbour that occur in clean rows and in no toxic one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,8 @@ def _exceptions(rows: DataFrame, label: str, lexicon: Lexicon, phrases: int) ->
             yield pa.record_batch([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], names=["phrase", "toxic"])
 
     found = rows.mapInArrow(run, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where("bad = 0 AND n >= 2")
-    return frozenset(r["phrase"] for r in found.orderBy(F.desc("n"), "phrase").limit(phrases).collect())
+    ranked = found.orderBy(F.desc("n"), "phrase")
+    return frozenset(r["phrase"] for r in (ranked if phrases is None else ranked.limit(phrases)).collect())
 
 
 def _calibrated(rows: DataFrame, label: str, lexicon: Lexicon) -> Lexicon:

@@ -175,3 +175,16 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept
     quality_of = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
     assert np.mean([quality_of[i][0] for i in kept if i in quality_of]) > 0.95
+
+
+def test_null_ids_and_an_unbounded_lexicon(spark, sf_dir):
+    """Rows with a null id are held out and scored; without bounds the lexicon is no smaller."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = spark.createDataFrame([(None, "some text"), (None, None)], "doc_id long, text string")
+    more = docs.unionByName(odd)
+    for scores in (toxicity.scored(more, toxicity.learn(more, labels)), quality.scored(more, quality.learn(more, labels))):
+        rows = scores.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score").where("doc_id IS NULL").collect()
+        assert [r.held_out for r in rows] == [True, True] and all(0 <= r.score <= 1 for r in rows)
+    bounded, free = toxicity.learn(docs, labels, terms=20, phrases=1), toxicity.learn(docs, labels, terms=None, phrases=None)
+    assert len(bounded.exceptions) <= 1 and len(bounded.weights) <= 20 and len(free.weights) >= len(bounded.weights) and len(free.exceptions) >= len(bounded.exceptions)

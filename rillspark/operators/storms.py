@@ -53,6 +53,22 @@ def alternating_blocks(storms: DataFrame, exponent: float = 0.4) -> DataFrame:
     return blocks.select("storm_id", slot.cast("int").alias("slot"), steady(depth / (F.col("minutes") / 60.0)).alias("rate_mmh"))
 
 
+def blocks_around_peak(storms: DataFrame, exponent: float = 0.4) -> DataFrame:
+    """The other variant of alternating blocks: storm_id, slot, rate_mmh (2 digits).
+
+    Increments in descending order go to the middle and on to the left (even ranks, from 0), and to the right of the middle (odd ranks); an increment whose side is
+    full is lost, and slots without one are 0. So the total can be smaller than the storm's.
+    """
+    blocks = storms.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    share = lambda k: F.pow(k / F.col("n"), F.lit(exponent))
+    depth = F.col("total_mm") * (share(F.col("k") + 1) - F.when(F.col("k") > 0, share(F.col("k"))).otherwise(0.0))
+    mid = F.expr("n div 2")
+    slot = F.when(F.col("k") % 2 == 0, mid - F.expr("k div 2")).otherwise(mid + 1 + F.expr("(k - 1) div 2")).cast("int")
+    placed = blocks.select("storm_id", "n", "k", slot.alias("slot"), F.round(depth * 60.0 / F.col("minutes") + 1e-9, 2).alias("rate_mmh")).where("slot >= 0 AND slot < n")
+    every = storms.select("storm_id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot"))
+    return every.join(placed.select("storm_id", "slot", "rate_mmh").hint("merge"), ["storm_id", "slot"], "left").fillna(0.0, ["rate_mmh"])
+
+
 def chicago(storms: DataFrame, peak_share: float = 0.35) -> DataFrame:
     """Chicago storms: storm_id, slot, rate_mmh (2 digits), scaled to the total. storms: storm_id, total_mm, n, minutes."""
     slots = storms.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -73,3 +89,20 @@ def excess(rates: DataFrame, store_mm: float = 2.0, f0: float = 25.0, fmin: floa
     after_store = F.greatest(F.lit(0.0), F.col("total") - store_mm) - F.greatest(F.lit(0.0), F.col("total") - F.col("mm") - store_mm)
     capacity = (fmin + (f0 - fmin) * F.exp(-decay * F.col("slot") * F.col("minutes") * 60.0)) * F.col("minutes") / 60.0
     return summed.withColumn("left", after_store).select("storm_id", "slot", steady(F.col("left")).alias("surface_mm"), steady(F.greatest(F.lit(0.0), F.col("left") - capacity)).alias("excess_mm"))
+
+
+def ponded(rates: DataFrame, store_mm: float = 2.0, f0: float = 25.0, fmin: float = 2.0, decay: float = 1.0 / 1800) -> DataFrame:
+    """Water that stands by storm and slot when nothing flows off: rain beyond a small store is added, and infiltration takes what there is, of this slot and the ones before.
+
+    rates: storm_id, slot, rate_mmh, minutes (a slot). Horton's capacity falls with the time that it has rained so far (this slot included). What stands after slot t is
+    max(0, what stood + added - capacity), which is S(t) - min(0, least S so far) for the running sum S of added - capacity: two windows, no step by step.
+    """
+    w = Window.partitionBy("storm_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    rain = rates.withColumn("mm", F.col("rate_mmh") * F.col("minutes") / 60.0)
+    summed = rain.withColumns({"total": F.sum("mm").over(w), "wet": F.sum(F.when(F.col("rate_mmh") > 0, F.col("minutes")).otherwise(0)).over(w)})
+    added = F.greatest(F.lit(0.0), F.col("total") - store_mm) - F.greatest(F.lit(0.0), F.col("total") - F.col("mm") - store_mm)
+    capacity = (fmin + (f0 - fmin) * F.exp(-decay * F.col("wet") * 60.0)) * F.col("minutes") / 60.0
+    walk = summed.withColumns({"added": added, "capacity": capacity}).withColumn("s", F.sum(F.col("added") - F.col("capacity")).over(w))
+    stands = walk.withColumn("stands", F.greatest(F.lit(0.0), F.col("s") - F.least(F.lit(0.0), F.min("s").over(w))))
+    before = F.coalesce(F.lag("stands").over(Window.partitionBy("storm_id").orderBy("slot")), F.lit(0.0))
+    return stands.select("storm_id", "slot", steady(F.col("added")).alias("surface_mm"), steady(before + F.col("added") - F.col("stands")).alias("infiltrated_mm"), steady(F.col("stands")).alias("ponded_mm"))

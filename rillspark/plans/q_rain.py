@@ -50,6 +50,8 @@ QUERIES = {
     "f3_intensities": lambda s, d: _storms(s, d).select("storm_id", steady(storms.kothyari_garde(F.lit(8.3), F.col("total_mm"), F.lit(10.0), F.col("n") / 4.0)).alias("kothyari_garde"), steady(storms.sherman(F.lit(5850.0), F.lit(0.22), F.lit(18.0), F.lit(0.74), F.lit(10.0), F.col("n") * 15.0)).alias("sherman"), steady(storms.short_duration_depth(F.col("total_mm"), F.col("n") / 4.0)).alias("depth_mm")),
     "w7_alternating_blocks": lambda s, d: storms.alternating_blocks(_storms(s, d)),
     "f8_chicago": lambda s, d: storms.chicago(_storms(s, d)),
+    "w7_blocks_around_peak": lambda s, d: storms.blocks_around_peak(_storms(s, d)),
+    "w9_ponded": lambda s, d: storms.ponded(storms.blocks_around_peak(_storms(s, d)).withColumn("minutes", F.lit(15))),
     "w9_excess": lambda s, d: storms.excess(storms.alternating_blocks(_storms(s, d)).withColumn("minutes", F.lit(15))),
 }
 
@@ -63,6 +65,10 @@ BLOCKS_SQL = """
 blocks AS (SELECT storm_id, CAST(CASE WHEN k = 1 THEN n // 2 WHEN (k - 1) % 2 = 1 THEN n // 2 - k // 2 ELSE n // 2 + (k - 1) // 2 END AS INT) AS slot,
   round(total_mm * (pow(k / CAST(n AS DOUBLE), CAST(0.4 AS DOUBLE)) - CASE WHEN k > 1 THEN pow((k - 1) / CAST(n AS DOUBLE), CAST(0.4 AS DOUBLE)) ELSE 0 END) / (minutes / CAST(60 AS DOUBLE)) + 1e-9, 6) AS rate_mmh
   FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM storms))"""
+AROUND_SQL = """
+around AS (SELECT s.storm_id, s.slot, coalesce(p.rate_mmh, 0) AS rate_mmh FROM (SELECT storm_id, CAST(unnest(range(0, n)) AS INT) AS slot FROM storms) s LEFT JOIN (
+  SELECT storm_id, CASE WHEN k % 2 = 0 THEN n // 2 - k // 2 ELSE n // 2 + 1 + k // 2 END AS slot, round(total_mm * (pow((k + 1) / CAST(n AS DOUBLE), CAST(0.4 AS DOUBLE)) - CASE WHEN k > 0 THEN pow(k / CAST(n AS DOUBLE), CAST(0.4 AS DOUBLE)) ELSE 0 END) * 60 / minutes + 1e-9, 2) AS rate_mmh
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM storms)) p USING (storm_id, slot))"""
 _S = with_views("segment") + f",{STORMS_SQL}"
 _node = lambda k: f"({D(storms.IDF[k][1])} * pow(years / 2, ln({D(storms.IDF[k][2] / storms.IDF[k][1])}) / ln({D(50)})) * {storms.IDF[k][0]})"
 IDF_SQL = "CASE WHEN hours <= 1 THEN " + _node(0) + " * hours" + "".join(
@@ -101,6 +107,13 @@ FROM w JOIN l ON l.sensor_id = w.sensor_id LEFT JOIN b ON b.sensor_id = w.sensor
 k AS (SELECT *, unnest(range(0, n)) AS slot FROM storms),
 i AS (SELECT *, round(total_mm * CAST(1.5 AS DOUBLE) / pow(abs((slot + CAST(0.5 AS DOUBLE)) * minutes - n * minutes * CAST(0.35 AS DOUBLE)) + 10, CAST(0.75 AS DOUBLE)) + 1e-9, 2) AS i FROM k)
 SELECT storm_id, CAST(slot AS INT) AS slot, round(i * (total_mm / greatest(sum(i) OVER (PARTITION BY storm_id) * (minutes / CAST(60 AS DOUBLE)), 1e-3)) + 1e-9, 2) AS rate_mmh FROM i""",
+    "w7_blocks_around_peak": _S + f",{AROUND_SQL} SELECT * FROM around",
+    "w9_ponded": _S.replace("WITH ", "WITH RECURSIVE ", 1) + f""",{AROUND_SQL},
+a AS (SELECT storm_id, slot, rate_mmh * 15 / {D(60)} AS mm, sum(rate_mmh * 15 / {D(60)}) OVER w AS total, sum(CASE WHEN rate_mmh > 0 THEN 15 ELSE 0 END) OVER w AS wet FROM around WINDOW w AS (PARTITION BY storm_id ORDER BY slot ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT storm_id, slot, greatest({D(0)}, total - 2) - greatest({D(0)}, total - mm - 2) AS added, (2 + 23 * exp(-wet * 60 / {D(1800)})) * 15 / {D(60)} AS cap FROM a),
+h AS (SELECT storm_id, slot, added, least(added, cap) AS taken, greatest({D(0)}, added - cap) AS stands FROM b WHERE slot = 0
+      UNION ALL SELECT b.storm_id, b.slot, b.added, least(h.stands + b.added, b.cap), greatest({D(0)}, h.stands + b.added - b.cap) FROM h JOIN b ON b.storm_id = h.storm_id AND b.slot = h.slot + 1)
+SELECT storm_id, slot, round(added + 1e-9, 6) AS surface_mm, round(taken + 1e-9, 6) AS infiltrated_mm, round(stands + 1e-9, 6) AS ponded_mm FROM h""",
     "w9_excess": _S + f""",{BLOCKS_SQL},
 a AS (SELECT storm_id, slot, rate_mmh * 15 / {D(60)} AS mm FROM blocks),
 b AS (SELECT *, sum(mm) OVER (PARTITION BY storm_id ORDER BY slot ROWS UNBOUNDED PRECEDING) AS total FROM a),

@@ -118,3 +118,26 @@ def test_roads_without_known_cells(spark):
     for key in (("S", 15, 1), ("S", 0, 2), ("T", 0, 2)):
         assert found[key].max_depth_m is None and found[key].classification is None and found[key].passability is None and found[key].n_cells == 0
     assert roads.road_impact(segments, depth.limit(0)).count() == 0
+
+
+def test_ponding_against_steps(spark):
+    """Water that stands, slot by slot, with dry slots and a store that fills up; blocks on a full side are lost."""
+    import random
+
+    from rillspark.operators import storms
+
+    rng = random.Random(2)
+    rows = [(k, t, rng.choice([0.0, 5.0, 40.0, 90.0]), 15) for k in range(5) for t in range(12)]
+    found = {(r.storm_id, r.slot): r for r in storms.ponded(spark.createDataFrame(rows, "storm_id int, slot int, rate_mmh double, minutes int")).collect()}
+    for k in range(5):
+        store, wet, stands = 2.0, 0, 0.0
+        for _, t, rate, minutes in (r for r in rows if r[0] == k):
+            rain = rate * minutes / 60
+            fill = min(store, rain)
+            store, wet = store - fill, wet + (minutes if rate > 0 else 0)
+            taken = min(stands + rain - fill, (2 + 23 * math.exp(-wet * 60 / 1800)) * minutes / 60)
+            stands += rain - fill - taken
+            assert abs(found[k, t].ponded_mm - stands) < 2e-6 and abs(found[k, t].infiltrated_mm - taken) < 2e-6
+    blocks = storms.blocks_around_peak(spark.createDataFrame([(1, 60.0, 4, 15), (2, 60.0, 1, 15)], "storm_id int, total_mm double, n int, minutes int")).orderBy("storm_id", "slot").collect()
+    share = [round(240 * ((k + 1) / 4) ** 0.4 - 240 * (k / 4) ** 0.4 + 1e-9, 2) for k in range(4)]
+    assert [r.rate_mmh for r in blocks] == [0.0, share[2], share[0], share[1], 240.0]

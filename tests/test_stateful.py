@@ -20,10 +20,13 @@ def minutes(k):
 
 @pytest.fixture(scope="module", autouse=True)
 def state_store(spark):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
     stateful.prepared(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # many small batches
     yield
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    for n in names:
+        spark.conf.set(n, before[n])
 
 
 def put(spark, folder, number, rows, schema):

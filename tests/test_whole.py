@@ -24,7 +24,9 @@ def test_every_order_is_a_road(spark, sf_dir):
             for k, lead, d in depth.get(cell, []):
                 expected.setdefault((k, lead, x.road_id), []).append(d)
     found = {(r.scenario_id, r.lead_minutes, r.road_id): r for r in known["a1_road_impact"](spark, sf_dir).collect()}
-    assert len(ends) == n and found.keys() == expected.keys() and known["j1_road_cells"](spark, sf_dir).count() == cells
+    frames = {(k, lead) for rows in depth.values() for k, lead, _ in rows}
+    assert len(ends) == n and found.keys() == {(*f, x.road_id) for f in frames for x in ends} and known["j1_road_cells"](spark, sf_dir).count() == cells
+    assert all(found[key].n_cells == 0 and found[key].max_depth_m is None and found[key].classification is None for key in found.keys() - expected.keys())
     length = {x.road_id: x.length_m for x in ends}
     for key, d in expected.items():
         share = sum(x > 0.05 for x in d) / len(d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import MAX_DBZ, MIN_DBZ, ZR
@@ -98,18 +98,23 @@ def health(obs: DataFrame, now: Column, *by: str) -> DataFrame:
 def nearest_in_time(wanted: DataFrame, obs: DataFrame, minutes: int = 15) -> DataFrame:
     """For each wanted (sensor_id, t) the nearest observation within so many minutes; ties to the earlier, then the smaller id.
 
-    Where there is none, the sensor's latest observation is given (fallback is true; its gap may be of any length). Times fall into buckets of that length; a
-    wanted time is joined with its own bucket and the two beside it, so the join is on equal keys and no sensor's whole
-    history meets a request.
+    Where there is none, the sensor's latest observation is given (fallback is true; its gap may be of any length). Times fall into buckets of that length and
+    stand in one order with the bucket's observations, the last one of the bucket before and the first one of the bucket after: the nearest is the neighbour on
+    either side, so no pair of a time and an observation is made, however dense they are.
     """
     size = minutes * 60
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    timed = wanted.select("sensor_id", "t").distinct().withColumn("tm", micros("t"))
-    asked = timed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("tm") / (size * 1e6)) + k)))
-    have = obs.select("sensor_id", "obs_id", micros("observation_time").alias("om")).withColumn("bucket", F.floor(F.col("om") / (size * 1e6)))
-    both = asked.join(have.hint("merge"), ["sensor_id", "bucket"], "left")
-    gap = F.abs(F.col("tm") - F.col("om"))
-    best = both.groupBy("sensor_id", "t", "tm").agg(F.min(F.when(gap <= size * 1000000, F.struct(gap.alias("gap"), F.col("om"), F.col("obs_id")))).alias("b"))
+    bucket = lambda c: F.floor(F.col(c) / (size * 1e6)).alias("bucket")
+    asked = wanted.select("sensor_id", "t").distinct().withColumn("tm", micros("t")).select("sensor_id", bucket("tm"), "tm", "t", F.lit(True).alias("asked"))
+    have = obs.select("sensor_id", "obs_id", micros("observation_time").alias("om")).where("om IS NOT NULL").groupBy("sensor_id", "om").agg(F.min("obs_id").alias("obs_id")).select("sensor_id", bucket("om"), F.struct("om", "obs_id").alias("o"))
+    ends = have.groupBy("sensor_id", "bucket").agg(F.array(F.struct((F.col("bucket") - 1).alias("bucket"), F.min("o").alias("o")), F.struct((F.col("bucket") + 1).alias("bucket"), F.max("o").alias("o"))).alias("e"))
+    near = have.unionByName(ends.select("sensor_id", F.explode("e").alias("e")).select("sensor_id", "e.*")).withColumns({"tm": F.col("o.om"), "asked": F.lit(False)})
+    place = Window.partitionBy("sensor_id", "bucket")
+    back, ahead = place.orderBy("tm", "asked"), place.orderBy(F.desc("tm"), "asked")  # an observation of the very time stands before it
+    so_far = lambda w: F.last("o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    both = asked.unionByName(near, allowMissingColumns=True).withColumn("before", so_far(back)).withColumn("after", so_far(ahead)).where("asked")
+    found = lambda c: F.when(F.abs(F.col("tm") - F.col(f"{c}.om")) <= size * 1000000, F.struct(F.abs(F.col("tm") - F.col(f"{c}.om")).alias("gap"), F.col(f"{c}.om"), F.col(f"{c}.obs_id")))
+    best = both.select("sensor_id", "t", "tm", F.least(found("before"), found("after")).alias("b"))
     last = obs.groupBy("sensor_id").agg(F.max(F.struct(micros("observation_time").alias("om"), F.col("obs_id"))).alias("l"))
     known = best.join(last.hint("merge"), "sensor_id")
     return known.select(

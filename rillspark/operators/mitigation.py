@@ -47,13 +47,14 @@ def abated(depth: DataFrame, packages: DataFrame, unblocked: DataFrame | None =
 def effects(grids: DataFrame, roads: DataFrame) -> DataFrame:
     """Per frame and package: largest depth, area (>= 5 cm) and volume before and after, reductions, reopened roads and the index.
 
-    roads: scenario_id, lead_minutes, package, road_id, before_m, after_m (largest depth on the road).
+    roads: scenario_id, lead_minutes, package, before_m, after_m (largest depth on the road), roads (how many roads a row stands for).
     """
     sums = grids.groupBy(*FRAME, "package").agg(
         F.max("base_m").alias("d0"), F.max("depth_m").alias("d1"), (F.count_if(F.col("base_m") >= 0.05) * CELL_M2).alias("a0"), (F.count_if(F.col("depth_m") >= 0.05) * CELL_M2).alias("a1"),
         (F.sum("base_m") * CELL_M2).alias("v0"), (F.sum("depth_m") * CELL_M2).alias("v1"),
     )
-    shut = roads.groupBy(*FRAME, "package").agg(F.count_if(F.col("before_m") > 0.5).alias("impassable_before"), F.count_if((F.col("before_m") > 0.5) & ~(F.col("after_m") > 0.5)).alias("reopened_roads"))
+    of = lambda met: F.coalesce(F.sum(F.when(met, F.col("roads"))), F.lit(0))
+    shut = roads.groupBy(*FRAME, "package").agg(of(F.col("before_m") > 0.5).alias("impassable_before"), of((F.col("before_m") > 0.5) & ~(F.col("after_m") > 0.5)).alias("reopened_roads"))
     both = sums.join(shut.hint("merge"), [*FRAME, "package"], "left").fillna(0, ["impassable_before", "reopened_roads"])
     less = lambda x: F.greatest(F.lit(0.0), F.col(f"{x}0") - F.col(f"{x}1"))
     part = lambda x: F.when(F.col(f"{x}0") > 0, F.least(F.lit(1.0), less(x) / F.col(f"{x}0"))).otherwise(0.0)

@@ -101,8 +101,10 @@ def itemised(found: DataFrame, packages: DataFrame) -> DataFrame:
 
 def protected_assets(grids: DataFrame, assets: DataFrame) -> DataFrame:
     """Per frame and package: sites that the base depth reaches to their critical depth and the lowered one does not. grids: base_m and depth_m by cell and package."""
-    at = grids.join(assets.select("r", "c", "critical_depth_m").hint("merge"), ["r", "c"])
-    return at.groupBy(*FRAME, "package").agg(F.count_if((F.col("base_m") >= F.col("critical_depth_m")) & (F.col("depth_m") < F.col("critical_depth_m"))).alias("protected_assets"))
+    sites = assets.groupBy("r", "c", "critical_depth_m").agg(F.count(F.lit(1)).alias("sites"))  # alike ones are looked up once
+    at = grids.join(sites.hint("merge"), ["r", "c"])
+    saved = F.when((F.col("base_m") >= F.col("critical_depth_m")) & (F.col("depth_m") < F.col("critical_depth_m")), F.col("sites"))
+    return at.groupBy(*FRAME, "package").agg(F.coalesce(F.sum(saved), F.lit(0)).alias("protected_assets"))
 
 
 def ring(r0: Column, c0: Column, r1: Column, c1: Column, west: float, north: float, cell_m: float) -> Column:

@@ -45,11 +45,13 @@ def _grids(spark, sf):
     return mitigation.abated(depth, _packages(spark), clean)
 
 
-def _effects(spark, sf):
-    grids = settled(_grids(spark, sf), "grids")
-    cells = roads.road_cells(view(spark, sf, "segment")).select("road_id", "r", "c")
+def _effects(spark, sf, grids=None):
+    """Roads of the same ends share a line: depths are looked up once a line, and the line's roads are counted."""
+    grids = settled(_grids(spark, sf), "grids") if grids is None else grids
+    segments = view(spark, sf, "segment")
+    cells = roads.road_cells(roads.lines_of(segments)).select("road_id", "r", "c")
     worst = roads.by_road(cells, grids, ("scenario_id", "package"), ("base_m", "depth_m"), roads.leads_of(grids), lambda b, d: {"before_m": F.max(b), "after_m": F.max(d)})
-    return mitigation.effects(grids, worst)
+    return mitigation.effects(grids, worst.join(roads.line_counts(segments).hint("merge"), "road_id"))
 
 
 def _priced(spark, sf):

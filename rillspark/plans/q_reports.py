@@ -40,8 +40,9 @@ def _wards(spark, sf):
 
 
 def _itemised(spark, sf):
-    saved = reports.protected_assets(q_assets._grids(spark, sf), view(spark, sf, "asset"))
-    found = q_assets._effects(spark, sf).join(saved.hint("merge"), ["scenario_id", "lead_minutes", "package"], "left").fillna(0, ["protected_assets"])
+    grids = settled(q_assets._grids(spark, sf), "grids")
+    saved = reports.protected_assets(grids, view(spark, sf, "asset"))
+    found = q_assets._effects(spark, sf, grids).join(saved.hint("merge"), ["scenario_id", "lead_minutes", "package"], "left").fillna(0, ["protected_assets"])
     return reports.itemised(found, q_assets._packages(spark))
 
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.functions.shared import small
+from rillspark.functions.shared import looked_up, small
 from rillspark.operators.roads import steady
 
 KEYS = ("scenario_id", "lead_minutes")
 
 
 def site_depths(assets: DataFrame, depth: DataFrame, frames: DataFrame, default: float = 0.0) -> DataFrame:
-    """Depth at every asset's cell for every frame; `default` where the grid has no such cell."""
-    every = assets.crossJoin(small(frames))  # frames: the (scenario, lead) pairs, a short list as a rule
-    return every.join(depth.select(*KEYS, "r", "c", "depth_m").hint("merge"), [*KEYS, "r", "c"], "left").withColumn("site_depth_m", F.coalesce("depth_m", F.lit(default))).drop("depth_m")
+    """Depth at every asset's cell for every frame; `default` where the grid has no such cell. Cells are looked up once for all assets there."""
+    every = assets.select("r", "c").distinct().crossJoin(small(frames))  # frames: the (scenario, lead) pairs, a short list as a rule
+    known = every.join(depth.select(*KEYS, "r", "c", "depth_m").hint("merge"), [*KEYS, "r", "c"], "left").withColumn("site_depth_m", F.coalesce("depth_m", F.lit(default))).drop("depth_m")
+    return looked_up(assets, known, "r", "c")
 
 
 def access_depths(sites: DataFrame, links: DataFrame, road_max: DataFrame) -> DataFrame:

@@ -21,8 +21,11 @@ def ward_summary(depth: DataFrame, road_cells: DataFrame, assets: DataFrame, sid
     """Per frame and ward (square of `side` cells): wet and severe area, depths, wet road length (a cell's side each) and flooded assets.
 
     Roads and assets are counted on cells first, so that a ward's rows are summed once, before the shuffle to wards.
+    road_cells: road_id, r, c, and roads (how many a row stands for) if they are lines that roads share.
     """
-    roads = road_cells.groupBy("r", "c").agg(F.countDistinct("road_id").alias("roads"))
+    counted = F.sum("roads") if "roads" in road_cells.columns else F.countDistinct("road_id")
+    each = road_cells.select("road_id", "r", "c", "roads").distinct() if "roads" in road_cells.columns else road_cells
+    roads = each.groupBy("r", "c").agg(counted.alias("roads"))
     sites = assets.groupBy("r", "c").agg(F.count(F.lit(1)).alias("sites"))
     cells = depth.join(roads.hint("merge"), ["r", "c"], "left").join(sites.hint("merge"), ["r", "c"], "left")
     wet, severe = F.col("depth_m") > 0.05, F.col("depth_m") > 0.30

@@ -14,9 +14,11 @@ PACKAGE_COLUMNS = "package, lid, basin_m3, pump_m3s, unblock"
 FRAMES = "SELECT DISTINCT l_returnflag AS scenario_id, CAST((l_linenumber - 1) * 15 AS INT) AS lead_minutes FROM lineitem"
 
 
-def _road_max(spark, sf):
-    depth = view(spark, sf, "depth")
-    return roads.by_road(roads.road_cells(view(spark, sf, "segment")), depth, ("scenario_id",), ("depth_m",), roads.leads_of(depth), lambda d: {"max_depth_m": F.max(d)})
+def _road_max(spark, sf, wanted):
+    """Deepest water on the wanted roads (road_id), by frame; roads of the same ends share a line."""
+    depth, segments = view(spark, sf, "depth"), view(spark, sf, "segment").join(wanted.distinct().hint("merge"), "road_id", "left_semi")
+    lines = roads.by_road(roads.road_cells(roads.lines_of(segments)), depth, ("scenario_id",), ("depth_m",), roads.leads_of(depth), lambda d: {"max_depth_m": F.max(d)})
+    return roads.for_roads(lines, segments)
 
 
 def _sites(spark, sf):
@@ -27,7 +29,7 @@ def _sites(spark, sf):
 def _access(spark, sf):
     """Assets 3 k are linked with the roads 50 k and 50 (k + 1); others with none."""
     links = view(spark, sf, "asset").where("asset_id % 3 = 0").selectExpr("asset_id", "explode(array(asset_id div 3 * 50, (asset_id div 3 + 1) * 50)) AS road_id")
-    return assets.access_depths(_sites(spark, sf), links, _road_max(spark, sf))
+    return assets.access_depths(_sites(spark, sf), links, _road_max(spark, sf, links.select("road_id")))
 
 
 def _assessed(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import WAYPOINT_PROFILES, catalog, class_sql, values
+from rillspark.functions.shared import looked_up
 from rillspark.operators import assets, roads, summaries
 from rillspark.plans.q_roads import CELLS_SQL
 from rillspark.plans.testbed import rain_cells, view, with_views
@@ -21,20 +22,37 @@ def _points(spark, sf):
     return roads.road_cells(view(spark, sf, "segment")).select(F.col("road_id").alias("feature"), "i", (F.col("c") * 30.0).alias("x"), (F.col("r") * 30.0).alias("y"))
 
 
+def _ends(spark, sf):
+    """Both ends of every road."""
+    return view(spark, sf, "segment").selectExpr("road_id", "stack(2, 0, r1, c1, 1, r2, c2) AS (i, r, c)")
+
+
 def _waypoints(spark, sf):
-    """Both ends of every road, with the depth and speed of the water there, for every scenario and lead; 0 where the grid has no cell."""
-    ends = view(spark, sf, "segment").selectExpr("road_id", "stack(2, 0, r1, c1, 1, r2, c2) AS (i, r, c)")
-    frames = assets.site_depths(ends, view(spark, sf, "depth"), view(spark, sf, "depth").select("scenario_id", "lead_minutes").distinct())
-    return frames.select("scenario_id", "lead_minutes", "road_id", "i", (F.col("c") * 30.0).alias("x"), (F.col("r") * 30.0).alias("y"), F.col("site_depth_m").alias("depth_m"), (F.expr("CAST((r * 13 + c * 7) % 30 AS DOUBLE)") / 10.0).alias("velocity_ms"))
+    """The different ends of roads, with the depth and speed of the water there, for every scenario and lead; 0 where the grid has no cell."""
+    frames = assets.site_depths(_ends(spark, sf).select("i", "r", "c").distinct(), view(spark, sf, "depth"), view(spark, sf, "depth").select("scenario_id", "lead_minutes").distinct())
+    return frames.select("r", "c", "scenario_id", "lead_minutes", "i", (F.col("c") * 30.0).alias("x"), (F.col("r") * 30.0).alias("y"), F.col("site_depth_m").alias("depth_m"), (F.expr("CAST((r * 13 + c * 7) % 30 AS DOUBLE)") / 10.0).alias("velocity_ms"))
+
+
+def _hazard(spark, sf):
+    """The hazard depends on the place alone, so it is worked out once a place and spread to the ends of roads there."""
+    found = summaries.waypoint_hazard(_waypoints(spark, sf), catalog(spark, WAYPOINT_PROFILES, PROFILE_COLUMNS))
+    columns = [c for c in found.columns if c not in ("r", "c", "i", "scenario_id", "lead_minutes")]
+    return looked_up(_ends(spark, sf), found, "i", "r", "c").select("scenario_id", "lead_minutes", "road_id", "i", *columns)
+
+
+def _line_cells(spark, sf):
+    """Cells of the different lines of roads, with the number of roads on each."""
+    segments = view(spark, sf, "segment")
+    return roads.road_cells(roads.lines_of(segments)).select("road_id", "r", "c").join(roads.line_counts(segments).hint("merge"), "road_id")
 
 
 QUERIES = {
     "a10_rainfall_volume": lambda s, d: summaries.rainfall_volume(rain_cells(s, d), "frame"),
-    "a12_ward_summary": lambda s, d: summaries.ward_summary(view(s, d, "depth"), roads.road_cells(view(s, d, "segment")).select("road_id", "r", "c"), view(s, d, "asset")),
+    "a12_ward_summary": lambda s, d: summaries.ward_summary(view(s, d, "depth"), _line_cells(s, d), view(s, d, "asset")),
     "w1_polyline_lengths": lambda s, d: summaries.polyline_lengths(_points(s, d)),
     "j12_resampled_series": lambda s, d: summaries.resampled(_series(s, d), s.sql("SELECT CAST(id AS DOUBLE) / 2.0D - 2.0D AS t FROM range(0, 145)"), "scenario_id"),
     "a36_controls": lambda s, d: summaries.controls(view(s, d, "depth").groupBy("scenario_id").agg(F.countDistinct("lead_minutes").alias("leads"), F.max("r").alias("last_row"), F.max("lead_minutes").alias("last_lead")), "leads", "last_row", "last_lead"),
-    "f36_waypoint_hazard": lambda s, d: summaries.waypoint_hazard(_waypoints(s, d), catalog(s, WAYPOINT_PROFILES, PROFILE_COLUMNS)),
+    "f36_waypoint_hazard": _hazard,
 }
 
 _D = with_views("depth", "segment", "asset")

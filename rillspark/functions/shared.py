@@ -26,11 +26,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the shared folder and read back: iterations keep a short lineage."""
+def settled(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """`df`, written to the shared folder (in folders by some columns) and read back: iterations keep a short lineage."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/rillspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,18 +2,27 @@
 
 Costs are whole milliseconds, so that sums are exact and ties are real; of equal costs the path with fewer hops wins, then the
 smaller one, node by node from the start. A search is a loop of joins: the frontier (nodes improved in the last round) is joined with the edges, and the
-best label of each (search, node) stays. The driver sees one count a round.
+best label of each (search, node) stays; searches of a mode stand side by side in columns. The driver sees two counts a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, effective_speed, impact_class, speed_factor
-from rillspark.functions.shared import dropped, settled
+from rillspark.functions.shared import MOST_BROADCAST, dropped, settled, small
 from rillspark.operators.roads import steady
 
+#: Searches of one mode that stand side by side in columns.
+ORIGINS_AT_ONCE = 8
+#: A cost and its hops are one whole number, cost_ms * HOPS + hops, so that the smaller number is the better label; MOST_MS * HOPS still fits.
+HOPS, MOST_MS = 1 << 16, 1 << 46
+#: More than any label.
+NONE = (1 << 63) - 1
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge (n1, n2) as two directed ones; other columns stay."""
@@ -59,34 +68,85 @@ def soft_costs(edges: DataFrame, limits: DataFrame, penalty: float = 100_000.0,
     return each.select("n1", "n2", "road_id", "length_m", "depth_m", F.col("profile").alias("mode"), F.round((F.col("time_s") + more) * 1000.0).cast("long").alias("cost_ms"))
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m.
+def _links(edges: DataFrame) -> DataFrame:
+    """mode, node, next, cost_ms, length_m, depth_m of the edges, written out."""
+    return settled(edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m")), "links")
+
+
+def _placed(origins: DataFrame) -> DataFrame:
+    """mode, origin, part, place: the origins of a mode (a short list) are dealt into parts of ORIGINS_AT_ONCE, each at a place of its part."""
+    known = origins.select("mode", F.col("origin").cast("long").alias("origin")).distinct()
+    numbered = known.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("origin")) - 1)
+    return numbered.select("mode", "origin", F.floor(F.col("k") / ORIGINS_AT_ONCE).cast("int").alias("part"), (F.col("k") % ORIGINS_AT_ONCE).alias("place"))
+
+
+def _labels(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """mode, part, node, x0, x1, ...: the best label (cost_ms * HOPS + hops) of every node from each origin of the part, null if it is not reached.
 
-    edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete. A round lengthens
-    paths by one edge, so there are as many rounds as the longest best path has edges; costs below 0 are refused.
+    A round joins what got better in the last one with the edges, and takes the smallest label by node: one row moves for all origins of a part. Few better
+    labels go to the table of best ones by broadcast, so that it is not shuffled for them.
     """
-    label = F.struct("cost_ms", "hops", "path", "length_m", "max_depth_m")
-    keys = ("mode", "origin", "node")
-    links = settled(edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m")), "links")
-    if not links.where("cost_ms < 0").isEmpty():
+    keys, places = ["mode", "part", "node"], range(ORIGINS_AT_ONCE)
+    x = [f"x{k}" for k in places]
+    cost = links.agg(F.min("cost_ms"), F.max("cost_ms")).first()
+    if cost[0] is not None and cost[0] < 0:
         raise ValueError("an edge has a cost below 0")
-    origin = F.col("origin").cast("long")
-    start = origins.select("mode", origin.alias("origin"), origin.alias("node"), F.lit(0).cast("long").alias("cost_ms"), F.lit(0).alias("hops"), F.array(origin).alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m"))
-    best = frontier = last = settled(start, "paths")
-    while not frontier.isEmpty():
-        f, e = frontier.alias("f"), links.hint("merge").alias("e")
-        step = f.join(e, ["mode", "node"]).select(
-            "mode", "origin", F.col("next").alias("node"), (F.col("f.cost_ms") + F.col("e.cost_ms")).alias("cost_ms"), (F.col("hops") + 1).alias("hops"),
-            F.concat("path", F.array("next")).alias("path"), (F.col("f.length_m") + F.col("e.length_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"),
-        )
-        merged = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
-        chosen = merged.groupBy(*keys).agg(F.min(label).alias("w"), F.min(F.when(F.col("old"), label)).alias("was"))
-        done = settled(chosen.select(*keys, "w.*", (F.col("was").isNull() | (F.col("w.path") != F.col("was.path"))).alias("improved")), "paths")
-        best, frontier = done.drop("improved"), done.where("improved").drop("improved")
-        dropped(last)
+    start = placed.groupBy("mode", "part", F.col("origin").alias("node")).agg(*(F.max(F.when(F.col("place") == k, F.lit(0).cast("long"))).alias(x[k]) for k in places))
+    nodes = links.select("mode", "node").unionByName(links.select("mode", F.col("next").alias("node"))).unionByName(placed.select("mode", F.col("origin").alias("node"))).distinct()
+    every = nodes.join(small(placed.select("mode", "part").distinct()), "mode").join(start.hint("merge"), keys, "left")
+    fresh = [F.when(F.col(c).isNotNull(), F.lit(1 << k)).otherwise(0) for k, c in enumerate(x)]
+    last = settled(every.select(*keys, *x, reduce(Column.__add__, fresh).alias("better")), "labels")
+    rounds = 0
+    while not last.where("better <> 0").isEmpty():
+        rounds += 1
+        if rounds >= HOPS or rounds * cost[1] >= MOST_MS:
+            raise ValueError(f"paths of {rounds} edges with costs up to {cost[1]} ms are beyond what a label holds")
+        frontier = last.where("better <> 0").select(*keys, *(F.when(F.col("better").bitwiseAND(1 << k) != 0, F.col(x[k])).alias(x[k]) for k in places))
+        longer = frontier.join(links.select("mode", "node", "next", (F.col("cost_ms") * HOPS + 1).alias("more")).hint("merge"), ["mode", "node"])
+        step = settled(longer.groupBy("mode", "part", F.col("next").alias("node")).agg(*(F.min(F.col(c) + F.col("more")).alias(f"s{k}") for k, c in enumerate(x))), "step")
+        few = step.count() <= MOST_BROADCAST
+        met = last.drop("better").join(F.broadcast(step) if few else step.hint("merge"), keys, "left")
+        better = [F.when(F.col(f"s{k}") < F.coalesce(F.col(c), F.lit(NONE)), F.lit(1 << k)).otherwise(0) for k, c in enumerate(x)]
+        done = settled(met.select(*keys, *(F.least(c, f"s{k}").alias(c) for k, c in enumerate(x)), reduce(Column.__add__, better).alias("better")), "labels")
+        dropped(last, step)
         last = done
+    return last.drop("better")
+
+
+def least_costs(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """Least cost_ms, and its fewest hops, from every origin to every node it reaches, by mode. Tables as for `shortest_paths`, without the work for the paths."""
+    links, placed = _links(edges), settled(_placed(origins), "origins")
+    best = _labels(links, placed)
+    each = best.select("mode", "part", "node", F.posexplode(F.array(*(f"x{k}" for k in range(ORIGINS_AT_ONCE)))).alias("place", "label")).where("label IS NOT NULL")
     dropped(links)
-    return best
+    named = each.join(small(placed), ["mode", "part", "place"])
+    return named.select("mode", "origin", "node", F.expr(f"label div {HOPS}").alias("cost_ms"), (F.col("label") % HOPS).cast("int").alias("hops"))
+
+
+def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m.
+
+    edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete; costs below 0 are refused. Costs and hops come first,
+    without paths. Then the edges that best paths can end with are those whose labels meet; they are kept by hops, and paths grow along them, each once: a path
+    of h edges from the one of h - 1 edges that it prolongs.
+    """
+    links, placed = _links(edges), settled(_placed(origins), "origins")
+    best, places = _labels(links, placed), range(ORIGINS_AT_ONCE)
+    at = best.select("mode", "part", F.col("node").alias("next"), *(F.col(f"x{k}").alias(f"y{k}") for k in places))
+    both = links.join(best.hint("merge"), ["mode", "node"]).join(at.hint("merge"), ["mode", "part", "next"])
+    meets = F.array(*(F.when(F.col(f"x{k}") + F.col("cost_ms") * HOPS + 1 == F.col(f"y{k}"), F.col(f"y{k}")) for k in places))
+    ends = both.select("mode", "part", "node", "next", "length_m", "depth_m", F.posexplode(meets).alias("place", "label")).where("label IS NOT NULL")
+    lasts = settled(ends.select("mode", "part", "place", "node", "next", "length_m", "depth_m", F.expr(f"label div {HOPS}").alias("cost_ms"), (F.col("label") % HOPS).cast("int").alias("hops")), "ends", "hops")
+    keys = ["mode", "part", "place", "node"]
+    found = settled(placed.select("mode", "part", "place", F.col("origin").alias("node"), F.lit(0).cast("long").alias("cost_ms"), F.array("origin").alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m")), "paths")
+    levels = [found.withColumn("hops", F.lit(0))]
+    for hops in range(1, (lasts.agg(F.max("hops")).first()[0] or 0) + 1):
+        f, e = found.drop("cost_ms").alias("f"), lasts.where(F.col("hops") == hops).hint("merge").alias("e")
+        longer = f.join(e, keys).select("mode", "part", "place", F.col("next").alias("node"), "cost_ms", F.concat("path", F.array("next")).alias("path"), (F.col("f.length_m") + F.col("e.length_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"))
+        found = settled(longer.groupBy(*keys).agg(F.min(F.struct("cost_ms", "path", "length_m", "max_depth_m")).alias("w")).select(*keys, "w.*"), "paths")
+        levels.append(found.withColumn("hops", F.lit(hops)))
+    dropped(links, best, lasts)
+    return reduce(DataFrame.unionByName, levels).select("mode", F.element_at("path", 1).alias("origin"), "node", "cost_ms", "hops", "path", "length_m", "max_depth_m")
 
 
 def path_text(path: Column) -> Column:

@@ -41,8 +41,12 @@ def _modes(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "mode string")
 
 
+def _searches(spark, sf):
+    return graph.flood_costs(edges_all(spark, sf)), origins(spark, sf, _modes(spark, "baseline", "avoid_impassable", "flood_aware"))
+
+
 def _paths(spark, sf):
-    return graph.shortest_paths(graph.flood_costs(edges_all(spark, sf)), origins(spark, sf, _modes(spark, "baseline", "avoid_impassable", "flood_aware")))
+    return graph.shortest_paths(*_searches(spark, sf))
 
 
 def _vehicle_paths(spark, sf):
@@ -55,7 +59,7 @@ def lead_paths(spark, sf):
     leads = spark.sql("SELECT CAST(id * 60 AS INT) AS lead_minutes FROM range(0, 3)")
     rising = edges_all(spark, sf).crossJoin(F.broadcast(leads)).withColumn("depth_m", F.col("depth_m") + F.col("lead_minutes") / 600.0)
     edges = graph.vehicle_costs(rising, catalog(spark, VEHICLES[1:4], VEHICLE_COLUMNS))
-    paths = graph.shortest_paths(edges, origins(spark, sf, _modes(spark, *(f"{v[0]}@{lead}" for v in VEHICLES[1:4] for lead in (0, 60, 120)))))
+    paths = graph.least_costs(edges, origins(spark, sf, _modes(spark, *(f"{v[0]}@{lead}" for v in VEHICLES[1:4] for lead in (0, 60, 120)))))
     split = F.split("mode", "@")
     return paths.select(split[0].alias("vehicle"), split[1].cast("int").alias("lead_minutes"), "origin", "node"), leads
 
@@ -72,7 +76,7 @@ QUERIES = {
     "g4_compared_routes": lambda s, d: graph.compared_routes(_paths(s, d)),
     "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
     "g6_cutoffs": lambda s, d: graph.cutoffs(*lead_paths(s, d)),
-    "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(_paths(s, d), shelters(s, d)),
+    "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(graph.least_costs(*_searches(s, d)), shelters(s, d)),
     "g8_soft_routes": lambda s, d: _soft_paths(s, d).select("mode", "origin", "node", "cost_ms", steady(F.col("length_m"), 1).alias("length_m"), steady(F.col("length_m") / (35.0 * 1000.0 / 3600.0), 1).alias("travel_time_s"), steady(F.col("max_depth_m"), 3).alias("max_flood_depth_m"), (F.col("max_depth_m") <= F.col("limit_m")).alias("is_passable")),
     "j21_avoided_roads": lambda s, d: graph.avoided_edges(_paths(s, d), edges_all(s, d)),
 }

@@ -72,7 +72,7 @@ ORACLES = {
 q AS (SELECT scenario_id, r AS t, sum(depth_m) AS s FROM depth GROUP BY scenario_id, r),
 z AS (SELECT *, s * (0.9 + 0.2 * (t % 7) / CAST(7 AS DOUBLE)) AS o FROM q),
 m AS (SELECT scenario_id, count(*) AS n, avg(o) AS mo, avg(s) AS ms, sum(o) AS so, sum(s) AS ss, sum((s - o) * (s - o)) AS sse, var_pop(o) * count(*) AS sso, stddev_samp(o) AS dv, stddev_samp(s) AS ds,
-             covar_samp(o, s) AS cov, max(o) AS po, max(s) AS ps, arg_max(t, o) AS t_o, arg_max(t, s) AS t_s FROM z GROUP BY scenario_id),
+             covar_samp(o, s) AS cov, max(o) AS po, max(s) AS ps, arg_max(t, (o, -t)) AS t_o, arg_max(t, (s, -t)) AS t_s FROM z GROUP BY scenario_id),
 k AS (SELECT *, 1 - sse / sso AS nse, greatest(-1.0, least(1.0, cov / (dv * ds))) AS rr, ds / dv AS alpha, ms / mo AS beta, abs(ps - po) / po * 100 AS pfe, CAST(abs(t_s - t_o) AS DOUBLE) AS tpe,
              (ss - so) / so * 100 AS pbias, sqrt(sse / n) AS rmse FROM m),
 g AS (SELECT *, 1 - sqrt((rr - 1) * (rr - 1) + (alpha - 1) * (alpha - 1) + (beta - 1) * (beta - 1)) AS kge FROM k)

@@ -26,14 +26,32 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of tables whose rows of the same key lie side by side: as many as a shuffle has partitions, so that joins with what was shuffled by the key move neither."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settled(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """`df`, written to the shared folder (in folders by some columns) and read back: iterations keep a short lineage."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/rillspark-{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    """`df`, written to the shared folder and read back: iterations keep a short lineage. Rows of the same `by` go to one bucket, so that joins and groups by it need no shuffle."""
+    spark, table = df.sparkSession, f"rillspark_{name}_{uuid.uuid4().hex}"
+    if by:
+        found = added(df, table, *by)
+        spark.sql(f"DROP TABLE {table}")  # only the name: the files stay until `dropped`
+        return found
+    path = f"{shared_root(spark)}/{table}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def added(df: DataFrame, table: str, *by: str, folders: tuple[str, ...] = ()) -> DataFrame:
+    """`df`, added to a table of the shared folder in buckets of `by` (and folders of some columns), and all that the table then has. One table, as a union of several would lose its buckets."""
+    spark = df.sparkSession
+    writer = df.write.mode("append")
+    writer = writer.partitionBy(*folders) if folders else writer
+    writer.bucketBy(buckets(spark), *by).option("path", f"{shared_root(spark)}/{table}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables written by `settled` that nothing reads any more."""
     for table in tables:

@@ -7,17 +7,22 @@ best label of each (search, node) stays; searches of a mode stand side by side i
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, effective_speed, impact_class, speed_factor
-from rillspark.functions.shared import MOST_BROADCAST, dropped, settled, small
+from rillspark.functions.shared import added, buckets, dropped, settled, small
 from rillspark.operators.roads import steady
 
-#: Searches of one mode that stand side by side in columns.
-ORIGINS_AT_ONCE = 8
+#: Searches of one mode that stand side by side in columns, at most.
+ORIGINS_AT_ONCE = 32
+#: Rounds whose better labels share a table.
+ROUNDS_A_TABLE = 16
+#: What rows of labels, edges and paths lie side by side by.
+KEYS = ["mode", "part", "node"]
 #: A cost and its hops are one whole number, cost_ms * HOPS + hops, so that the smaller number is the better label; MOST_MS * HOPS still fits.
 HOPS, MOST_MS = 1 << 16, 1 << 46
 #: More than any label.
@@ -68,56 +73,68 @@ def soft_costs(edges: DataFrame, limits: DataFrame, penalty: float = 100_000.0,
     return each.select("n1", "n2", "road_id", "length_m", "depth_m", F.col("profile").alias("mode"), F.round((F.col("time_s") + more) * 1000.0).cast("long").alias("cost_ms"))
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    """mode, node, next, cost_ms, length_m, depth_m of the edges, written out."""
-    return settled(edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m")), "links")
+def _placed(origins: DataFrame) -> tuple[DataFrame, int]:
+    """mode, origin, part, place: the origins of a mode (a short list) are dealt evenly into parts of at most ORIGINS_AT_ONCE, each at a place of its part; and the places of a part."""
+    known = origins.select("mode", F.col("origin").cast("long").alias("origin")).distinct()
+    numbered = settled(known.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("origin")) - 1), "origins")
+    most = (numbered.agg(F.max("k")).first()[0] or 0) + 1
+    width = -(-most // -(-most // ORIGINS_AT_ONCE))
+    return numbered.select("mode", "origin", F.floor(F.col("k") / width).cast("int").alias("part"), (F.col("k") % width).alias("place")), width
 
 
-def _placed(origins: DataFrame) -> DataFrame:
-    """mode, origin, part, place: the origins of a mode (a short list) are dealt into parts of ORIGINS_AT_ONCE, each at a place of its part."""
-    known = origins.select("mode", F.col("origin").cast("long").alias("origin")).distinct()
-    numbered = known.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("origin")) - 1)
-    return numbered.select("mode", "origin", F.floor(F.col("k") / ORIGINS_AT_ONCE).cast("int").alias("part"), (F.col("k") % ORIGINS_AT_ONCE).alias("place"))
+def _links(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """mode, part, node, next, cost_ms, length_m, depth_m of the edges, written out beside the labels of their first node."""
+    plain = edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m"))
+    each = plain.join(small(placed.select("mode", "part").distinct()), "mode")
+    return settled(each.select(*KEYS, "next", "cost_ms", "length_m", "depth_m").repartition(buckets(edges.sparkSession), *KEYS), "links", *KEYS)
 
 
-def _labels(links: DataFrame, placed: DataFrame) -> DataFrame:
-    """mode, part, node, x0, x1, ...: the best label (cost_ms * HOPS + hops) of every node from each origin of the part, null if it is not reached.
+def _labels(links: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """mode, part, node, x0, x1, ...: the best label (cost_ms * HOPS + hops) of every reached node from each origin of the part, null if that does not reach it.
 
-    A round joins what got better in the last one with the edges, and takes the smallest label by node: one row moves for all origins of a part. Few better
-    labels go to the table of best ones by broadcast, so that it is not shuffled for them.
+    A round joins what got better in the last one with the edges, and takes the smallest label by node: one row moves for all origins of a part, and nothing
+    else does. What got better is added to the labels before, in the same buckets; after ROUNDS_A_TABLE rounds a new table begins with the best of each node.
     """
-    keys, places = ["mode", "part", "node"], range(ORIGINS_AT_ONCE)
-    x = [f"x{k}" for k in places]
+    spark, x = links.sparkSession, [f"x{k}" for k in range(width)]
     cost = links.agg(F.min("cost_ms"), F.max("cost_ms")).first()
     if cost[0] is not None and cost[0] < 0:
         raise ValueError("an edge has a cost below 0")
-    start = placed.groupBy("mode", "part", F.col("origin").alias("node")).agg(*(F.max(F.when(F.col("place") == k, F.lit(0).cast("long"))).alias(x[k]) for k in places))
-    nodes = links.select("mode", "node").unionByName(links.select("mode", F.col("next").alias("node"))).unionByName(placed.select("mode", F.col("origin").alias("node"))).distinct()
-    every = nodes.join(small(placed.select("mode", "part").distinct()), "mode").join(start.hint("merge"), keys, "left")
-    fresh = [F.when(F.col(c).isNotNull(), F.lit(1 << k)).otherwise(0) for k, c in enumerate(x)]
-    last = settled(every.select(*keys, *x, reduce(Column.__add__, fresh).alias("better")), "labels")
-    rounds = 0
-    while not last.where("better <> 0").isEmpty():
+    smallest = [F.min(c).alias(c) for c in x]  # columns of all rounds are built once
+    prolonged = [F.min(F.col(c) + F.col("more")).alias(f"s{k}") for k, c in enumerate(x)]
+    better = [F.when(F.col(f"s{k}") < F.coalesce(F.col(c), F.lit(NONE)), F.col(f"s{k}")).alias(c) for k, c in enumerate(x)]
+    least = lambda table: table.groupBy(*KEYS).agg(*smallest)
+    names = [f"rillspark_labels_{uuid.uuid4().hex}"]
+    start = placed.groupBy("mode", "part", F.col("origin").alias("node")).agg(*(F.max(F.when(F.col("place") == k, F.lit(0).cast("long"))).alias(c) for k, c in enumerate(x)))
+    # the hops of what got better are its round: read from the labels, as a number written into the plan would have its code compiled anew in each round
+    of_round, any_better = (F.greatest(*x, F.lit(0)) % HOPS).cast("int").alias("round"), F.coalesce(*x).isNotNull()
+    add = lambda found, table: added(found.select("*", of_round), table, *KEYS, folders=("round",))
+    known = add(start.repartition(buckets(spark), *KEYS), names[-1])
+    last, rounds = known, 0
+    ahead = links.select(*KEYS, "next", (F.col("cost_ms") * HOPS + 1).alias("more")).hint("merge")
+    while not last.isEmpty():
         rounds += 1
-        if rounds >= HOPS or rounds * cost[1] >= MOST_MS:
+        if rounds >= HOPS or rounds * (cost[1] or 0) >= MOST_MS:
             raise ValueError(f"paths of {rounds} edges with costs up to {cost[1]} ms are beyond what a label holds")
-        frontier = last.where("better <> 0").select(*keys, *(F.when(F.col("better").bitwiseAND(1 << k) != 0, F.col(x[k])).alias(x[k]) for k in places))
-        longer = frontier.join(links.select("mode", "node", "next", (F.col("cost_ms") * HOPS + 1).alias("more")).hint("merge"), ["mode", "node"])
-        step = settled(longer.groupBy("mode", "part", F.col("next").alias("node")).agg(*(F.min(F.col(c) + F.col("more")).alias(f"s{k}") for k, c in enumerate(x))), "step")
-        few = step.count() <= MOST_BROADCAST
-        met = last.drop("better").join(F.broadcast(step) if few else step.hint("merge"), keys, "left")
-        better = [F.when(F.col(f"s{k}") < F.coalesce(F.col(c), F.lit(NONE)), F.lit(1 << k)).otherwise(0) for k, c in enumerate(x)]
-        done = settled(met.select(*keys, *(F.least(c, f"s{k}").alias(c) for k, c in enumerate(x)), reduce(Column.__add__, better).alias("better")), "labels")
-        dropped(last, step)
-        last = done
-    return last.drop("better")
+        step = last.join(ahead, KEYS).groupBy("mode", "part", F.col("next").alias("node")).agg(*prolonged)
+        met = step.join(least(known).hint("merge"), KEYS, "left")
+        known = add(met.select(*KEYS, *better).where(any_better), names[-1])
+        last = known.where(F.col("round") == rounds)
+        if rounds % ROUNDS_A_TABLE == 0:
+            names.append(f"rillspark_labels_{uuid.uuid4().hex}")
+            known = add(least(known), names[-1])
+    best = settled(least(known), "labels", *KEYS)
+    for name in names:
+        dropped(spark.table(name))
+        spark.sql(f"DROP TABLE {name}")
+    return best
 
 
 def least_costs(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """Least cost_ms, and its fewest hops, from every origin to every node it reaches, by mode. Tables as for `shortest_paths`, without the work for the paths."""
-    links, placed = _links(edges), settled(_placed(origins), "origins")
-    best = _labels(links, placed)
-    each = best.select("mode", "part", "node", F.posexplode(F.array(*(f"x{k}" for k in range(ORIGINS_AT_ONCE)))).alias("place", "label")).where("label IS NOT NULL")
+    placed, width = _placed(origins)
+    links = _links(edges, placed)
+    best = _labels(links, placed, width)
+    each = best.select(*KEYS, F.posexplode(F.array(*(f"x{k}" for k in range(width)))).alias("place", "label")).where("label IS NOT NULL")
     dropped(links)
     named = each.join(small(placed), ["mode", "part", "place"])
     return named.select("mode", "origin", "node", F.expr(f"label div {HOPS}").alias("cost_ms"), (F.col("label") % HOPS).cast("int").alias("hops"))
@@ -127,26 +144,31 @@ def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m.
 
     edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete; costs below 0 are refused. Costs and hops come first,
-    without paths. Then the edges that best paths can end with are those whose labels meet; they are kept by hops, and paths grow along them, each once: a path
-    of h edges from the one of h - 1 edges that it prolongs.
+    without paths. Then the edges that best paths can end with are those whose labels meet; each is kept once, with a bit for each origin that it serves, and paths
+    grow along them, each once: a path of h edges from the one of h - 1 edges that it prolongs.
     """
-    links, placed = _links(edges), settled(_placed(origins), "origins")
-    best, places = _labels(links, placed), range(ORIGINS_AT_ONCE)
-    at = best.select("mode", "part", F.col("node").alias("next"), *(F.col(f"x{k}").alias(f"y{k}") for k in places))
-    both = links.join(best.hint("merge"), ["mode", "node"]).join(at.hint("merge"), ["mode", "part", "next"])
-    meets = F.array(*(F.when(F.col(f"x{k}") + F.col("cost_ms") * HOPS + 1 == F.col(f"y{k}"), F.col(f"y{k}")) for k in places))
-    ends = both.select("mode", "part", "node", "next", "length_m", "depth_m", F.posexplode(meets).alias("place", "label")).where("label IS NOT NULL")
-    lasts = settled(ends.select("mode", "part", "place", "node", "next", "length_m", "depth_m", F.expr(f"label div {HOPS}").alias("cost_ms"), (F.col("label") % HOPS).cast("int").alias("hops")), "ends", "hops")
-    keys = ["mode", "part", "place", "node"]
-    found = settled(placed.select("mode", "part", "place", F.col("origin").alias("node"), F.lit(0).cast("long").alias("cost_ms"), F.array("origin").alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m")), "paths")
-    levels = [found.withColumn("hops", F.lit(0))]
-    for hops in range(1, (lasts.agg(F.max("hops")).first()[0] or 0) + 1):
-        f, e = found.drop("cost_ms").alias("f"), lasts.where(F.col("hops") == hops).hint("merge").alias("e")
-        longer = f.join(e, keys).select("mode", "part", "place", F.col("next").alias("node"), "cost_ms", F.concat("path", F.array("next")).alias("path"), (F.col("f.length_m") + F.col("e.length_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"))
-        found = settled(longer.groupBy(*keys).agg(F.min(F.struct("cost_ms", "path", "length_m", "max_depth_m")).alias("w")).select(*keys, "w.*"), "paths")
-        levels.append(found.withColumn("hops", F.lit(hops)))
-    dropped(links, best, lasts)
-    return reduce(DataFrame.unionByName, levels).select("mode", F.element_at("path", 1).alias("origin"), "node", "cost_ms", "hops", "path", "length_m", "max_depth_m")
+    placed, width = _placed(origins)
+    links = _links(edges, placed)
+    best, n = _labels(links, placed, width), buckets(edges.sparkSession)
+    at = best.select("mode", "part", F.col("node").alias("next"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(width)))
+    both = links.join(best.hint("merge"), KEYS).join(at.hint("merge"), ["mode", "part", "next"])
+    meets = (F.when(F.col(f"x{k}") + F.col("cost_ms") * HOPS + 1 == F.col(f"y{k}"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(width))
+    ends = both.select(*KEYS, "next", F.col("cost_ms").alias("more_ms"), F.col("length_m").alias("more_m"), "depth_m", reduce(Column.__add__, meets).alias("serves")).where("serves <> 0")
+    lasts = settled(ends.repartition(n, *KEYS), "ends", *KEYS)
+    dropped(links, best)
+    start = placed.select("mode", "part", F.col("origin").alias("node"), "place", F.lit(0).cast("long").alias("cost_ms"), F.array("origin").alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m"))
+    found, levels = settled(start.repartition(n, *KEYS), "paths", *KEYS), []
+    while not found.isEmpty():
+        levels.append(found.withColumn("hops", F.lit(len(levels))))
+        longer = found.join(lasts.hint("merge"), KEYS).where("shiftright(serves, place) % 2 = 1").select(
+            "mode", "part", F.col("next").alias("node"), "place", (F.col("cost_ms") + F.col("more_ms")).alias("cost_ms"), F.concat("path", F.array("next")).alias("path"),
+            (F.col("length_m") + F.col("more_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"),
+        )
+        first = longer.repartition(n, *KEYS).groupBy(*KEYS, "place").agg(F.min(F.struct("cost_ms", "path", "length_m", "max_depth_m")).alias("w"))
+        found = settled(first.select(*KEYS, "place", "w.*"), "paths", *KEYS)
+    dropped(lasts)
+    every = reduce(DataFrame.unionByName, levels or [found.withColumn("hops", F.lit(0))])
+    return every.select("mode", F.element_at("path", 1).alias("origin"), "node", "cost_ms", "hops", "path", "length_m", "max_depth_m")
 
 
 def path_text(path: Column) -> Column:
@@ -154,10 +176,10 @@ def path_text(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda x: x.cast("string")), ">")
 
 
-def path_edges(paths: DataFrame) -> DataFrame:
-    """(mode, origin, node, a, b): the edges of every path, ends in order of their numbers."""
-    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.least(F.element_at("path", k), F.element_at("path", k + 1)).alias("a"), F.greatest(F.element_at("path", k), F.element_at("path", k + 1)).alias("b")))
-    return paths.where("hops > 0").select("mode", "origin", "node", F.explode(steps).alias("e")).select("mode", "origin", "node", "e.a", "e.b")
+def steps_of(path: Column) -> Column:
+    """The edges of a path as an array of (a, b), ends in order of their numbers."""
+    two = lambda k: (F.element_at(path, k), F.element_at(path, k + 1))
+    return F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda k: F.struct(F.least(*two(k)).alias("a"), F.greatest(*two(k)).alias("b")))
 
 
 def avoided_edges(paths: DataFrame, edges: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
@@ -165,11 +187,10 @@ def avoided_edges(paths: DataFrame, edges: DataFrame, base: str = "baseline", ot
 
     edges: n1, n2, depth_m, one row an edge or more; the deepest water between two nodes counts.
     """
-    steps = path_edges(paths)
     ends = ["origin", "node"]
-    both = paths.where(F.col("mode") == other).select(*ends)
-    left = steps.where(F.col("mode") == base).drop("mode").join(both.hint("merge"), ends, "left_semi")
-    gone = left.join(steps.where(F.col("mode") == other).drop("mode").hint("merge"), [*ends, "a", "b"], "left_anti")
+    side = lambda m, name: paths.where((F.col("mode") == m) & (F.col("hops") > 0)).select(*ends, steps_of(F.col("path")).alias(name))
+    both = side(base, "base").join(side(other, "other").hint("merge"), ends)
+    gone = both.select(*ends, F.explode(F.array_except("base", "other")).alias("e")).select(*ends, "e.a", "e.b")
     water = edges.groupBy(F.least("n1", "n2").cast("long").alias("a"), F.greatest("n1", "n2").cast("long").alias("b")).agg(F.max(F.coalesce("depth_m", F.lit(0.0))).alias("depth_m"))
     return gone.join(water.hint("merge"), ["a", "b"]).select(*ends, "a", "b", "depth_m", impact_class(F.col("depth_m")).alias("class"))
 

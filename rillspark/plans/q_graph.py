@@ -49,6 +49,12 @@ def _paths(spark, sf):
     return graph.shortest_paths(*_searches(spark, sf))
 
 
+def _both_paths(spark, sf):
+    """Paths of the two modes that are compared."""
+    edges = graph.flood_costs(edges_all(spark, sf)).where(F.col("mode").isin("baseline", "flood_aware"))
+    return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, "baseline", "flood_aware")))
+
+
 def _vehicle_paths(spark, sf):
     edges = graph.vehicle_costs(edges_all(spark, sf), catalog(spark, VEHICLES, VEHICLE_COLUMNS))
     return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, *(v[0] for v in VEHICLES))))
@@ -73,12 +79,12 @@ def _soft_paths(spark, sf):
 QUERIES = {
     "g1_directed_edges": lambda s, d: directed(edges_all(s, d)),
     "g2_shortest_paths": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", graph.path_text(F.col("path")).alias("path")),
-    "g4_compared_routes": lambda s, d: graph.compared_routes(_paths(s, d)),
+    "g4_compared_routes": lambda s, d: graph.compared_routes(_both_paths(s, d)),
     "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
     "g6_cutoffs": lambda s, d: graph.cutoffs(*lead_paths(s, d)),
     "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(graph.least_costs(*_searches(s, d)), shelters(s, d)),
     "g8_soft_routes": lambda s, d: _soft_paths(s, d).select("mode", "origin", "node", "cost_ms", steady(F.col("length_m"), 1).alias("length_m"), steady(F.col("length_m") / (35.0 * 1000.0 / 3600.0), 1).alias("travel_time_s"), steady(F.col("max_depth_m"), 3).alias("max_flood_depth_m"), (F.col("max_depth_m") <= F.col("limit_m")).alias("is_passable")),
-    "j21_avoided_roads": lambda s, d: graph.avoided_edges(_paths(s, d), edges_all(s, d)),
+    "j21_avoided_roads": lambda s, d: graph.avoided_edges(_both_paths(s, d), edges_all(s, d)),
 }
 
 EDGES_SQL = f"""

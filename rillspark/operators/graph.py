@@ -1,32 +1,25 @@
 """Batched shortest paths on road graphs, for all queries, scenarios, leads and vehicles at once.
 
 Costs are whole milliseconds, so that sums are exact and ties are real; of equal costs the path with fewer hops wins, then the
-smaller one, node by node from the start. A search is a loop of joins: the frontier (nodes improved in the last round) is joined with the edges, and the
-best label of each (search, node) stays; searches of a mode stand side by side in columns. The driver sees two counts a round.
+smaller one, node by node from the start. All searches advance together, a round an edge (`searches`); the driver sees one count a round.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, effective_speed, impact_class, speed_factor
-from rillspark.functions.shared import added, buckets, dropped, settled, small
+from rillspark.functions.shared import buckets, settled, shared_root
+from rillspark.operators import searches
 from rillspark.operators.roads import steady
 
-#: Searches of one mode that stand side by side in columns, at most.
+#: Searches of one mode that advance side by side, at most.
 ORIGINS_AT_ONCE = 32
-#: Rounds whose better labels share a table.
-ROUNDS_A_TABLE = 16
-#: What rows of labels, edges and paths lie side by side by.
-KEYS = ["mode", "part", "node"]
-#: A cost and its hops are one whole number, cost_ms * HOPS + hops, so that the smaller number is the better label; MOST_MS * HOPS still fits.
-HOPS, MOST_MS = 1 << 16, 1 << 46
-#: More than any label.
-NONE = (1 << 63) - 1
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -73,102 +66,83 @@ def soft_costs(edges: DataFrame, limits: DataFrame, penalty: float = 100_000.0,
     return each.select("n1", "n2", "road_id", "length_m", "depth_m", F.col("profile").alias("mode"), F.round((F.col("time_s") + more) * 1000.0).cast("long").alias("cost_ms"))
 
 
-def _placed(origins: DataFrame) -> tuple[DataFrame, int]:
-    """mode, origin, part, place: the origins of a mode (a short list) are dealt evenly into parts of at most ORIGINS_AT_ONCE, each at a place of its part; and the places of a part."""
-    known = origins.select("mode", F.col("origin").cast("long").alias("origin")).distinct()
-    numbered = settled(known.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("origin")) - 1), "origins")
-    most = (numbered.agg(F.max("k")).first()[0] or 0) + 1
-    width = -(-most // -(-most // ORIGINS_AT_ONCE))
-    return numbered.select("mode", "origin", F.floor(F.col("k") / width).cast("int").alias("part"), (F.col("k") % width).alias("place")), width
+def _known(edges: DataFrame) -> DataFrame:
+    """Edges in the types of searches; those of unknown ends or cost lead nowhere."""
+    plain = edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), F.col("cost_ms").cast("long").alias("cost_ms"), F.col("length_m").cast("double").alias("length_m"), F.coalesce("depth_m", F.lit(0.0)).cast("double").alias("depth_m"))
+    return plain.where("mode IS NOT NULL AND node IS NOT NULL AND next IS NOT NULL AND cost_ms IS NOT NULL")
 
 
-def _links(edges: DataFrame, placed: DataFrame) -> DataFrame:
-    """mode, part, node, next, cost_ms, length_m, depth_m of the edges, written out beside the labels of their first node."""
-    plain = edges.select("mode", F.col("n1").cast("long").alias("node"), F.col("n2").cast("long").alias("next"), "cost_ms", "length_m", F.coalesce("depth_m", F.lit(0.0)).alias("depth_m"))
-    each = plain.join(small(placed.select("mode", "part").distinct()), "mode")
-    return settled(each.select(*KEYS, "next", "cost_ms", "length_m", "depth_m").repartition(buckets(edges.sparkSession), *KEYS), "links", *KEYS)
+def _numbered(known: DataFrame, modes: list[str]) -> DataFrame:
+    """Edges of these modes, with the mode's number m."""
+    numbers = known.sparkSession.createDataFrame(list(enumerate(modes)), "m int, mode string")
+    return known.join(F.broadcast(numbers), "mode").select("m", "node", "next", "cost_ms", "length_m", "depth_m")
 
 
-def _labels(links: DataFrame, placed: DataFrame, width: int) -> DataFrame:
-    """mode, part, node, x0, x1, ...: the best label (cost_ms * HOPS + hops) of every reached node from each origin of the part, null if that does not reach it.
+def _searched(edges: DataFrame, origins: DataFrame) -> Iterator[tuple[DataFrame, list[tuple[int, int]], DataFrame, int, tuple[int, int]]]:
+    """Edges with numbers of modes, searches, their names (search, mode, origin), the greatest cost, and the least and greatest node, for ORIGINS_AT_ONCE origins of a mode at a time.
 
-    A round joins what got better in the last one with the edges, and takes the smallest label by node: one row moves for all origins of a part, and nothing
-    else does. What got better is added to the labels before, in the same buckets; after ROUNDS_A_TABLE rounds a new table begins with the best of each node.
+    origins: a short list.
     """
-    spark, x = links.sparkSession, [f"x{k}" for k in range(width)]
-    cost = links.agg(F.min("cost_ms"), F.max("cost_ms")).first()
-    if cost[0] is not None and cost[0] < 0:
+    spark = edges.sparkSession
+    known = _known(edges)
+    least, most, low, high = known.agg(F.min("cost_ms"), F.max("cost_ms"), F.min(F.least("node", "next")), F.max(F.greatest("node", "next"))).first()
+    if least is not None and least < 0:
         raise ValueError("an edge has a cost below 0")
-    smallest = [F.min(c).alias(c) for c in x]  # columns of all rounds are built once
-    prolonged = [F.min(F.col(c) + F.col("more")).alias(f"s{k}") for k, c in enumerate(x)]
-    better = [F.when(F.col(f"s{k}") < F.coalesce(F.col(c), F.lit(NONE)), F.col(f"s{k}")).alias(c) for k, c in enumerate(x)]
-    least = lambda table: table.groupBy(*KEYS).agg(*smallest)
-    names = [f"rillspark_labels_{uuid.uuid4().hex}"]
-    start = placed.groupBy("mode", "part", F.col("origin").alias("node")).agg(*(F.max(F.when(F.col("place") == k, F.lit(0).cast("long"))).alias(c) for k, c in enumerate(x)))
-    # the hops of what got better are its round: read from the labels, as a number written into the plan would have its code compiled anew in each round
-    of_round, any_better = (F.greatest(*x, F.lit(0)) % HOPS).cast("int").alias("round"), F.coalesce(*x).isNotNull()
-    add = lambda found, table: added(found.select("*", of_round), table, *KEYS, folders=("round",))
-    known = add(start.repartition(buckets(spark), *KEYS), names[-1])
-    last, rounds = known, 0
-    ahead = links.select(*KEYS, "next", (F.col("cost_ms") * HOPS + 1).alias("more")).hint("merge")
-    while not last.isEmpty():
-        rounds += 1
-        if rounds >= HOPS or rounds * (cost[1] or 0) >= MOST_MS:
-            raise ValueError(f"paths of {rounds} edges with costs up to {cost[1]} ms are beyond what a label holds")
-        step = last.join(ahead, KEYS).groupBy("mode", "part", F.col("next").alias("node")).agg(*prolonged)
-        met = step.join(least(known).hint("merge"), KEYS, "left")
-        known = add(met.select(*KEYS, *better).where(any_better), names[-1])
-        last = known.where(F.col("round") == rounds)
-        if rounds % ROUNDS_A_TABLE == 0:
-            names.append(f"rillspark_labels_{uuid.uuid4().hex}")
-            known = add(least(known), names[-1])
-    best = settled(least(known), "labels", *KEYS)
-    for name in names:
-        dropped(spark.table(name))
-        spark.sql(f"DROP TABLE {name}")
-    return best
+    asked = origins.select("mode", F.col("origin").cast("long").alias("origin")).where("mode IS NOT NULL AND origin IS NOT NULL").distinct().orderBy("mode", "origin").collect()
+    modes = sorted({r.mode for r in asked})
+    numbered = _numbered(known, modes)
+    of = {mode: [r.origin for r in asked if r.mode == mode] for mode in modes}
+    for at in range(0, max(map(len, of.values()), default=0), ORIGINS_AT_ONCE):
+        each = [(m, o) for m, mode in enumerate(modes) for o in of[mode][at : at + ORIGINS_AT_ONCE]]
+        names = F.broadcast(spark.createDataFrame([(k, modes[m], o) for k, (m, o) in enumerate(each)], "search int, mode string, origin long"))
+        ends = [x for x in (low, high, *(o for _, o in each)) if x is not None]
+        yield numbered, each, names, most or 0, (min(ends), max(ends))
 
 
 def least_costs(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """Least cost_ms, and its fewest hops, from every origin to every node it reaches, by mode. Tables as for `shortest_paths`, without the work for the paths."""
-    placed, width = _placed(origins)
-    links = _links(edges, placed)
-    best = _labels(links, placed, width)
-    each = best.select(*KEYS, F.posexplode(F.array(*(f"x{k}" for k in range(width)))).alias("place", "label")).where("label IS NOT NULL")
-    dropped(links)
-    named = each.join(small(placed), ["mode", "part", "place"])
-    return named.select("mode", "origin", "node", F.expr(f"label div {HOPS}").alias("cost_ms"), (F.col("label") % HOPS).cast("int").alias("hops"))
+    spark, found = edges.sparkSession, []
+    for numbered, each, names, most, _ in _searched(edges, origins):
+        blocks = searches.labelled(numbered, each, buckets(spark), most, False, shared_root(spark))
+        found.append(settled(searches.labels_of(blocks, spark), "labels"))
+        blocks.unpersist()
+        found[-1] = found[-1].join(names, "search").select("mode", "origin", "node", F.expr(f"label div {searches.HOPS}").alias("cost_ms"), (F.col("label") % searches.HOPS).cast("int").alias("hops"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "mode string, origin long, node long, cost_ms long, hops int")
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m.
+def components(edges: DataFrame, nodes: DataFrame, modes: list[str]) -> DataFrame:
+    """node, components: for every node of `edges` and `nodes`, and each of `modes`, the smallest node that it hangs together with by edges of the mode.
+
+    edges: mode, n1, n2, in both directions; nodes: node, also such as have no edge (a short list); modes: a short list.
+    """
+    spark = edges.sparkSession
+    dry = edges.select("mode", "n1", "n2", F.lit(0).alias("cost_ms"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("depth_m"))
+    numbered = _numbered(_known(dry), modes)
+    blocks = searches.labelled(numbered, [(m, 0) for m in range(len(modes))], buckets(spark), 0, False, shared_root(spark), joined=True)
+    found = settled(searches.components_of(blocks, spark), "components")
+    blocks.unpersist()
+    alone = nodes.select(F.col("node").cast("long").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("components", F.array_repeat("node", len(modes))))
+
+
+def shortest_paths(edges: DataFrame, origins: DataFrame, *without: str) -> DataFrame:
+    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m; columns named in `without` are not kept.
 
     edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete; costs below 0 are refused. Costs and hops come first,
-    without paths. Then the edges that best paths can end with are those whose labels meet; each is kept once, with a bit for each origin that it serves, and paths
-    grow along them, each once: a path of h edges from the one of h - 1 edges that it prolongs.
+    without paths, and with each the edges that a best path can end with; then paths grow along those, each once: a path of h edges from the one of h - 1 edges that it prolongs.
     """
-    placed, width = _placed(origins)
-    links = _links(edges, placed)
-    best, n = _labels(links, placed, width), buckets(edges.sparkSession)
-    at = best.select("mode", "part", F.col("node").alias("next"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(width)))
-    both = links.join(best.hint("merge"), KEYS).join(at.hint("merge"), ["mode", "part", "next"])
-    meets = (F.when(F.col(f"x{k}") + F.col("cost_ms") * HOPS + 1 == F.col(f"y{k}"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(width))
-    ends = both.select(*KEYS, "next", F.col("cost_ms").alias("more_ms"), F.col("length_m").alias("more_m"), "depth_m", reduce(Column.__add__, meets).alias("serves")).where("serves <> 0")
-    lasts = settled(ends.repartition(n, *KEYS), "ends", *KEYS)
-    dropped(links, best)
-    start = placed.select("mode", "part", F.col("origin").alias("node"), "place", F.lit(0).cast("long").alias("cost_ms"), F.array("origin").alias("path"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("max_depth_m"))
-    found, levels = settled(start.repartition(n, *KEYS), "paths", *KEYS), []
-    while not found.isEmpty():
-        levels.append(found.withColumn("hops", F.lit(len(levels))))
-        longer = found.join(lasts.hint("merge"), KEYS).where("shiftright(serves, place) % 2 = 1").select(
-            "mode", "part", F.col("next").alias("node"), "place", (F.col("cost_ms") + F.col("more_ms")).alias("cost_ms"), F.concat("path", F.array("next")).alias("path"),
-            (F.col("length_m") + F.col("more_m")).alias("length_m"), F.greatest("max_depth_m", "depth_m").alias("max_depth_m"),
-        )
-        first = longer.repartition(n, *KEYS).groupBy(*KEYS, "place").agg(F.min(F.struct("cost_ms", "path", "length_m", "max_depth_m")).alias("w"))
-        found = settled(first.select(*KEYS, "place", "w.*"), "paths", *KEYS)
-    dropped(lasts)
-    every = reduce(DataFrame.unionByName, levels or [found.withColumn("hops", F.lit(0))])
-    return every.select("mode", F.element_at("path", 1).alias("origin"), "node", "cost_ms", "hops", "path", "length_m", "max_depth_m")
+    spark, found = edges.sparkSession, []
+    for numbered, each, names, most, (low, high) in _searched(edges, origins):
+        kind = np.int32 if -(1 << 31) <= low and high < 1 << 31 else np.int64
+        blocks = searches.labelled(numbered, each, buckets(spark), most, True, shared_root(spark))
+        paths, held = searches.paths_of(blocks, spark, each, kind, buckets(spark))
+        counted = paths.withColumn("hops", F.size("path") - 1).drop(*without)
+        found.append(settled(counted, "paths").join(names, "search"))
+        for x in (blocks, *held):
+            x.unpersist()
+    columns = [c for c in ("mode", "origin", "node", "cost_ms", "hops", "path", "length_m", "max_depth_m") if c not in without]
+    empty = "mode string, origin long, node long, cost_ms long, path array<long>, hops int, length_m double, max_depth_m double"
+    return (reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], empty)).select(*columns)
 
 
 def path_text(path: Column) -> Column:
@@ -216,6 +190,21 @@ def cutoffs(paths: DataFrame, leads: DataFrame) -> DataFrame:
     return seen.groupBy("vehicle", "origin", "node").agg(F.min(F.when(lost & (F.col("lead_minutes") > 0), F.col("lead_minutes"))).alias("cutoff_lead_minutes"), F.bool_and(~lost).alias("always_passable"))
 
 
+def component_cutoffs(found: DataFrame, origins: DataFrame, modes: dict[tuple[str, int], int]) -> DataFrame:
+    """`cutoffs` where roads lead both ways: a lead has a route between nodes that hang together, so no pair is moved.
+
+    found: node, components, as by `components`; origins: origin (a short list); modes: the place of each vehicle and lead in the components.
+    """
+    vehicles, leads = sorted({v for v, _ in modes}), sorted({lead for _, lead in modes})
+    each = F.array(*(F.struct(F.lit(v).alias("vehicle"), F.array(*(F.col("components")[modes[v, lead]] for lead in leads)).alias("at")) for v in vehicles))
+    nodes = found.select("node", F.explode(each).alias("x")).select("node", "x.vehicle", "x.at")
+    starts = nodes.join(F.broadcast(origins.select(F.col("origin").cast("long").alias("node")).distinct()), "node").select(F.col("node").alias("origin"), "vehicle", F.col("at").alias("from"))
+    met = [F.col("at")[k] == F.col("from")[k] for k in range(len(leads))]
+    lost = F.least(*(F.when(~m, F.lit(lead)) for m, lead in zip(met, leads, strict=True) if lead > 0), F.lit(None).cast("int"), F.lit(None).cast("int"))
+    pairs = nodes.join(F.broadcast(starts), "vehicle").where(reduce(Column.__or__, met))
+    return pairs.select("vehicle", "origin", "node", lost.cast("int").alias("cutoff_lead_minutes"), reduce(Column.__and__, met).alias("always_passable"))
+
+
 def nearest_shelter(paths: DataFrame, shelters: DataFrame) -> DataFrame:
     """Per mode and origin: the shelter reached soonest and all reachable ones in order of time. shelters: node, shelter."""
     reached = paths.join(shelters.hint("merge"), "node").groupBy("mode", "origin").agg(F.array_sort(F.collect_list(F.struct("cost_ms", "shelter"))).alias("s"))

@@ -55,33 +55,34 @@ def _both_paths(spark, sf):
     return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, "baseline", "flood_aware")))
 
 
-def _vehicle_paths(spark, sf):
+def _vehicle_paths(spark, sf, *without):
     edges = graph.vehicle_costs(edges_all(spark, sf), catalog(spark, VEHICLES, VEHICLE_COLUMNS))
-    return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, *(v[0] for v in VEHICLES))))
+    return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, *(v[0] for v in VEHICLES))), *without)
 
 
-def lead_paths(spark, sf):
+def _cutoffs(spark, sf):
     """Water rises by 0.1 m an hour: leads 0, 60, 120."""
     leads = spark.sql("SELECT CAST(id * 60 AS INT) AS lead_minutes FROM range(0, 3)")
     rising = edges_all(spark, sf).crossJoin(F.broadcast(leads)).withColumn("depth_m", F.col("depth_m") + F.col("lead_minutes") / 600.0)
     edges = graph.vehicle_costs(rising, catalog(spark, VEHICLES[1:4], VEHICLE_COLUMNS))
-    paths = graph.least_costs(edges, origins(spark, sf, _modes(spark, *(f"{v[0]}@{lead}" for v in VEHICLES[1:4] for lead in (0, 60, 120)))))
-    split = F.split("mode", "@")
-    return paths.select(split[0].alias("vehicle"), split[1].cast("int").alias("lead_minutes"), "origin", "node"), leads
+    modes = {(v[0], lead): 3 * k + i for k, v in enumerate(VEHICLES[1:4]) for i, lead in enumerate((0, 60, 120))}
+    depots = view(spark, sf, "depot")
+    found = graph.components(edges, depots, [f"{vehicle}@{lead}" for vehicle, lead in modes])
+    return graph.component_cutoffs(found, depots.withColumnRenamed("node", "origin"), modes)
 
 
 def _soft_paths(spark, sf):
     timed = edges_all(spark, sf).withColumn("time_s", F.col("length_m") / (F.col("speed_kmh") / 3.6))
     edges = graph.soft_costs(timed, catalog(spark, SOFT_LIMITS, "profile, limit_m"))
-    return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, *(p for p, _ in SOFT_LIMITS)))).join(F.broadcast(catalog(spark, SOFT_LIMITS, "profile, limit_m")), F.col("mode") == F.col("profile"))
+    return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, *(p for p, _ in SOFT_LIMITS))), "path").join(F.broadcast(catalog(spark, SOFT_LIMITS, "profile, limit_m")), F.col("mode") == F.col("profile"))
 
 
 QUERIES = {
     "g1_directed_edges": lambda s, d: directed(edges_all(s, d)),
     "g2_shortest_paths": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", graph.path_text(F.col("path")).alias("path")),
     "g4_compared_routes": lambda s, d: graph.compared_routes(_both_paths(s, d)),
-    "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
-    "g6_cutoffs": lambda s, d: graph.cutoffs(*lead_paths(s, d)),
+    "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d, "path").select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
+    "g6_cutoffs": _cutoffs,
     "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(graph.least_costs(*_searches(s, d)), shelters(s, d)),
     "g8_soft_routes": lambda s, d: _soft_paths(s, d).select("mode", "origin", "node", "cost_ms", steady(F.col("length_m"), 1).alias("length_m"), steady(F.col("length_m") / (35.0 * 1000.0 / 3600.0), 1).alias("travel_time_s"), steady(F.col("max_depth_m"), 3).alias("max_flood_depth_m"), (F.col("max_depth_m") <= F.col("limit_m")).alias("is_passable")),
     "j21_avoided_roads": lambda s, d: graph.avoided_edges(_both_paths(s, d), edges_all(s, d)),

@@ -169,6 +169,30 @@ def avoided_edges(paths: DataFrame, edges: DataFrame, base: str = "baseline", ot
     return gone.join(water.hint("merge"), ["a", "b"]).select(*ends, "a", "b", "depth_m", impact_class(F.col("depth_m")).alias("class"))
 
 
+def searched_avoided(edges: DataFrame, origins: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
+    """`avoided_edges` of the best paths between origins that both modes have and all nodes, without writing out paths: both are compared in the block where they end.
+
+    edges: as for `shortest_paths`, in both directions; the deepest water of any mode between two nodes counts. origins: mode, origin.
+    """
+    spark, found = edges.sparkSession, []
+    common = origins.where(F.col("mode").isin(base, other)).groupBy("origin").agg(F.count_distinct("mode").alias("n")).where("n = 2")
+    common = common.select("origin", F.explode(F.array(F.lit(base), F.lit(other))).alias("mode"))
+    two = [F.least("n1", "n2"), F.greatest("n1", "n2")]
+    water = edges.groupBy(two[0].alias("a"), two[1].alias("b")).agg(F.max(F.coalesce("depth_m", F.lit(0.0))).alias("depth_m"))
+    asked = edges.where(F.col("mode").isin(base, other)).drop("depth_m").withColumns({"a": two[0], "b": two[1]}).join(water.hint("merge"), ["a", "b"])
+    for numbered, each, names, most, (low, high) in _searched(asked, common):
+        kind = np.int32 if -(1 << 31) <= low and high < 1 << 31 else np.int64
+        place = {(r.mode, r.origin): r.search for r in names.collect()}
+        partner = [place.get((other, o), -1) if m == base else -1 for (m, o), _ in sorted(place.items(), key=lambda x: x[1])]
+        blocks = searches.labelled(numbered, each, buckets(spark), most, True, shared_root(spark))
+        apart, held = searches.apart_of(blocks, spark, each, partner, kind, buckets(spark))
+        found.append(settled(apart, "avoided").join(names, "search"))
+        for x in (blocks, *held):
+            x.unpersist()
+    rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "origin long, node long, a long, b long, depth_m double")
+    return rows.select("origin", "node", "a", "b", "depth_m", impact_class(F.col("depth_m")).alias("class"))
+
+
 def compared_routes(paths: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
     """For each origin and node: both routes, added length and time, whether the path differs; NO_SAFE_ROUTE if only the base reaches it."""
     side = lambda m, p: paths.where(F.col("mode") == m).select("origin", "node", *(F.col(c).alias(f"{p}_{c}") for c in ("cost_ms", "length_m", "path")))

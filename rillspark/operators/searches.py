@@ -34,10 +34,12 @@ def block_of(nodes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _split(by: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """The rows of each value of `by`."""
-    order = np.argsort(by, kind="stable")
-    keys, starts = np.unique(by[order], return_index=True)
-    for key, rows in zip(keys.tolist(), np.split(order, starts[1:])):  # nothing if there are no rows
+    """The rows of each value of `by`, numbers of blocks."""
+    counts = np.bincount(by)
+    order = np.argsort(by.astype(np.uint16) if len(counts) <= 1 << 16 else by, kind="stable")  # numbers of 16 bits are sorted in one pass
+    ends = np.cumsum(counts)
+    for key in np.flatnonzero(counts).tolist():  # nothing if there are no rows
+        rows = order[ends[key] - counts[key] : ends[key]]
         yield key, tuple(c[rows] for c in columns)
 
 
@@ -59,12 +61,23 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def _least(keys: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have the smallest label of their key, in order of keys, and whether each is the first of its key."""
-    order = np.lexsort((labels, keys))
-    first = _firsts(keys[order])
-    kept = labels[order] == labels[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    return order[kept], first[kept]
+def _places(ids: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Where each of `nodes` is in `ids` (sorted, all there): by a table if the numbers lie close enough."""
+    if not len(nodes) or ids[-1] - ids[0] > max(1 << 16, 64 * len(ids)):
+        return np.searchsorted(ids, nodes)
+    table = np.empty(ids[-1] - ids[0] + 1, np.int32)
+    table[ids - ids[0]] = np.arange(len(ids))
+    return table[nodes - ids[0]].astype(np.int64)
+
+
+def _least(keys: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Rows that have the smallest label of their key; keys are below n."""
+    if 8 * len(keys) < n:
+        _, keys = np.unique(keys, return_inverse=True)
+        n = len(keys)
+    least = np.full(n, NONE, np.int64)
+    np.minimum.at(least, keys, labels)
+    return np.flatnonzero(labels == least[keys])
 
 
 def _dealt(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,8 +131,7 @@ class Block:
             whose, edge = _expanded(self.first[at], self.first[at + 1])
             label, search = self.labels[front][whose], (front % k)[whose]
             label = label if self.joined else label + self.cost[edge] * HOPS + 1
-            rows, first = _least(self.target[edge].astype(np.int64) * k + search, label)
-            rows = rows if self.keep else rows[first]
+            rows = _least(self.target[edge].astype(np.int64) * k + search, label, len(self.targets) * k)
             target, search, label = self.targets[self.target[edge[rows]]], search[rows].astype(np.int32), label[rows]
             refs = self.number * MOST_EDGES + edge[rows] if self.keep else np.empty(len(rows), np.int8)
             yield from _split(block_of(target, self.n), target, search, label, refs)
@@ -130,15 +142,18 @@ class Block:
             self.front = np.empty(0, np.int64)
             return
         node, search, label, refs = _joined(told)
-        flat = np.searchsorted(self.ids, node) * len(self.modes) + search
-        rows, first = _least(flat, label)
-        better = label[rows] < self.labels[flat[rows]]
-        rows, first = rows[better], first[better]
-        self.front = flat[rows[first]]
-        self.labels[self.front] = label[rows[first]]
+        flat = _places(self.ids, node) * len(self.modes) + search
+        better = np.flatnonzero(label < self.labels[flat])
+        flat, label, refs = flat[better], label[better], refs[better]
+        np.minimum.at(self.labels, flat, label)
+        best = np.flatnonzero(label == self.labels[flat])
+        flat, label, refs = flat[best], label[best], refs[best]
+        new = np.zeros(len(self.labels), bool)
+        new[flat] = True
+        self.front = np.flatnonzero(new)
         if self.keep:
-            self.before[self.front] = refs[rows[first]]
-            more = rows[~first]
+            self.before[flat] = refs  # of equal ones, some
+            more = np.flatnonzero(self.before[flat] != refs)
             if len(more):
                 self.ties.append((flat[more], label[more], refs[more]))
 
@@ -162,17 +177,31 @@ class Ends:
         edge, search = _joined(served) if served else (np.empty(0, np.int64), np.empty(0, np.int32))
         flat = block.source[edge].astype(np.int64) * len(block.modes) + search
         order = np.argsort(flat, kind="stable")
-        edge = edge[order]
-        self.ids, self.k, self.n, self.flat = block.ids, len(block.modes), block.n, flat[order]
-        self.next, self.cost, self.length, self.depth = block.targets[block.target[edge]], block.cost[edge], block.length[edge], block.depth[edge]
+        self.ids, self.k, self.n = block.ids, len(block.modes), block.n
+        # a block goes through Python for every length of paths, so edges are places in the block's tables, each edge once
+        used, place = np.unique(edge[order], return_inverse=True)
+        self.edge = place.astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(self.ids) * self.k))]).astype(np.int32 if len(flat) < 1 << 31 else np.int64)
+        self.next, self.cost, self.length, self.depth = block.targets[block.target[used]], block.cost[used], block.length[used], block.depth[used]
+
+    def _onwards(self, node, search) -> tuple[np.ndarray, np.ndarray]:
+        """The edges that go on from each node in its search: whose, and place."""
+        flat = _places(self.ids, node) * self.k + search
+        whose, at = _expanded(self.first[flat].astype(np.int64), self.first[flat + 1].astype(np.int64))
+        return whose, self.edge[at]
 
     def longer(self, node, search, cost, path, length, depth) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         """These paths, an edge longer, by block of their new end (which is not in the path yet)."""
-        flat = np.searchsorted(self.ids, node) * self.k + search
-        whose, at = _expanded(np.searchsorted(self.flat, flat), np.searchsorted(self.flat, flat, "right"))
+        whose, at = self._onwards(node, search)
         columns = self.next[at], search[whose], cost[whose] + self.cost[at], path[whose], length[whose] + self.length[at], np.maximum(depth[whose], self.depth[at])
         yield from _split(block_of(columns[0], self.n), *columns)
 
+    def trailed(self, node, search, water, path, length, depth) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """As `longer`, with the depth of each edge of the path; nothing else is kept."""
+        whose, at = self._onwards(node, search)
+        columns = self.next[at], search[whose], np.hstack([water[whose], self.depth[at][:, None]]), path[whose], length[whose], depth[whose]
+        yield from _split(block_of(columns[0], self.n), *columns)
+
 
 def _best(told: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...] | None:
     """The smallest path to each node and search, with the node; of equal paths the one of least length, then depth."""
@@ -218,10 +247,13 @@ def _served(number: int, rows: Iterator) -> Iterator:
     yield number, Ends(block, served)
 
 
-def _prolonged(rows: Iterator) -> Iterator:
-    ends, paths = _told_and_own(rows)
-    for p in paths:
-        yield from ends.longer(*p)
+def _prolonged(trails: bool) -> Callable[[Iterator], Iterator]:
+    def prolonged(rows: Iterator) -> Iterator:
+        ends, paths = _told_and_own(rows)
+        for p in paths:
+            yield from (ends.trailed if trails else ends.longer)(*p)
+
+    return prolonged
 
 
 def _chosen(number: int, rows: Iterator) -> Iterator:
@@ -282,19 +314,25 @@ def labels_of(blocks: RDD, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(blocks.flatMap(lambda x: _pieces(x[1].found())), "data binary", verifySchema=False).mapInArrow(rows, "node long, search int, label long")
 
 
-def paths_of(blocks: RDD, spark: SparkSession, searches: list[tuple[int, int]], kind: type, n: int) -> tuple[DataFrame, list[RDD]]:
-    """node, search, cost_ms, path, length_m, max_depth_m of everything that was reached, and what to unpersist after. kind: of the numbers of nodes while paths grow."""
+def _grown(blocks: RDD, spark: SparkSession, searches: list[tuple[int, int]], kind: type, n: int, trails: bool) -> tuple[RDD, list[RDD]]:
+    """All best paths by block of their end, and what to unpersist after; with `trails` the depth of each edge takes the place of cost, length and greatest depth."""
     served = blocks.flatMap(lambda x: x[1].ends()).partitionBy(n)
     ends = blocks.union(served).mapPartitionsWithIndex(_served, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
     origins = np.array([o for _, o in searches], np.int64)
-    zero = np.zeros(len(origins))
-    starts = origins, np.arange(len(origins), dtype=np.int32), zero.astype(np.int64), origins[:, None].astype(kind), zero, zero
+    zero = np.zeros(len(origins), np.int8 if trails else np.float64)
+    starts = origins, np.arange(len(origins), dtype=np.int32), np.empty((len(origins), 0)) if trails else zero.astype(np.int64), origins[:, None].astype(kind), zero, zero
     paths = spark.sparkContext.parallelize(list(_split(block_of(origins, n), *starts)), 1).partitionBy(n).persist(StorageLevel.MEMORY_AND_DISK)
     every = []
     while paths.map(lambda x: len(x[1][0])).sum():
         every.append(paths)
-        told = ends.union(paths).mapPartitions(_prolonged).partitionBy(n)
+        told = ends.union(paths).mapPartitions(_prolonged(trails)).partitionBy(n)
         paths = told.mapPartitionsWithIndex(_chosen, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return spark.sparkContext.union(every), [ends, paths, *every]
+
+
+def paths_of(blocks: RDD, spark: SparkSession, searches: list[tuple[int, int]], kind: type, n: int) -> tuple[DataFrame, list[RDD]]:
+    """node, search, cost_ms, path, length_m, max_depth_m of everything that was reached, and what to unpersist after. kind: of the numbers of nodes while paths grow."""
+    every, held = _grown(blocks, spark, searches, kind, n, False)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,6 +342,66 @@ def paths_of(blocks: RDD, spark: SparkSession, searches: list[tuple[int, int]],
                 listed = pa.ListArray.from_arrays(pa.array(places), pa.array(path.astype(np.int64).ravel()))
                 yield pa.record_batch([pa.array(node), pa.array(search), pa.array(cost), listed, pa.array(length), pa.array(depth)], names=["node", "search", "cost_ms", "path", "length_m", "max_depth_m"])
 
-    pieces = spark.sparkContext.union(every).flatMap(lambda x: _pieces(x[1]))
+    pieces = every.flatMap(lambda x: _pieces(x[1]))
     found = spark.createDataFrame(pieces, "data binary", verifySchema=False).mapInArrow(rows, "node long, search int, cost_ms long, path array<long>, length_m double, max_depth_m double")
-    return found, [ends, paths, *every]
+    return found, held
+
+
+def _apart(base: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which edges of each base path the other path of the same row has in neither direction."""
+    ends = lambda p: (np.minimum(p[:, :-1], p[:, 1:]), np.maximum(p[:, :-1], p[:, 1:]))
+    (a, b), (c, d) = ends(base), ends(other)
+    used = np.zeros(a.shape, bool)
+    for k in range(c.shape[1]):
+        used |= (a == c[:, k, None]) & (b == d[:, k, None])
+    return ~used
+
+
+def _compared(partner: np.ndarray) -> Callable[[Iterator], Iterator]:
+    """From a block's trails: search, node, ends and depth of each edge that only the path of the search has, not that of its partner (-1: none)."""
+
+    def compared(rows: Iterator) -> Iterator:
+        trails = [x for _, x in rows]
+        if not trails:
+            return
+        k = len(partner)
+        node, search = np.concatenate([x[0] for x in trails]), np.concatenate([x[1] for x in trails])
+        which = np.repeat(np.arange(len(trails)), [len(x[0]) for x in trails])
+        row = np.concatenate([np.arange(len(x[0])) for x in trails])
+        at = np.unique(node, return_inverse=True)[1] * k
+        order = np.argsort(at + search)
+        keys = (at + search)[order]
+        asked = np.flatnonzero(partner[search] >= 0)
+        wanted = at[asked] + partner[search[asked]]
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        asked, met = asked[keys[place] == wanted], order[place[keys[place] == wanted]]
+        pair = which[asked] * len(trails) + which[met]
+        order = np.argsort(pair, kind="stable")
+        starts = np.flatnonzero(_firsts(pair[order]))
+        for some in np.split(order, starts[1:]) if len(order) else ():
+            own, others = trails[which[asked[some[0]]]], trails[which[met[some[0]]]]
+            for x in range(0, len(some), PIECE):
+                mine, theirs = row[asked[some[x : x + PIECE]]], row[met[some[x : x + PIECE]]]
+                path = own[3][mine]
+                r, c = np.nonzero(_apart(path, others[3][theirs]))
+                two = path[r, c].astype(np.int64), path[r, c + 1].astype(np.int64)
+                found = own[1][mine[r]], own[0][mine[r]], np.minimum(*two), np.maximum(*two), own[2][mine[r], c]
+                yield (bytearray(pickle.dumps(found, 5)),)
+
+    return compared
+
+
+def apart_of(blocks: RDD, spark: SparkSession, searches: list[tuple[int, int]], partner: list[int], kind: type, n: int) -> tuple[DataFrame, list[RDD]]:
+    """search, node, a, b, depth_m: the edges that the path of a search has and that of its partner to the same node has not, where both exist; and what to unpersist after.
+
+    Both paths of a node are in its block, so they are compared where they grew, and only what differs becomes rows. partner: for each search another one, or -1.
+    """
+    every, held = _grown(blocks, spark, searches, kind, n, True)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.record_batch([pa.array(c) for c in pickle.loads(x.as_py())], names=["search", "node", "a", "b", "depth_m"])
+
+    pieces = (every if every.getNumPartitions() == n else every.partitionBy(n)).mapPartitions(_compared(np.array(partner)))
+    return spark.createDataFrame(pieces, "data binary", verifySchema=False).mapInArrow(rows, "search int, node long, a long, b long, depth_m double"), held

@@ -51,8 +51,12 @@ def _paths(spark, sf):
 
 def _both_paths(spark, sf):
     """Paths of the two modes that are compared."""
+    return graph.shortest_paths(*_both_searches(spark, sf))
+
+
+def _both_searches(spark, sf):
     edges = graph.flood_costs(edges_all(spark, sf)).where(F.col("mode").isin("baseline", "flood_aware"))
-    return graph.shortest_paths(edges, origins(spark, sf, _modes(spark, "baseline", "flood_aware")))
+    return edges, origins(spark, sf, _modes(spark, "baseline", "flood_aware"))
 
 
 def _vehicle_paths(spark, sf, *without):
@@ -85,7 +89,7 @@ QUERIES = {
     "g6_cutoffs": _cutoffs,
     "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(graph.least_costs(*_searches(s, d)), shelters(s, d)),
     "g8_soft_routes": lambda s, d: _soft_paths(s, d).select("mode", "origin", "node", "cost_ms", steady(F.col("length_m"), 1).alias("length_m"), steady(F.col("length_m") / (35.0 * 1000.0 / 3600.0), 1).alias("travel_time_s"), steady(F.col("max_depth_m"), 3).alias("max_flood_depth_m"), (F.col("max_depth_m") <= F.col("limit_m")).alias("is_passable")),
-    "j21_avoided_roads": lambda s, d: graph.avoided_edges(_both_paths(s, d), edges_all(s, d)),
+    "j21_avoided_roads": lambda s, d: graph.searched_avoided(*_both_searches(s, d)),
 }
 
 EDGES_SQL = f"""

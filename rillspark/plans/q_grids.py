@@ -36,8 +36,10 @@ def _places(spark, sf):
 def _projected(spark, sf):
     at = projection.with_utm(_places(spark, sf), "lon", "lat", ZONE)
     back = projection.with_lonlat(at, "x", "y", ZONE, lon="lon2", lat="lat2")
-    closing = F.sqrt(F.pow((F.col("lon2") - F.col("lon")) * F.cos(F.radians("lat")), F.lit(2)) + F.pow(F.col("lat2") - F.col("lat"), F.lit(2))) * 111_320.0
-    return back.select("place_id", projection.in_range(F.col("lon"), F.col("lat")).alias("on_globe"), steady(F.col("x"), 4).alias("x"), steady(F.col("y"), 4).alias("y"), steady(F.col("lon2"), 9).alias("lon"), steady(F.col("lat2"), 9).alias("lat"), (closing < 1e-6).alias("closes"))
+    east, north = (F.col("lon2") - F.col("lon")) * projection.cosine(F.col("lat")), F.col("lat2") - F.col("lat")
+    closing = F.sqrt(east * east + north * north) * 111_320.0
+    digits = {"x": ("x", 4), "y": ("y", 4), "lon": ("lon2", 9), "lat": ("lat2", 9)}
+    return back.select("place_id", projection.in_range(F.col("lon"), F.col("lat")).alias("on_globe"), *(projection.rounded(F.col(c), k).alias(n) for n, (c, k) in digits.items()), (closing < 1e-6).alias("closes"))
 
 
 def _regridded(spark, sf):
@@ -58,35 +60,98 @@ def _d(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
 
-def _series(series, along, across, sign):
-    a = along + "".join(f" + {_d(sign * k)} * sin({2 * j} * {along}) * cosh({2 * j} * {across})" for j, k in enumerate(series, 1))
-    b = across + "".join(f" + {_d(sign * k)} * cos({2 * j} * {along}) * sinh({2 * j} * {across})" for j, k in enumerate(series, 1))
+def _polynomial(ks, x: str) -> str:
+    text = _d(ks[0])
+    for k in ks[1:]:
+        text = f"({text} * {x} + {_d(k)})"
+    return text
+
+
+def _sines(a: str, n: str, degrees: bool) -> list[dict[str, str]]:
+    """Steps to sin_n and cos_n of the column a. As everything in these statements they are sums, products, quotients, square roots and floors: the same bits in every engine."""
+    first, rest = (_d(k) for k in projection.QUARTER)
+    r = f"({a} - 90.0::DOUBLE * q_{n}) * {_d(projection.RADIAN)}" if degrees else f"({a} - q_{n} * {first}) - q_{n} * {rest}"
+    return [
+        {f"q_{n}": f"floor({a} / {'90.0::DOUBLE' if degrees else first} + 0.5::DOUBLE)"},
+        {f"r_{n}": r, f"m_{n}": f"q_{n} - 4 * floor(q_{n} / 4)"},
+        {f"z_{n}": f"r_{n} * r_{n}"},
+        {f"s_{n}": f"r_{n} * {_polynomial(projection.SIN, f'z_{n}')}", f"c_{n}": _polynomial(projection.COS, f"z_{n}")},
+        {f"sin_{n}": f"CASE m_{n} WHEN 0 THEN s_{n} WHEN 1 THEN c_{n} WHEN 2 THEN -s_{n} ELSE -c_{n} END", f"cos_{n}": f"CASE m_{n} WHEN 0 THEN c_{n} WHEN 1 THEN -s_{n} WHEN 2 THEN -c_{n} ELSE s_{n} END"},
+    ]
+
+
+def _angle(a: str, b: str, h: str, n: str) -> list[dict[str, str]]:
+    """Steps to the angle n of (b, a), whose length is h."""
+    half = lambda w: f"{w} / (1 + sqrt(1 + {w} * {w}))"
+    return [
+        {f"w_{n}": f"{a} / CASE WHEN {h} > 0 THEN {h} + abs({b}) ELSE 1 END"}, {f"v_{n}": half(f"w_{n}")}, {f"u_{n}": half(f"v_{n}")}, {f"z_{n}": f"u_{n} * u_{n}"},
+        {f"a_{n}": f"8 * (u_{n} * {_polynomial(projection.ATAN, f'z_{n}')})"},
+        {n: f"CASE WHEN {b} >= 0 THEN a_{n} ELSE CASE WHEN {a} >= 0 THEN {_d(math.pi)} ELSE {_d(-math.pi)} END - a_{n} END"},
+    ]
+
+
+def _hyperbolic(v: str, n: str) -> list[dict[str, str]]:
+    """Steps to the hyperbolic sine n of v."""
+    twice = lambda g: f"2 * {g} * sqrt(1 + {g} * {g})"
+    return [{f"g_{n}": f"{v} * 0.25::DOUBLE"}, {f"z_{n}": f"g_{n} * g_{n}"}, {f"h_{n}": f"g_{n} * {_polynomial(projection.SINH, f'z_{n}')}"}, {f"i_{n}": twice(f"h_{n}")}, {n: twice(f"i_{n}")}]
+
+
+def _multiples(s: str, c: str, n: str, sign: str) -> list[dict[str, str]]:
+    """Steps to s2n, c2n and so on, of 2, 4, 6 and 8 times an angle."""
+    return [
+        {f"s2{n}": f"2 * {s} * {c}", f"c2{n}": f"1 {sign} 2 * {s} * {s}"},
+        {f"s4{n}": f"2 * s2{n} * c2{n}", f"c4{n}": f"1 {sign} 2 * s2{n} * s2{n}"},
+        {f"s6{n}": f"s4{n} * c2{n} + c4{n} * s2{n}", f"c6{n}": f"c4{n} * c2{n} {sign} s4{n} * s2{n}", f"s8{n}": f"2 * s4{n} * c4{n}", f"c8{n}": f"1 {sign} 2 * s4{n} * s4{n}"},
+    ]
+
+
+def _bent(series, along: str, across: str, n: str, sign: float) -> tuple[str, str]:
+    """Both coordinates with the series of the multiples nt (plain) and nh (hyperbolic)."""
+    a = along + "".join(f" + {_d(sign * k)} * s{j}{n}t * c{j}{n}h" for j, k in zip((2, 4, 6, 8), series, strict=True))
+    b = across + "".join(f" + {_d(sign * k)} * c{j}{n}t * s{j}{n}h" for j, k in zip((2, 4, 6, 8), series, strict=True))
     return a, b
 
 
+def _steps(source: str, name: str, steps: list[dict[str, str]]) -> str:
+    """CTEs, one a step, from `source` to `name`; each adds columns."""
+    names = [source, *(f"{name}{k}" for k in range(len(steps) - 1)), name]
+    return ",\n".join(f"{new} AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in step.items())} FROM {old})" for old, new, step in zip(names, names[1:], steps, strict=False))
+
+
 def _lonlat_sql(source: str) -> str:
     """CTEs from `source` (with x and y) to `geo` (with lon2, lat2)."""
-    a, b = _series(projection.BACKWARD, "xi", "eta", -1.0)
-    lat = "chi" + "".join(f" + {_d(k)} * sin({2 * j} * chi)" for j, k in enumerate(projection.LATITUDE, 1))
-    return f"""plane AS (SELECT *, y / {_d(projection.RADIUS)} AS xi, (x - {projection.FALSE_EAST}) / {_d(projection.RADIUS)} AS eta FROM {source}),
-sphere AS (SELECT *, {a} AS s1, {b} AS s2 FROM plane),
-chis AS (SELECT *, atan2(sin(s1), sqrt(sinh(s2) * sinh(s2) + cos(s1) * cos(s1))) AS chi FROM sphere),
-geo AS (SELECT *, degrees(atan2(sinh(s2), cos(s1))) + {projection.central_meridian(ZONE)} AS lon2, degrees({lat}) AS lat2 FROM chis)"""
+    a, b = _bent(projection.BACKWARD, "xi", "eta", "b", -1.0)
+    lat = "chi" + "".join(f" + {_d(k)} * s{j}l" for j, k in zip((2, 4, 6, 8), projection.LATITUDE, strict=True))
+    return _steps(source, "geo", [
+        {"xi": f"y / {_d(projection.RADIUS)}", "eta": f"(x - {_d(projection.FALSE_EAST)}) / {_d(projection.RADIUS)}"},
+        *_sines("xi", "xi", False), *_hyperbolic("eta", "se"), {"ce": "sqrt(1 + se * se)"},
+        *_multiples("sin_xi", "cos_xi", "bt", "-"), *_multiples("se", "ce", "bh", "+"), {"s1": a, "s2": b},
+        *_sines("s1", "s1", False), *_hyperbolic("s2", "sb"), {"g": "sqrt(sb * sb + cos_s1 * cos_s1)"}, {"hyp": "sqrt(sin_s1 * sin_s1 + g * g)"},
+        *_angle("sin_s1", "g", "hyp", "chi"), *_angle("sb", "cos_s1", "g", "lam"), {"sc": "sin_s1 / hyp", "cc": "g / hyp"}, *_multiples("sc", "cc", "l", "-"),
+        {"lon2": f"lam * {_d(projection.DEGREE)} + {projection.central_meridian(ZONE)}", "lat2": f"({lat}) * {_d(projection.DEGREE)}"},
+    ])
 
 
 def _utm_sql() -> str:
     e = _d(projection.ECCENTRICITY)
-    a, b = _series(projection.FORWARD, "p1", "p2", 1.0)
+    a, b = _bent(projection.FORWARD, "p1", "p2", "f", 1.0)
+    third = lambda t: f"{t} / sqrt(2 * (1 + sqrt(1 + {t} * {t})))"
+    forward = _steps("t", "xy", [
+        *_sines("lat", "lat", True), *_sines("turn", "turn", True),
+        {"e1": f"{e} * sin_lat"}, {"ze": "e1 * e1"}, {"e2": f"{e} * (e1 * {_polynomial(projection.ATANH, 'ze')})"}, {"zs": "e2 * e2"}, {"lift": f"e2 * {_polynomial(projection.SINH, 'zs')}"},
+        {"up": "sin_lat * sqrt(1 + lift * lift) - lift", "flat": "cos_lat * cos_turn"}, {"h": "nullif(sqrt(up * up + flat * flat), 0)"}, {"sn": "up / h", "cs": "flat / h", "sh": "cos_lat * sin_turn / h"},
+        {"ch": "sqrt(1 + sh * sh)", "t1": third("sh")}, {"t2": third("t1")}, {"t3": third("t2")}, {"zt": "t3 / (1 + sqrt(1 + t3 * t3))"}, {"zz": "zt * zt"}, {"p2": f"16 * (zt * {_polynomial(projection.ATANH, 'zz')})"},
+        *_angle("up", "flat", "h", "p1"), *_multiples("sn", "cs", "ft", "-"), *_multiples("sh", "ch", "fh", "+"), {"along": a, "across": b},
+        {"x": f"CASE WHEN on_globe THEN {_d(projection.FALSE_EAST)} + {_d(projection.RADIUS)} * across END", "y": f"CASE WHEN on_globe THEN {_d(projection.RADIUS)} * along END"},
+    ])
+    near = lambda c, k: f"floor(({c} + {_d(1e-9)}) * {_d(10.0**k)} + 0.5::DOUBLE) / {_d(10.0**k)}"
     return f"""
 WITH places AS ({PLACES.replace("{customer}", "customer")}),
-t AS (SELECT *, coalesce(lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90, false) AS on_globe, radians(lon - {projection.central_meridian(ZONE)}) AS turn, tan(radians(lat)) AS up FROM places),
-l AS (SELECT *, sinh({e} * atanh({e} * up / sqrt(1 + up * up))) AS lift FROM t),
-k AS (SELECT *, up * sqrt(1 + lift * lift) - lift * sqrt(1 + up * up) AS conf FROM l),
-q AS (SELECT *, atan2(conf, cos(turn)) AS p1, asinh(sin(turn) / sqrt(conf * conf + cos(turn) * cos(turn))) AS p2 FROM k),
-xy AS (SELECT *, CASE WHEN on_globe THEN {projection.FALSE_EAST} + {_d(projection.RADIUS)} * ({b}) END AS x, CASE WHEN on_globe THEN {_d(projection.RADIUS)} * ({a}) END AS y FROM q),
-{_lonlat_sql("xy")}
-SELECT place_id, on_globe, round(x + 1e-9, 4) AS x, round(y + 1e-9, 4) AS y, round(lon2 + 1e-9, 9) AS lon, round(lat2 + 1e-9, 9) AS lat,
-       sqrt(pow((lon2 - lon) * cos(radians(lat)), 2) + pow(lat2 - lat, 2)) * 111320 < 1e-6 AS closes FROM geo"""
+t AS (SELECT *, coalesce(lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90, false) AS on_globe, lon - {projection.central_meridian(ZONE)} AS turn FROM places),
+{forward},
+{_lonlat_sql("xy")},
+gap AS (SELECT *, (lon2 - lon) * cos_lat AS de, lat2 - lat AS dn FROM geo)
+SELECT place_id, on_globe, {near("x", 4)} AS x, {near("y", 4)} AS y, {near("lon2", 9)} AS lon, {near("lat2", 9)} AS lat, sqrt(de * de + dn * dn) * 111320 < {_d(1e-6)} AS closes FROM gap"""
 
 
 def _regrid_sql() -> str:

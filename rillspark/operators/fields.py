@@ -138,12 +138,13 @@ def unified(advected: DataFrame, observed: DataFrame, leads: DataFrame) -> DataF
     return both.select("lead_minutes", "r", "c", steady(F.greatest(F.lit(0.0), F.coalesce(mixed, F.col("now")))).alias("rate_mmh"))
 
 
-def dispatched_methods(requests: DataFrame, nowcasts: DataFrame, default: str = "persistence") -> DataFrame:
+def dispatched_methods(requests: DataFrame, nowcasts: DataFrame, default: str = "persistence", methods: tuple[str, ...] = ()) -> DataFrame:
     """The cells of the nowcast that each request names; a name that no nowcast has gets the default method.
 
-    requests: request, method (a short list); nowcasts: method, lead_minutes, r, c, rate_mmh.
+    requests: request, method (a short list); nowcasts: method, lead_minutes, r, c, rate_mmh; methods: the methods of the nowcasts, which are worked out once more if these are not given.
     """
-    known = nowcasts.select("method").distinct().withColumn("known", F.lit(True))
+    named = requests.sparkSession.createDataFrame([(m,) for m in methods], "method string") if methods else nowcasts.select("method").distinct()
+    known = named.withColumn("known", F.lit(True))
     chosen = requests.join(F.broadcast(known), "method", "left").select("request", F.when(F.col("known"), F.col("method")).otherwise(default).alias("method"))
     return nowcasts.join(F.broadcast(chosen), "method").select("request", "method", "lead_minutes", "r", "c", "rate_mmh")
 

@@ -7,6 +7,7 @@ cells, however large frames are; gathers are equi-joins on cells.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,22 +99,24 @@ def windowed_flow(frames: DataFrame, before: int, after: int, window: int = 5) -
 def advected(field: DataFrame, leads: DataFrame, cell_m: float = 30.0, decay: float | None = DECAY_MINUTES) -> DataFrame:
     """Rates at every lead: each cell takes the rate at the end of its backward path, bilinearly, decayed; lead 0 is unchanged.
 
-    field: r, c, rate_mmh, u, v of a dense frame with origin (0, 0); leads: lead_minutes. The four corners of a path's end are
-    exploded with their weights and joined on cells, then summed: two shuffles, whatever the number of leads.
+    field: r, c, rate_mmh, u, v of a dense frame with origin (0, 0), a row a cell; leads: lead_minutes. The four corners of a path's end are gathered once for each
+    cell, whatever the number of leads, so that a path's end is one row that meets one row. A corner that the frame lacks counts as 0; without any there is no row.
     """
     size = field.agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))  # one row
     paths = field.crossJoin(F.broadcast(leads)).crossJoin(F.broadcast(size))
     t = F.col("lead_minutes") * 60.0
     clip = lambda x, n: F.greatest(F.lit(0.0), F.least(F.col(n) - 1.0, x))
     ends = paths.withColumns({"x": clip(F.col("c") - F.col("u") * t / cell_m, "w"), "y": clip(F.col("r") - F.col("v") * t / cell_m, "h")})
-    corner = ends.withColumns({"x0": F.floor("x").cast("int"), "y0": F.floor("y").cast("int")}).withColumns({"fx": F.col("x") - F.col("x0"), "fy": F.col("y") - F.col("y0")})
-    x1, y1 = F.least(F.col("x0") + 1, F.col("w") - 1).cast("int"), F.least(F.col("y0") + 1, F.col("h") - 1).cast("int")
-    part = lambda y, x, k: F.struct(y.alias("sr"), x.alias("sc"), k.alias("k"))
+    corner = ends.withColumns({"x0": F.floor("x").cast("int"), "y0": F.floor("y").cast("int")})
+    wanted = corner.select("lead_minutes", "r", "c", "y0", "x0", (F.col("x") - F.col("x0")).alias("fx"), (F.col("y") - F.col("y0")).alias("fy"))
+    near = F.array(*(F.struct((F.col("r") - dy).alias("y0"), (F.col("c") - dx).alias("x0"), F.lit(2 * dy + dx).alias("at")) for dy in (0, 1) for dx in (0, 1)))
+    each = field.select(F.explode(near).alias("p"), "rate_mmh").select("p.*", "rate_mmh")
+    corners = each.groupBy("y0", "x0").agg(*(F.max(F.when(F.col("at") == k, F.col("rate_mmh"))).alias(f"v{k}") for k in range(4)))
     fx, fy = F.col("fx"), F.col("fy")
-    parts = F.array(part(F.col("y0"), F.col("x0"), (1 - fx) * (1 - fy)), part(F.col("y0"), x1, fx * (1 - fy)), part(y1, F.col("x0"), (1 - fx) * fy), part(y1, x1, fx * fy))
-    wanted = corner.select("lead_minutes", "r", "c", F.explode(parts).alias("p")).select("lead_minutes", "r", "c", "p.*")
-    source = field.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "rate_mmh")
-    moved = wanted.join(source.hint("merge"), ["sr", "sc"]).groupBy("lead_minutes", "r", "c").agg(F.sum(F.col("k") * F.col("rate_mmh")).alias("rate"))
+    weights = ((1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy)
+    # beyond the last line there is no corner, and its weight is 0 there
+    rate = reduce(Column.__add__, (F.coalesce(k * F.col(f"v{n}"), F.lit(0.0)) for n, k in enumerate(weights)))
+    moved = wanted.join(corners.hint("merge"), ["y0", "x0"]).select("lead_minutes", "r", "c", rate.alias("rate"))
     factor = F.when(F.col("lead_minutes") <= 0, 1.0).otherwise(F.exp(-F.col("lead_minutes") / decay)) if decay else F.lit(1.0)
     return moved.select("lead_minutes", "r", "c", (F.greatest(F.lit(0.0), F.col("rate")) * factor).alias("rate_mmh"))
 

@@ -57,7 +57,7 @@ def _dispatched(spark, sf):
     persisted = nowcast.persisted(rain_cells(spark, sf).where("frame = 1"), leads).select(F.lit("persistence").alias("method"), "lead_minutes", "r", "c", "rate_mmh")
     moved = nowcast.advected(_drift(spark, sf), leads).select(F.lit("advection").alias("method"), "lead_minutes", "r", "c", steady(F.col("rate_mmh")).alias("rate_mmh"))
     requests = spark.sql("SELECT * FROM VALUES ('a', 'advection'), ('b', 'persistence'), ('c', 'unheard_of') AS t(request, method)")
-    return fields.dispatched_methods(requests, persisted.unionByName(moved))
+    return fields.dispatched_methods(requests, persisted.unionByName(moved), methods=("persistence", "advection"))
 
 
 def _by_sensor(spark, sf, kind: str, column: str):

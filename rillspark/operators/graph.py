@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.policy import PASSABILITY, effective_speed, impact_class, speed_factor
-from rillspark.functions.shared import buckets, settled, shared_root
+from rillspark.functions.shared import settled, shared_root
 from rillspark.operators import searches
 from rillspark.operators.roads import steady
 
@@ -24,7 +24,9 @@ ORIGINS_AT_ONCE = 32
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge (n1, n2) as two directed ones; other columns stay."""
-    return edges.unionByName(edges.select(F.col("n2").alias("n1"), F.col("n1").alias("n2"), *(c for c in edges.columns if c not in ("n1", "n2"))))
+    one = lambda a, b: F.struct(F.col(a).alias("n1"), F.col(b).alias("n2"))
+    both = edges.withColumn("_ends", F.explode(F.array(one("n1", "n2"), one("n2", "n1"))))  # no union, which would compile and read everything twice
+    return both.select(*(F.col(f"_ends.{c}") if c in ("n1", "n2") else c for c in edges.columns))
 
 
 def travel_ms(length_m: Column, speed_kmh: Column) -> Column:
@@ -37,10 +39,12 @@ def flood_costs(edges: DataFrame, policy: dict = PASSABILITY) -> DataFrame:
     edges: n1, n2, road_id, length_m, speed_kmh, depth_m; a null depth counts as dry.
     """
     named = edges.withColumn("class", impact_class(F.coalesce("depth_m", F.lit(0.0)), policy))
-    mode = lambda m, speed: named.select("n1", "n2", "road_id", "length_m", "depth_m", F.lit(m).alias("mode"), travel_ms(F.col("length_m"), speed).alias("cost_ms"))
+    mode = lambda m, speed: F.struct(F.lit(m).alias("mode"), travel_ms(F.col("length_m"), speed).alias("cost_ms"))
+    passable = lambda m: F.when(F.col("class") != "IMPASSABLE", m)
     slowed = F.col("speed_kmh") * speed_factor(F.col("class"), policy)
-    passable = lambda df: df.where(impact_class(F.coalesce("depth_m", F.lit(0.0)), policy) != "IMPASSABLE")
-    return mode("baseline", F.col("speed_kmh")).unionByName(passable(mode("avoid_impassable", F.col("speed_kmh")))).unionByName(passable(mode("flood_aware", slowed)))
+    modes = F.array(mode("baseline", F.col("speed_kmh")), passable(mode("avoid_impassable", F.col("speed_kmh"))), passable(mode("flood_aware", slowed)))
+    each = named.withColumn("_mode", F.explode(modes)).where("_mode IS NOT NULL")
+    return each.select("n1", "n2", "road_id", "length_m", "depth_m", "_mode.mode", "_mode.cost_ms")
 
 
 def vehicle_costs(edges: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -78,34 +82,40 @@ def _numbered(known: DataFrame, modes: list[str]) -> DataFrame:
     return known.join(F.broadcast(numbers), "mode").select("m", "node", "next", "cost_ms", "length_m", "depth_m")
 
 
-def _searched(edges: DataFrame, origins: DataFrame) -> Iterator[tuple[DataFrame, list[tuple[int, int]], DataFrame, int, tuple[int, int]]]:
-    """Edges with numbers of modes, searches, their names (search, mode, origin), the greatest cost, and the least and greatest node, for ORIGINS_AT_ONCE origins of a mode at a time.
+def _nodes() -> Column:
+    """About how many nodes edges have."""
+    return F.greatest(F.approx_count_distinct("node"), F.approx_count_distinct("next"))
+
+
+def _searched(edges: DataFrame, origins: DataFrame) -> Iterator[tuple[searches.Labelled, DataFrame, type]]:
+    """Final labels, names of searches (search, mode, origin), and the type that numbers of nodes fit, for ORIGINS_AT_ONCE origins of a mode at a time.
 
     origins: a short list.
     """
     spark = edges.sparkSession
     known = _known(edges)
-    least, most, low, high = known.agg(F.min("cost_ms"), F.max("cost_ms"), F.min(F.least("node", "next")), F.max(F.greatest("node", "next"))).first()
+    least, most, low, high, nodes = known.agg(F.min("cost_ms"), F.max("cost_ms"), F.min(F.least("node", "next")), F.max(F.greatest("node", "next")), _nodes()).first()
     if least is not None and least < 0:
         raise ValueError("an edge has a cost below 0")
-    asked = origins.select("mode", F.col("origin").cast("long").alias("origin")).where("mode IS NOT NULL AND origin IS NOT NULL").distinct().orderBy("mode", "origin").collect()
+    asked = set(origins.select("mode", F.col("origin").cast("long").alias("origin")).where("mode IS NOT NULL AND origin IS NOT NULL").collect())
     modes = sorted({r.mode for r in asked})
     numbered = _numbered(known, modes)
-    of = {mode: [r.origin for r in asked if r.mode == mode] for mode in modes}
-    for at in range(0, max(map(len, of.values()), default=0), ORIGINS_AT_ONCE):
-        each = [(m, o) for m, mode in enumerate(modes) for o in of[mode][at : at + ORIGINS_AT_ONCE]]
+    every = sorted({r.origin for r in asked})  # an origin is searched in all its modes at once, as these are compared
+    for at in range(0, len(every), ORIGINS_AT_ONCE):
+        each = [(m, o) for m, mode in enumerate(modes) for o in every[at : at + ORIGINS_AT_ONCE] if (mode, o) in asked]
         names = F.broadcast(spark.createDataFrame([(k, modes[m], o) for k, (m, o) in enumerate(each)], "search int, mode string, origin long"))
         ends = [x for x in (low, high, *(o for _, o in each)) if x is not None]
-        yield numbered, each, names, most or 0, (min(ends), max(ends))
+        kind = np.int32 if -(1 << 31) <= min(ends) and max(ends) < 1 << 31 else np.int64
+        labels = (nodes or 0) * len(each)
+        yield searches.labelled(numbered, each, searches.blocks_for(spark, labels), labels, most or 0, shared_root(spark)), names, kind
 
 
 def least_costs(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """Least cost_ms, and its fewest hops, from every origin to every node it reaches, by mode. Tables as for `shortest_paths`, without the work for the paths."""
     spark, found = edges.sparkSession, []
-    for numbered, each, names, most, _ in _searched(edges, origins):
-        blocks = searches.labelled(numbered, each, buckets(spark), most, False, shared_root(spark))
-        found.append(settled(searches.labels_of(blocks, spark), "labels"))
-        blocks.unpersist()
+    for blocks, names, _ in _searched(edges, origins):
+        found.append(settled(searches.labels_of(blocks), "labels"))
+        blocks.drop()
         found[-1] = found[-1].join(names, "search").select("mode", "origin", "node", F.expr(f"label div {searches.HOPS}").alias("cost_ms"), (F.col("label") % searches.HOPS).cast("int").alias("hops"))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "mode string, origin long, node long, cost_ms long, hops int")
 
@@ -118,30 +128,27 @@ def components(edges: DataFrame, nodes: DataFrame, modes: list[str]) -> DataFram
     spark = edges.sparkSession
     dry = edges.select("mode", "n1", "n2", F.lit(0).alias("cost_ms"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("depth_m"))
     numbered = _numbered(_known(dry), modes)
-    blocks = searches.labelled(numbered, [(m, 0) for m in range(len(modes))], buckets(spark), 0, False, shared_root(spark), joined=True)
-    found = settled(searches.components_of(blocks, spark), "components")
-    blocks.unpersist()
+    labels = numbered.agg(_nodes()).first()[0] * len(modes)
+    blocks = searches.labelled(numbered, [(m, 0) for m in range(len(modes))], searches.blocks_for(spark, labels), labels, 0, shared_root(spark), joined=True)
+    found = settled(searches.components_of(blocks), "components")
+    blocks.drop()
     alone = nodes.select(F.col("node").cast("long").alias("node")).distinct().join(found, "node", "left_anti")
     return found.unionByName(alone.withColumn("components", F.array_repeat("node", len(modes))))
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, *without: str) -> DataFrame:
-    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes), length_m, max_depth_m; columns named in `without` are not kept.
+def shortest_paths(edges: DataFrame, origins: DataFrame, *without: str, text: bool = False) -> DataFrame:
+    """Best path from every origin to every node it reaches, by mode: cost_ms, hops, path (array of nodes; with `text` as by `path_text`), length_m, max_depth_m; columns named in `without` are not kept.
 
     edges: directed, with mode and cost_ms; origins: mode, origin. Several edges between two nodes compete; costs below 0 are refused. Costs and hops come first,
     without paths, and with each the edges that a best path can end with; then paths grow along those, each once: a path of h edges from the one of h - 1 edges that it prolongs.
     """
     spark, found = edges.sparkSession, []
-    for numbered, each, names, most, (low, high) in _searched(edges, origins):
-        kind = np.int32 if -(1 << 31) <= low and high < 1 << 31 else np.int64
-        blocks = searches.labelled(numbered, each, buckets(spark), most, True, shared_root(spark))
-        paths, held = searches.paths_of(blocks, spark, each, kind, buckets(spark))
-        counted = paths.withColumn("hops", F.size("path") - 1).drop(*without)
-        found.append(settled(counted, "paths").join(names, "search"))
-        for x in (blocks, *held):
-            x.unpersist()
+    for blocks, names, kind in _searched(edges, origins):
+        paths = searches.paths_of(blocks, kind, None if "path" in without else "string" if text else "array<long>")
+        found.append(settled(paths.drop(*without), "paths").join(names, "search"))
+        blocks.drop()
     columns = [c for c in ("mode", "origin", "node", "cost_ms", "hops", "path", "length_m", "max_depth_m") if c not in without]
-    empty = "mode string, origin long, node long, cost_ms long, path array<long>, hops int, length_m double, max_depth_m double"
+    empty = f"mode string, origin long, node long, cost_ms long, path {'string' if text else 'array<long>'}, hops int, length_m double, max_depth_m double"
     return (reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], empty)).select(*columns)
 
 
@@ -169,6 +176,12 @@ def avoided_edges(paths: DataFrame, edges: DataFrame, base: str = "baseline", ot
     return gone.join(water.hint("merge"), ["a", "b"]).select(*ends, "a", "b", "depth_m", impact_class(F.col("depth_m")).alias("class"))
 
 
+def _partners(names: DataFrame, base: str, other: str) -> list[int]:
+    """For each search of the base its other search from the same origin, -1 if there is none; -2 for all others."""
+    place = {(r.mode, r.origin): r.search for r in names.collect()}
+    return [place.get((other, o), -1) if m == base else -2 for (m, o), _ in sorted(place.items(), key=lambda x: x[1])]
+
+
 def searched_avoided(edges: DataFrame, origins: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
     """`avoided_edges` of the best paths between origins that both modes have and all nodes, without writing out paths: both are compared in the block where they end.
 
@@ -180,15 +193,9 @@ def searched_avoided(edges: DataFrame, origins: DataFrame, base: str = "baseline
     two = [F.least("n1", "n2"), F.greatest("n1", "n2")]
     water = edges.groupBy(two[0].alias("a"), two[1].alias("b")).agg(F.max(F.coalesce("depth_m", F.lit(0.0))).alias("depth_m"))
     asked = edges.where(F.col("mode").isin(base, other)).drop("depth_m").withColumns({"a": two[0], "b": two[1]}).join(water.hint("merge"), ["a", "b"])
-    for numbered, each, names, most, (low, high) in _searched(asked, common):
-        kind = np.int32 if -(1 << 31) <= low and high < 1 << 31 else np.int64
-        place = {(r.mode, r.origin): r.search for r in names.collect()}
-        partner = [place.get((other, o), -1) if m == base else -1 for (m, o), _ in sorted(place.items(), key=lambda x: x[1])]
-        blocks = searches.labelled(numbered, each, buckets(spark), most, True, shared_root(spark))
-        apart, held = searches.apart_of(blocks, spark, each, partner, kind, buckets(spark))
-        found.append(settled(apart, "avoided").join(names, "search"))
-        for x in (blocks, *held):
-            x.unpersist()
+    for blocks, names, kind in _searched(asked, common):
+        found.append(settled(searches.apart_of(blocks, _partners(names, base, other), kind), "avoided").join(names, "search"))
+        blocks.drop()
     rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "origin long, node long, a long, b long, depth_m double")
     return rows.select("origin", "node", "a", "b", "depth_m", impact_class(F.col("depth_m")).alias("class"))
 
@@ -203,6 +210,21 @@ def compared_routes(paths: DataFrame, base: str = "baseline", other: str = "floo
     )
 
 
+def searched_routes(edges: DataFrame, origins: DataFrame, base: str = "baseline", other: str = "flood_aware") -> DataFrame:
+    """`compared_routes` of the best paths, without writing out or joining paths: both are compared in the block where they end. Tables as for `shortest_paths`."""
+    spark, found = edges.sparkSession, []
+    for blocks, names, kind in _searched(edges, origins.where(F.col("mode").isin(base, other))):
+        both = settled(searches.both_of(blocks, _partners(names, base, other), kind), "routes")
+        found.append(both.join(names, "search"))
+        blocks.drop()
+    rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "origin long, node long, cost_ms long, length_m double, other_cost_ms long, other_length_m double, same boolean")
+    status = F.when(F.col("other_cost_ms").isNull(), "NO_SAFE_ROUTE").when(F.col("same"), "UNCHANGED").otherwise("REROUTED")
+    return rows.where("origin <> node").select(
+        "origin", "node", F.col("cost_ms").alias("base_cost_ms"), F.col("other_cost_ms").alias("safe_cost_ms"), (F.col("other_cost_ms") - F.col("cost_ms")).alias("added_ms"),
+        steady(F.col("other_length_m") - F.col("length_m"), 3).alias("added_m"), status.alias("status"),
+    )
+
+
 def cutoffs(paths: DataFrame, leads: DataFrame) -> DataFrame:
     """Per vehicle, origin and node: the first lead above 0 without a route, and whether all leads have one.
 

@@ -20,7 +20,7 @@ SOFT_LIMITS = (("LIGHT_VEHICLE", 0.10), ("SUV", 0.30), ("RESCUE_4X4", 0.60), ("A
 def edges_all(spark, sf):
     """Edges with an id, a speed and a depth (the same both ways)."""
     plain = view(spark, sf, "graph_edge").selectExpr("n1", "n2", "n1 * 1000000 + n2 AS road_id", "length_m", "CAST(30 + 10 * ((n1 + n2) % 3) AS DOUBLE) AS speed_kmh", f"{EDGE_DEPTH} AS depth_m")
-    return graph.both_ways(plain)
+    return graph.both_ways(plain.repartition(spark.sparkContext.defaultParallelism))  # a row becomes many, and the table is a small file
 
 
 def directed(edges):
@@ -46,7 +46,7 @@ def _searches(spark, sf):
 
 
 def _paths(spark, sf):
-    return graph.shortest_paths(*_searches(spark, sf))
+    return graph.shortest_paths(*_searches(spark, sf), text=True)
 
 
 def _both_paths(spark, sf):
@@ -55,6 +55,7 @@ def _both_paths(spark, sf):
 
 
 def _both_searches(spark, sf):
+    """Edges and origins of the two modes that are compared."""
     edges = graph.flood_costs(edges_all(spark, sf)).where(F.col("mode").isin("baseline", "flood_aware"))
     return edges, origins(spark, sf, _modes(spark, "baseline", "flood_aware"))
 
@@ -83,7 +84,7 @@ def _soft_paths(spark, sf):
 
 QUERIES = {
     "g1_directed_edges": lambda s, d: directed(edges_all(s, d)),
-    "g2_shortest_paths": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", graph.path_text(F.col("path")).alias("path")),
+    "g2_shortest_paths": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "path"),
     "g4_compared_routes": lambda s, d: graph.compared_routes(_both_paths(s, d)),
     "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d, "path").select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
     "g6_cutoffs": _cutoffs,

@@ -49,11 +49,6 @@ def _paths(spark, sf):
     return graph.shortest_paths(*_searches(spark, sf), text=True)
 
 
-def _both_paths(spark, sf):
-    """Paths of the two modes that are compared."""
-    return graph.shortest_paths(*_both_searches(spark, sf))
-
-
 def _both_searches(spark, sf):
     """Edges and origins of the two modes that are compared."""
     edges = graph.flood_costs(edges_all(spark, sf)).where(F.col("mode").isin("baseline", "flood_aware"))
@@ -85,7 +80,7 @@ def _soft_paths(spark, sf):
 QUERIES = {
     "g1_directed_edges": lambda s, d: directed(edges_all(s, d)),
     "g2_shortest_paths": lambda s, d: _paths(s, d).select("mode", "origin", "node", "cost_ms", "hops", "path"),
-    "g4_compared_routes": lambda s, d: graph.compared_routes(_both_paths(s, d)),
+    "g4_compared_routes": lambda s, d: graph.searched_routes(*_both_searches(s, d)),
     "g5_vehicle_routes": lambda s, d: _vehicle_paths(s, d, "path").select("mode", "origin", "node", "cost_ms", "hops", "max_depth_m"),
     "g6_cutoffs": _cutoffs,
     "g7_nearest_shelter": lambda s, d: graph.nearest_shelter(graph.least_costs(*_searches(s, d)), shelters(s, d)),

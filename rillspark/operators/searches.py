@@ -106,19 +106,32 @@ def _dealt(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def put(folder: str, name: str, number: int, what: object) -> None:
-    """Leaves something of a block in the shared folder; a file has its name once it is whole, and a task that runs again writes the same."""
+    """Leaves something of a block in the shared folder, arrays apart; a file has its name once it is whole, and a task that runs again writes the same."""
     files, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://"))
     files.create_dir(f"{path}/{name}", recursive=True)
-    part = f"{path}/{name}/.{number}-{uuid.uuid4().hex}"
+    part, arrays = f"{path}/{name}/.{number}-{uuid.uuid4().hex}", []
+    head = pickle.dumps(what, 5, buffer_callback=lambda x: arrays.append(x.raw()))
     with files.open_output_stream(part, compression=None) as out:
-        out.write(pickle.dumps(what, 5))
+        out.write(np.array([len(head), len(arrays), *(x.nbytes for x in arrays)], np.int64).tobytes())
+        for x in (head, *arrays):
+            out.write(x)
+            out.write(bytes(-len(x) % 8))  # arrays start at whole words, if the file does
     files.move(part, f"{path}/{name}/{number}")
 
 
 def got(folder: str, name: str, number: int) -> object:
+    """What `put` left; its arrays are read-only. Of a local file only what is used is read."""
     files, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://"))
-    with files.open_input_stream(f"{path}/{name}/{number}", compression=None) as stream:
-        return pickle.loads(stream.readall())
+    path = f"{path}/{name}/{number}"
+    with pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_stream(path, compression=None) as stream:
+        whole = stream.read_buffer()
+    n = int(np.frombuffer(whole, np.int64, 2)[1])
+    sizes = np.delete(np.frombuffer(whole, np.int64, 2 + n), 1).tolist()
+    parts, at = [], 8 * (2 + n)
+    for size in sizes:
+        parts.append(whole.slice(at, size))
+        at += size + -size % 8
+    return pickle.loads(parts[0], buffers=parts[1:])
 
 
 class Block:
@@ -162,20 +175,20 @@ class Block:
             columns = self.targets[self.target[edge[rows]]], search[rows].astype(np.int32), label[rows]
             yield from _split(block_of(columns[0], self.n), *columns, *([self.number * MOST_EDGES + edge[rows]] if by_edge else []))
 
-    def heard(self, labels: np.ndarray, told: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-        """Takes the labels that are better into `labels`; where."""
+    def heard(self, labels: np.ndarray, told: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """The labels with those that are better, and where these are."""
         if not told:
-            return np.empty(0, np.int64)
+            return labels, np.empty(0, np.int64)
         node, search, label = _joined(told)
         flat = _places(self.ids, node) * len(self.modes) + search
         better = np.flatnonzero(label < labels[flat])
-        flat = flat[better]
+        flat, labels = flat[better], labels.copy()
         np.minimum.at(labels, flat, label[better])
         if 16 * len(flat) < len(labels):
-            return np.unique(flat)
+            return labels, np.unique(flat)
         new = np.zeros(len(labels), bool)
         new[flat] = True
-        return np.flatnonzero(new)
+        return labels, np.flatnonzero(new)
 
     def ends(self, labels: np.ndarray, told: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         """Edges that best paths end with, of those told, by block: place and search."""
@@ -268,7 +281,7 @@ def _advanced(folder: str, of: int, n: int, last: bool) -> Callable[[int, Iterat
         if number >= n:
             return
         block, (labels, _) = got(folder, "edges", number), got(folder, f"labels-{of - 1}", number)
-        front = block.heard(labels, [x for _, x in rows])
+        labels, front = block.heard(labels, [x for _, x in rows])
         put(folder, f"labels-{of}", number, (labels, front))
         if last:
             known = labels[labels != NONE] % HOPS
@@ -336,6 +349,11 @@ def _chosen(rows: Iterator) -> Iterator:
         yield _best(list(told))
 
 
+def _without_nodes(paths: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The hops of paths in place of their nodes."""
+    return tuple(np.full(len(x), x.shape[1] - 1, np.int32) if k == 3 else x for k, x in enumerate(paths))
+
+
 @dataclass
 class Labelled:
     """Final labels: in the folder's labels-`rounds`, a file for each of n blocks; longest: the most hops of a label."""
@@ -445,13 +463,13 @@ def paths_of(blocks: Labelled, kind: type, path: str | None = "array<long>") ->
         for batch in batches:
             for x in batch.column(0):
                 node, search, cost, nodes, length, depth = pickle.loads(x.as_py())
-                hops = np.full(len(node), nodes.shape[1] - 1, np.int32)
-                columns = {"node": node, "search": search, "cost_ms": cost, "hops": hops, "path": nodes, "length_m": length, "max_depth_m": depth}
+                columns = {"node": node, "search": search, "cost_ms": cost, "hops": np.full(len(node), nodes.shape[1] - 1, np.int32) if path else nodes, "path": nodes, "length_m": length, "max_depth_m": depth}
                 if not path:
                     del columns["path"]
                 yield pa.record_batch([listed(c) if name == "path" else pa.array(c) for name, c in columns.items()], names=list(columns))
 
-    pieces = _grown(blocks, kind, False).flatMap(_pieces)
+    grown = _grown(blocks, kind, False)
+    pieces = (grown if path else grown.map(_without_nodes)).flatMap(_pieces)
     schema = "node long, search int, cost_ms long, hops int" + (f", path {path}" if path else "") + ", length_m double, max_depth_m double"
     return blocks.spark.createDataFrame(pieces, "data binary", verifySchema=False).mapInArrow(rows, schema)
 
